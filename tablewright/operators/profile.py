@@ -139,7 +139,8 @@ def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULT
             quantile_mode: str = "exact", distinct_mode: str = "exact",
             max_distinct: int = MAX_DISTINCT, date_formats=DEFAULT_DATE_FORMATS,
             date_min_rate: float = DATE_MIN_PARSE_RATE, order_by: str | None = None,
-            with_duplicates: bool = True, persist_freq: bool = True) -> Profile:
+            with_duplicates: bool = True, persist_freq: bool = True,
+            with_quantiles: bool = True) -> Profile:
     """Profile every column of ``df``; ``order_by`` (optional) is an explicit
     row-order key used for "first seen" samples."""
     require_target(df, target)
@@ -215,7 +216,7 @@ def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULT
             stats[c]["distinct_approx"] = True
 
     # ---- quartiles and outliers ----
-    if numeric:
+    if numeric and with_quantiles:
         bounds = {c: (stats[c]["count"], stats[c]["min"], stats[c]["max"]) for c in numeric}
         qs = quartiles(df, numeric, quantile_mode, bounds=bounds)
         out_exprs = []
@@ -288,3 +289,134 @@ def column_profile(df: DataFrame, target: str | None = None, **kw) -> DataFrame:
 def sample_values(prof: Profile, k: int = MAX_SAMPLE_VALUES) -> DataFrame:
     """First k distinct values of each listed text column."""
     return first_values(prof.value_freq, k)
+
+
+# ------------------------------------------------------------------------
+# Lazy single-purpose reports (each one plan, no driver round trip unless a
+# fitted statistic is needed).
+
+def dataset_shape(df: DataFrame) -> DataFrame:
+    """B1: n_rows, n_columns."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+
+
+def null_profile(df: DataFrame) -> DataFrame:
+    """B2: null count and percentage (2 places; 0.0 on an empty table) per
+    column, from one aggregate unpivoted with ``stack``."""
+    dts = {f.name: f.dataType for f in df.schema.fields}
+    cols = list(df.columns)
+    agg = df.agg(F.count(F.lit(1)).alias("__n"),
+                 *[F.sum(is_null_or_nan(c, dts[c]).cast("long")).alias(c) for c in cols])
+    long = agg.unpivot(["__n"], cols, "column", "null_count")
+    return long.select(
+        "column", F.coalesce("null_count", F.lit(0)).cast("long").alias("null_count"),
+        F.when(F.col("__n") > 0, round_half_up(F.lit(100.0) * F.col("null_count") / F.col("__n").cast("double"), 2))
+         .otherwise(F.lit(0.0)).alias("null_pct"))
+
+
+def distinct_profile(df: DataFrame) -> DataFrame:
+    """Exact distinct non-null count per column: every column unpivoted to
+    text, then ONE distinct aggregate keyed by (column, value) -- instead of N
+    count-distincts, which plan an Expand xN."""
+    cols = list(df.columns)
+    proj = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    long = proj.unpivot([], cols, "column", "value").filter(F.col("value").isNotNull())
+    got = long.groupBy("column").agg(F.countDistinct("value").alias("n_unique"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(got, "column", "left").select(
+        "column", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"))
+
+
+def numeric_summary(df: DataFrame, cols=None, digits: int = 2) -> DataFrame:
+    """Min, max, mean of the non-null values, rounded; NULL when empty."""
+    dts = {f.name: f.dataType for f in df.schema.fields}
+    cols = [c for c in (cols or df.columns) if is_numeric(dts[c])]
+    exprs = []
+    for i, c in enumerate(cols):
+        v = as_double(c, dts[c])
+        exprs += [F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"), F.avg(v).alias(f"m{i}")]
+    agg = df.agg(*exprs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a{i}").alias("min_value"),
+                              F.col(f"b{i}").alias("max_value"), F.col(f"m{i}").alias("mean_value"))
+                     for i, c in enumerate(cols)])
+    return agg.select(F.explode(rows).alias("s")).select(
+        "s.column", *[round_half_up(f"s.{k}", digits).alias(k) for k in ("min_value", "max_value", "mean_value")])
+
+
+def iqr_outliers(df: DataFrame, cols=None, mult: float = IQR_MULTIPLIER,
+                 quantile_mode: str = "exact") -> DataFrame:
+    """Exact linear-interpolated Q1/Q3 and the count of values strictly
+    outside [Q1 - m*IQR, Q3 + m*IQR]."""
+    dts = {f.name: f.dataType for f in df.schema.fields}
+    cols = [c for c in (cols or df.columns) if is_numeric(dts[c])]
+    qs = quartiles(df, cols, quantile_mode)
+    bounds = {c: iqr_bounds(*qs[c], mult) for c in cols}
+    exprs = [F.sum(((as_double(c, dts[c]) < F.lit(bounds[c][0])) |
+                    (as_double(c, dts[c]) > F.lit(bounds[c][1]))).cast("long")).alias(f"o{i}")
+             for i, c in enumerate(cols) if bounds[c][0] is not None]
+    row = df.agg(*exprs).first() if exprs else None
+    out = []
+    for i, c in enumerate(cols):
+        q1, q3 = qs[c]
+        lo, hi = bounds[c]
+        n_out = int(row[f"o{i}"] or 0) if (row is not None and lo is not None) else None
+        out.append((c, q1, q3, lo, hi, n_out))
+    res = df.sparkSession.createDataFrame(
+        out, "column string, q1 double, q3 double, lower_bound double, upper_bound double, outlier_count long")
+    return res.select("column", *[round_half_up(k, 4).alias(k) for k in
+                                  ("q1", "q3", "lower_bound", "upper_bound")], "outlier_count")
+
+
+def detect_date_columns(df: DataFrame, formats=DEFAULT_DATE_FORMATS,
+                        min_rate: float = DATE_MIN_PARSE_RATE) -> DataFrame:
+    """Parse rate over ALL rows (nulls count against) of every text
+    column, and whether it reaches ``min_rate``; one aggregate."""
+    cols = [f.name for f in df.schema.fields if is_text(f.dataType)]
+    agg = df.agg(F.count(F.lit(1)).alias("__n"),
+                 *[F.count(parse_timestamp(c, formats)).alias(c) for c in cols])
+    long = agg.unpivot(["__n"], cols, "column", "parsed")
+    rate = F.when(F.col("__n") > 0, F.col("parsed") / F.col("__n").cast("double"))
+    return long.select("column", round_half_up(rate, 4).alias("parse_rate"),
+                       F.coalesce(rate >= F.lit(min_rate), F.lit(False)).alias("is_date"))
+
+
+def date_order_conflicts_df(df: DataFrame, date_cols, formats=DEFAULT_DATE_FORMATS) -> DataFrame:
+    """B10 as one lazy aggregate: pairs where both directions occur."""
+    dts = {f.name: f.dataType for f in df.schema.fields}
+    parsed = df.select(*[(parse_timestamp(c, formats) if is_text(dts[c])
+                          else F.col(c).cast("timestamp")).alias(c) for c in date_cols])
+    pairs = list(combinations(date_cols, 2))
+    exprs = []
+    for j, (a, b) in enumerate(pairs):
+        exprs += [F.coalesce(F.sum((F.col(a) > F.col(b)).cast("long")), F.lit(0)).alias(f"ab{j}"),
+                  F.coalesce(F.sum((F.col(b) > F.col(a)).cast("long")), F.lit(0)).alias(f"ba{j}")]
+    agg = parsed.agg(*exprs)
+    rows = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                              F.col(f"ab{j}").alias("a_after_b"), F.col(f"ba{j}").alias("b_after_a"))
+                     for j, (a, b) in enumerate(pairs)])
+    return (agg.select(F.explode(rows).alias("s")).select("s.*")
+            .filter((F.col("a_after_b") > 0) & (F.col("b_after_a") > 0)))
+
+
+def impute_statistics(df: DataFrame, cols, quantile_mode: str = "exact") -> DataFrame:
+    """Mean and exact median of numeric columns, mode (ties: smallest
+    value) of text columns -- the statistics imputation uses."""
+    from .freq import mode_per_column
+    dts = {f.name: f.dataType for f in df.schema.fields}
+    num = [c for c in cols if is_numeric(dts[c])]
+    txt = [c for c in cols if is_text(dts[c])]
+    out = {}
+    if num:
+        row = df.agg(*[F.avg(as_double(c, dts[c])).alias(f"m{i}") for i, c in enumerate(num)]).first()
+        med = medians(df, num, quantile_mode)
+        for i, c in enumerate(num):
+            out[c] = (row[f"m{i}"], med.get(c), None)
+    if txt:
+        modes = {r["column"]: r["mode"] for r in mode_per_column(value_freq(df, txt)).collect()}
+        for c in txt:
+            out[c] = (None, None, modes.get(c))
+    res = df.sparkSession.createDataFrame(
+        [(c, *out[c]) for c in cols], "column string, mean_value double, median_value double, mode_value string")
+    return res.select("column", round_half_up("mean_value", 4).alias("mean_value"),
+                      round_half_up("median_value", 4).alias("median_value"), "mode_value")

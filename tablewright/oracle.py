@@ -13,3 +13,155 @@ MESSY_EVENTS_COLUMNS = [
 ]
 
 ORACLE["column_profile"] = S.column_profile_sql(S.messy_events_sql(), MESSY_EVENTS_COLUMNS)
+
+MO = S.messy_orders_sql()
+MO_NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice", "target"]
+MO_TEXT = ["o_orderpriority", "order_date", "ship_date"]
+
+ORACLE["dataset_shape"] = f"SELECT count(*) AS n_rows, 7 AS n_columns FROM {MO}"
+
+ORACLE["null_profile"] = f"WITH m AS (SELECT * FROM {MO}) " + S.union_per_column(
+    S.MO_COLS, lambda i, c: f"""SELECT '{c}' AS "column", CAST(count(*) - count({c}) AS BIGINT) AS null_count,
+    CASE WHEN count(*) > 0 THEN {S.rhu(f'CAST(100 AS DOUBLE) * (count(*) - count({c})) / CAST(count(*) AS DOUBLE)', 2)} ELSE 0.0 END AS null_pct FROM m""")
+
+ORACLE["distinct_profile"] = f"WITH m AS (SELECT * FROM {MO}) " + S.union_per_column(
+    S.MO_COLS, lambda i, c: f"""SELECT '{c}' AS "column", CAST(count(DISTINCT {c}) AS BIGINT) AS n_unique FROM m""")
+
+ORACLE["sample_values"] = f"""WITH m AS (SELECT * FROM {MO}),
+v AS ({S.union_per_column(MO_TEXT, lambda i, c: f"SELECT DISTINCT '{c}' AS col, {c} AS value FROM m WHERE {c} IS NOT NULL")})
+SELECT col AS "column", CAST(rn AS INTEGER) AS rank, value FROM (
+  SELECT col, value, row_number() OVER (PARTITION BY col ORDER BY value) AS rn FROM v) WHERE rn <= 8"""
+
+ORACLE["numeric_summary"] = f"WITH m AS (SELECT * FROM {MO}) " + S.union_per_column(
+    MO_NUMERIC, lambda i, c: f"""SELECT '{c}' AS "column", {S.rhu(f'min(CAST({c} AS DOUBLE))', 2)} AS min_value,
+    {S.rhu(f'max(CAST({c} AS DOUBLE))', 2)} AS max_value, {S.rhu(f'avg(CAST({c} AS DOUBLE))', 2)} AS mean_value FROM m""")
+
+
+def _iqr_sql(view: str, cols, mult: float = 1.5) -> str:
+    qs = S.union_per_column(cols, lambda i, c: f"""SELECT '{c}' AS col, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1,
+        quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM m""")
+    outs = S.union_per_column(cols, lambda i, c: f"""SELECT '{c}' AS col, count(*) FILTER (WHERE CAST({c} AS DOUBLE) < b.lo OR CAST({c} AS DOUBLE) > b.hi) AS n
+        FROM m, (SELECT lo, hi FROM b WHERE col = '{c}') b""")
+    return f"""WITH m AS (SELECT * FROM {view}), q AS ({qs}),
+b AS (SELECT col, q1, q3, q1 - {mult} * (q3 - q1) AS lo, q3 + {mult} * (q3 - q1) AS hi FROM q),
+o AS ({outs})
+SELECT b.col AS "column", {S.rhu('b.q1', 4)} AS q1, {S.rhu('b.q3', 4)} AS q3, {S.rhu('b.lo', 4)} AS lower_bound,
+  {S.rhu('b.hi', 4)} AS upper_bound, CAST(o.n AS BIGINT) AS outlier_count FROM b JOIN o ON b.col = o.col"""
+
+
+ORACLE["iqr_outliers"] = _iqr_sql(MO, MO_NUMERIC)
+
+ORACLE["duplicate_row_count"] = f"""SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_distinct_rows,
+  CAST(sum(c - 1) AS BIGINT) AS n_duplicate_rows
+FROM (SELECT {', '.join(S.MO_COLS)}, count(*) AS c FROM {MO} GROUP BY ALL)"""
+
+_DD_COLS = MO_TEXT + ["promised_date"]
+ORACLE["detect_date_columns"] = f"""WITH m AS (SELECT *, CASE WHEN {S.u('o_orderkey', 'junk:promised_date')} < 0.15 THEN 'n/a'
+  ELSE order_date END AS promised_date FROM {MO}) """ + S.union_per_column(
+    _DD_COLS, lambda i, c: f"""SELECT '{c}' AS "column",
+    CASE WHEN count(*) > 0 THEN {S.rhu(f'CAST(count({S.parse_ts(c)}) AS DOUBLE) / count(*)', 4)} END AS parse_rate,
+    coalesce(CAST(count({S.parse_ts(c)}) AS DOUBLE) / count(*) >= 0.9, false) AS is_date FROM m""")
+
+ORACLE["date_order_conflicts"] = """SELECT * FROM (
+  SELECT 'o_orderdate' AS col_a, 'l_shipdate' AS col_b,
+    CAST(coalesce(sum(CASE WHEN o_orderdate > l_shipdate THEN 1 ELSE 0 END), 0) AS BIGINT) AS a_after_b,
+    CAST(coalesce(sum(CASE WHEN l_shipdate > o_orderdate THEN 1 ELSE 0 END), 0) AS BIGINT) AS b_after_a
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE a_after_b > 0 AND b_after_a > 0"""
+
+ORACLE["value_counts_topk"] = """SELECT p_name AS value, count(*) AS freq FROM part WHERE p_name IS NOT NULL
+GROUP BY p_name ORDER BY freq DESC, value LIMIT 10"""
+
+ORACLE["topk_per_column"] = """WITH v AS (
+  SELECT 'p_name' AS col, p_name AS value, count(*) AS freq FROM part WHERE p_name IS NOT NULL GROUP BY p_name
+  UNION ALL SELECT 'p_brand', p_brand, count(*) FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand
+  UNION ALL SELECT 'p_type', p_type, count(*) FROM part WHERE p_type IS NOT NULL GROUP BY p_type)
+SELECT col AS "column", CAST(rn AS INTEGER) AS rank, value, freq FROM (
+  SELECT *, row_number() OVER (PARTITION BY col ORDER BY freq DESC, value) AS rn FROM v) WHERE rn <= 5"""
+
+MO_NORM = f"(SELECT * REPLACE ({S.missing_case('o_orderpriority')} AS o_orderpriority, {S.missing_case('order_date')} AS order_date, {S.missing_case('ship_date')} AS ship_date) FROM {MO})"
+
+ORACLE["impute_statistics"] = f"""WITH m AS (SELECT * FROM {MO_NORM})
+SELECT 'o_custkey' AS "column", {S.rhu('avg(CAST(o_custkey AS DOUBLE))', 4)} AS mean_value,
+  {S.rhu('quantile_cont(CAST(o_custkey AS DOUBLE), 0.5)', 4)} AS median_value, CAST(NULL AS VARCHAR) AS mode_value FROM m
+UNION ALL SELECT 'o_totalprice', {S.rhu('avg(o_totalprice)', 4)}, {S.rhu('quantile_cont(o_totalprice, 0.5)', 4)}, NULL FROM m
+UNION ALL SELECT 'o_orderpriority', NULL, NULL, (SELECT o_orderpriority FROM m WHERE o_orderpriority IS NOT NULL
+  GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1)"""
+
+# ------------------------------------------------------------------ cleaning
+ORACLE["failsafe_drop_strings"] = f"SELECT o_orderkey, o_custkey, o_totalprice, target FROM {MO}"
+ORACLE["drop_all_null_cols"] = f"SELECT o_orderkey, o_totalprice, o_orderpriority, order_date, ship_date, target FROM {MO}"
+ORACLE["drop_constant_cols"] = "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'"
+ORACLE["normalize_missing_literals"] = f"SELECT * FROM {MO_NORM}"
+
+_VIOL = f"coalesce({S.parse_ts('order_date')} > {S.parse_ts('ship_date')}, false)"
+ORACLE["drop_date_order_violations"] = f"SELECT * FROM {MO} WHERE NOT {_VIOL}"
+ORACLE["flag_date_order_violations"] = f"SELECT *, CAST({_VIOL} AS INTEGER) AS date_order_violation FROM {MO}"
+
+_DEC = S.u("o_orderkey", "decorate")
+ORACLE["binary_label_from_text"] = f"""SELECT o_orderkey, CAST(regexp_replace(trim(status_text), '\\.+$', '') = 'F' AS INTEGER) AS target
+FROM (SELECT o_orderkey, CASE WHEN {_DEC} < 0.3 THEN o_orderstatus || '.' WHEN {_DEC} < 0.5 THEN ' ' || o_orderstatus || ' '
+  ELSE o_orderstatus END AS status_text FROM orders)"""
+
+ORACLE["dedup_full_row"] = f"SELECT DISTINCT * FROM {MO}"
+ORACLE["dedup_keep_first"] = """SELECT doc_id, lang, source, n_chars FROM documents
+WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)"""
+ORACLE["normalize_categories"] = f"SELECT o_orderkey, lower(trim(o_orderpriority)) AS o_orderpriority FROM {MO}"
+
+MO_NORM_TEXT = f"(SELECT * REPLACE (lower(trim(o_orderpriority)) AS o_orderpriority) FROM {MO_NORM})"
+
+
+def canonical_sql(view: str, col: str) -> str:
+    """Spelling-key canonical map applied to one column of a view."""
+    return f"""(WITH cm_src AS (SELECT * FROM {view}),
+cm_vf AS (SELECT {col} AS value, count(*) AS freq FROM cm_src WHERE {col} IS NOT NULL GROUP BY {col}),
+cm_k AS (SELECT value, freq, regexp_replace(lower(trim(value)), '[\\s_\\-]+', '', 'g') AS k FROM cm_vf),
+cm_c AS (SELECT k, value AS canonical FROM (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY freq DESC, value) AS rn FROM cm_k) WHERE rn = 1),
+cm_map AS (SELECT cm_k.value, cm_c.canonical FROM cm_k JOIN cm_c USING (k))
+SELECT cm_src.* REPLACE (coalesce(cm_map.canonical, cm_src.{col}) AS {col}) FROM cm_src LEFT JOIN cm_map ON cm_src.{col} = cm_map.value)"""
+
+
+ORACLE["apply_canonical_map"] = f"SELECT o_orderkey, o_orderpriority FROM {canonical_sql(MO_NORM_TEXT, 'o_orderpriority')}"
+
+ORACLE["impute_median"] = f"""WITH m AS (SELECT * FROM {MO})
+SELECT o_orderkey, {S.rhu('coalesce(CAST(o_custkey AS DOUBLE), (SELECT quantile_cont(CAST(o_custkey AS DOUBLE), 0.5) FROM m))', 4)} AS o_custkey,
+  {S.rhu('coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM m))', 4)} AS o_totalprice FROM m"""
+ORACLE["impute_mean"] = f"""WITH m AS (SELECT * FROM {MO})
+SELECT o_orderkey, {S.rhu('coalesce(CAST(o_custkey AS DOUBLE), (SELECT avg(CAST(o_custkey AS DOUBLE)) FROM m))', 4)} AS o_custkey,
+  {S.rhu('coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM m))', 4)} AS o_totalprice FROM m"""
+ORACLE["impute_mode"] = f"""WITH m AS (SELECT * FROM {MO_NORM_TEXT})
+SELECT o_orderkey, coalesce(o_orderpriority, (SELECT o_orderpriority FROM m WHERE o_orderpriority IS NOT NULL
+  GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1)) AS o_orderpriority FROM m"""
+
+
+def clip_sql(c: str, mult: float, src: str = "m") -> str:
+    v = f"CAST({c} AS DOUBLE)"
+    q1 = f"(SELECT quantile_cont({v}, 0.25) FROM {src})"
+    q3 = f"(SELECT quantile_cont({v}, 0.75) FROM {src})"
+    return (f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({v}, {q1} - {mult} * ({q3} - {q1})), "
+            f"{q3} + {mult} * ({q3} - {q1})) END")
+
+
+ORACLE["clip_iqr"] = f"""WITH m AS (SELECT * FROM {MO})
+SELECT o_orderkey, {S.rhu(clip_sql('o_custkey', 1.5), 4)} AS o_custkey, {S.rhu(clip_sql('o_totalprice', 1.5), 4)} AS o_totalprice FROM m"""
+
+
+def epoch_sql(col: str) -> str:
+    ts = S.parse_ts(col)
+    return (f"(CAST(CAST({ts} AS DATE) - DATE '1970-01-01' AS DOUBLE) * 86400.0 + "
+            f"CAST(hour({ts}) * 3600 + minute({ts}) * 60 + second({ts}) AS DOUBLE))")
+
+
+ORACLE["date_to_epoch"] = f"""WITH m AS (SELECT o_orderkey, {epoch_sql('order_date')} AS order_date, {epoch_sql('ship_date')} AS ship_date FROM {MO_NORM})
+SELECT o_orderkey, coalesce(order_date, (SELECT quantile_cont(order_date, 0.5) FROM m)) AS order_date,
+  coalesce(ship_date, (SELECT quantile_cont(ship_date, 0.5) FROM m)) AS ship_date FROM m"""
+
+ORACLE["rare_category_grouping"] = """WITH vf AS (SELECT p_name, count(*) AS freq FROM part WHERE p_name IS NOT NULL GROUP BY p_name),
+top AS (SELECT p_name FROM vf ORDER BY freq DESC, p_name LIMIT 10)
+SELECT p_partkey, CASE WHEN p_name IS NULL THEN NULL WHEN (SELECT count(*) FROM vf) <= 50 THEN p_name
+  WHEN p_name IN (SELECT p_name FROM top) THEN p_name ELSE 'other' END AS p_name FROM part"""
+
+ORACLE["one_hot_encode"] = """SELECT c_custkey,
+  CAST(coalesce(c_mktsegment = 'BUILDING', false) AS INTEGER) AS c_mktsegment_BUILDING,
+  CAST(coalesce(c_mktsegment = 'FURNITURE', false) AS INTEGER) AS c_mktsegment_FURNITURE,
+  CAST(coalesce(c_mktsegment = 'HOUSEHOLD', false) AS INTEGER) AS c_mktsegment_HOUSEHOLD,
+  CAST(coalesce(c_mktsegment = 'MACHINERY', false) AS INTEGER) AS c_mktsegment_MACHINERY FROM customer"""

@@ -28,3 +28,217 @@ def query(name: str):
 @query("column_profile")
 def q_column_profile(spark, sf_dir):
     return P.column_profile(M.messy_events(spark, sf_dir))
+
+
+def _mo(spark, sf_dir):
+    return M.messy_orders(spark, sf_dir)
+
+
+MO_NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice", "target"]
+MO_FEATURES_NUM = ["o_custkey", "o_totalprice"]
+MO_TEXT = ["o_orderpriority", "order_date", "ship_date"]
+
+
+@query("dataset_shape")
+def q_dataset_shape(spark, sf_dir):
+    return P.dataset_shape(_mo(spark, sf_dir))
+
+
+@query("null_profile")
+def q_null_profile(spark, sf_dir):
+    return P.null_profile(_mo(spark, sf_dir))
+
+
+@query("distinct_profile")
+def q_distinct_profile(spark, sf_dir):
+    return P.distinct_profile(_mo(spark, sf_dir))
+
+
+@query("sample_values")
+def q_sample_values(spark, sf_dir):
+    from .operators.freq import first_values, value_freq
+    return first_values(value_freq(_mo(spark, sf_dir), MO_TEXT), P.MAX_SAMPLE_VALUES)
+
+
+@query("numeric_summary")
+def q_numeric_summary(spark, sf_dir):
+    return P.numeric_summary(_mo(spark, sf_dir), MO_NUMERIC)
+
+
+@query("iqr_outliers")
+def q_iqr_outliers(spark, sf_dir):
+    return P.iqr_outliers(_mo(spark, sf_dir), MO_NUMERIC)
+
+
+@query("duplicate_row_count")
+def q_duplicate_row_count(spark, sf_dir):
+    from .operators.gate import duplicate_rows
+    return duplicate_rows(_mo(spark, sf_dir))
+
+
+@query("detect_date_columns")
+def q_detect_date_columns(spark, sf_dir):
+    from .operators.inject import inject_junk
+    df = _mo(spark, sf_dir).withColumn("promised_date", M.F.col("order_date"))
+    df = inject_junk(df, "promised_date", 0.15, "n/a", "o_orderkey")
+    return P.detect_date_columns(df)
+
+
+@query("date_order_conflicts")
+def q_date_order_conflicts(spark, sf_dir):
+    from .sources.tables import table
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    j = o.join(li, o.o_orderkey == li.l_orderkey)
+    return P.date_order_conflicts_df(j, ["o_orderdate", "l_shipdate"])
+
+
+@query("value_counts_topk")
+def q_value_counts_topk(spark, sf_dir):
+    from .operators.freq import value_counts
+    from .sources.tables import table
+    return value_counts(table(spark, sf_dir, "part"), "p_name", 10)
+
+
+@query("topk_per_column")
+def q_topk_per_column(spark, sf_dir):
+    from .operators.freq import topk, value_freq
+    from .sources.tables import table
+    vf = value_freq(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
+    return topk(vf, 5).select("column", "rank", "value", "freq")
+
+
+@query("impute_statistics")
+def q_impute_statistics(spark, sf_dir):
+    from .operators.clean import normalize_missing
+    return P.impute_statistics(normalize_missing(_mo(spark, sf_dir)),
+                               ["o_custkey", "o_totalprice", "o_orderpriority"])
+
+
+# ----------------------------------------------------------------- cleaning
+from pyspark.sql import functions as F  # noqa: E402
+
+from .operators import clean as C  # noqa: E402
+from .operators import encode as E  # noqa: E402
+from .sources.tables import table  # noqa: E402
+
+
+@query("failsafe_drop_strings")
+def q_failsafe_drop_strings(spark, sf_dir):
+    out, _ = C.drop_string_columns(_mo(spark, sf_dir), "target")
+    return out
+
+
+@query("drop_all_null_cols")
+def q_drop_all_null_cols(spark, sf_dir):
+    from .operators.inject import inject_nulls
+    df = inject_nulls(_mo(spark, sf_dir), ["o_custkey"], 1.0, "o_orderkey")
+    out, _ = C.drop_all_null_columns(df, exclude=["target"])
+    return out
+
+
+@query("drop_constant_cols")
+def q_drop_constant_cols(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING")
+    out, _ = C.drop_constant_columns(df)
+    return out
+
+
+@query("normalize_missing_literals")
+def q_normalize_missing_literals(spark, sf_dir):
+    return C.normalize_missing(_mo(spark, sf_dir))
+
+
+@query("drop_date_order_violations")
+def q_drop_date_order_violations(spark, sf_dir):
+    return C.drop_date_violations(_mo(spark, sf_dir), "order_date", "ship_date", mode="drop")
+
+
+@query("flag_date_order_violations")
+def q_flag_date_order_violations(spark, sf_dir):
+    return C.drop_date_violations(_mo(spark, sf_dir), "order_date", "ship_date", mode="flag")
+
+
+def _status_text(spark, sf_dir):
+    from .functions.hashing import uniform
+    o = table(spark, sf_dir, "orders")
+    u = uniform("o_orderkey", "decorate")
+    text = (F.when(u < 0.3, F.concat(F.col("o_orderstatus"), F.lit(".")))
+            .when(u < 0.5, F.concat(F.lit(" "), F.col("o_orderstatus"), F.lit(" ")))
+            .otherwise(F.col("o_orderstatus")))
+    return o.select("o_orderkey", text.alias("status_text"))
+
+
+@query("binary_label_from_text")
+def q_binary_label_from_text(spark, sf_dir):
+    return C.label_from_text(_status_text(spark, sf_dir), "status_text", "F", out="target")
+
+
+@query("dedup_full_row")
+def q_dedup_full_row(spark, sf_dir):
+    return C.drop_duplicates(_mo(spark, sf_dir))
+
+
+@query("dedup_keep_first")
+def q_dedup_keep_first(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return C.drop_duplicates_by_key(docs, "text", "doc_id").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("normalize_categories")
+def q_normalize_categories(spark, sf_dir):
+    return C.normalize_text(_mo(spark, sf_dir), ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
+
+
+def _mo_norm(spark, sf_dir):
+    return C.normalize_text(C.normalize_missing(_mo(spark, sf_dir)), ["o_orderpriority"])
+
+
+@query("apply_canonical_map")
+def q_apply_canonical_map(spark, sf_dir):
+    return C.merge_spellings(_mo_norm(spark, sf_dir), ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
+
+
+def _r4_cols(df, cols):
+    from .functions.numeric import round_half_up
+    return df.withColumns({c: round_half_up(F.col(c).cast("double"), 4) for c in cols})
+
+
+@query("impute_median")
+def q_impute_median(spark, sf_dir):
+    out = C.impute_numeric(_mo(spark, sf_dir), MO_FEATURES_NUM, "median")
+    return _r4_cols(out.select("o_orderkey", *MO_FEATURES_NUM), MO_FEATURES_NUM)
+
+
+@query("impute_mean")
+def q_impute_mean(spark, sf_dir):
+    out = C.impute_numeric(_mo(spark, sf_dir), MO_FEATURES_NUM, "mean")
+    return _r4_cols(out.select("o_orderkey", *MO_FEATURES_NUM), MO_FEATURES_NUM)
+
+
+@query("impute_mode")
+def q_impute_mode(spark, sf_dir):
+    return C.impute_categorical(_mo_norm(spark, sf_dir), ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
+
+
+@query("clip_iqr")
+def q_clip_iqr(spark, sf_dir):
+    out = C.clip_outliers(_mo(spark, sf_dir), MO_FEATURES_NUM, 1.5)
+    return _r4_cols(out.select("o_orderkey", *MO_FEATURES_NUM), MO_FEATURES_NUM)
+
+
+@query("date_to_epoch")
+def q_date_to_epoch(spark, sf_dir):
+    df = C.normalize_missing(_mo(spark, sf_dir))
+    return C.dates_to_epoch(df, ["order_date", "ship_date"]).select("o_orderkey", "order_date", "ship_date")
+
+
+@query("rare_category_grouping")
+def q_rare_category_grouping(spark, sf_dir):
+    return C.group_rare(table(spark, sf_dir, "part"), ["p_name"], 50, 10).select("p_partkey", "p_name")
+
+
+@query("one_hot_encode")
+def q_one_hot_encode(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return E.one_hot(df, E.fit_one_hot(df, ["c_mktsegment"]), drop_first=True)

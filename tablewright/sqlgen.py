@@ -120,3 +120,14 @@ FROM src""")
   CAST(NULL AS DOUBLE) AS upper_bound, CAST(NULL AS BIGINT) AS outlier_count
 FROM src""")
     return f"WITH src AS (SELECT * FROM {view_sql}) " + "\nUNION ALL\n".join(parts)
+
+
+MO_COLS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "order_date", "ship_date", "target"]
+
+
+def missing_case(col: str, literals=("NA", "N/A", "null", "None", "-")) -> str:
+    return f"CASE WHEN {col} IN ({', '.join(repr(x) for x in literals)}) THEN NULL ELSE {col} END"
+
+
+def union_per_column(cols, template) -> str:
+    return "\nUNION ALL\n".join(template(i, c) for i, c in enumerate(cols))
