@@ -28,9 +28,10 @@ def uniform(key, salt: str) -> Column:
     return F.conv(F.substring(md5_hex(key, salt), 1, 8), 16, 10).cast("double") / F.lit(TWO_POW_32)
 
 
-def hash60(key, salt: str) -> Column:
-    """A non-negative 60-bit integer from the first 15 hex digits of md5(key || salt)."""
-    return F.conv(F.substring(md5_hex(key, salt), 1, 15), 16, 10).cast("long")
+def hash52(key, salt: str) -> Column:
+    """A non-negative 52-bit integer from the first 13 hex digits of
+    md5(key || salt); 52 bits keep it exact as a DOUBLE for rank selection."""
+    return F.conv(F.substring(md5_hex(key, salt), 1, 13), 16, 10).cast("long")
 
 
 def row_content_key(cols: list[str]) -> Column:

@@ -1,7 +1,7 @@
 """Exact stratified train/test split and leakage checks.
 
 ``row_number() over (partition by class)`` puts a whole class in one task.
-Instead each row gets a 60-bit hash of (key, seed); per class the test rows
+Instead each row gets a 52-bit hash of (key, seed); per class the test rows
 are the ``quota`` smallest hashes.  The quota-th hash is found with the
 histogram-refinement selector, so no task ever holds a whole class; only
 rows tied on the boundary hash (normally none) are ranked by key.
@@ -15,7 +15,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash60, row_content_key
+from ..functions.hashing import hash52, row_content_key
 from ..functions.quantiles import select_ranks
 
 # Quotas and boundary hashes are per class and live on the driver.
@@ -46,7 +46,7 @@ def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: i
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found in columns: {df.columns}")
     key_expr = F.col(key) if key else row_content_key(df.columns)
-    hashed = df.withColumn("__h", hash60(key_expr, str(seed))).withColumn("__k", key_expr.cast("string"))
+    hashed = df.withColumn("__h", hash52(key_expr, str(seed))).withColumn("__k", key_expr.cast("string"))
     counts = {r[0]: r[1] for r in hashed.groupBy(target).count().limit(MAX_CLASSES + 1).collect()}
     if len(counts) > MAX_CLASSES:
         raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes; stratify on a label")

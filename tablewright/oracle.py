@@ -165,3 +165,109 @@ ORACLE["one_hot_encode"] = """SELECT c_custkey,
   CAST(coalesce(c_mktsegment = 'FURNITURE', false) AS INTEGER) AS c_mktsegment_FURNITURE,
   CAST(coalesce(c_mktsegment = 'HOUSEHOLD', false) AS INTEGER) AS c_mktsegment_HOUSEHOLD,
   CAST(coalesce(c_mktsegment = 'MACHINERY', false) AS INTEGER) AS c_mktsegment_MACHINERY FROM customer"""
+
+# ---------------------------------------------------------------------- gate
+ORACLE["gate_nulls"] = f"""WITH m AS (SELECT * FROM {MO_NORM}) SELECT * FROM (
+  SELECT 'o_orderpriority' AS "column", CAST(count(*) - count(o_orderpriority) AS BIGINT) AS null_count FROM m
+  UNION ALL SELECT 'order_date', CAST(count(*) - count(order_date) AS BIGINT) FROM m
+  UNION ALL SELECT 'ship_date', CAST(count(*) - count(ship_date) AS BIGINT) FROM m
+  UNION ALL SELECT 'o_orderkey', CAST(count(*) - count(o_orderkey) AS BIGINT) FROM m) WHERE null_count > 0"""
+
+ORACLE["gate_duplicates"] = f"""SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_distinct_rows,
+  CAST(sum(c - 1) AS BIGINT) AS n_duplicate_rows
+FROM (SELECT o_orderkey, o_custkey, o_totalprice, lower(trim(o_orderpriority)) AS p, order_date, ship_date, target,
+  count(*) AS c FROM {MO} GROUP BY ALL)"""
+
+_DROPV = f"(SELECT * FROM {MO} WHERE NOT {_VIOL})"
+ORACLE["gate_target_values"] = f"""SELECT (SELECT count(DISTINCT target) FROM {MO}) AS n_original_values,
+  (SELECT count(DISTINCT target) FROM {_DROPV}) AS n_result_values,
+  (SELECT count(*) FROM (SELECT DISTINCT target FROM {_DROPV} WHERE target IS NOT NULL
+     EXCEPT SELECT DISTINCT target FROM {MO} WHERE target IS NOT NULL)) AS n_unexpected_values"""
+
+ORACLE["row_retention"] = f"""WITH r AS (SELECT (SELECT count(*) FROM {MO}) AS raw_rows,
+  (SELECT count(*) FROM (SELECT DISTINCT * FROM {_DROPV})) AS clean_rows)
+SELECT raw_rows, clean_rows,
+  CASE WHEN raw_rows > 0 THEN CAST(floor(1000.0 * clean_rows / raw_rows + 0.5) AS DOUBLE) / 10.0 ELSE 0.0 END AS retention_pct,
+  (CASE WHEN raw_rows > 0 THEN CAST(floor(1000.0 * clean_rows / raw_rows + 0.5) AS DOUBLE) / 10.0 ELSE 0.0 END) < 90.0 AS below_threshold
+FROM r"""
+
+_GATE_RES = f"""(SELECT DISTINCT * FROM (SELECT o_orderkey,
+  coalesce(CAST(o_custkey AS DOUBLE), (SELECT quantile_cont(CAST(o_custkey AS DOUBLE), 0.5) FROM {MO_NORM})) AS o_custkey,
+  coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM {MO_NORM})) AS o_totalprice,
+  o_orderpriority, order_date, ship_date, target FROM {MO_NORM}) WHERE NOT {_VIOL})"""
+ORACLE["gate_report"] = f"""WITH r AS (SELECT * FROM {_GATE_RES})
+SELECT 'numeric' AS "check", 'o_orderpriority' AS "column", 'non-numeric' AS observed, false AS passed
+UNION ALL SELECT 'numeric', 'order_date', 'non-numeric', false
+UNION ALL SELECT 'numeric', 'ship_date', 'non-numeric', false
+UNION ALL SELECT * FROM (
+  SELECT 'nulls' AS "check", 'o_orderpriority' AS "column", CAST(count(*) - count(o_orderpriority) AS VARCHAR) AS observed, false AS passed FROM r
+  UNION ALL SELECT 'nulls', 'order_date', CAST(count(*) - count(order_date) AS VARCHAR), false FROM r
+  UNION ALL SELECT 'nulls', 'ship_date', CAST(count(*) - count(ship_date) AS VARCHAR), false FROM r
+  UNION ALL SELECT 'nulls', 'o_totalprice', CAST(count(*) - count(o_totalprice) AS VARCHAR), false FROM r
+  UNION ALL SELECT 'nulls', 'o_custkey', CAST(count(*) - count(o_custkey) AS VARCHAR), false FROM r
+  UNION ALL SELECT 'nulls', 'o_orderkey', CAST(count(*) - count(o_orderkey) AS VARCHAR), false FROM r) WHERE observed <> '0'
+UNION ALL SELECT 'duplicates', NULL, '0', true
+UNION ALL SELECT 'not_empty', NULL, CAST(count(*) AS VARCHAR), true FROM r
+UNION ALL SELECT 'target_present', 'target', 'True', true
+UNION ALL SELECT 'target_values', 'target', '0', true"""
+
+# --------------------------------------------------------------------- split
+LABELS_SPLIT = S.split_sql("labels", "doc_id", "quality")
+ORACLE["stratified_split"] = f"SELECT * FROM {LABELS_SPLIT}"
+ORACLE["split_row_reconcile"] = f"""SELECT (SELECT count(*) FROM labels) AS n_original,
+  CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test,
+  (SELECT count(*) FROM labels) = count(*) AS complete FROM {LABELS_SPLIT}"""
+_LI = "(SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS lkey, l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem)"
+ORACLE["cross_split_duplicates"] = f"""SELECT
+  CAST(coalesce(sum(CASE WHEN s > 1 THEN c END), 0) AS BIGINT) AS n_rows_cross_split,
+  CAST(coalesce(sum(CASE WHEN s > 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_groups_cross_split,
+  CAST(coalesce(sum(CASE WHEN c > 1 THEN c END), 0) AS BIGINT) AS n_rows_duplicated_any
+FROM (SELECT l_returnflag, l_linestatus, l_quantity, l_discount, count(*) AS c, count(DISTINCT split) AS s
+  FROM {S.split_sql(_LI, 'lkey', 'l_returnflag')} GROUP BY ALL)"""
+ORACLE["split_key_overlap"] = f"""SELECT CAST(coalesce(sum(CASE WHEN s > 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_keys_both_sides,
+  CAST(count(*) AS BIGINT) AS n_keys FROM (SELECT doc_id, count(DISTINCT split) AS s FROM {LABELS_SPLIT} GROUP BY doc_id)"""
+
+# ----------------------------------------------------------------- injection
+ORACLE["inject_nulls"] = f"""SELECT event_id,
+  CASE WHEN {S.u('event_id', 'null:event_type')} < 0.12 THEN NULL ELSE event_type END AS event_type,
+  CASE WHEN {S.u('event_id', 'null:value')} < 0.12 THEN NULL ELSE value END AS value FROM events"""
+ORACLE["inject_outliers"] = f"""SELECT event_id, CASE WHEN {S.u('event_id', 'outlier:value')} < 0.03
+  THEN value * CAST(15 AS DOUBLE) ELSE value END AS value FROM events"""
+ORACLE["inject_duplicates"] = f"""SELECT event_id, user_id, event_type, value FROM events
+UNION ALL SELECT event_id, user_id, event_type, value FROM events WHERE {S.u('event_id', 'dup')} < 0.02"""
+ORACLE["inject_spellings"] = f"""SELECT o_orderkey, {S.spellings_case('o_orderpriority', __import__('tablewright.sources.messy', fromlist=['x']).PRIORITY_VARIANTS, 'o_orderkey')} AS o_orderpriority FROM orders"""
+_SWAPD = f"CAST(floor({S.u('o_orderkey', 'swap_days')} * 9) + 1 AS INTEGER)"
+ORACLE["inject_date_swaps"] = f"""SELECT o_orderkey, order_date, CASE WHEN {S.u('o_orderkey', 'swap')} < 0.05
+  THEN strftime(CAST(strptime(order_date, '%Y-%m-%d') AS DATE) - {_SWAPD}, '%Y-%m-%d') ELSE ship_date END AS ship_date
+FROM ({S.orders_dates_sql()})"""
+ORACLE["label_from_score"] = f"""WITH s AS (SELECT o_orderkey,
+    (CAST(0.0 AS DOUBLE) + coalesce(CAST(o_totalprice AS DOUBLE), 0.0) * CAST('3e-05' AS DOUBLE))
+      + coalesce(CAST(o_custkey AS DOUBLE), 0.0) * CAST('0.001' AS DOUBLE) AS score,
+    ({S.u('o_orderkey', 'noise')} - 0.5) * CAST(3.0 AS DOUBLE) AS noise FROM orders),
+p AS (SELECT o_orderkey, 1.0 / (1.0 + exp(-(score - (SELECT avg(score) FROM s) + noise))) AS p FROM s)
+SELECT o_orderkey, CAST(p > (SELECT quantile_cont(p, 0.5) FROM p) AS INTEGER) AS label FROM p"""
+
+# ------------------------------------------------------------------- sources
+ORACLE["scan_csv_roundtrip"] = f"SELECT * FROM {MO}"
+ORACLE["quarantine_bad_rows"] = f"""SELECT event_id, event_type,
+  CASE WHEN {S.u('event_id', 'corrupt')} < 0.05 THEN NULL ELSE value END AS value,
+  {S.u('event_id', 'corrupt')} < 0.05 AS quarantined FROM events"""
+
+# ---------------------------------------------------------------------- runs
+_RUNS = """(SELECT source AS test_id,
+  CASE WHEN count(*) = count(DISTINCT text) AND count(l.doc_id) = count(*) THEN 'PASS' ELSE 'FAIL' END AS status,
+  1 AS attempts, count(*) - count(DISTINCT text) AS n_duplicate_texts, count(*) - count(l.doc_id) AS n_unlabelled
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source)"""
+ORACLE["run_report"] = f"""SELECT count(*) AS total_tests, CAST(count(*) FILTER (WHERE status = 'PASS') AS BIGINT) AS passed,
+  CAST(count(*) FILTER (WHERE status <> 'PASS') AS BIGINT) AS failed,
+  CASE WHEN count(*) > 0 THEN CAST(floor(count(*) FILTER (WHERE status = 'PASS') / count(*) * 10000.0 + 0.5) AS DOUBLE) / 10000.0 ELSE 0.0 END AS pass_rate
+FROM {_RUNS}"""
+ORACLE["failures_by_category"] = f"""SELECT failure_category, count(*) AS n_failures FROM (
+  SELECT test_id, 'duplicate_text' AS failure_category FROM {_RUNS} WHERE n_duplicate_texts > 0
+  UNION ALL SELECT test_id, 'unlabelled_documents' FROM {_RUNS} WHERE n_unlabelled > 0)
+GROUP BY failure_category ORDER BY n_failures DESC, failure_category"""
+ORACLE["attempt_log_last"] = """SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS n_chars, n_attempts FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn, count(*) OVER (PARTITION BY conv_id) AS n_attempts
+  FROM conversations) WHERE rn = 1"""
+ORACLE["run_history_rollup"] = f"""SELECT status, count(*) AS n_runs, CAST(sum(n_duplicate_texts) AS BIGINT) AS n_duplicate_texts,
+  CAST(sum(n_unlabelled) AS BIGINT) AS n_unlabelled FROM {_RUNS} GROUP BY status"""

@@ -242,3 +242,216 @@ def q_rare_category_grouping(spark, sf_dir):
 def q_one_hot_encode(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return E.one_hot(df, E.fit_one_hot(df, ["c_mktsegment"]), drop_first=True)
+
+
+# --------------------------------------------------------------------- gate
+from .operators import gate as G  # noqa: E402
+from .operators import split as SP  # noqa: E402
+
+
+@query("gate_nulls")
+def q_gate_nulls(spark, sf_dir):
+    df = C.impute_numeric(C.normalize_missing(_mo(spark, sf_dir)), MO_FEATURES_NUM, "median")
+    return G.gate_nulls(df, "target")
+
+
+@query("gate_duplicates")
+def q_gate_duplicates(spark, sf_dir):
+    return G.duplicate_rows(C.normalize_text(_mo(spark, sf_dir), ["o_orderpriority"]))
+
+
+def _target_values_summary(original, result, target):
+    unexpected = G.gate_target_values(original, result, target).agg(F.count(F.lit(1)).alias("n_unexpected_values"))
+    o = original.agg(F.countDistinct(target).alias("n_original_values"))
+    r = result.agg(F.countDistinct(target).alias("n_result_values"))
+    return o.crossJoin(r).crossJoin(unexpected)   # one-row aggregates
+
+
+@query("gate_target_values")
+def q_gate_target_values(spark, sf_dir):
+    mo = _mo(spark, sf_dir)
+    return _target_values_summary(mo, C.drop_date_violations(mo, "order_date", "ship_date"), "target")
+
+
+def _gate_result(mo):
+    return C.drop_duplicates(C.drop_date_violations(
+        C.impute_numeric(C.normalize_missing(mo), MO_FEATURES_NUM, "median"), "order_date", "ship_date"))
+
+
+@query("row_retention")
+def q_row_retention(spark, sf_dir):
+    mo = _mo(spark, sf_dir)
+    return G.row_retention(mo, C.drop_duplicates(C.drop_date_violations(mo, "order_date", "ship_date")))
+
+
+@query("gate_report")
+def q_gate_report(spark, sf_dir):
+    mo = _mo(spark, sf_dir)
+    return G.run_gate(mo, _gate_result(mo), "target")
+
+
+# -------------------------------------------------------------------- split
+def _labels_split(spark, sf_dir):
+    return SP.stratified_split(table(spark, sf_dir, "labels"), "quality", 0.2, 42, key="doc_id")
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return _labels_split(spark, sf_dir)
+
+
+@query("split_row_reconcile")
+def q_split_row_reconcile(spark, sf_dir):
+    return SP.split_reconcile(table(spark, sf_dir, "labels"), _labels_split(spark, sf_dir))
+
+
+LI_FEATURES = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
+
+
+def _lineitem_features(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                                 F.col("l_linenumber").cast("string")).alias("lkey"), *LI_FEATURES)
+
+
+@query("cross_split_duplicates")
+def q_cross_split_duplicates(spark, sf_dir):
+    sp = SP.stratified_split(_lineitem_features(spark, sf_dir), "l_returnflag", 0.2, 42, key="lkey")
+    return SP.cross_split_duplicates(sp, LI_FEATURES)
+
+
+@query("split_key_overlap")
+def q_split_key_overlap(spark, sf_dir):
+    return SP.split_key_overlap(_labels_split(spark, sf_dir), "doc_id")
+
+
+# ---------------------------------------------------------------- injection
+from .operators import inject as I  # noqa: E402
+
+
+@query("inject_nulls")
+def q_inject_nulls(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return I.inject_nulls(ev, ["event_type", "value"], M.NULL_RATE, "event_id").select("event_id", "event_type", "value")
+
+
+@query("inject_outliers")
+def q_inject_outliers(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return I.inject_outliers(ev, "value", M.OUTLIER_RATE, M.OUTLIER_FACTOR, "event_id").select("event_id", "value")
+
+
+@query("inject_duplicates")
+def q_inject_duplicates(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return I.inject_duplicates(ev, M.DUPLICATE_RATE, "event_id")
+
+
+@query("inject_spellings")
+def q_inject_spellings(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return I.inject_spellings(o, "o_orderpriority", M.PRIORITY_VARIANTS, "o_orderkey")
+
+
+@query("inject_date_swaps")
+def q_inject_date_swaps(spark, sf_dir):
+    df = M.orders_dates(spark, sf_dir).select("o_orderkey", "order_date", "ship_date")
+    return I.inject_date_swaps(df, "order_date", "ship_date", M.SWAP_RATE, "o_orderkey")
+
+
+LABEL_WEIGHTS = {"o_totalprice": 0.00003, "o_custkey": 0.001}
+
+
+@query("label_from_score")
+def q_label_from_score(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    return I.label_from_score(o, LABEL_WEIGHTS, "o_orderkey").select("o_orderkey", "label")
+
+
+# ------------------------------------------------------------------ sources
+from .session import shared_path  # noqa: E402
+from .sources import files as FL  # noqa: E402
+
+
+@query("scan_csv_roundtrip")
+def q_scan_csv_roundtrip(spark, sf_dir):
+    mo = _mo(spark, sf_dir)
+    path = shared_path(spark, "csv-roundtrip")
+    mo.write.mode("overwrite").option("header", "true").option("ignoreLeadingWhiteSpace", "false") \
+        .option("ignoreTrailingWhiteSpace", "false").csv(path)
+    return FL.read_table(spark, path, schema=mo.schema)
+
+
+QUARANTINE_RATE = 0.05
+
+
+@query("quarantine_bad_rows")
+def q_quarantine_bad_rows(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    from .functions.hashing import uniform
+    ev = table(spark, sf_dir, "events")
+    val = F.when(uniform("event_id", "corrupt") < QUARANTINE_RATE, F.lit("n/a?")) \
+        .otherwise(F.col("value").cast("string"))
+    lines = ev.select(F.concat_ws(",", F.col("event_id").cast("string"), F.col("event_type"), val).alias("value"))
+    path = shared_path(spark, "quarantine")
+    lines.write.mode("overwrite").text(path)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()),
+                           T.StructField("value", T.DoubleType())])
+    good, bad, _ = FL.read_with_quarantine(spark, path, schema, header=False)
+    return (good.withColumn("quarantined", F.lit(False))
+            .unionByName(bad.drop(FL.CORRUPT).withColumn("quarantined", F.lit(True))))
+
+
+# --------------------------------------------------------------------- runs
+from .operators import runlog as RL  # noqa: E402
+
+
+def _source_runs(spark, sf_dir):
+    """One "run" per document source: the gate "no duplicate texts and every
+    document labelled" evaluated per source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("labelled"))
+    d = docs.join(lab, "doc_id", "left")
+    per = d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"),
+                                  F.countDistinct("h").alias("n_texts"),
+                                  F.count("labelled").alias("n_labelled"))
+    return per.select(
+        F.col("source").alias("test_id"),
+        F.when((F.col("n_docs") == F.col("n_texts")) & (F.col("n_labelled") == F.col("n_docs")), F.lit("PASS"))
+         .otherwise(F.lit("FAIL")).alias("status"),
+        F.lit(1).alias("attempts"),
+        (F.col("n_docs") - F.col("n_texts")).alias("n_duplicate_texts"),
+        (F.col("n_docs") - F.col("n_labelled")).alias("n_unlabelled"))
+
+
+@query("run_report")
+def q_run_report(spark, sf_dir):
+    return RL.run_report(_source_runs(spark, sf_dir))
+
+
+@query("failures_by_category")
+def q_failures_by_category(spark, sf_dir):
+    runs = _source_runs(spark, sf_dir)
+    fails = (runs.filter(F.col("n_duplicate_texts") > 0).select("test_id", F.lit("duplicate_text").alias("failure_category"))
+             .unionByName(runs.filter(F.col("n_unlabelled") > 0)
+                          .select("test_id", F.lit("unlabelled_documents").alias("failure_category"))))
+    return RL.failures_by_category(fails)
+
+
+@query("attempt_log_last")
+def q_attempt_log_last(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    last = RL.last_attempts(conv, "conv_id", "turn")
+    return last.select("conv_id", "turn", "role", F.length("text").alias("n_chars"), "n_attempts")
+
+
+@query("run_history_rollup")
+def q_run_history_rollup(spark, sf_dir):
+    runs = _source_runs(spark, sf_dir)
+    path = shared_path(spark, "run-history")
+    RL.append_history(runs, path)
+    back = spark.read.schema(runs.schema).json(path)
+    return back.groupBy("status").agg(F.count(F.lit(1)).alias("n_runs"),
+                                      F.sum("n_duplicate_texts").alias("n_duplicate_texts"),
+                                      F.sum("n_unlabelled").alias("n_unlabelled"))

@@ -15,9 +15,9 @@ def u(key: str, salt: str) -> str:
             f" / CAST(4294967296 AS DOUBLE))")
 
 
-def h60(key: str, salt: str) -> str:
-    """SQL twin of functions.hashing.hash60."""
-    return f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || '{salt}'), 1, 15)) AS BIGINT)"
+def h52(key: str, salt: str) -> str:
+    """SQL twin of functions.hashing.hash52."""
+    return f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || '{salt}'), 1, 13)) AS BIGINT)"
 
 
 def rhu(expr: str, digits: int) -> str:
@@ -131,3 +131,19 @@ def missing_case(col: str, literals=("NA", "N/A", "null", "None", "-")) -> str:
 
 def union_per_column(cols, template) -> str:
     return "\nUNION ALL\n".join(template(i, c) for i, c in enumerate(cols))
+
+
+def split_sql(view: str, key_expr: str, target: str, seed: int = 42, test_size: float = 0.2) -> str:
+    """SQL twin of operators.split.stratified_split: row_number over the class
+    ordered by (hash, key) against largest-remainder quotas."""
+    return f"""(WITH sp_src AS (SELECT * FROM {view}),
+sp_h AS (SELECT *, {h52(key_expr, str(seed))} AS __h, CAST({key_expr} AS VARCHAR) AS __k FROM sp_src),
+sp_cnt AS (SELECT {target} AS cls, count(*) AS n_c FROM sp_src GROUP BY {target}),
+sp_tot AS (SELECT sum(n_c) AS n, CAST(ceil({test_size} * sum(n_c)) AS BIGINT) AS t FROM sp_cnt),
+sp_base AS (SELECT cls, (t * n_c) // n AS base, (t * n_c) % n AS rem, t FROM sp_cnt, sp_tot),
+sp_extra AS (SELECT cls, base, row_number() OVER (ORDER BY rem DESC, cls NULLS LAST) AS rk,
+  t - sum(base) OVER () AS extra FROM sp_base),
+sp_q AS (SELECT cls, base + CASE WHEN rk <= extra THEN 1 ELSE 0 END AS quota FROM sp_extra),
+sp_rn AS (SELECT sp_h.*, row_number() OVER (PARTITION BY {target} ORDER BY __h, __k) AS __rn FROM sp_h)
+SELECT sp_rn.* EXCLUDE (__h, __k, __rn), CASE WHEN __rn <= quota THEN 'test' ELSE 'train' END AS split
+FROM sp_rn JOIN sp_q ON sp_rn.{target} IS NOT DISTINCT FROM sp_q.cls)"""
