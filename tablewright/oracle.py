@@ -271,3 +271,131 @@ ORACLE["attempt_log_last"] = """SELECT conv_id, turn, role, CAST(length(text) AS
   FROM conversations) WHERE rn = 1"""
 ORACLE["run_history_rollup"] = f"""SELECT status, count(*) AS n_runs, CAST(sum(n_duplicate_texts) AS BIGINT) AS n_duplicate_texts,
   CAST(sum(n_unlabelled) AS BIGINT) AS n_unlabelled FROM {_RUNS} GROUP BY status"""
+
+# --------------------------------------------------------------------- fuzzy
+def lcs_sql(a: str, b: str) -> str:
+    return f"""(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE list_reduce(string_split({a}, ''),
+  lambda prev, ch: list_reduce(range(1, length({b}) + 1), lambda cur, j: list_append(cur,
+      CASE WHEN substr({b}, CAST(j AS INTEGER), 1) = ch THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0]),
+  list_transform(range(0, length({b}) + 1), lambda x: 0))[-1] END)"""
+
+
+def ratio_sql(a: str, b: str) -> str:
+    return (f"(CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 ELSE CAST(200 AS DOUBLE) * {lcs_sql(a, b)}"
+            f" / CAST(length({a}) + length({b}) AS DOUBLE) END)")
+
+
+def pairs_sql(view: str, col: str, threshold: float = 80) -> str:
+    """Similar pairs over the distinct values of one column, ranked by value."""
+    return f"""(WITH fz_v AS (SELECT value, row_number() OVER (ORDER BY value) AS r, lower(trim(value)) AS n
+  FROM (SELECT DISTINCT {col} AS value FROM {view} WHERE {col} IS NOT NULL)),
+fz_p AS (SELECT x.value AS a, y.value AS b, x.r AS ra, y.r AS rb, {ratio_sql('x.n', 'y.n')} AS ratio
+  FROM fz_v x JOIN fz_v y ON x.r < y.r)
+SELECT * FROM fz_p WHERE ratio >= {threshold})"""
+
+
+def clusters_sql(view: str, col: str, threshold: float = 80) -> str:
+    """Reference greedy clustering as a recursive walk over the values in order."""
+    return f"""(WITH RECURSIVE fc_v AS (SELECT value, row_number() OVER (ORDER BY value) AS r
+  FROM (SELECT DISTINCT {col} AS value FROM {view} WHERE {col} IS NOT NULL)),
+fc_p AS (SELECT * FROM {pairs_sql(view, col, threshold)}),
+fc_walk(step, seeds) AS (
+  SELECT 0, CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT w.step + 1, CASE WHEN EXISTS (SELECT 1 FROM fc_p p WHERE p.b = v.value AND list_contains(w.seeds, p.a))
+    THEN w.seeds ELSE list_append(w.seeds, v.value) END
+  FROM fc_walk w JOIN fc_v v ON v.r = w.step + 1),
+fc_seeds AS (SELECT unnest(seeds) AS s FROM (SELECT seeds FROM fc_walk ORDER BY step DESC LIMIT 1)),
+fc_m AS (SELECT p.b AS member, arg_min(p.a, p.ra) AS seed FROM fc_p p JOIN fc_seeds ON p.a = fc_seeds.s
+  WHERE p.b NOT IN (SELECT s FROM fc_seeds) GROUP BY p.b)
+SELECT '{col}' AS "column", seed, member FROM fc_m
+UNION SELECT '{col}', seed, seed FROM fc_m)"""
+
+
+ORACLE["fuzzy_pairs"] = f"""SELECT 'p_name' AS "column", a AS value_a, b AS value_b, {S.rhu('ratio', 4)} AS ratio
+FROM {pairs_sql('part', 'p_name')}"""
+ORACLE["fuzzy_clusters"] = f"SELECT * FROM {clusters_sql('part', 'p_name')}"
+
+
+def _issues_sql() -> str:
+    m = "mi"
+    nulls = " UNION ALL ".join(
+        f"SELECT 'missing', '{c}', count(*) - count({c}) FROM {m}"
+        for c in ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "order_date", "ship_date"])
+    outs = " UNION ALL ".join(
+        f"SELECT 'outliers', col, outlier_count FROM ({_iqr_sql(m, [c])}) x(col, q1, q3, lo, hi, outlier_count)"
+        for c in ["o_orderkey", "o_custkey", "o_totalprice"])
+    viol = (f"SELECT 'date_order', 'order_date,ship_date', least(sum(CASE WHEN a > b THEN 1 ELSE 0 END), "
+            f"sum(CASE WHEN b > a THEN 1 ELSE 0 END)) FROM (SELECT {S.parse_ts('order_date')} AS a, "
+            f"{S.parse_ts('ship_date')} AS b FROM {m})")
+    dups = (f"SELECT 'duplicates' AS issue, '*' AS \"column\", sum(c - 1) AS n FROM (SELECT {', '.join(S.MO_COLS)}, count(*) AS c "
+            f"FROM {m} GROUP BY ALL)")
+    fz = f"SELECT 'fuzzy_groups', 'o_orderpriority', count(DISTINCT seed) FROM {clusters_sql(m, 'o_orderpriority')}"
+    return (f"WITH {m} AS (SELECT * FROM {MO}) SELECT issue, \"column\", CAST(n AS BIGINT) AS n FROM ("
+            f"{dups} UNION ALL {viol} UNION ALL {nulls} UNION ALL {outs} UNION ALL {fz}) WHERE n > 0")
+
+
+ORACLE["profile_issues"] = _issues_sql()
+ORACLE["profile_size"] = f"""SELECT CAST(coalesce(sum(length(issue || ' ' || "column" || ' ' || CAST(n AS VARCHAR)) + 1), 0) AS BIGINT) AS n_chars,
+  CAST(coalesce(sum(length(issue || ' ' || "column" || ' ' || CAST(n AS VARCHAR)) + 1), 0) // 4 AS BIGINT) AS n_tokens_est,
+  count(*) AS n_issues, 7 AS n_columns, false AS wide_table FROM ({_issues_sql()})"""
+
+# ------------------------------------------------------------ encode / align
+ORACLE["align_columns"] = f"""WITH base AS (SELECT c_custkey, c_acctbal, n_name, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS target,
+    CASE WHEN c_nationkey < 10 THEN 'train' WHEN c_nationkey > 14 THEN 'test'
+      WHEN {S.u('c_custkey', 'side')} < 0.5 THEN 'train' ELSE 'test' END AS side
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+firsts AS (SELECT side, min(n_name) AS first FROM base GROUP BY side),
+vocab AS (SELECT DISTINCT b.side, b.n_name FROM base b JOIN firsts f ON b.side = f.side WHERE b.n_name <> f.first),
+feats AS (SELECT DISTINCT n_name, 'n_name_' || regexp_replace(n_name, '[^0-9A-Za-z_]', '_', 'g') AS feature FROM vocab)
+SELECT c_custkey, side AS split, 'c_acctbal' AS feature, CAST(c_acctbal AS DOUBLE) AS value FROM base
+UNION ALL SELECT c_custkey, side, 'target', CAST(target AS DOUBLE) FROM base
+UNION ALL SELECT b.c_custkey, b.side, f.feature,
+  CASE WHEN b.n_name = f.n_name AND EXISTS (SELECT 1 FROM vocab v WHERE v.side = b.side AND v.n_name = f.n_name)
+    THEN 1.0 ELSE 0.0 END FROM base b CROSS JOIN feats f"""
+
+
+# --------------------------------------------------------------------- clean
+def clean_sql(policy: str, mult, threshold: int, k: int) -> str:
+    """SQL twin of plans.cleaning.clean on the messy orders view (decisions a
+    profile makes there -- no all-null or constant columns, both dates are
+    date columns, order_date precedes ship_date -- are checked by their own
+    queries)."""
+    stat = (lambda c, src: f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM {src})") if policy == "median" \
+        else (lambda c, src: f"(SELECT avg(CAST({c} AS DOUBLE)) FROM {src})")
+    clip = ("SELECT * FROM k6" if mult is None else
+            f"SELECT * REPLACE ({clip_sql('o_custkey', mult, 'k6')} AS o_custkey, "
+            f"{clip_sql('o_totalprice', mult, 'k6')} AS o_totalprice) FROM k6")
+    return f"""WITH k2 AS (SELECT DISTINCT * FROM {MO_NORM}),
+k3 AS (SELECT * REPLACE (lower(trim(o_orderpriority)) AS o_orderpriority) FROM k2),
+k4 AS (SELECT * FROM {canonical_sql('k3', 'o_orderpriority')}),
+k5 AS (SELECT * FROM k4 WHERE NOT {_VIOL}),
+k6a AS (SELECT * REPLACE ({epoch_sql('order_date')} AS order_date, {epoch_sql('ship_date')} AS ship_date) FROM k5),
+k6 AS (SELECT * REPLACE (coalesce(order_date, (SELECT quantile_cont(order_date, 0.5) FROM k6a)) AS order_date,
+  coalesce(ship_date, (SELECT quantile_cont(ship_date, 0.5) FROM k6a)) AS ship_date) FROM k6a),
+k7 AS ({clip}),
+k8 AS (SELECT * REPLACE (coalesce(CAST(o_custkey AS DOUBLE), {stat('o_custkey', 'k7')}) AS o_custkey,
+  coalesce(CAST(o_totalprice AS DOUBLE), {stat('o_totalprice', 'k7')}) AS o_totalprice,
+  coalesce(o_orderpriority, (SELECT o_orderpriority FROM k7 WHERE o_orderpriority IS NOT NULL
+    GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1)) AS o_orderpriority) FROM k7),
+k8vf AS (SELECT o_orderpriority AS value, count(*) AS freq FROM k8 WHERE o_orderpriority IS NOT NULL GROUP BY 1),
+k8top AS (SELECT value FROM k8vf ORDER BY freq DESC, value LIMIT {k}),
+k9 AS (SELECT * REPLACE (CASE WHEN o_orderpriority IS NULL THEN NULL WHEN (SELECT count(*) FROM k8vf) <= {threshold}
+  THEN o_orderpriority WHEN o_orderpriority IN (SELECT value FROM k8top) THEN o_orderpriority ELSE 'other' END
+  AS o_orderpriority) FROM k8),
+k10 AS (SELECT DISTINCT * FROM k9),
+feats AS (SELECT value, 'o_orderpriority_' || regexp_replace(value, '[^0-9A-Za-z_]', '_', 'g') AS feature
+  FROM (SELECT DISTINCT o_orderpriority AS value FROM k9 WHERE o_orderpriority IS NOT NULL)
+  WHERE value <> (SELECT min(o_orderpriority) FROM k9))
+SELECT o_orderkey, 'o_custkey' AS feature, {S.rhu('o_custkey', 4)} AS value FROM k10
+UNION ALL SELECT o_orderkey, 'o_totalprice', {S.rhu('o_totalprice', 4)} FROM k10
+UNION ALL SELECT o_orderkey, 'order_date', {S.rhu('order_date', 4)} FROM k10
+UNION ALL SELECT o_orderkey, 'ship_date', {S.rhu('ship_date', 4)} FROM k10
+UNION ALL SELECT o_orderkey, 'target', CAST(target AS DOUBLE) FROM k10
+UNION ALL SELECT o_orderkey, f.feature, CASE WHEN k10.o_orderpriority = f.value THEN 1.0 ELSE 0.0 END
+  FROM k10 CROSS JOIN feats f"""
+
+
+ORACLE["clean_conservative_median"] = clean_sql("median", 1.5, 50, 10)
+ORACLE["clean_mean_wide_tolerance"] = clean_sql("mean", 3.0, 50, 20)
+ORACLE["clean_tight_grouping_high_temp"] = clean_sql("median", 1.5, 30, 5)

@@ -455,3 +455,71 @@ def q_run_history_rollup(spark, sf_dir):
     return back.groupBy("status").agg(F.count(F.lit(1)).alias("n_runs"),
                                       F.sum("n_duplicate_texts").alias("n_duplicate_texts"),
                                       F.sum("n_unlabelled").alias("n_unlabelled"))
+
+
+# -------------------------------------------------------------------- fuzzy
+from .functions.numeric import round_half_up  # noqa: E402
+from .operators import fuzzy as FZ  # noqa: E402
+from .operators import issues as IS  # noqa: E402
+from .operators.freq import value_freq as _vf  # noqa: E402
+
+
+@query("fuzzy_pairs")
+def q_fuzzy_pairs(spark, sf_dir):
+    pairs = FZ.similar_pairs(_vf(table(spark, sf_dir, "part"), ["p_name"]), 80)
+    return pairs.select("column", "value_a", "value_b", round_half_up("ratio", 4).alias("ratio"))
+
+
+@query("fuzzy_clusters")
+def q_fuzzy_clusters(spark, sf_dir):
+    return FZ.greedy_clusters(FZ.similar_pairs(_vf(table(spark, sf_dir, "part"), ["p_name"]), 80))
+
+
+@query("profile_issues")
+def q_profile_issues(spark, sf_dir):
+    return IS.profile_issues(_mo(spark, sf_dir), target="target")
+
+
+@query("profile_size")
+def q_profile_size(spark, sf_dir):
+    mo = _mo(spark, sf_dir)
+    return IS.profile_size(IS.profile_issues(mo, target="target"), len(mo.columns))
+
+
+# ---------------------------------------------------------- encode / align
+@query("align_columns")
+def q_align_columns(spark, sf_dir):
+    from .functions.hashing import uniform
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    df = c.join(F.broadcast(n), "c_nationkey").select(   # nation: 25 rows, a fixed dimension
+        "c_custkey", "c_acctbal", "n_name",
+        (F.col("c_mktsegment") == "BUILDING").cast("int").alias("target"),
+        F.when(F.col("c_nationkey") < 10, F.lit("train")).when(F.col("c_nationkey") > 14, F.lit("test"))
+         .when(uniform("c_custkey", "side") < 0.5, F.lit("train")).otherwise(F.lit("test")).alias("side"))
+    sides = {}
+    for s in ("train", "test"):
+        part = df.filter(F.col("side") == s).drop("side")
+        sides[s] = E.one_hot(part, E.fit_one_hot(part, ["n_name"]), drop_first=True)
+    tr, te = E.align_columns(sides["train"], sides["test"], "target")
+    long = (E.melt(tr, "c_custkey").withColumn("split", F.lit("train"))
+            .unionByName(E.melt(te, "c_custkey").withColumn("split", F.lit("test"))))
+    return long.select("c_custkey", "split", "feature", "value")
+
+
+# -------------------------------------------------------------------- clean
+from .plans.cleaning import clean as _clean  # noqa: E402
+from .plans.strategies import STRATEGY_LIBRARY  # noqa: E402
+
+
+def _clean_query(strategy_name):
+    def run(spark, sf_dir):
+        res = _clean(_mo(spark, sf_dir), strategy_name, target="target", keep=["o_orderkey"])
+        long = E.melt(res.df, "o_orderkey")
+        return long.select("o_orderkey", "feature", round_half_up("value", 4).alias("value"))
+    run.__name__ = f"q_clean_{strategy_name}"
+    return run
+
+
+for _s in STRATEGY_LIBRARY:
+    QUERIES[f"clean_{_s.name}"] = _clean_query(_s.name)
