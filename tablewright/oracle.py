@@ -399,3 +399,50 @@ UNION ALL SELECT o_orderkey, f.feature, CASE WHEN k10.o_orderpriority = f.value
 ORACLE["clean_conservative_median"] = clean_sql("median", 1.5, 50, 10)
 ORACLE["clean_mean_wide_tolerance"] = clean_sql("mean", 3.0, 50, 20)
 ORACLE["clean_tight_grouping_high_temp"] = clean_sql("median", 1.5, 30, 5)
+
+# --------------------------------------------------------------------- model
+DOCF = """(SELECT d.doc_id, d.n_chars, lang, source, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def _r4(e: str) -> str:
+    return f"(CAST(floor(({e}) * 10000.0 + 0.5) AS DOUBLE) / 10000.0)"
+
+
+def _f1(tp: str, fp: str, fn: str) -> str:
+    return f"(CASE WHEN 2 * {tp} + {fp} + {fn} > 0 THEN CAST(2.0 AS DOUBLE) * {tp} / (2 * {tp} + {fp} + {fn}) ELSE 0.0 END)"
+
+
+ORACLE["f1_accuracy"] = f"""WITH d AS (SELECT * FROM {DOCF}), p AS (SELECT quality,
+  CAST(n_chars >= (SELECT quantile_cont(CAST(n_chars AS DOUBLE), 0.5) FROM d) AS INTEGER) AS prediction FROM d),
+c AS (SELECT CAST(sum(CASE WHEN quality = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+  CAST(sum(CASE WHEN quality = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+  CAST(sum(CASE WHEN quality = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+  CAST(sum(CASE WHEN quality = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM p)
+SELECT {_r4(_f1('tp', 'fp', 'fn'))} AS f1_score,
+  {_r4('CAST(tp + tn AS DOUBLE) / CAST(greatest(tp + fp + fn + tn, 1) AS DOUBLE)')} AS accuracy, tp, fp, fn, tn FROM c"""
+
+_RULES = [(1, "n_chars_q25", 0.25), (2, "n_chars_median", 0.5), (3, "n_chars_q75", 0.75)]
+_RULE_RESULTS = "(" + " UNION ALL ".join(f"""SELECT {pos} AS position, '{name}' AS strategy_name, true AS succeeded,
+  {_r4(_f1('tp', 'fp', 'fn'))} AS f1_score, {_r4('CAST(tp + tn AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE)')} AS accuracy,
+  CAST(NULL AS VARCHAR) AS failure_reason FROM (SELECT
+    sum(CASE WHEN quality = 1 AND n_chars >= t THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN quality = 0 AND n_chars >= t THEN 1 ELSE 0 END) AS fp,
+    sum(CASE WHEN quality = 1 AND n_chars < t THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN quality = 0 AND n_chars < t THEN 1 ELSE 0 END) AS tn
+  FROM {DOCF}, (SELECT quantile_cont(CAST(n_chars AS DOUBLE), {q}) AS t FROM {DOCF}))""" for pos, name, q in _RULES) + ")"
+_BASE = f"(SELECT {_r4(_f1('pos', 'neg', '0'))} FROM (SELECT sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS neg FROM {DOCF}))"
+
+ORACLE["compare_strategies"] = f"""WITH r AS (SELECT * FROM {_RULE_RESULTS}), b AS (SELECT {_BASE} AS base)
+SELECT b.base AS baseline_f1, count(*) AS strategies_attempted,
+  count(*) FILTER (WHERE succeeded AND f1_score IS NOT NULL) AS strategies_succeeded,
+  arg_max(strategy_name, struct_pack(f1 := f1_score, p := -position)) FILTER (WHERE succeeded AND f1_score IS NOT NULL) AS best_strategy,
+  max(f1_score) FILTER (WHERE succeeded) AS best_f1,
+  CASE WHEN max(f1_score) FILTER (WHERE succeeded) IS NOT NULL THEN {_r4('max(f1_score) FILTER (WHERE succeeded) - b.base')} END AS improvement_over_baseline
+FROM r, b GROUP BY b.base"""
+
+ORACLE["strategy_status"] = f"""WITH r AS (SELECT * FROM {_RULE_RESULTS}), b AS (SELECT {_BASE} AS base)
+SELECT position, strategy_name,
+  CASE WHEN NOT (succeeded AND f1_score IS NOT NULL) THEN 'FAIL' WHEN {_r4('f1_score - b.base')} >= 0 THEN 'PASS'
+    ELSE 'RAN (below baseline)' END AS status,
+  CASE WHEN succeeded AND f1_score IS NOT NULL THEN {_r4('f1_score - b.base')} END AS delta,
+  CASE WHEN succeeded AND f1_score IS NOT NULL THEN f1_score >= b.base END AS beat_baseline,
+  CASE WHEN NOT succeeded THEN coalesce(failure_reason, 'Unknown failure') END AS failure_reason
+FROM r, b"""

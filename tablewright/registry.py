@@ -523,3 +523,107 @@ def _clean_query(strategy_name):
 
 for _s in STRATEGY_LIBRARY:
     QUERIES[f"clean_{_s.name}"] = _clean_query(_s.name)
+
+
+# -------------------------------------------------------------------- model
+from .operators import compare as CP  # noqa: E402
+from .operators import model as MD  # noqa: E402
+from .sources.features import doc_features  # noqa: E402
+
+
+def _doc_split(spark, sf_dir):
+    df = doc_features(spark, sf_dir)
+    return SP.stratified_split(df, "quality", 0.2, 42, key="doc_id")
+
+
+def _trained(spark, sf_dir):
+    sp = _doc_split(spark, sf_dir)
+    res_tr = _clean(sp.filter(F.col("split") == "train").drop("split"), "conservative_median",
+                    target="quality", keep=["doc_id"]).df
+    res_te = _clean(sp.filter(F.col("split") == "test").drop("split"), "conservative_median",
+                    target="quality", keep=["doc_id"]).df
+    tr, te = E.align_columns(res_tr, res_te, "quality")
+    feats = [c for c in tr.columns if c not in ("quality", "doc_id")]
+    return MD.train_classifier(tr, "quality", feats), tr, te, feats
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf_dir):
+    model, tr, _, feats = _trained(spark, sf_dir)
+    gbt = model.stages[-1]
+    return tr.agg(F.count(F.lit(1)).alias("n_train_rows")).select(
+        F.lit(gbt.getNumTrees).alias("n_trees"), F.lit(len(feats)).alias("n_features"), "n_train_rows")
+
+
+@query("predict_gbt")
+def q_predict_gbt(spark, sf_dir):
+    model, _, te, _ = _trained(spark, sf_dir)
+    return MD.predict(model, te).select("doc_id", "quality", "prediction")
+
+
+@query("baseline_metrics")
+def q_baseline_metrics(spark, sf_dir):
+    metrics, _ = MD.baseline_metrics(doc_features(spark, sf_dir), "quality", key="doc_id")
+    return metrics
+
+
+@query("strategy_sweep")
+def q_strategy_sweep(spark, sf_dir):
+    return __import__("tablewright.plans.sweep", fromlist=["x"]).strategy_sweep(
+        doc_features(spark, sf_dir), "quality", key="doc_id")
+
+
+# The rule "strategies" scored by the comparison queries:
+# predict quality = 1 when n_chars >= the given exact quantile of n_chars.
+RULES = [(1, "n_chars_q25", 0.25), (2, "n_chars_median", 0.5), (3, "n_chars_q75", 0.75)]
+
+
+def _rule_scores(spark, sf_dir):
+    from .operators.profile import quartiles  # noqa: F401
+    from .functions.quantiles import exact_quantiles
+    df = doc_features(spark, sf_dir)
+    qs = exact_quantiles(df.select(F.lit(0).alias("g"), "n_chars"), "g", "n_chars", [q for _, _, q in RULES])[0]
+    y = F.col("quality")
+    exprs = []
+    for (pos, name, _), t in zip(RULES, qs):
+        p = F.col("n_chars") >= F.lit(t)
+        exprs += [F.sum(((y == 1) & p).cast("long")).alias(f"tp{pos}"), F.sum(((y == 0) & p).cast("long")).alias(f"fp{pos}"),
+                  F.sum(((y == 1) & ~p).cast("long")).alias(f"fn{pos}"), F.sum(((y == 0) & ~p).cast("long")).alias(f"tn{pos}")]
+    exprs += [F.sum((y == 1).cast("long")).alias("pos"), F.sum((y == 0).cast("long")).alias("neg")]
+    agg = df.agg(*exprs)
+
+    def r4(e):
+        return F.floor(e * F.lit(10000.0) + F.lit(0.5)).cast("double") / F.lit(10000.0)
+
+    def f1(tp, fp, fn):
+        return F.when(2 * tp + fp + fn > 0, F.lit(2.0) * tp / (2 * tp + fp + fn)).otherwise(F.lit(0.0))
+    rows = F.array(*[F.struct(
+        F.lit(pos).alias("position"), F.lit(name).alias("strategy_name"), F.lit(True).alias("succeeded"),
+        r4(f1(F.col(f"tp{pos}"), F.col(f"fp{pos}"), F.col(f"fn{pos}"))).alias("f1_score"),
+        r4((F.col(f"tp{pos}") + F.col(f"tn{pos}")) / (F.col("pos") + F.col("neg")).cast("double")).alias("accuracy"),
+        F.lit(None).cast("string").alias("failure_reason")) for pos, name, _ in RULES])
+    results = agg.select(F.explode(rows).alias("s")).select("s.*")
+    baseline = agg.select(r4(f1(F.col("pos"), F.col("neg"), F.lit(0))).alias("baseline_f1"))
+    return results, baseline
+
+
+@query("f1_accuracy")
+def q_f1_accuracy(spark, sf_dir):
+    from .functions.quantiles import exact_quantiles
+    df = doc_features(spark, sf_dir)
+    med = exact_quantiles(df.select(F.lit(0).alias("g"), "n_chars"), "g", "n_chars", [0.5])[0][0]
+    pred = df.withColumn("prediction", (F.col("n_chars") >= F.lit(med)).cast("int"))
+    return MD.f1_accuracy(pred, "quality")
+
+
+@query("compare_strategies")
+def q_compare_strategies(spark, sf_dir):
+    results, baseline = _rule_scores(spark, sf_dir)
+    base = baseline.first()["baseline_f1"]
+    return CP.compare_strategies(results, base)
+
+
+@query("strategy_status")
+def q_strategy_status(spark, sf_dir):
+    results, baseline = _rule_scores(spark, sf_dir)
+    return CP.strategy_status(results, baseline.first()["baseline_f1"])
