@@ -154,30 +154,35 @@ def canonical_map(vf: DataFrame, mode: str = "exact") -> DataFrame:
             .select("column", "value", "canonical"))
 
 
-def apply_map(df: DataFrame, mapping: DataFrame, cols) -> DataFrame:
+def apply_map(df: DataFrame, mapping: DataFrame, cols, bounded: bool = False) -> DataFrame:
     """Replace values by their canonical form with a left join per
-    column against the (small, size-checked) mapping table."""
+    column against the mapping table, broadcast only when its size is known
+    to be bounded (built from a listed ``value_freq``) or checked here."""
     out = df
     for c in cols:
         m = mapping.filter(F.col("column") == c).select(F.col("value").alias("__v"),
                                                        F.col("canonical").alias("__canon"))
-        n = m.count()
-        if n == 0:
-            continue
-        if n > MAX_BROADCAST_ROWS:
-            raise ValueError(f"mapping for {c} has {n} rows; exceeds broadcast bound")
+        if not bounded:
+            n = m.limit(MAX_BROADCAST_ROWS + 1).count()
+            if n == 0:
+                continue
+            if n > MAX_BROADCAST_ROWS:   # too large to broadcast: shuffle join
+                out = (out.join(m, out[c] == m["__v"], "left")
+                       .withColumn(c, F.coalesce(F.col("__canon"), F.col(c))).drop("__v", "__canon"))
+                continue
         out = (out.join(F.broadcast(m), out[c] == m["__v"], "left")
                .withColumn(c, F.coalesce(F.col("__canon"), F.col(c)))
                .drop("__v", "__canon"))
     return out
 
 
-def merge_spellings(df: DataFrame, cols, mode: str = "exact") -> DataFrame:
-    """C4: normalize then map spelling variants to one canonical value."""
+def merge_spellings(df: DataFrame, cols, mode: str = "exact", bounded: bool = False) -> DataFrame:
+    """C4: map spelling variants to one canonical value.  ``bounded`` says the
+    columns' distinct counts are known to be small (profile-listed)."""
     if not cols:
         return df
     mapping = canonical_map(value_freq(df, cols), mode)
-    return apply_map(df, mapping, cols)
+    return apply_map(df, mapping, cols, bounded=bounded)
 
 
 # ------------------------------------------------------- numeric statistics
@@ -261,7 +266,7 @@ def group_rare(df: DataFrame, cols, threshold: int, k: int, vf: DataFrame | None
     if not wide:
         return df
     keep: dict = {}
-    for r in topk(vf.filter(F.col("column").isin(wide)), k).collect():
+    for r in topk(vf, k, wide).collect():
         keep.setdefault(r["column"], []).append(r["value"])
     return df.withColumns({c: F.when(F.col(c).isNull(), F.col(c))
                            .when(F.col(c).isin(keep.get(c, [])), F.col(c))

@@ -36,11 +36,25 @@ def value_freq(df: DataFrame, cols, order_by: str | None = None) -> DataFrame:
                                                 first.alias("first_seen"))
 
 
-def topk(vf: DataFrame, k: int) -> DataFrame:
-    """Top-k values per column by frequency, ties broken by value."""
-    w = Window.partitionBy("column").orderBy(F.desc("freq"), F.asc("value"))
-    return (vf.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+def topk(vf: DataFrame, k: int, cols=None) -> DataFrame:
+    """Top-k values per column by frequency, ties broken by value.
+
+    Per column an ``orderBy().limit(k)`` (TakeOrderedAndProject: a partial
+    top-k in every task, then a k-row merge) -- never a window holding all
+    values of a high-cardinality column in one partition."""
+    if cols is None:
+        cols = [r["column"] for r in vf.select("column").distinct().collect()]
+    parts = []
+    for c in cols:
+        top = vf.filter(F.col("column") == c).orderBy(F.desc("freq"), F.asc("value")).limit(k)
+        w = Window.orderBy(F.desc("freq"), F.asc("value"))   # over k rows only
+        parts.append(top.withColumn("rank", F.row_number().over(w)))
+    if not parts:
+        return vf.withColumn("rank", F.lit(0)).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def first_values(vf: DataFrame, k: int = 8) -> DataFrame:

@@ -70,30 +70,52 @@ def row_retention(original: DataFrame, result: DataFrame, warn_below: float = 90
                     (pct < F.lit(warn_below)).alias("below_threshold")))
 
 
-def run_gate(original: DataFrame, result: DataFrame, target: str | None) -> DataFrame:
-    """V8: every check as rows; ``passed`` false on any violation."""
+def run_gate(original: DataFrame, result: DataFrame, target: str | None,
+             max_classes: int = 10_000) -> DataFrame:
+    """V8: every check as rows; ``passed`` false on any violation.
+
+    Two jobs: (1) the original's row count and label set (bounded by
+    ``max_classes``), (2) ONE grouped aggregate over the result -- grouping
+    by every column gives duplicate rows, and summing group sizes gives the
+    row count, per-column nulls and rows with labels the original never had.
+    """
     spark = result.sparkSession
     rows = []
     for c in gate_numeric(result, target):
         rows.append(("numeric", c, "non-numeric", False))
+    present = target is None or target in result.columns
+    labels = None
+    o_exprs = [F.count(F.lit(1)).alias("n")]
+    if target is not None and present and target in original.columns:
+        o_exprs.append(F.slice(F.collect_set(F.col(target)), 1, max_classes + 1).alias("labels"))
+    orow = original.agg(*o_exprs).first()
+    n_orig = orow["n"]
+    if len(o_exprs) > 1:
+        labels = list(orow["labels"])
+        if len(labels) > max_classes:
+            raise ValueError(f"target {target!r} has more than {max_classes} values; not a label")
     dts = {f.name: f.dataType for f in result.schema.fields}
-    cols = [c for c in result.columns if c != target]
-    agg = result.agg(F.count(F.lit(1)).alias("__n"),
-                     *[F.sum(is_null_or_nan(c, dts[c]).cast("long")).alias(f"n{i}")
-                       for i, c in enumerate(cols)]).first()
-    n_result = agg["__n"]
+    cols = list(result.columns)
+    groups = result.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
+    null_flag = {c: (F.isnan(F.col(c)) | F.col(c).isNull()) if isinstance(dts[c], (T.FloatType, T.DoubleType))
+                 else F.col(c).isNull() for c in cols}
+    exprs = [F.coalesce(F.sum("__c"), F.lit(0)).alias("__n"), F.count(F.lit(1)).alias("__d")]
+    exprs += [F.coalesce(F.sum(F.when(null_flag[c], F.col("__c"))), F.lit(0)).alias(f"n{i}")
+              for i, c in enumerate(cols) if c != target]
+    if labels is not None:
+        bad = F.col(target).isNotNull() & ~F.col(target).isin(labels) if labels else F.col(target).isNotNull()
+        exprs.append(F.coalesce(F.sum(F.when(bad, F.lit(1))), F.lit(0)).alias("__bad"))
+    g = groups.agg(*exprs).first()
+    n_result = g["__n"]
     for i, c in enumerate(cols):
-        if (agg[f"n{i}"] or 0) > 0:
-            rows.append(("nulls", c, str(agg[f"n{i}"]), False))
-    dup = duplicate_rows(result).first()["n_duplicate_rows"] if cols or target else 0
+        if c != target and g[f"n{i}"] > 0:
+            rows.append(("nulls", c, str(g[f"n{i}"]), False))
+    dup = n_result - g["__d"]
     rows.append(("duplicates", None, str(dup), dup == 0))
-    n_orig = original.count()
     rows.append(("not_empty", None, str(n_result), not (n_orig > 0 and n_result == 0)))
-    present = target is None or target in result.columns
     rows.append(("target_present", target, str(present), present))
-    if target is not None and present and n_result > 0 and target in original.columns:
-        bad = [r["value"] for r in gate_target_values(original, result, target).limit(20).collect()]
-        rows.append(("target_values", target, str(len(bad)), len(bad) == 0))
+    if labels is not None and n_result > 0:
+        rows.append(("target_values", target, str(g["__bad"]), g["__bad"] == 0))
     return spark.createDataFrame(rows, GATE_SCHEMA)
 
 

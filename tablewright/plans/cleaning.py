@@ -19,6 +19,7 @@ from ..functions.text import DEFAULT_MISSING_LITERALS
 from ..operators import clean as C
 from ..operators import encode as E
 from ..operators.profile import date_order_conflicts, profile, require_target
+from ..session import cut_lineage
 from .strategies import CleaningStrategy, get_strategy
 
 
@@ -56,7 +57,8 @@ def plan_cleaning(prof, strategy: CleaningStrategy, target: str | None, keep=())
 def clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_median",
           target: str | None = "target", keep=(), date_formats=DEFAULT_DATE_FORMATS,
           missing_literals=DEFAULT_MISSING_LITERALS, violation_mode: str = "drop",
-          quantile_mode: str = "exact", date_min_rate: float = 0.9) -> CleanResult:
+          quantile_mode: str = "exact", date_min_rate: float = 0.9,
+          checkpoint: bool = True) -> CleanResult:
     """Run the whole plan.  ``keep`` columns (ids) pass through untouched."""
     strategy = get_strategy(strategy) if isinstance(strategy, str) else strategy
     require_target(df, target)
@@ -66,6 +68,9 @@ def clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_median
     # 1. literal missing markers -> NULL (before any null handling), 2. dedup
     out = C.normalize_missing(df, literals=missing_literals)
     out = C.drop_duplicates(out)
+    if checkpoint:
+        # every later fit reads this instead of re-running scan + dedup shuffle
+        out = cut_lineage(out)
     steps.append(("normalize_missing+dedup", None))
 
     # light profile of the deduplicated table (no quartiles, no duplicate count)
@@ -84,8 +89,10 @@ def clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_median
 
     text_cols = [c for c in prof.text_columns if c not in skip and c not in dead + const]
     out = C.normalize_text(out, text_cols)
-    out = C.merge_spellings(out, text_cols)
-    steps.append(("merge_spellings", text_cols))
+    # spelling maps only for columns whose distinct values are bounded (listed)
+    mergeable = [c for c in text_cols if c in prof.listed_text_columns]
+    out = C.merge_spellings(out, mergeable, bounded=True)
+    steps.append(("merge_spellings", mergeable))
 
     date_cols = [c for c in prof.date_columns if c not in skip and c not in dead]
     for d in date_order_conflicts(out, date_cols, date_formats):

@@ -105,7 +105,7 @@ def q_topk_per_column(spark, sf_dir):
     from .operators.freq import topk, value_freq
     from .sources.tables import table
     vf = value_freq(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
-    return topk(vf, 5).select("column", "rank", "value", "freq")
+    return topk(vf, 5, ["p_name", "p_brand", "p_type"]).select("column", "rank", "value", "freq")
 
 
 @query("impute_statistics")
