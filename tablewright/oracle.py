@@ -217,7 +217,9 @@ ORACLE["stratified_split"] = f"SELECT * FROM {LABELS_SPLIT}"
 ORACLE["split_row_reconcile"] = f"""SELECT (SELECT count(*) FROM labels) AS n_original,
   CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test,
   (SELECT count(*) FROM labels) = count(*) AS complete FROM {LABELS_SPLIT}"""
-_LI = "(SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS lkey, l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem)"
+_LI = ("(SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)"
+       " || '-' || CAST(l_suppkey AS VARCHAR) || '-' || strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS lkey,"
+       " l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem)")
 ORACLE["cross_split_duplicates"] = f"""SELECT
   CAST(coalesce(sum(CASE WHEN s > 1 THEN c END), 0) AS BIGINT) AS n_rows_cross_split,
   CAST(coalesce(sum(CASE WHEN s > 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_groups_cross_split,

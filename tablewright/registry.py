@@ -310,8 +310,10 @@ LI_FEATURES = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
 
 def _lineitem_features(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return li.select(F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                                 F.col("l_linenumber").cast("string")).alias("lkey"), *LI_FEATURES)
+    # (order, line) repeats in this data; with part, supplier and ship date it identifies a row
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                      F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+    return li.select(key.alias("lkey"), *LI_FEATURES)
 
 
 @query("cross_split_duplicates")
