@@ -255,19 +255,30 @@ def dates_to_epoch(df: DataFrame, cols, formats=DEFAULT_DATE_FORMATS, fill: str
     return out
 
 
-def group_rare(df: DataFrame, cols, threshold: int, k: int, vf: DataFrame | None = None) -> DataFrame:
-    """For text columns with more than ``threshold`` distinct values keep
-    the ``k`` most frequent (ties by value) and map the rest to 'other'."""
+def fit_group_rare(df: DataFrame, cols, threshold: int, k: int, vf: DataFrame | None = None) -> dict:
+    """Columns with more than ``threshold`` distinct values -> their top ``k``
+    values (ties by value)."""
     if not cols:
-        return df
+        return {}
     vf = value_freq(df, cols) if vf is None else vf.filter(F.col("column").isin(list(cols)))
     counts = {r["column"]: r["d"] for r in vf.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
     wide = [c for c in cols if counts.get(c, 0) > threshold]
-    if not wide:
+    keep: dict = {c: [] for c in wide}
+    if wide:
+        for r in topk(vf, k, wide).collect():
+            keep[r["column"]].append(r["value"])
+    return keep
+
+
+def apply_group_rare(df: DataFrame, keep: dict) -> DataFrame:
+    if not keep:
         return df
-    keep: dict = {}
-    for r in topk(vf, k, wide).collect():
-        keep.setdefault(r["column"], []).append(r["value"])
     return df.withColumns({c: F.when(F.col(c).isNull(), F.col(c))
-                           .when(F.col(c).isin(keep.get(c, [])), F.col(c))
-                           .otherwise(F.lit(OTHER)) for c in wide})
+                           .when(F.col(c).isin(vals), F.col(c))
+                           .otherwise(F.lit(OTHER)) for c, vals in keep.items()})
+
+
+def group_rare(df: DataFrame, cols, threshold: int, k: int, vf: DataFrame | None = None) -> DataFrame:
+    """For text columns with more than ``threshold`` distinct values keep
+    the ``k`` most frequent (ties by value) and map the rest to 'other'."""
+    return apply_group_rare(df, fit_group_rare(df, cols, threshold, k, vf))

@@ -3,13 +3,20 @@
 Fixed step order: missing literals -> dedup -> drop all-null columns -> drop
 constant text columns -> normalize and merge spellings -> date-order
 violations -> dates to epoch -> clip -> impute -> group rare -> one-hot ->
-dedup again.  Each step's statistics are fitted on the output of the step
-before it (small jobs); the transforms compose into one lazy plan.
+dedup again.
+
+``fit_clean`` fits every step's statistics on the output of the step before
+it (small jobs over a checkpoint of the deduplicated input) and returns a
+``FittedPlan``: a list of transforms whose statistics are literals (or a
+small broadcast mapping).  The plan applies unchanged to any DataFrame with
+the same schema -- the training split, a test split (``fit_on_train``), or a
+streaming DataFrame.  ``clean`` is fit + transform of the same table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,76 +30,90 @@ from ..session import cut_lineage
 from .strategies import CleaningStrategy, get_strategy
 
 
+@dataclass
+class FittedStep:
+    name: str
+    detail: object
+    fn: Callable[[DataFrame], DataFrame]
+    stateful: bool = False          # needs state when applied to a stream
+
+
+@dataclass
+class FittedPlan:
+    steps: list = field(default_factory=list)
+    target: str | None = None
+    date_columns: list = field(default_factory=list)
+    vocabulary: dict = field(default_factory=dict)
+
+    def transform(self, df: DataFrame, streaming: bool = False, keep_violations: bool = False) -> DataFrame:
+        """Apply every fitted step.  On a stream, stateful steps (dedup) are
+        left to the caller (e.g. ``dropDuplicatesWithinWatermark``);
+        ``keep_violations`` keeps date-order violating rows (for a test split,
+        whose rows should not be dropped by cleaning)."""
+        for s in self.steps:
+            if streaming and s.stateful:
+                continue
+            if keep_violations and s.name == "date_violations":
+                continue
+            df = s.fn(df)
+        return df
+
+    def describe(self):
+        return [(s.name, s.detail) for s in self.steps]
+
+
 @dataclass
 class CleanResult:
     df: DataFrame
+    plan: FittedPlan
     steps: list = field(default_factory=list)     # (step, detail) in order
     date_columns: list = field(default_factory=list)
     vocabulary: dict = field(default_factory=dict)
 
 
-def plan_cleaning(prof, strategy: CleaningStrategy, target: str | None, keep=()) -> list:
-    """Ordered step names with the columns each touches (driver-side, tiny)."""
-    skip = set(keep) | ({target} if target else set())
-    steps = [("normalize_missing", [c for c in prof.columns if prof.stats[c]["kind"] == "text"]),
-             ("drop_duplicates", []),
-             ("drop_all_null_columns", [c for c in prof.columns if c not in skip
-                                        and prof.stats[c]["null_count"] == prof.n_rows and prof.n_rows > 0]),
-             ("drop_constant_columns", [c for c in prof.text_columns if c not in skip
-                                        and prof.stats[c]["n_unique"] <= 1]),
-             ("merge_spellings", [c for c in prof.text_columns if c not in skip]),
-             ("date_violations", [(d["col_a"], d["col_b"]) for d in prof.date_conflicts]),
-             ("dates_to_epoch", [c for c in prof.date_columns if c not in skip]),
-             ("clip_outliers", [c for c in prof.numeric_columns() if c not in skip
-                                and prof.stats[c].get("n_unique", 0) > 2]),
-             ("impute", []),
-             ("group_rare", []),
-             ("one_hot", []),
-             ("drop_duplicates_final", [])]
-    if strategy.iqr_multiplier is None:
-        steps = [s for s in steps if s[0] != "clip_outliers"]
-    return steps
-
-
-def clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_median",
-          target: str | None = "target", keep=(), date_formats=DEFAULT_DATE_FORMATS,
-          missing_literals=DEFAULT_MISSING_LITERALS, violation_mode: str = "drop",
-          quantile_mode: str = "exact", date_min_rate: float = 0.9,
-          checkpoint: bool = True) -> CleanResult:
-    """Run the whole plan.  ``keep`` columns (ids) pass through untouched."""
+def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_median",
+              target: str | None = "target", keep=(), date_formats=DEFAULT_DATE_FORMATS,
+              missing_literals=DEFAULT_MISSING_LITERALS, violation_mode: str = "drop",
+              quantile_mode: str = "exact", date_min_rate: float = 0.9,
+              checkpoint: bool = True):
+    """Fit the plan on ``df``; returns (FittedPlan, df transformed by it)."""
     strategy = get_strategy(strategy) if isinstance(strategy, str) else strategy
     require_target(df, target)
     skip = set(keep) | ({target} if target else set())
-    steps = []
+    plan = FittedPlan(target=target)
 
+    def add(name, detail, fn, stateful=False):
+        nonlocal out
+        plan.steps.append(FittedStep(name, detail, fn, stateful))
+        out = fn(out)
+
+    out = df
     # 1. literal missing markers -> NULL (before any null handling), 2. dedup
-    out = C.normalize_missing(df, literals=missing_literals)
-    out = C.drop_duplicates(out)
+    add("normalize_missing", list(missing_literals), lambda d: C.normalize_missing(d, literals=missing_literals))
+    add("drop_duplicates", None, C.drop_duplicates, stateful=True)
     if checkpoint:
         # every later fit reads this instead of re-running scan + dedup shuffle
         out = cut_lineage(out)
-    steps.append(("normalize_missing+dedup", None))
 
     # light profile of the deduplicated table (no quartiles, no duplicate count)
     prof = profile(out.drop(*[k for k in keep if k in out.columns]), target=target,
                    with_duplicates=False, with_quantiles=False, date_formats=date_formats,
                    date_min_rate=date_min_rate, persist_freq=False)
-
     dead = [c for c in prof.columns if c not in skip and prof.n_rows > 0
             and prof.stats[c]["null_count"] == prof.n_rows]
-    out = out.drop(*dead)
-    steps.append(("drop_all_null_columns", dead))
     const = [c for c in prof.text_columns if c not in skip and c not in dead
              and prof.stats[c]["n_unique"] <= 1]
-    out = out.drop(*const)
-    steps.append(("drop_constant_columns", const))
+    add("drop_all_null_columns", dead, lambda d: d.drop(*dead))
+    add("drop_constant_columns", const, lambda d: d.drop(*const))
 
     text_cols = [c for c in prof.text_columns if c not in skip and c not in dead + const]
-    out = C.normalize_text(out, text_cols)
+    add("normalize_text", text_cols, lambda d: C.normalize_text(d, text_cols))
     # spelling maps only for columns whose distinct values are bounded (listed)
     mergeable = [c for c in text_cols if c in prof.listed_text_columns]
-    out = C.merge_spellings(out, mergeable, bounded=True)
-    steps.append(("merge_spellings", mergeable))
+    if mergeable:
+        rows = C.canonical_map(C.value_freq(out, mergeable)).collect()   # bounded: listed columns
+        mapping = df.sparkSession.createDataFrame(rows, "column string, value string, canonical string")
+        add("merge_spellings", len(rows), lambda d: C.apply_map(d, mapping, mergeable, bounded=True))
 
     date_cols = [c for c in prof.date_columns if c not in skip and c not in dead]
     for d in date_order_conflicts(out, date_cols, date_formats):
@@ -100,29 +121,45 @@ def clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_median
         before, after = ((d["col_a"], d["col_b"]) if d["b_after_a"] >= d["a_after_b"]
                          else (d["col_b"], d["col_a"]))
         text = prof.stats[before]["kind"] == "text"
-        out = C.drop_date_violations(out, before, after, mode=violation_mode, formats=date_formats,
-                                     text=text, flag_col=f"{before}_after_{after}")
-        steps.append(("date_violations", (before, after)))
-    out = C.dates_to_epoch(out, date_cols, date_formats, quantile_mode=quantile_mode)
-    steps.append(("dates_to_epoch", date_cols))
+        add("date_violations", (before, after, violation_mode),
+            lambda x, b=before, a=after, t=text: C.drop_date_violations(
+                x, b, a, mode=violation_mode, formats=date_formats, text=t, flag_col=f"{b}_after_{a}"))
+    if date_cols:
+        epoch = C.dates_to_epoch(out, date_cols, date_formats, fill=None)
+        meds = C.fit_numeric_stats(epoch, date_cols, "median", quantile_mode)
+        add("dates_to_epoch", meds, lambda d: C.impute_numeric(
+            C.dates_to_epoch(d, date_cols, date_formats, fill=None), date_cols, stats=meds))
 
     num_cols = [c for c in prof.numeric_columns() if c not in skip and c not in dead
                 and prof.stats[c].get("n_unique", 0) > 2]
-    if strategy.iqr_multiplier is not None:
-        out = C.clip_outliers(out, num_cols, strategy.iqr_multiplier, quantile_mode=quantile_mode)
-        steps.append(("clip_outliers", num_cols))
+    if strategy.iqr_multiplier is not None and num_cols:
+        bounds = C.fit_clip_bounds(out, num_cols, strategy.iqr_multiplier, quantile_mode)
+        add("clip_outliers", bounds, lambda d: C.clip_outliers(d, num_cols, strategy.iqr_multiplier, bounds=bounds))
 
     impute_num = [c for c in prof.numeric_columns() if c not in skip and c not in dead]
-    out = C.impute_numeric(out, impute_num, strategy.numeric_impute_policy, quantile_mode=quantile_mode)
-    out = C.impute_categorical(out, text_cols)
-    steps.append(("impute", impute_num + text_cols))
-
-    out = C.group_rare(out, text_cols, strategy.high_cardinality_threshold,
-                       strategy.high_cardinality_top_k)
-    steps.append(("group_rare", text_cols))
+    stats = C.fit_numeric_stats(out, impute_num, strategy.numeric_impute_policy, quantile_mode)
+    modes = C.fit_modes(out, text_cols)
+    add("impute", (stats, modes), lambda d: C.impute_categorical(
+        C.impute_numeric(d, impute_num, stats=stats), text_cols, modes=modes))
+
+    keep_top = C.fit_group_rare(out, text_cols, strategy.high_cardinality_threshold,
+                                strategy.high_cardinality_top_k)
+    add("group_rare", keep_top, lambda d: C.apply_group_rare(d, keep_top))
     vocab = E.fit_one_hot(out, text_cols)
-    out = E.one_hot(out, vocab, drop_first=True)
-    steps.append(("one_hot", text_cols))
-    out = C.drop_duplicates(out)
-    steps.append(("drop_duplicates_final", None))
-    return CleanResult(out, steps, date_cols, vocab)
+    add("one_hot", vocab, lambda d: E.one_hot(d, vocab, drop_first=True))
+    add("drop_duplicates_final", None, C.drop_duplicates, stateful=True)
+    plan.date_columns, plan.vocabulary = date_cols, vocab
+    return plan, out
+
+
+def clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_median",
+          target: str | None = "target", keep=(), **kw) -> CleanResult:
+    """Fit the plan on ``df`` and return ``df`` cleaned by it."""
+    plan, out = fit_clean(df, strategy, target, keep, **kw)
+    return CleanResult(out, plan, plan.describe(), plan.date_columns, plan.vocabulary)
+
+
+def plan_cleaning(df: DataFrame, strategy: CleaningStrategy | str, target: str | None, keep=(), **kw):
+    """The ordered step list (names and fitted parameters) for ``df``."""
+    plan, _ = fit_clean(df, strategy, target, keep, **kw)
+    return plan.describe()

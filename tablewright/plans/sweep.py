@@ -8,7 +8,6 @@ once to the shared checkpoint folder and reused by all strategies.
 
 from __future__ import annotations
 
-import time
 import traceback
 
 from pyspark.sql import DataFrame
@@ -20,16 +19,26 @@ from ..operators.compare import RESULT_SCHEMA
 from ..operators.model import f1_accuracy, predict, train_classifier
 from ..operators.split import stratified_split
 from ..session import cut_lineage
-from .cleaning import clean
+from .cleaning import clean, fit_clean
 from .strategies import STRATEGY_LIBRARY
 
 
 def run_strategy(position: int, strategy, train: DataFrame, test: DataFrame, target: str,
-                 key: str | None, seed: int = 42):
+                 key: str | None, seed: int = 42, mode: str = "fit_on_train"):
+    """``mode``: "independent" cleans train and test separately (reference
+    parity: vocabularies and statistics may differ per split);
+    "fit_on_train" fits one plan on train and applies it to test, keeping the
+    test rows that violate date order."""
     keep = [key] if key else []
     try:
-        tr = clean(train, strategy, target=target, keep=keep).df
-        te = clean(test, strategy, target=target, keep=keep).df
+        if mode == "independent":
+            tr = clean(train, strategy, target=target, keep=keep).df
+            te = clean(test, strategy, target=target, keep=keep).df
+        elif mode == "fit_on_train":
+            plan, tr = fit_clean(train, strategy, target=target, keep=keep)
+            te = plan.transform(test, keep_violations=True)
+        else:
+            raise ValueError(f"mode must be 'independent' or 'fit_on_train', got {mode!r}")
     except Exception as exc:  # noqa: BLE001 -- becomes a result row
         return (position, strategy.name, False, None, None, None, None, None, None, None,
                 f"Cleaning failed: {type(exc).__name__}: {exc}"[:500])
@@ -51,7 +60,8 @@ def run_strategy(position: int, strategy, train: DataFrame, test: DataFrame, tar
 
 
 def strategy_sweep(df: DataFrame, target: str, key: str | None = None, strategies=STRATEGY_LIBRARY,
-                   test_size: float = 0.2, seed: int = 42, baseline_f1: float | None = None) -> DataFrame:
+                   test_size: float = 0.2, seed: int = 42, baseline_f1: float | None = None,
+                   mode: str = "fit_on_train") -> DataFrame:
     """Result rows (one per strategy, in run order)."""
     raw = drop_duplicates(df)
     split = cut_lineage(stratified_split(raw, target, test_size, seed, key=key))
@@ -59,10 +69,8 @@ def strategy_sweep(df: DataFrame, target: str, key: str | None = None, strategie
     test = split.filter(F.col("split") == "test").drop("split")
     rows = []
     for i, s in enumerate(strategies, start=1):
-        t0 = time.time()
-        row = run_strategy(i, s, train, test, target, key, seed)
+        row = run_strategy(i, s, train, test, target, key, seed, mode)
         if row[2] and baseline_f1 is not None:
             row = row[:5] + (row[3] >= baseline_f1,) + row[6:]
         rows.append(row)
-        _ = time.time() - t0
     return df.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
