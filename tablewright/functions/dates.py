@@ -18,10 +18,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every text the default formats accept matches this (two-digit month, day and
+# time fields, a 2..19-digit year or day-first field); text that does not match
+# is never handed to the parser, whose failures are exception-driven and slow.
+DEFAULT_FORMATS_SHAPE = r"^[+-]?[0-9]{2,19}[-/][0-9]{2}[-/][0-9]{2,19}( [0-9]{2}:[0-9]{2}:[0-9]{2})?$"
+
+
 def parse_timestamp(c, formats=DEFAULT_DATE_FORMATS) -> Column:
     """First successful parse among ``formats``; NULL when none parses."""
     col = _col(c)
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats])
+    parsed = F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats])
+    if tuple(formats) == DEFAULT_DATE_FORMATS:
+        return F.when(col.rlike(DEFAULT_FORMATS_SHAPE), parsed)
+    return parsed
 
 
 def to_epoch_seconds(c, formats=DEFAULT_DATE_FORMATS, is_text: bool = True) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,10 +74,12 @@ def _base(long_df, group_col, value_col):
 
 def select_ranks(long_df: DataFrame, group_col: str, value_col: str, targets: dict,
                  bounds: dict | None = None, bins: int = 1024,
-                 final_limit: int = 200_000, max_rounds: int = 64) -> dict:
+                 final_limit: int = 200_000, max_rounds: int = 64, detail: bool = False) -> dict:
     """Exact values at 0-based ``ranks`` (ascending order) of each group.
 
-    targets: {group: iterable of ranks}.  Returns {(group, rank): value}.
+    targets: {group: iterable of ranks}.  Returns {(group, rank): value}, or
+    with ``detail`` {(group, rank): (value, n_less, n_equal)} where n_less /
+    n_equal count the group's values below / equal to the value.
     """
     spark = long_df.sparkSession
     base = _base(long_df, group_col, value_col)
@@ -96,7 +98,7 @@ def select_ranks(long_df: DataFrame, group_col: str, value_col: str, targets: di
             continue
         if lo == hi:
             for r in ranks:
-                result[(g, r)] = lo
+                result[(g, r)] = (lo, 0, n)
             continue
         if n <= final_limit:
             final.append(_Range(0, g, lo, hi, 0, ranks))
@@ -128,7 +130,7 @@ def select_ranks(long_df: DataFrame, group_col: str, value_col: str, targets: di
                 for _, cnt, bmin, bmax in cells:
                     if local < before + cnt:
                         if bmin == bmax:
-                            result[(rng.group, r)] = bmin
+                            result[(rng.group, r)] = (bmin, rng.below + before, cnt)
                         else:
                             key = (rng.group, bmin, bmax, rng.below + before)
                             if key not in nxt:
@@ -146,20 +148,26 @@ def select_ranks(long_df: DataFrame, group_col: str, value_col: str, targets: di
                 open_ranges.append(rng)
 
     if final:
+        # each final range holds <= final_limit values: one bounded sort per range
         for i, rng in enumerate(final):
             rng.rid = i
         rdf = F.broadcast(_ranges_df(spark, final, group_type))
-        joined = base.join(rdf, (base.g == rdf.g) & (base.v >= rdf.lo) & (base.v <= rdf.hi))
-        sorted_vals = joined.groupBy("rid").agg(F.array_sort(F.collect_list("v")).alias("arr"))
+        joined = base.join(rdf, (base.g == rdf.g) & (base.v >= rdf.lo) & (base.v <= rdf.hi)) \
+            .select("rid", "v")
+        w = Window.partitionBy("rid").orderBy("v")
+        ranked = (joined.withColumn("pos", F.row_number().over(w))
+                  .withColumn("first", F.rank().over(w))
+                  .withColumn("n_eq", F.count(F.lit(1)).over(Window.partitionBy("rid", "v"))))
         picks = [(rng.rid, r, r - rng.below + 1) for rng in final for r in rng.ranks]
         pdf = F.broadcast(spark.createDataFrame(picks, "rid int, rank long, pos int"))
-        rows = (sorted_vals.join(pdf, "rid")
-                .select("rid", "rank", F.element_at("arr", F.col("pos")).alias("val"))
-                .collect())
+        rows = ranked.join(pdf, ["rid", "pos"]).select("rid", "rank", "v", "first", "n_eq").collect()
         by_rid = {rng.rid: rng for rng in final}
         for row in rows:
-            result[(by_rid[row["rid"]].group, row["rank"])] = row["val"]
-    return result
+            rng = by_rid[row["rid"]]
+            result[(rng.group, row["rank"])] = (row["v"], rng.below + row["first"] - 1, row["n_eq"])
+    if detail:
+        return result
+    return {k: v[0] for k, v in result.items()}
 
 
 def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str, probs,

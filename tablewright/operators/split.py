@@ -42,31 +42,49 @@ def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: i
                      key: str | None = None, split_col: str = "split") -> DataFrame:
     """Adds ``split`` ('train' | 'test').  ``key`` is a row key; without
     one the row content is the key (valid after full-row dedup), so equal rows
-    always land on the same side."""
+    always land on the same side.  Test rows of a class are its ``quota``
+    smallest (hash, key) pairs."""
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found in columns: {df.columns}")
     key_expr = F.col(key) if key else row_content_key(df.columns)
-    hashed = df.withColumn("__h", hash52(key_expr, str(seed))).withColumn("__k", key_expr.cast("string"))
-    counts = {r[0]: r[1] for r in hashed.groupBy(target).count().limit(MAX_CLASSES + 1).collect()}
-    if len(counts) > MAX_CLASSES:
+    hashed = df.withColumn("__h", hash52(key_expr, str(seed)))
+    stats = (hashed.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.min("__h").alias("lo"),
+                                        F.max("__h").alias("hi"))
+             .limit(MAX_CLASSES + 1).collect())
+    if len(stats) > MAX_CLASSES:
         raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes; stratify on a label")
+    counts = {r[0]: r["n"] for r in stats}
+    bounds = {r[0]: (r["n"], float(r["lo"]), float(r["hi"])) for r in stats}
     quotas = test_quotas(counts, test_size)
     targets = {c: [q - 1] for c, q in quotas.items() if q > 0}
-    cut = select_ranks(hashed.select(F.col(target).alias("__cls"), "__h"), "__cls", "__h", targets)
+    cut = select_ranks(hashed.select(F.col(target).alias("__cls"), "__h"), "__cls", "__h", targets,
+                       bounds=bounds, detail=True)
+    rows, tied = [], False
+    for c, q in quotas.items():
+        if q <= 0:
+            rows.append((c, -1, 0, False))
+            continue
+        value, n_less, n_equal = cut[(c, q - 1)]
+        need = q - n_less                       # rows to take among those equal to the cut
+        rank_ties = need < n_equal
+        tied = tied or rank_ties
+        rows.append((c, int(value), need, rank_ties))
     spark = df.sparkSession
-    rows = [(c, int(cut[(c, q - 1)]) if q > 0 else -1, q) for c, q in quotas.items()]
-    cuts = spark.createDataFrame(rows, f"__cls {df.schema[target].dataType.simpleString()}, __cut long, __q long")
+    cuts = spark.createDataFrame(
+        rows, f"__cls {df.schema[target].dataType.simpleString()}, __cut long, __need long, __rank_ties boolean")
     j = hashed.join(F.broadcast(cuts), hashed[target].eqNullSafe(cuts["__cls"]), "left")
-    # boundary ties: rank by key only the rows whose hash equals the cut
-    below = j.filter(F.col("__h") < F.col("__cut")).groupBy("__cls").count() \
-        .withColumnRenamed("count", "__below")
-    j = j.join(F.broadcast(below), j["__cls"].eqNullSafe(below["__cls"]), "left").drop(below["__cls"])
-    tie_w = Window.partitionBy("__cls", "__h").orderBy("__k")
-    ties = j.filter(F.col("__h") == F.col("__cut"))
-    ties = ties.withColumn("__t", F.row_number().over(tie_w) <= F.col("__q") - F.coalesce(F.col("__below"), F.lit(0)))
-    rest = j.filter(~(F.col("__h") == F.col("__cut")) | F.col("__cut").isNull()) \
-        .withColumn("__t", F.coalesce(F.col("__h") < F.col("__cut"), F.lit(False)))
-    out = ties.unionByName(rest)
+    simple = (F.col("__h") < F.col("__cut")) | ((F.col("__h") == F.col("__cut")) & ~F.col("__rank_ties"))
+    if not tied:
+        out = j.withColumn("__t", F.coalesce(simple, F.lit(False)))
+    else:
+        # only rows whose hash equals a boundary that splits a tie are ranked by key
+        boundary = (F.col("__h") == F.col("__cut")) & F.col("__rank_ties")
+        ties = j.filter(boundary).withColumn("__k", key_expr.cast("string"))
+        ties = ties.withColumn("__t", F.row_number().over(
+            Window.partitionBy("__cls", "__h").orderBy("__k")) <= F.col("__need")).drop("__k")
+        rest = j.filter(~F.coalesce(boundary, F.lit(False))) \
+            .withColumn("__t", F.coalesce(simple, F.lit(False)))
+        out = ties.unionByName(rest)
     return out.withColumn(split_col, F.when(F.col("__t"), F.lit("test")).otherwise(F.lit("train"))) \
         .select(*df.columns, split_col)
 

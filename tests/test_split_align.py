@@ -60,3 +60,13 @@ def test_align_refuses_missing_target(spark):
     te = spark.createDataFrame([(1.0,)], "age double")
     with pytest.raises(ValueError):
         E.align_columns(tr, te, "target")
+
+
+def test_split_ties_on_boundary(spark):
+    # 30 rows share one key: their hashes tie, so the boundary must rank them
+    rows = [("k", i % 2, i) for i in range(30)] + [(f"u{i}", i % 2, i) for i in range(70)]
+    df = spark.createDataFrame(rows, "key string, target int, payload int")
+    sp = SP.stratified_split(df, "target", 0.2, 1, key="key")
+    counts = {(r["split"], r["target"]): r["count"] for r in sp.groupBy("split", "target").count().collect()}
+    assert counts[("test", 0)] == 10 and counts[("test", 1)] == 10
+    assert sp.count() == 100
