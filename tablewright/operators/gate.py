@@ -59,15 +59,17 @@ def gate_target_values(original: DataFrame, result: DataFrame, target: str) -> D
 
 
 def row_retention(original: DataFrame, result: DataFrame, warn_below: float = 90.0) -> DataFrame:
-    """V7: round(100 * clean / raw, 1) and a warning flag below ``warn_below``."""
-    raw = original.agg(F.count(F.lit(1)).alias("raw_rows"))
-    cln = result.agg(F.count(F.lit(1)).alias("clean_rows"))
+    """V7: round(100 * clean / raw, 1) and a warning flag below ``warn_below``;
+    both counts in ONE aggregate over the tagged union of the two inputs."""
+    tagged = (original.select(F.lit(1).alias("__o"), F.lit(0).alias("__r"))
+              .unionByName(result.select(F.lit(0).alias("__o"), F.lit(1).alias("__r"))))
+    counts = tagged.agg(F.coalesce(F.sum("__o"), F.lit(0)).cast("long").alias("raw_rows"),
+                        F.coalesce(F.sum("__r"), F.lit(0)).cast("long").alias("clean_rows"))
     pct = F.when(F.col("raw_rows") > 0,
                  F.floor(F.lit(1000.0) * F.col("clean_rows") / F.col("raw_rows") + F.lit(0.5)) / F.lit(10.0)
                  ).otherwise(F.lit(0.0))
-    return (raw.crossJoin(cln)   # two one-row aggregates
-            .select("raw_rows", "clean_rows", pct.cast("double").alias("retention_pct"),
-                    (pct < F.lit(warn_below)).alias("below_threshold")))
+    return counts.select("raw_rows", "clean_rows", pct.cast("double").alias("retention_pct"),
+                         (pct < F.lit(warn_below)).alias("below_threshold"))
 
 
 def run_gate(original: DataFrame, result: DataFrame, target: str | None,

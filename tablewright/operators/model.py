@@ -86,13 +86,12 @@ def baseline_metrics(df: DataFrame, target: str, test_size: float = 0.2, seed: i
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     model = train_classifier(train, target, feats, seed=seed)
-    scores = f1_accuracy(predict(model, test), target)
-    counts = split.agg(F.sum((F.col("split") == "train").cast("long")).alias("n_train_rows"),
-                       F.sum((F.col("split") == "test").cast("long")).alias("n_test_rows"))
-    spark = df.sparkSession
-    meta = spark.createDataFrame([(len(feature_columns(work, target, exclude=[key] if key else [])),
-                                   ",".join(dropped))],
-                                 "n_features_used int, columns_dropped_by_failsafe string")
-    return (scores.select(F.col("f1_score").alias("baseline_f1_score"),
-                          F.col("accuracy").alias("baseline_accuracy"))
-            .crossJoin(counts).crossJoin(meta)), split   # one-row frames
+    s = f1_accuracy(predict(model, test), target).first()
+    c = split.agg(F.sum((F.col("split") == "train").cast("long")).alias("tr"),
+                  F.sum((F.col("split") == "test").cast("long")).alias("te")).first()
+    n_used = len(feature_columns(work, target, exclude=[key] if key else []))
+    metrics = df.sparkSession.createDataFrame(
+        [(s["f1_score"], s["accuracy"], c["tr"], c["te"], n_used, ",".join(dropped))],
+        "baseline_f1_score double, baseline_accuracy double, n_train_rows long, n_test_rows long, "
+        "n_features_used int, columns_dropped_by_failsafe string")
+    return metrics, split

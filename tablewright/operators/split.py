@@ -90,14 +90,15 @@ def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: i
 
 
 def split_reconcile(original: DataFrame, split_df: DataFrame, split_col: str = "split") -> DataFrame:
-    """Train + test must equal the original row count."""
-    o = original.agg(F.count(F.lit(1)).alias("n_original"))
-    s = split_df.agg(F.sum((F.col(split_col) == "train").cast("long")).alias("n_train"),
-                     F.sum((F.col(split_col) == "test").cast("long")).alias("n_test"))
-    return o.crossJoin(s).select(   # two one-row aggregates
-        "n_original", F.coalesce("n_train", F.lit(0)).alias("n_train"),
-        F.coalesce("n_test", F.lit(0)).alias("n_test"),
-        (F.col("n_original") == F.coalesce("n_train", F.lit(0)) + F.coalesce("n_test", F.lit(0))).alias("complete"))
+    """Train + test must equal the original row count (one aggregate over
+    the tagged union of both inputs)."""
+    tagged = (original.select(F.lit(1).alias("__o"), F.lit(None).cast("string").alias("__s"))
+              .unionByName(split_df.select(F.lit(0).alias("__o"), F.col(split_col).alias("__s"))))
+    c = tagged.agg(F.coalesce(F.sum("__o"), F.lit(0)).cast("long").alias("n_original"),
+                   F.coalesce(F.sum((F.col("__s") == "train").cast("long")), F.lit(0)).alias("n_train"),
+                   F.coalesce(F.sum((F.col("__s") == "test").cast("long")), F.lit(0)).alias("n_test"))
+    return c.select("n_original", "n_train", "n_test",
+                    (F.col("n_original") == F.col("n_train") + F.col("n_test")).alias("complete"))
 
 
 def cross_split_duplicates(split_df: DataFrame, cols=None, split_col: str = "split") -> DataFrame:

@@ -261,10 +261,16 @@ def q_gate_duplicates(spark, sf_dir):
 
 
 def _target_values_summary(original, result, target):
-    unexpected = G.gate_target_values(original, result, target).agg(F.count(F.lit(1)).alias("n_unexpected_values"))
-    o = original.agg(F.countDistinct(target).alias("n_original_values"))
-    r = result.agg(F.countDistinct(target).alias("n_result_values"))
-    return o.crossJoin(r).crossJoin(unexpected)   # one-row aggregates
+    """Distinct labels of both inputs and result labels the original lacks,
+    from ONE grouped aggregate over the tagged union (labels are few)."""
+    tagged = (original.select(F.col(target).alias("__v"), F.lit(1).alias("__o"), F.lit(0).alias("__r"))
+              .unionByName(result.select(F.col(target).alias("__v"), F.lit(0).alias("__o"), F.lit(1).alias("__r")))
+              .filter(F.col("__v").isNotNull()))
+    per = tagged.groupBy("__v").agg(F.max("__o").alias("o"), F.max("__r").alias("r"))
+    return per.agg(F.coalesce(F.sum("o"), F.lit(0)).cast("long").alias("n_original_values"),
+                   F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("n_result_values"),
+                   F.coalesce(F.sum(((F.col("r") == 1) & (F.col("o") == 0)).cast("long")), F.lit(0))
+                   .alias("n_unexpected_values"))
 
 
 @query("gate_target_values")

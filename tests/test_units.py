@@ -125,3 +125,17 @@ def test_flagship_plan_shape(spark):
         plan = QUERIES[name](__import__("conftest").spark.__wrapped__ if False else spark, SF001)._jdf \
             .queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan, name
+
+
+def test_exact_quantiles_exponential_spacing(spark):
+    """Equal-width bins alone stall on 2^-k; binade binning must converge."""
+    vals = [2.0 ** -k for k in range(0, 1000)] + [-(2.0 ** k) for k in range(0, 300)] + [0.0, 0.0]
+    df = spark.createDataFrame([("g", v) for v in vals], "g string, v double")
+    got = exact_quantiles(df, "g", "v", [0.1, 0.5, 0.9], bins=16, final_limit=8)["g"]
+    s = sorted(vals)
+
+    def q(p):
+        h = (len(s) - 1) * p
+        k = int(h)
+        return s[k] + (s[min(k + 1, len(s) - 1)] - s[k]) * (h - k)
+    assert got == [q(0.1), q(0.5), q(0.9)]
