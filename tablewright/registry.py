@@ -627,8 +627,10 @@ def q_f1_accuracy(spark, sf_dir):
 @query("compare_strategies")
 def q_compare_strategies(spark, sf_dir):
     results, baseline = _rule_scores(spark, sf_dir)
-    base = baseline.first()["baseline_f1"]
-    return CP.compare_strategies(results, base)
+    # A5: the baseline travels as a one-record metrics file, as between runs
+    path = shared_path(spark, "baseline-metrics")
+    FL.write_metrics(baseline.withColumnRenamed("baseline_f1", "baseline_f1_score"), path)
+    return CP.compare_strategies(results, FL.read_baseline(spark, path))
 
 
 @query("strategy_status")

@@ -36,7 +36,9 @@ def read_with_quarantine(spark: SparkSession, path: str, schema: T.StructType,
 
     Returns (good rows, quarantined rows, record) where ``record`` carries
     ``stage_failed`` ('csv_read_other' | 'target_column_missing') when the
-    whole read cannot proceed.
+    whole read cannot proceed.  Consume the quarantined rows with their
+    columns (write them to a quarantine table): Spark rejects a plan that
+    reads only the corrupt-record column of a raw file, such as a bare count.
     """
     record = {"path": path}
     if target is not None and target not in schema.fieldNames():
