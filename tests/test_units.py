@@ -139,3 +139,18 @@ def test_exact_quantiles_exponential_spacing(spark):
         k = int(h)
         return s[k] + (s[min(k + 1, len(s) - 1)] - s[k]) * (h - k)
     assert got == [q(0.1), q(0.5), q(0.9)]
+
+
+@pytest.mark.parametrize("t", [60.0, 80.0, 92.0])
+def test_similar_pairs_lossless_vs_brute_force(spark, t):
+    random.seed(int(t))
+    alpha = "aab cde-"
+    vals = sorted({"".join(random.choice(alpha) for _ in range(random.randint(0, 9))) for _ in range(150)})
+    df = spark.createDataFrame([(v,) for v in vals], "c string")
+    got = sorted((r["value_a"], r["value_b"]) for r in FZ.similar_pairs(value_freq(df, ["c"]), t).collect())
+
+    def ratio(a, b):
+        a, b = a.strip().lower(), b.strip().lower()
+        return 100.0 if not a and not b else 200.0 * _lcs(a, b) / (len(a) + len(b))
+    exp = sorted((a, b) for i, a in enumerate(vals) for b in vals[i + 1:] if ratio(a, b) >= t)
+    assert got == exp
