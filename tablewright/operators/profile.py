@@ -185,65 +185,78 @@ def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULT
         elif kinds[c] == "text" and n and row[f"dat{i}"] / n >= date_min_rate:
             date_cols.append(c)
 
-    # ---- exact distinct counts of numeric/temporal columns: one grouped agg ----
+    # The remaining passes are independent Spark jobs: submit them together so
+    # the scheduler overlaps them (each is a scan + partial aggregate).
     nt = numeric + temporal
-    if nt:
-        if distinct_mode == "approx":
-            for i, c in enumerate(cols):
-                if c in nt:
-                    stats[c]["n_unique"] = int(row[f"acd{i}"])
-        else:
-            long = numeric_long(df, nt)
-            got = {r["column"]: r["d"] for r in
-                   long.filter(F.col("v").isNotNull()).groupBy("column")
-                   .agg(F.countDistinct("v").alias("d")).collect()}
-            for c in nt:
-                stats[c]["n_unique"] = int(got.get(c, 0))
-
-    # ---- text: value_freq for listed (not high-cardinality) columns ----
     listed = [c for i, c in enumerate(cols) if kinds[c] == "text" and row[f"acd{i}"] <= max_distinct]
-    vf = None
-    if listed:
-        vf = value_freq(df, listed, order_by)
-        if persist_freq:
-            vf = vf.persist()
-        got = {r["column"]: r["d"] for r in vf.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
-        for c in listed:
-            stats[c]["n_unique"] = int(got.get(c, 0))
     for i, c in enumerate(cols):
         if kinds[c] == "text" and c not in listed:
             stats[c]["n_unique"] = int(row[f"acd{i}"])
             stats[c]["distinct_approx"] = True
+        if distinct_mode == "approx" and c in nt:
+            stats[c]["n_unique"] = int(row[f"acd{i}"])
+
+    def distinct_job():
+        if not nt or distinct_mode == "approx":
+            return {}
+        long = numeric_long(df, nt)
+        return {r["column"]: r["d"] for r in long.filter(F.col("v").isNotNull()).groupBy("column")
+                .agg(F.countDistinct("v").alias("d")).collect()}
 
-    # ---- quartiles and outliers ----
-    if numeric and with_quantiles:
+    def freq_job():
+        if not listed:
+            return None, {}
+        vf = value_freq(df, listed, order_by)
+        if persist_freq:
+            vf = vf.persist()
+        got = {r["column"]: r["d"] for r in vf.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+        return vf, got
+
+    def quartile_job():
+        if not (numeric and with_quantiles):
+            return {}
         bounds = {c: (stats[c]["count"], stats[c]["min"], stats[c]["max"]) for c in numeric}
         qs = quartiles(df, numeric, quantile_mode, bounds=bounds)
-        out_exprs = []
+        out, exprs = {}, []
         for c in numeric:
             q1, q3 = qs[c]
             lo, hi = iqr_bounds(q1, q3, iqr_mult)
-            stats[c].update(q1=q1, q3=q3, lower=lo, upper=hi)
+            out[c] = dict(q1=q1, q3=q3, lower=lo, upper=hi)
             if lo is not None:
                 v = as_double(c, dts[c])
-                out_exprs.append(F.sum(((v < F.lit(lo)) | (v > F.lit(hi))).cast("long")).alias(c))
-        if out_exprs:
-            orow = df.agg(*out_exprs).first()
+                exprs.append(F.sum(((v < F.lit(lo)) | (v > F.lit(hi))).cast("long")).alias(c))
+        if exprs:
+            orow = df.agg(*exprs).first()
             for c in numeric:
-                if stats[c].get("lower") is not None:
-                    stats[c]["outliers"] = int(orow[c] or 0)
-
-    # ---- duplicates ----
-    n_dup = None
-    if with_duplicates:
-        n_dup = n - df.select(*cols).dropDuplicates().count() if n else 0
-
-    prof = Profile(n_rows=n, columns=cols, dtypes={c: dts[c].simpleString() for c in cols},
+                if out[c]["lower"] is not None:
+                    out[c]["outliers"] = int(orow[c] or 0)
+        return out
+
+    def duplicate_job():
+        if not with_duplicates:
+            return None
+        return n - df.select(*cols).dropDuplicates().count() if n else 0
+
+    def conflict_job():
+        return date_order_conflicts(df, date_cols, date_formats, dts)
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=5) as pool:
+        futs = [pool.submit(f) for f in (distinct_job, freq_job, quartile_job, duplicate_job, conflict_job)]
+        distinct, (vf, text_counts), qstats, n_dup, conflicts = [f.result() for f in futs]
+    for c in nt:
+        if distinct_mode != "approx":
+            stats[c]["n_unique"] = int(distinct.get(c, 0))
+    for c in listed:
+        stats[c]["n_unique"] = int(text_counts.get(c, 0))
+    for c, d in qstats.items():
+        stats[c].update(d)
+
+    return Profile(n_rows=n, columns=cols, dtypes={c: dts[c].simpleString() for c in cols},
                    target=target, stats=stats, date_columns=date_cols,
                    text_columns=[c for c in text if c not in date_cols],
-                   listed_text_columns=listed, n_duplicate_rows=n_dup, value_freq=vf)
-    prof.date_conflicts = date_order_conflicts(df, date_cols, date_formats, dts)
-    return prof
+                   listed_text_columns=listed, n_duplicate_rows=n_dup, value_freq=vf,
+                   date_conflicts=conflicts)
 
 
 def date_order_conflicts(df: DataFrame, date_cols, date_formats=DEFAULT_DATE_FORMATS,
