@@ -33,6 +33,8 @@ class _Range:
     hi: float
     below: int                      # number of group values strictly before this range
     ranks: list = field(default_factory=list)
+    size: int = 0                   # number of group values inside the range
+    linear: bool = True             # equal-width bins (else binade bins)
 
 
 def _binade(x):
@@ -43,10 +45,11 @@ def _binade(x):
 def _bin_expr(bins: int):
     """Bin of ``v`` inside its open range [lo, hi] (monotone in v).
 
-    ``linear`` ranges lie inside one binade (same sign and exponent): equal
-    width bins shrink the range 1024x per round and doubles are evenly spaced
-    there, so at most ~6 rounds remain.  Other ranges are binned by a monotone
-    (sign, exponent) code, so exponentially spaced data cannot stall."""
+    Ranges start with equal-width bins.  A range whose linear round did not
+    shrink it at least 4x (and that spans several binades) is next binned by
+    a monotone (sign, exponent) code, so exponentially spaced data cannot
+    stall; inside one binade doubles are evenly spaced and equal-width bins
+    shrink the range 1024x per round, so at most ~6 rounds remain."""
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     scaled = F.floor((v * 0.5 - lo * 0.5) / (hi * 0.5 - lo * 0.5) * F.lit(float(bins))).cast("int")
     linear_bin = F.least(F.greatest(scaled, F.lit(0)), F.lit(bins - 1))
@@ -76,7 +79,7 @@ def _ranges_df(spark, ranges, group_type):
         T.StructField("hi", T.DoubleType()),
         T.StructField("linear", T.BooleanType()),
     ])
-    return spark.createDataFrame([(r.rid, r.group, float(r.lo), float(r.hi), _same_binade(r.lo, r.hi))
+    return spark.createDataFrame([(r.rid, r.group, float(r.lo), float(r.hi), r.linear)
                                   for r in ranges], schema)
 
 
@@ -96,7 +99,7 @@ def _base(long_df, group_col, value_col):
 
 def select_ranks(long_df: DataFrame, group_col: str, value_col: str, targets: dict,
                  bounds: dict | None = None, bins: int = 1024,
-                 final_limit: int = 200_000, max_rounds: int = 40, detail: bool = False) -> dict:
+                 final_limit: int = 1_000_000, max_rounds: int = 40, detail: bool = False) -> dict:
     """Exact values at 0-based ``ranks`` (ascending order) of each group.
 
     targets: {group: iterable of ranks}.  Returns {(group, rank): value}, or
@@ -123,9 +126,9 @@ def select_ranks(long_df: DataFrame, group_col: str, value_col: str, targets: di
                 result[(g, r)] = (lo, 0, n)
             continue
         if n <= final_limit:
-            final.append(_Range(0, g, lo, hi, 0, ranks))
+            final.append(_Range(0, g, lo, hi, 0, ranks, n))
         else:
-            open_ranges.append(_Range(len(open_ranges), g, lo, hi, 0, ranks))
+            open_ranges.append(_Range(len(open_ranges), g, lo, hi, 0, ranks, n))
 
     rounds = 0
     while open_ranges:
@@ -155,7 +158,12 @@ def select_ranks(long_df: DataFrame, group_col: str, value_col: str, targets: di
                         else:
                             key = (rng.group, bmin, bmax, rng.below + before)
                             if key not in nxt:
-                                nxt[key] = _Range(0, rng.group, bmin, bmax, rng.below + before, [])
+                                # a linear round that did not shrink the range 4x
+                                # switches it to binade bins (bounded rounds)
+                                stalled = rng.linear and cnt * 4 > rng.size
+                                linear = _same_binade(bmin, bmax) or not stalled
+                                nxt[key] = _Range(0, rng.group, bmin, bmax, rng.below + before, [],
+                                                  cnt, linear)
                                 sizes[key] = cnt
                             nxt[key].ranks.append(r)
                         break

@@ -76,38 +76,47 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None,
              max_classes: int = 10_000) -> DataFrame:
     """V8: every check as rows; ``passed`` false on any violation.
 
-    Two jobs: (1) the original's row count and label set (bounded by
-    ``max_classes``), (2) ONE grouped aggregate over the result -- grouping
-    by every column gives duplicate rows, and summing group sizes gives the
-    row count, per-column nulls and rows with labels the original never had.
+    Three independent jobs, submitted together: (1) the original's row count
+    and label set, (2) ONE grouped aggregate over the result -- grouping by
+    every column gives duplicate rows, and summing group sizes gives the row
+    count and per-column nulls, (3) the result's distinct labels (limited to
+    ``max_classes`` + 1: more than the original can have means a violation).
     """
     spark = result.sparkSession
     rows = []
     for c in gate_numeric(result, target):
         rows.append(("numeric", c, "non-numeric", False))
     present = target is None or target in result.columns
-    labels = None
-    o_exprs = [F.count(F.lit(1)).alias("n")]
-    if target is not None and present and target in original.columns:
-        o_exprs.append(F.slice(F.collect_set(F.col(target)), 1, max_classes + 1).alias("labels"))
-    orow = original.agg(*o_exprs).first()
-    n_orig = orow["n"]
-    if len(o_exprs) > 1:
-        labels = list(orow["labels"])
-        if len(labels) > max_classes:
-            raise ValueError(f"target {target!r} has more than {max_classes} values; not a label")
+    check_labels = target is not None and present and target in original.columns
     dts = {f.name: f.dataType for f in result.schema.fields}
     cols = list(result.columns)
-    groups = result.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
-    null_flag = {c: (F.isnan(F.col(c)) | F.col(c).isNull()) if isinstance(dts[c], (T.FloatType, T.DoubleType))
-                 else F.col(c).isNull() for c in cols}
-    exprs = [F.coalesce(F.sum("__c"), F.lit(0)).alias("__n"), F.count(F.lit(1)).alias("__d")]
-    exprs += [F.coalesce(F.sum(F.when(null_flag[c], F.col("__c"))), F.lit(0)).alias(f"n{i}")
-              for i, c in enumerate(cols) if c != target]
-    if labels is not None:
-        bad = F.col(target).isNotNull() & ~F.col(target).isin(labels) if labels else F.col(target).isNotNull()
-        exprs.append(F.coalesce(F.sum(F.when(bad, F.lit(1))), F.lit(0)).alias("__bad"))
-    g = groups.agg(*exprs).first()
+
+    def original_job():
+        o_exprs = [F.count(F.lit(1)).alias("n")]
+        if check_labels:
+            o_exprs.append(F.slice(F.collect_set(F.col(target)), 1, max_classes + 1).alias("labels"))
+        return original.agg(*o_exprs).first()
+
+    def result_job():
+        groups = result.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
+        null_flag = {c: (F.isnan(F.col(c)) | F.col(c).isNull())
+                     if isinstance(dts[c], (T.FloatType, T.DoubleType)) else F.col(c).isNull() for c in cols}
+        exprs = [F.coalesce(F.sum("__c"), F.lit(0)).alias("__n"), F.count(F.lit(1)).alias("__d")]
+        exprs += [F.coalesce(F.sum(F.when(null_flag[c], F.col("__c"))), F.lit(0)).alias(f"n{i}")
+                  for i, c in enumerate(cols) if c != target]
+        return groups.agg(*exprs).first()
+
+    def labels_job():
+        if not check_labels:
+            return None
+        return [r[0] for r in result.select(target).filter(F.col(target).isNotNull())
+                .distinct().limit(max_classes + 1).collect()]
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        fo, fr, fl = pool.submit(original_job), pool.submit(result_job), pool.submit(labels_job)
+        orow, g, result_labels = fo.result(), fr.result(), fl.result()
+    n_orig = orow["n"]
     n_result = g["__n"]
     for i, c in enumerate(cols):
         if c != target and g[f"n{i}"] > 0:
@@ -116,8 +125,12 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None,
     rows.append(("duplicates", None, str(dup), dup == 0))
     rows.append(("not_empty", None, str(n_result), not (n_orig > 0 and n_result == 0)))
     rows.append(("target_present", target, str(present), present))
-    if labels is not None and n_result > 0:
-        rows.append(("target_values", target, str(g["__bad"]), g["__bad"] == 0))
+    if check_labels and n_result > 0:
+        labels = set(orow["labels"])
+        if len(labels) > max_classes:
+            raise ValueError(f"target {target!r} has more than {max_classes} values; not a label")
+        bad = [v for v in result_labels if v not in labels]
+        rows.append(("target_values", target, str(len(bad)), len(bad) == 0))
     return spark.createDataFrame(rows, GATE_SCHEMA)
 
 

@@ -315,7 +315,8 @@ LI_FEATURES = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
 
 
 def _lineitem_features(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    from .sources.tables import spread
+    li = spread(table(spark, sf_dir, "lineitem"))
     # (order, line) repeats in this data; with part, supplier and ship date it identifies a row
     key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
                       F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))

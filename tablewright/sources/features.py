@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import spread, table
 
 
 def doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with whole-text counts: (doc_id, n_chars, n_lines,
     n_words, lang, source, quality)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     feats = docs.select(
         "doc_id", "n_chars",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..operators import inject
-from .tables import table
+from .tables import spread, table
 
 # Spelling variants injected into o_orderpriority.
 PRIORITY_VARIANTS = {
@@ -38,7 +38,7 @@ JUNK_RATE = 0.02
 
 def orders_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders with the order date as text and a derived ship date 1..19 days later."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     lag = (F.floor(uniform("o_orderkey", "lag") * 19) + 1).cast("int")
     return o.select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority",
@@ -65,7 +65,7 @@ def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with 12% nulls in value and event_type, x15 outliers in value
     and 2% duplicate rows."""
-    df = table(spark, sf_dir, "events")
+    df = spread(table(spark, sf_dir, "events"))
     k = "event_id"
     df = inject.inject_nulls(df, ["event_type", "value"], NULL_RATE, k)
     df = inject.inject_outliers(df, "value", OUTLIER_RATE, OUTLIER_FACTOR, k)

@@ -13,3 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; valid: {list(TABLES)}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a small input across the cluster before CPU-heavy per-row
+    work (hashing, text parsing) -- only when it arrives in fewer partitions
+    than there are task slots (e.g. one small parquet file).  Large inputs
+    already arrive in many splits and are returned untouched (no shuffle)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
