@@ -154,3 +154,18 @@ def test_similar_pairs_lossless_vs_brute_force(spark, t):
         return 100.0 if not a and not b else 200.0 * _lcs(a, b) / (len(a) + len(b))
     exp = sorted((a, b) for i, a in enumerate(vals) for b in vals[i + 1:] if ratio(a, b) >= t)
     assert got == exp
+
+
+def test_scans_are_pruned_and_filters_pushed(spark):
+    from conftest import SF001
+    from tablewright.registry import QUERIES
+
+    def scans(name):
+        plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        return plan
+    p = scans("inject_spellings")
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderpriority:string>" in p
+    p = scans("drop_constant_cols")
+    assert "EqualTo(c_mktsegment,BUILDING)" in p
+    p = scans("value_counts_topk")
+    assert "ReadSchema: struct<p_name:string>" in p
