@@ -76,11 +76,11 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None,
              max_classes: int = 10_000) -> DataFrame:
     """V8: every check as rows; ``passed`` false on any violation.
 
-    Three independent jobs, submitted together: (1) the original's row count
-    and label set, (2) ONE grouped aggregate over the result -- grouping by
-    every column gives duplicate rows, and summing group sizes gives the row
-    count and per-column nulls, (3) the result's distinct labels (limited to
-    ``max_classes`` + 1: more than the original can have means a violation).
+    Independent jobs, submitted together: the original's row count; the
+    original's and the result's distinct labels (each a distributed distinct
+    limited to ``max_classes`` + 1); and ONE grouped aggregate over the result
+    -- grouping by every column gives duplicate rows, and summing group sizes
+    gives the row count and per-column nulls.
     """
     spark = result.sparkSession
     rows = []
@@ -92,10 +92,13 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None,
     cols = list(result.columns)
 
     def original_job():
-        o_exprs = [F.count(F.lit(1)).alias("n")]
-        if check_labels:
-            o_exprs.append(F.slice(F.collect_set(F.col(target)), 1, max_classes + 1).alias("labels"))
-        return original.agg(*o_exprs).first()
+        return original.agg(F.count(F.lit(1)).alias("n")).first()
+
+    def original_labels_job():
+        if not check_labels:
+            return None
+        return [r[0] for r in original.select(target).filter(F.col(target).isNotNull())
+                .distinct().limit(max_classes + 1).collect()]
 
     def result_job():
         groups = result.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
@@ -113,9 +116,9 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None,
                 .distinct().limit(max_classes + 1).collect()]
 
     from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=3) as pool:
-        fo, fr, fl = pool.submit(original_job), pool.submit(result_job), pool.submit(labels_job)
-        orow, g, result_labels = fo.result(), fr.result(), fl.result()
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        futs = [pool.submit(f) for f in (original_job, original_labels_job, result_job, labels_job)]
+        orow, orig_labels, g, result_labels = [f.result() for f in futs]
     n_orig = orow["n"]
     n_result = g["__n"]
     for i, c in enumerate(cols):
@@ -126,7 +129,7 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None,
     rows.append(("not_empty", None, str(n_result), not (n_orig > 0 and n_result == 0)))
     rows.append(("target_present", target, str(present), present))
     if check_labels and n_result > 0:
-        labels = set(orow["labels"])
+        labels = set(orig_labels)
         if len(labels) > max_classes:
             raise ValueError(f"target {target!r} has more than {max_classes} values; not a label")
         bad = [v for v in result_labels if v not in labels]

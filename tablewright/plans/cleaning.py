@@ -75,8 +75,13 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
               target: str | None = "target", keep=(), date_formats=DEFAULT_DATE_FORMATS,
               missing_literals=DEFAULT_MISSING_LITERALS, violation_mode: str = "drop",
               quantile_mode: str = "exact", date_min_rate: float = 0.9,
-              checkpoint: bool = True):
-    """Fit the plan on ``df``; returns (FittedPlan, df transformed by it)."""
+              checkpoint: bool = True, merge: str = "exact", fuzzy_threshold: float = 80.0):
+    """Fit the plan on ``df``; returns (FittedPlan, df transformed by it).
+
+    ``merge``: "exact" maps spellings that share a spelling key (lower-case,
+    blanks, '-' and '_' removed) -- never merges opposites such as
+    active/inactive; "fuzzy" maps every member of a greedy similarity cluster
+    (ratio >= ``fuzzy_threshold``) to the cluster's most frequent value."""
     strategy = get_strategy(strategy) if isinstance(strategy, str) else strategy
     require_target(df, target)
     skip = set(keep) | ({target} if target else set())
@@ -111,7 +116,15 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
     # spelling maps only for columns whose distinct values are bounded (listed)
     mergeable = [c for c in text_cols if c in prof.listed_text_columns]
     if mergeable:
-        rows = C.canonical_map(C.value_freq(out, mergeable)).collect()   # bounded: listed columns
+        vf = C.value_freq(out, mergeable)
+        if merge == "exact":
+            mapping_df = C.canonical_map(vf)
+        elif merge == "fuzzy":
+            from ..operators.fuzzy import cluster_map, greedy_clusters, similar_pairs
+            mapping_df = cluster_map(greedy_clusters(similar_pairs(vf, fuzzy_threshold)), vf)
+        else:
+            raise ValueError(f"merge must be 'exact' or 'fuzzy', got {merge!r}")
+        rows = mapping_df.collect()   # bounded: listed columns only
         mapping = df.sparkSession.createDataFrame(rows, "column string, value string, canonical string")
         add("merge_spellings", len(rows), lambda d: C.apply_map(d, mapping, mergeable, bounded=True))
 

@@ -638,3 +638,19 @@ def q_compare_strategies(spark, sf_dir):
 def q_strategy_status(spark, sf_dir):
     results, baseline = _rule_scores(spark, sf_dir)
     return CP.strategy_status(results, baseline.first()["baseline_f1"])
+
+
+# ------------------------------------------------------ attempts
+@query("first_passing_attempts")
+def q_first_passing_attempts(spark, sf_dir):
+    """Candidate transforms of the messy orders tried in order until one
+    passes the gate; the attempt log is the result (driver loop of jobs)."""
+    mo = _mo(spark, sf_dir)
+    candidates = [
+        ("impute_only", lambda d: C.impute_numeric(d, MO_FEATURES_NUM, "median")),
+        ("dedup_and_impute", lambda d: C.drop_duplicates(C.impute_numeric(d, MO_FEATURES_NUM, "median"))),
+        ("clean_conservative_median",
+         lambda d: _clean(d, "conservative_median", target="target", keep=["o_orderkey"]).df),
+    ]
+    _, log = G.first_passing(mo, candidates, "target", max_attempts=5)
+    return log

@@ -20,7 +20,9 @@ def spread(df: DataFrame) -> DataFrame:
     work (hashing, text parsing) -- only when it arrives in fewer partitions
     than there are task slots (e.g. one small parquet file).  Large inputs
     already arrive in many splits and are returned untouched (no shuffle)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()          # planning only, no job
+    except Exception:  # noqa: BLE001 -- e.g. Spark Connect: no RDD view; leave as is
+        return df
+    return df.repartition(slots) if parts < slots else df

@@ -169,3 +169,41 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert "EqualTo(c_mktsegment,BUILDING)" in p
     p = scans("value_counts_topk")
     assert "ReadSchema: struct<p_name:string>" in p
+
+
+def test_hot_key_third_of_rows(spark):
+    """One key / value / class holds a third of all rows: results stay exact and
+    the heavy operators are partial aggregates (map-side combine)."""
+    from tablewright.operators.clean import drop_duplicates_by_key
+    from tablewright.operators.split import stratified_split
+    rows = [("hot", i, i % 2) for i in range(600)] + [(f"k{i}", i, i % 2) for i in range(1200)]
+    df = spark.createDataFrame(rows, "key string, ord int, target int")
+    first = drop_duplicates_by_key(df, "key", "ord")
+    assert first.count() == 1201 and first.filter(F.col("key") == "hot").first()["ord"] == 0
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan or "partial_" in plan
+    vf = value_freq(df, ["key"])
+    assert vf.filter(F.col("value") == "hot").first()["freq"] == 600
+    big = spark.createDataFrame([(i, 0 if i % 3 else 1) for i in range(3000)], "id int, target int")
+    sp = stratified_split(big, "target", 0.2, 42, key="id")
+    assert sp.filter(F.col("split") == "test").count() == 600
+    assert "Window" not in sp._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fuzzy_merge_opt_in(spark):
+    from tablewright.plans.cleaning import clean
+    rows = [("full-time", 1.0, 0)] * 5 + [("fulltime", 2.0, 1)] * 2 + [("Full-Time ", 3.0, 0)] + \
+           [("contract", 4.0, 1)] * 3 + [("part-time", 5.0, 0)] * 2
+    df = spark.createDataFrame(rows, "kind string, x double, target int")
+    exact = clean(df, target="target").df.columns
+    fuzzy = clean(df, target="target", merge="fuzzy").df.columns
+    # the exact spelling key already unifies full-time / fulltime / Full-Time
+    assert "kind_fulltime" not in exact
+    assert "kind_part_time" in fuzzy and "kind_fulltime" not in fuzzy
+
+
+def test_approx_quantile_mode_runs(spark):
+    from tablewright.operators.profile import column_profile
+    df = spark.createDataFrame([(float(i), i % 5) for i in range(1000)], "v double, target int")
+    rows = {r["column"]: r for r in column_profile(df, target="target", quantile_mode="approx").collect()}
+    assert abs(rows["v"]["q1"] - 249.75) <= 2.0
