@@ -199,7 +199,17 @@ def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULT
     def distinct_job():
         if not nt or distinct_mode == "approx":
             return {}
-        long = numeric_long(df, nt)
+        # DOUBLE is exact below 2^53; wider integral values are counted as text
+        wide = [c for c in numeric if isinstance(dts[c], (T.LongType, T.DecimalType)) and
+                max(abs(stats[c]["min"] or 0), abs(stats[c]["max"] or 0)) >= 2.0 ** 53]
+        narrow = [c for c in nt if c not in wide]
+        parts = []
+        if narrow:
+            parts.append(numeric_long(df, narrow).select("column", F.col("v").cast("string").alias("v")))
+        if wide:
+            proj = df.select(*[F.col(c).cast("string").alias(c) for c in wide])
+            parts.append(proj.unpivot([], wide, "column", "v"))
+        long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return {r["column"]: r["d"] for r in long.filter(F.col("v").isNotNull()).groupBy("column")
                 .agg(F.countDistinct("v").alias("d")).collect()}
 

@@ -501,7 +501,7 @@ def q_align_columns(spark, sf_dir):
     from .functions.hashing import uniform
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    df = c.join(F.broadcast(n), "c_nationkey").select(   # nation: 25 rows, a fixed dimension
+    df = c.join(n, "c_nationkey").select(   # planner/AQE broadcasts the small side from statistics
         "c_custkey", "c_acctbal", "n_name",
         (F.col("c_mktsegment") == "BUILDING").cast("int").alias("target"),
         F.when(F.col("c_nationkey") < 10, F.lit("train")).when(F.col("c_nationkey") > 14, F.lit("test"))

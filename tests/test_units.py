@@ -207,3 +207,11 @@ def test_approx_quantile_mode_runs(spark):
     df = spark.createDataFrame([(float(i), i % 5) for i in range(1000)], "v double, target int")
     rows = {r["column"]: r for r in column_profile(df, target="target", quantile_mode="approx").collect()}
     assert abs(rows["v"]["q1"] - 249.75) <= 2.0
+
+
+def test_distinct_exact_for_wide_longs(spark):
+    from tablewright.operators.profile import profile
+    base = 2 ** 60
+    df = spark.createDataFrame([(base + i, i % 2) for i in range(50)], "k long, target int")
+    prof = profile(df, target="target")
+    assert prof.stats["k"]["n_unique"] == 50      # as DOUBLE these collapse to a few values
