@@ -44,17 +44,16 @@ def topk(vf: DataFrame, k: int, cols=None) -> DataFrame:
     values of a high-cardinality column in one partition."""
     if cols is None:
         cols = [r["column"] for r in vf.select("column").distinct().collect()]
-    parts = []
-    for c in cols:
-        top = vf.filter(F.col("column") == c).orderBy(F.desc("freq"), F.asc("value")).limit(k)
-        w = Window.orderBy(F.desc("freq"), F.asc("value"))   # over k rows only
-        parts.append(top.withColumn("rank", F.row_number().over(w)))
+    parts = [vf.filter(F.col("column") == c).orderBy(F.desc("freq"), F.asc("value")).limit(k)
+             for c in cols]
     if not parts:
         return vf.withColumn("rank", F.lit(0)).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # rank inside each column's k rows (a window partitioned by column)
+    w = Window.partitionBy("column").orderBy(F.desc("freq"), F.asc("value"))
+    return out.withColumn("rank", F.row_number().over(w))
 
 
 def first_values(vf: DataFrame, k: int = 8) -> DataFrame:

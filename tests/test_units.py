@@ -169,6 +169,27 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert "EqualTo(c_mktsegment,BUILDING)" in p
     p = scans("value_counts_topk")
     assert "ReadSchema: struct<p_name:string>" in p
+    for name in ("topk_per_column", "sample_values", "fuzzy_pairs", "fuzzy_clusters", "stratified_split",
+                 "attempt_log_last", "dedup_keep_first"):
+        assert _unpartitioned_windows(scans(name)) == 0, name
+
+
+def _unpartitioned_windows(plan: str) -> int:
+    """Window operators without PARTITION BY print two top-level [..] groups."""
+    n = 0
+    for line in plan.splitlines():
+        i = line.find("Window [")
+        if i < 0:
+            continue
+        depth = groups = 0
+        for ch in line[i + len("Window "):]:
+            if ch == "[":
+                groups += depth == 0
+                depth += 1
+            elif ch == "]":
+                depth -= 1
+        n += groups < 3
+    return n
 
 
 def test_hot_key_third_of_rows(spark):
