@@ -115,3 +115,26 @@ def test_unknown_target_refused(spark):
     df = spark.createDataFrame(loan_rows(3), LOAN)
     with pytest.raises(ValueError):
         clean(df, target="label")
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], LOAN)
+    prof = profile(df, target="target")
+    assert prof.n_rows == 0 and prof.n_duplicate_rows == 0
+    assert prof.stats["age"]["null_pct"] == 0.0
+    res = clean(df, target="target").df
+    assert res.count() == 0
+    report = {r["check"]: r["passed"] for r in G.run_gate(df, res, "target").collect()}
+    assert report["not_empty"] is True          # empty in, empty out is not a failure
+
+
+def test_sweep_independent_mode(spark):
+    from tablewright.plans.sweep import strategy_sweep
+    from tablewright.plans.strategies import get_strategy
+    rows = [(float(i % 37), float((i * 7) % 101) if i % 11 else None, ["a", "b", "c "][i % 3],
+             f"2023-01-{1 + i % 27:02d}", (i % 37) > 18 and 1 or 0, i) for i in range(240)]
+    df = spark.createDataFrame(rows, "x double, y double, kind string, d string, target int, id int")
+    res = strategy_sweep(df, "target", key="id", strategies=[get_strategy("conservative_median")],
+                         mode="independent").collect()
+    assert len(res) == 1 and res[0]["succeeded"] and 0.0 <= res[0]["f1_score"] <= 1.0
+    assert res[0]["n_test_rows"] == 48
