@@ -31,28 +31,38 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def read_with_quarantine(spark: SparkSession, path: str, schema: T.StructType,
-                         target: str | None = None, encoding: str = "UTF-8", header: bool = True):
+                         target: str | None = None, encoding: str = "UTF-8", header: bool = True,
+                         stage_path: str | None = None):
     """A3: PERMISSIVE read that tags failures instead of raising.
 
+    The CSV is parsed ONCE and staged as parquet (parsed columns plus the
+    corrupt-record text) under the shared checkpoint folder, or ``stage_path``.
+    Good and quarantined rows are then plain columnar scans of the staged
+    table: later passes never re-parse the text, and queries that need only
+    the corrupt-record column (such as a count) are allowed.
+
     Returns (good rows, quarantined rows, record) where ``record`` carries
     ``stage_failed`` ('csv_read_other' | 'target_column_missing') when the
-    whole read cannot proceed.  Consume the quarantined rows with their
-    columns (write them to a quarantine table): Spark rejects a plan that
-    reads only the corrupt-record column of a raw file, such as a bare count.
+    whole read cannot proceed.
     """
+    from ..session import shared_path
     record = {"path": path}
     if target is not None and target not in schema.fieldNames():
         record["stage_failed"] = "target_column_missing"
         return None, None, record
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
+    stage = stage_path or shared_path(spark, "quarantine-stage")
     try:
-        df = (spark.read.option("header", str(header).lower()).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", CORRUPT).option("encoding", encoding)
-              .schema(full).csv(path))
+        parsed = (spark.read.option("header", str(header).lower()).option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", CORRUPT).option("encoding", encoding)
+                  .schema(full).csv(path))
+        parsed.write.mode("overwrite").parquet(stage)
     except Exception as exc:  # noqa: BLE001 -- recorded as a stage failure
         record["stage_failed"] = "csv_read_other"
         record["error"] = f"{type(exc).__name__}: {exc}"
         return None, None, record
+    df = spark.read.parquet(stage)
+    record["staged"] = stage
     good = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.filter(F.col(CORRUPT).isNotNull())
     return good, bad, record
