@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .freq import value_freq
 from .fuzzy import FUZZY_THRESHOLD, greedy_clusters, similar_pairs
 from .profile import profile
 

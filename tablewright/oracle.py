@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import sqlgen as S
+from .sources import messy as M
 
 ORACLE: dict[str, str] = {}
 
@@ -237,7 +238,7 @@ ORACLE["inject_outliers"] = f"""SELECT event_id, CASE WHEN {S.u('event_id', 'out
   THEN value * CAST(15 AS DOUBLE) ELSE value END AS value FROM events"""
 ORACLE["inject_duplicates"] = f"""SELECT event_id, user_id, event_type, value FROM events
 UNION ALL SELECT event_id, user_id, event_type, value FROM events WHERE {S.u('event_id', 'dup')} < 0.02"""
-ORACLE["inject_spellings"] = f"""SELECT o_orderkey, {S.spellings_case('o_orderpriority', __import__('tablewright.sources.messy', fromlist=['x']).PRIORITY_VARIANTS, 'o_orderkey')} AS o_orderpriority FROM orders"""
+ORACLE["inject_spellings"] = f"""SELECT o_orderkey, {S.spellings_case('o_orderpriority', M.PRIORITY_VARIANTS, 'o_orderkey')} AS o_orderpriority FROM orders"""
 _SWAPD = f"CAST(floor({S.u('o_orderkey', 'swap_days')} * 9) + 1 AS INTEGER)"
 ORACLE["inject_date_swaps"] = f"""SELECT o_orderkey, order_date, CASE WHEN {S.u('o_orderkey', 'swap')} < 0.05
   THEN strftime(CAST(strptime(order_date, '%Y-%m-%d') AS DATE) - {_SWAPD}, '%Y-%m-%d') ELSE ship_date END AS ship_date

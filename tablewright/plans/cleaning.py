@@ -19,7 +19,6 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.dates import DEFAULT_DATE_FORMATS
 from ..functions.text import DEFAULT_MISSING_LITERALS

@@ -10,9 +10,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import profile as P
 from .sources import messy as M
+from .functions.numeric import round_half_up
+from .operators import clean as C
+from .operators import compare as CP
+from .operators import encode as E
+from .operators import fuzzy as FZ
+from .operators import gate as G
+from .operators import inject as I
+from .operators import issues as IS
+from .operators import model as MD
+from .operators import runlog as RL
+from .operators import split as SP
+from .operators.freq import value_freq as _vf
+from .plans.cleaning import clean as _clean
+from .plans.strategies import STRATEGY_LIBRARY
+from .plans.sweep import strategy_sweep
+from .session import shared_path
+from .sources import files as FL
+from .sources.features import doc_features
+from .sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -79,7 +99,7 @@ def q_duplicate_row_count(spark, sf_dir):
 @query("detect_date_columns")
 def q_detect_date_columns(spark, sf_dir):
     from .operators.inject import inject_junk
-    df = _mo(spark, sf_dir).withColumn("promised_date", M.F.col("order_date"))
+    df = _mo(spark, sf_dir).withColumn("promised_date", F.col("order_date"))
     df = inject_junk(df, "promised_date", 0.15, "n/a", "o_orderkey")
     return P.detect_date_columns(df)
 
@@ -116,11 +136,6 @@ def q_impute_statistics(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- cleaning
-from pyspark.sql import functions as F  # noqa: E402
-
-from .operators import clean as C  # noqa: E402
-from .operators import encode as E  # noqa: E402
-from .sources.tables import table  # noqa: E402
 
 
 @query("failsafe_drop_strings")
@@ -245,8 +260,6 @@ def q_one_hot_encode(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- gate
-from .operators import gate as G  # noqa: E402
-from .operators import split as SP  # noqa: E402
 
 
 @query("gate_nulls")
@@ -335,7 +348,6 @@ def q_split_key_overlap(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- injection
-from .operators import inject as I  # noqa: E402
 
 
 @query("inject_nulls")
@@ -378,8 +390,6 @@ def q_label_from_score(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ sources
-from .session import shared_path  # noqa: E402
-from .sources import files as FL  # noqa: E402
 
 
 @query("scan_csv_roundtrip")
@@ -413,7 +423,6 @@ def q_quarantine_bad_rows(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- runs
-from .operators import runlog as RL  # noqa: E402
 
 
 def _source_runs(spark, sf_dir):
@@ -467,10 +476,6 @@ def q_run_history_rollup(spark, sf_dir):
 
 
 # -------------------------------------------------------------------- fuzzy
-from .functions.numeric import round_half_up  # noqa: E402
-from .operators import fuzzy as FZ  # noqa: E402
-from .operators import issues as IS  # noqa: E402
-from .operators.freq import value_freq as _vf  # noqa: E402
 
 
 @query("fuzzy_pairs")
@@ -517,8 +522,6 @@ def q_align_columns(spark, sf_dir):
 
 
 # -------------------------------------------------------------------- clean
-from .plans.cleaning import clean as _clean  # noqa: E402
-from .plans.strategies import STRATEGY_LIBRARY  # noqa: E402
 
 
 def _clean_query(strategy_name):
@@ -535,9 +538,6 @@ for _s in STRATEGY_LIBRARY:
 
 
 # -------------------------------------------------------------------- model
-from .operators import compare as CP  # noqa: E402
-from .operators import model as MD  # noqa: E402
-from .sources.features import doc_features  # noqa: E402
 
 
 def _doc_split(spark, sf_dir):
@@ -578,8 +578,7 @@ def q_baseline_metrics(spark, sf_dir):
 
 @query("strategy_sweep")
 def q_strategy_sweep(spark, sf_dir):
-    return __import__("tablewright.plans.sweep", fromlist=["x"]).strategy_sweep(
-        doc_features(spark, sf_dir), "quality", key="doc_id")
+    return strategy_sweep(doc_features(spark, sf_dir), "quality", key="doc_id")
 
 
 # The rule "strategies" scored by the comparison queries:
@@ -588,7 +587,6 @@ RULES = [(1, "n_chars_q25", 0.25), (2, "n_chars_median", 0.5), (3, "n_chars_q75"
 
 
 def _rule_scores(spark, sf_dir):
-    from .operators.profile import quartiles  # noqa: F401
     from .functions.quantiles import exact_quantiles
     df = doc_features(spark, sf_dir)
     qs = exact_quantiles(df.select(F.lit(0).alias("g"), "n_chars"), "g", "n_chars", [q for _, _, q in RULES])[0]

@@ -1,6 +1,5 @@
 """End-to-end flows: comparison run and the real-data probe."""
 
-from pyspark.sql import functions as F
 
 from tablewright.plans.orchestrate import run_comparison, run_stress_test
 from tablewright.plans.strategies import get_strategy
