@@ -149,8 +149,11 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
         add("clip_outliers", bounds, lambda d: C.clip_outliers(d, num_cols, strategy.iqr_multiplier, bounds=bounds))
 
     impute_num = [c for c in prof.numeric_columns() if c not in skip and c not in dead]
-    stats = C.fit_numeric_stats(out, impute_num, strategy.numeric_impute_policy, quantile_mode)
-    modes = C.fit_modes(out, text_cols)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:   # independent fits on the same input
+        f_stats = pool.submit(C.fit_numeric_stats, out, impute_num, strategy.numeric_impute_policy, quantile_mode)
+        f_modes = pool.submit(C.fit_modes, out, text_cols)
+        stats, modes = f_stats.result(), f_modes.result()
     add("impute", (stats, modes), lambda d: C.impute_categorical(
         C.impute_numeric(d, impute_num, stats=stats), text_cols, modes=modes))
 
