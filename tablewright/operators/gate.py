@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import is_null_or_nan, is_numeric
+from ..session import persist_if_small
 
 GATE_SCHEMA = T.StructType([
     T.StructField("check", T.StringType()),
@@ -76,12 +77,21 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None,
              max_classes: int = 10_000) -> DataFrame:
     """V8: every check as rows; ``passed`` false on any violation.
 
-    Independent jobs, submitted together: the original's row count; the
-    original's and the result's distinct labels (each a distributed distinct
-    limited to ``max_classes`` + 1); and ONE grouped aggregate over the result
-    -- grouping by every column gives duplicate rows, and summing group sizes
+    Independent jobs, submitted together: the original's count per label
+    (its row count and label set); the result's distinct labels (limited to
+    ``max_classes`` + 1); and ONE grouped aggregate over the result --
+    grouping by every column gives duplicate rows, and summing group sizes
     gives the row count and per-column nulls.
     """
+    result, cached = persist_if_small(result)   # three jobs read it
+    try:
+        return _run_gate(original, result, target, max_classes)
+    finally:
+        if cached:
+            result.unpersist()
+
+
+def _run_gate(original, result, target, max_classes):
     spark = result.sparkSession
     rows = []
     for c in gate_numeric(result, target):
@@ -92,13 +102,14 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None,
     cols = list(result.columns)
 
     def original_job():
-        return original.agg(F.count(F.lit(1)).alias("n")).first()
-
-    def original_labels_job():
+        """(row count, label list): one grouped count by label gives both
+        (labels are at most ``max_classes``; more means it is not a label)."""
         if not check_labels:
-            return None
-        return [r[0] for r in original.select(target).filter(F.col(target).isNotNull())
-                .distinct().limit(max_classes + 1).collect()]
+            return original.agg(F.count(F.lit(1)).alias("n")).first()["n"], None
+        groups = original.groupBy(target).count().limit(max_classes + 2).collect()
+        if len([g for g in groups if g[0] is not None]) > max_classes:
+            raise ValueError(f"target {target!r} has more than {max_classes} values; not a label")
+        return sum(g["count"] for g in groups), [g[0] for g in groups if g[0] is not None]
 
     def result_job():
         groups = result.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
@@ -116,10 +127,9 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None,
                 .distinct().limit(max_classes + 1).collect()]
 
     from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        futs = [pool.submit(f) for f in (original_job, original_labels_job, result_job, labels_job)]
-        orow, orig_labels, g, result_labels = [f.result() for f in futs]
-    n_orig = orow["n"]
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        futs = [pool.submit(f) for f in (original_job, result_job, labels_job)]
+        (n_orig, orig_labels), g, result_labels = [f.result() for f in futs]
     n_result = g["__n"]
     for i, c in enumerate(cols):
         if c != target and g[f"n{i}"] > 0:
@@ -130,8 +140,6 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None,
     rows.append(("target_present", target, str(present), present))
     if check_labels and n_result > 0:
         labels = set(orig_labels)
-        if len(labels) > max_classes:
-            raise ValueError(f"target {target!r} has more than {max_classes} values; not a label")
         bad = [v for v in result_labels if v not in labels]
         rows.append(("target_values", target, str(len(bad)), len(bad) == 0))
     return spark.createDataFrame(rows, GATE_SCHEMA)

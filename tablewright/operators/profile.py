@@ -20,6 +20,7 @@ from ..functions.dates import DEFAULT_DATE_FORMATS, parse_timestamp
 from ..functions.numeric import (as_double, is_null_or_nan, is_numeric, is_temporal,
                                  is_text, round_half_up)
 from ..functions.quantiles import approx_quantiles, exact_quantiles
+from ..session import persist_if_small
 from .freq import first_values, value_freq
 
 # Reference defaults.
@@ -144,6 +145,17 @@ def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULT
     """Profile every column of ``df``; ``order_by`` (optional) is an explicit
     row-order key used for "first seen" samples."""
     require_target(df, target)
+    df, cached = persist_if_small(df)      # several passes follow; hold it only if small
+    try:
+        return _profile(df, target, iqr_mult, quantile_mode, distinct_mode, max_distinct, date_formats,
+                        date_min_rate, order_by, with_duplicates, persist_freq, with_quantiles)
+    finally:
+        if cached:
+            df.unpersist()
+
+
+def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, max_distinct, date_formats,
+             date_min_rate, order_by, with_duplicates, persist_freq, with_quantiles) -> Profile:
     cols = [c for c in df.columns if c != order_by]
     dts = {f.name: f.dataType for f in df.schema.fields}
     kinds = {c: _kind(dts[c]) for c in cols}

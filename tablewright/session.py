@@ -79,3 +79,23 @@ def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 <
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
     }
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (no job); None if unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 -- e.g. no JVM plan access
+        return None
+
+
+def persist_if_small(df: DataFrame, max_bytes: int = 256 << 20):
+    """Persist a DataFrame that several passes will read, but only when the
+    optimizer estimates it at most ``max_bytes``; large inputs are re-read
+    (columnar, pruned) instead of being held.  Returns (df, persisted?)."""
+    size = estimated_bytes(df)
+    if size is not None and size <= max_bytes:
+        df = df.persist()
+        df.count()          # fill it once, before concurrent readers start
+        return df, True
+    return df, False
