@@ -33,15 +33,21 @@ def main() -> None:
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
     # warm-up: JVM, parquet footers, codegen cache
     QUERIES["dataset_shape"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, errors = {}, {}
     for name in names:
         t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as exc:  # noqa: BLE001 -- a failed query is reported, not fatal
+            times[name] = None
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     sf = sf_dir.rsplit("sf", 1)[-1]
-    print(json.dumps({"metric": "total_wall_time", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": cpus}))
+    out = {"metric": "total_wall_time", "value": round(sum(t for t in times.values() if t), 3), "unit": "sec",
+           "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf, "cpus": cpus}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
