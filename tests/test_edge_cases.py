@@ -138,3 +138,20 @@ def test_sweep_independent_mode(spark):
                          mode="independent").collect()
     assert len(res) == 1 and res[0]["succeeded"] and 0.0 <= res[0]["f1_score"] <= 1.0
     assert res[0]["n_test_rows"] == 48
+
+
+def test_plan_order_and_input_untouched(spark):
+    """C11: the fixed step order; V10: the input DataFrame is never changed."""
+    from tablewright.plans.cleaning import fit_clean
+    df = spark.createDataFrame(loan_rows(120) + loan_rows(3), LOAN)
+    before = (df.columns, df.count(), df.filter(F.col("income").isNull()).count())
+    plan, out = fit_clean(df, "conservative_median", target="target")
+    names = [n for n, _ in plan.describe()]
+    expected = ["normalize_missing", "drop_duplicates", "drop_all_null_columns", "drop_constant_columns",
+                "normalize_text", "merge_spellings", "date_violations", "dates_to_epoch", "clip_outliers",
+                "impute", "group_rare", "one_hot", "drop_duplicates_final"]
+    assert names == expected
+    assert (df.columns, df.count(), df.filter(F.col("income").isNull()).count()) == before
+    # the fitted plan applied to the same input reproduces the cleaned table
+    again = plan.transform(df)
+    assert sorted(again.columns) == sorted(out.columns) and again.exceptAll(out).count() == 0
