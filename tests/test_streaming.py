@@ -24,3 +24,24 @@ def test_fitted_plan_cleans_stream(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(c for c in out.columns if c != "batch_id") == sorted(cleaned.columns)
     assert out.filter(F.col("age").isNull()).count() == 0
+
+
+def test_clean_stream_dedups_within_watermark(spark, tmp_path):
+    import datetime as dt
+
+    from tablewright.streaming.apply import clean_stream
+    schema = "ts timestamp, kind string, v double, target int"
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(minutes=i), ["a", "b"][i % 2], float(i % 7), i % 2) for i in range(40)]
+    static = spark.createDataFrame(rows, schema)
+    plan, _ = fit_clean(static, "conservative_median", target="target")
+    src = tmp_path / "in"
+    spark.createDataFrame(rows + rows[:10], schema).write.parquet(str(src / "p1"))   # 10 exact copies
+    stream = spark.readStream.schema(schema).parquet(str(src / "*"))
+    out = clean_stream(stream, plan, event_time="ts", delay="1 day")
+    q = (out.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    res = spark.read.parquet(str(tmp_path / "out"))
+    assert res.count() == 40                      # copies dropped within the watermark
+    assert res.filter(F.col("v").isNull()).count() == 0
