@@ -236,3 +236,14 @@ def test_distinct_exact_for_wide_longs(spark):
     df = spark.createDataFrame([(base + i, i % 2) for i in range(50)], "k long, target int")
     prof = profile(df, target="target")
     assert prof.stats["k"]["n_unique"] == 50      # as DOUBLE these collapse to a few values
+
+
+def test_samples_follow_explicit_order(spark):
+    """Q9: "first seen" needs an explicit ordering key; without one, values sort."""
+    from tablewright.operators.freq import first_values
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["zeta", "alpha", "zeta", "mid", "beta", "alpha"])],
+                               "pos int, c string")
+    by_pos = [r["value"] for r in first_values(value_freq(df, ["c"], order_by="pos"), 3).orderBy("rank").collect()]
+    by_val = [r["value"] for r in first_values(value_freq(df, ["c"]), 3).orderBy("rank").collect()]
+    assert by_pos == ["zeta", "alpha", "mid"]
+    assert by_val == ["alpha", "beta", "mid"]
