@@ -247,3 +247,25 @@ def test_samples_follow_explicit_order(spark):
     by_val = [r["value"] for r in first_values(value_freq(df, ["c"]), 3).orderBy("rank").collect()]
     assert by_pos == ["zeta", "alpha", "mid"]
     assert by_val == ["alpha", "beta", "mid"]
+
+
+def test_scale_conf_sizes_partitions():
+    from tablewright.session import scale_conf
+    conf = scale_conf(100 * 2 ** 40, cores=8000)          # 100 TB on 1000 x 8 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(10 << 20, cores=8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_injection_rates_and_label_balance(spark):
+    from conftest import SF01
+    from tablewright.operators import inject as I
+    from tablewright.sources.tables import table
+    o = table(spark, SF01, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    n = o.count()
+    nulls = I.inject_nulls(o, ["o_totalprice"], 0.12, "o_orderkey").filter(F.col("o_totalprice").isNull()).count()
+    assert abs(nulls / n - 0.12) < 0.02
+    dup = I.inject_duplicates(o, 0.02, "o_orderkey").count() - n
+    assert abs(dup / n - 0.02) < 0.01
+    lab = I.label_from_score(o, {"o_totalprice": 0.00003, "o_custkey": 0.001}, "o_orderkey")
+    ones = lab.filter(F.col("label") == 1).count()
+    assert abs(ones - n / 2) <= 1                          # strictly above the exact median
