@@ -35,38 +35,71 @@ from pyspark.sql import types as T
 
 from .common import hash_buckets, only, running, staged
 
-_CHUNK = re.compile("[^\x20\x09-\x0D]+")
-_KNOWN = 1 << 18
-_LONG = 64
+#: Entries a task remembers.
+_KNOWN, _LONG = 1 << 19, 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_LETTERS = "a-z\u00e0-\u00f6\u00f8-\u00ff"
+#: Chunks of these characters are split here, all others by the tokenizer itself: within
+#: them lower case and letters mean the same to both, and composition changes nothing.
+_PLAIN = re.compile(f"[!-~A-Z{_LETTERS}\u00c0-\u00d6\u00d8-\u00de]+")
+_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
+def _byte_names() -> dict[int, str]:
+    """How a byte-level vocabulary spells the UTF-8 bytes of the plain characters: a
+    printable byte is itself, the others follow in order from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+    return {c: "".join(others.get(b, chr(b)) for b in chr(c).encode()) for c in range(33, 256)}
+
+
+class _Chunks(dict):
+    """Packed ids by chunk, filled on demand and emptied when full."""
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        self.tokenizer, self.model, self.parts, self.names = tokenizer, tokenizer.model, {}, _byte_names()
+
+    def _part(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part.translate(self.names))]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= _LONG:
+            if len(self.parts) >= _KNOWN:
+                self.parts.clear()
+            self.parts[part] = packed
+        return packed
+
+    def __missing__(self, chunk: str) -> bytes:
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            parts = self.parts
+            packed = b"".join([parts.get(p) or self._part(p) for p in _PART.findall(chunk.lower())])
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= _LONG:
+            if len(self) >= _KNOWN:
+                self.clear()
+                self[""] = b""
+            self[chunk] = packed
+        return packed
+
+
 def token_encoder(definition: str):
-    """A function from a text to its ids as little-endian 32-bit bytes, for a tokenizer
-    definition (JSON) that never joins over white space, so that ids of frequent words
-    can be remembered."""
+    """A function from a text to its ids as little-endian 32-bit bytes, for a lower-casing
+    byte-level tokenizer definition (JSON) with word ends.  It never joins over white
+    space, so the ids of chunks and their parts can be remembered."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(definition)
-    known: dict[str, bytes] = {}
-
-    def packed(chunks):
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch(chunks, add_special_tokens=False)]
+    chunks = _Chunks(Tokenizer.from_str(definition))
 
     def encode(text: str) -> bytes:
-        chunks = _CHUNK.findall(text)
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > _KNOWN:
-                known.clear()
-                new = list(set(chunks))
-            known.update(zip(new, packed(new), strict=True))
-        out = b"".join(map(known.__getitem__, chunks))
-        for c in new:
-            if len(c) > _LONG:
-                del known[c]
-        return out
+        for c in "\t\n\x0b\x0c\r":
+            if c in text:
+                text = text.replace(c, " ")
+        return b"".join(map(chunks.__getitem__, text.split(" ")))
 
     return encode
 
