@@ -151,18 +151,22 @@ class LicenseModel:
 
 
 def _negatives(docs: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` paragraphs of the corpus, by the smallest hash, that do not name
-    licenses, rights or permissions."""
+    """At most ``most`` paragraphs of the corpus that do not name licenses, rights or
+    permissions: those with the smallest hash in about 4 * ``most`` documents, which a
+    hash of their doc_id picks, so that no task gathers more at any size."""
     named = r"(?i)licen[sc]|copyright|permission|spdx|creative commons|\bcc[ -]?(by|0)|public domain"
-    return (paragraphs(docs).where(~F.col("text").rlike(named)).select("text").orderBy(F.xxhash64("text"), "text").limit(most)
-            .select(F.substring("text", 1, 2000).alias("text")))
+    wide = 1 << 30
+    share = min(wide, -(-4 * most * wide // max(1, docs.count())))
+    some = docs.where(F.pmod(F.xxhash64(F.lit(13), F.col("doc_id")), F.lit(wide)) < share)
+    texts = paragraphs(some).where(~F.col("text").rlike(named)).select(F.substring("text", 1, 2000).alias("text")).distinct()
+    return staged(texts.orderBy(F.xxhash64("text"), "text").limit(most), "negatives")
 
 
 def train(docs: DataFrame, max_negatives: int = 2000, features: int = 1 << 14, agree: float = 0.8) -> LicenseModel:
     spark = docs.sparkSession
     known = _rows(spark, [(f, FAMILIES.index(f), t) for f, t in notices()] + [(UNKNOWN, 0, t) for t in OTHERS], ["family", "label", "text"])
     unknown = _negatives(docs, max_negatives).select(F.lit(UNKNOWN).alias("family"), F.lit(0).alias("label"), "text")
-    rows = known.unionByName(unknown).withColumn("label", F.col("label").cast("double"))
+    rows = known.unionByName(unknown).coalesce(2).withColumn("label", F.col("label").cast("double"))
     # as much weight for each class, however many paragraphs stand for it; a row a class
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
     rows = staged(rows.join(F.broadcast(sizes), "label").withColumn("weight", 1 / F.col("n")).withColumn("held", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(4)) == 0).coalesce(2), "notices")
