@@ -178,11 +178,11 @@ def first_passing(df: DataFrame, candidates, target: str | None, max_attempts: i
     for i, (name, fn) in enumerate(candidates[:max_attempts], start=1):
         out, report, err = apply_step(df, fn, target)
         if err is not None:
-            log.append((i, name, False, err.strip().splitlines()[-1][:500]))
+            log.append((i, name, False, err.strip().splitlines()[-1]))
             continue
         bad = report.filter(~F.col("passed")).collect()
         if not bad:
             log.append((i, name, True, ""))
             return out, spark.createDataFrame(log, ATTEMPT_SCHEMA)
-        log.append((i, name, False, "; ".join(f"{r['check']}:{r['column']}={r['observed']}" for r in bad)[:500]))
+        log.append((i, name, False, "; ".join(f"{r['check']}:{r['column']}={r['observed']}" for r in bad)))
     return None, spark.createDataFrame(log, ATTEMPT_SCHEMA)

@@ -91,7 +91,7 @@ UNION ALL SELECT 'o_orderpriority', NULL, NULL, (SELECT o_orderpriority FROM m W
 # ------------------------------------------------------------------ cleaning
 ORACLE["failsafe_drop_strings"] = f"SELECT o_orderkey, o_custkey, o_totalprice, target FROM {MO}"
 ORACLE["drop_all_null_cols"] = f"SELECT o_orderkey, o_totalprice, o_orderpriority, order_date, ship_date, target FROM {MO}"
-ORACLE["drop_constant_cols"] = "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'"
+ORACLE["drop_constant_cols"] = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 ORACLE["normalize_missing_literals"] = f"SELECT * FROM {MO_NORM}"
 
 _VIOL = f"coalesce({S.parse_ts('order_date')} > {S.parse_ts('ship_date')}, false)"

@@ -41,19 +41,19 @@ def run_strategy(position: int, strategy, train: DataFrame, test: DataFrame, tar
             raise ValueError(f"mode must be 'independent' or 'fit_on_train', got {mode!r}")
     except Exception as exc:  # noqa: BLE001 -- becomes a result row
         return (position, strategy.name, False, None, None, None, None, None, None, None,
-                f"Cleaning failed: {type(exc).__name__}: {exc}"[:500])
+                f"Cleaning failed: {type(exc).__name__}: {exc}")
     try:
         tr, te = E.align_columns(tr, te, target)
     except ValueError as exc:
         return (position, strategy.name, False, None, None, None, None, None, None, 2,
-                f"Column alignment failed: {exc}"[:500])
+                f"Column alignment failed: {exc}")
     feats = [c for c in tr.columns if c != target and c not in keep]
     try:
         model = train_classifier(tr, target, feats, seed=seed)
         s = f1_accuracy(predict(model, te), target).first()
     except Exception as exc:  # noqa: BLE001
-        return (position, strategy.name, False, None, None, None, None, len(feats), 2,
-                f"Training failed: {type(exc).__name__}: {traceback.format_exc(limit=1)}"[:500])
+        return (position, strategy.name, False, None, None, None, None, None, len(feats), 2,
+                f"Training failed: {type(exc).__name__}: {traceback.format_exc(limit=1)}")
     n_tr, n_te = tr.count(), te.count()
     return (position, strategy.name, True, s["f1_score"], s["accuracy"], None, n_tr, n_te,
             len(feats), 2, None)

@@ -154,7 +154,7 @@ def q_drop_all_null_cols(spark, sf_dir):
 
 @query("drop_constant_cols")
 def q_drop_constant_cols(spark, sf_dir):
-    df = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING")
+    df = table(spark, sf_dir, "customer").withColumn("region_code", F.lit("R1"))
     out, _ = C.drop_constant_columns(df)
     return out
 

@@ -8,6 +8,20 @@ from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
+#: Text as other programs write it: doubled quotes and line breaks inside quotes.
+QUOTING = {"quote": '"', "escape": '"', "multiLine": "true"}
+
+
+def _as_in_header(spark: SparkSession, path: str, schema: T.StructType, header: bool, encoding: str = "UTF-8") -> T.StructType:
+    """The fields of ``schema`` in the order of the file's header, which binds columns
+    by name; an unknown or missing column is an error."""
+    if not header:
+        return schema
+    names = spark.read.options(header="true", encoding=encoding, **QUOTING).csv(path).columns
+    if sorted(names) != sorted(schema.fieldNames()):
+        raise ValueError(f"header {names} does not name the columns {schema.fieldNames()}")
+    return T.StructType([schema[n] for n in names])
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                header: bool = True, null_value: str | None = None,
@@ -18,16 +32,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if fmt == "csv":
         reader = reader.option("header", str(header).lower()) \
             .option("ignoreLeadingWhiteSpace", str(trim_leading).lower()) \
-            .option("ignoreTrailingWhiteSpace", "false")
+            .option("ignoreTrailingWhiteSpace", "false").options(**QUOTING)
         if null_value is not None:
             reader = reader.option("nullValue", null_value)
         if schema is None:
             reader = reader.option("inferSchema", "true")
     if schema is not None:
-        reader = reader.schema(schema)
+        reader = reader.schema(_as_in_header(spark, path, schema, header) if fmt == "csv" else schema)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load(path)
+    df = reader.load(path)
+    return df.select(*schema.fieldNames()) if schema is not None else df
 
 
 def read_with_quarantine(spark: SparkSession, path: str, schema: T.StructType,
@@ -50,13 +65,14 @@ def read_with_quarantine(spark: SparkSession, path: str, schema: T.StructType,
     if target is not None and target not in schema.fieldNames():
         record["stage_failed"] = "target_column_missing"
         return None, None, record
-    full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     stage = stage_path or shared_path(spark, "quarantine-stage")
     try:
-        parsed = (spark.read.option("header", str(header).lower()).option("mode", "PERMISSIVE")
+        fields = _as_in_header(spark, path, schema, header, encoding).fields
+        full = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
+        parsed = (spark.read.option("header", str(header).lower()).option("mode", "PERMISSIVE").options(**QUOTING)
                   .option("columnNameOfCorruptRecord", CORRUPT).option("encoding", encoding)
                   .schema(full).csv(path))
-        parsed.write.mode("overwrite").parquet(stage)
+        parsed.select(*schema.fieldNames(), CORRUPT).write.mode("overwrite").parquet(stage)
     except Exception as exc:  # noqa: BLE001 -- recorded as a stage failure
         record["stage_failed"] = "csv_read_other"
         record["error"] = f"{type(exc).__name__}: {exc}"
@@ -72,7 +88,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """A4: overwrite a table (CSV with header, or parquet)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w = w.option("header", "true")
+        w = w.option("header", "true").option("escape", '"')
     w.format(fmt).save(path)
 
 

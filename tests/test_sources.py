@@ -37,3 +37,30 @@ def test_metrics_roundtrip_and_missing(spark, tmp_path):
     assert FL.read_baseline(spark, str(tmp_path / "metrics")) == 0.5784
     with pytest.raises(FileNotFoundError):
         FL.read_baseline(spark, str(tmp_path / "nothing"))
+
+
+def test_csv_as_other_programs_write_it(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tablewright.sources.files import read_table, read_with_quarantine, write_table
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    f = tmp_path / "x.csv"
+    f.write_text('b,a\n"say ""hi"", bob",1\n"two\nlines",2\n')
+    want = [(1, 'say "hi", bob'), (2, "two\nlines")]
+    assert sorted(map(tuple, read_table(spark, str(f), schema).collect())) == want
+    good, bad, record = read_with_quarantine(spark, str(f), schema)
+    assert sorted(map(tuple, good.collect())) == want and bad.count() == 0 and "stage_failed" not in record
+    write_table(spark.createDataFrame(want, schema), str(tmp_path / "out"), "csv")
+    assert sorted(map(tuple, read_table(spark, str(tmp_path / "out"), schema).collect())) == want
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tablewright.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
