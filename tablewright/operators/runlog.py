@@ -7,16 +7,14 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Failure categories and remediation suggestions.
-FAILURE_CATEGORIES = ("agent_exhaustion", "ambiguous_data", "profile_incomplete",
-                      "sandbox_restriction", "llm_capability_limit", "unknown")
+# Failure categories and remediation suggestions that apply here.
+FAILURE_CATEGORIES = ("agent_exhaustion", "ambiguous_data", "profile_incomplete", "unknown")
 REMEDIATIONS = ("lower_parse_threshold", "add_preprocessing_rule", "inspect_data",
-                "adjust_sandbox", "escalate_to_ml_engineer", "retry_with_different_model",
-                "document_as_known_limitation")
+                "escalate_to_ml_engineer", "document_as_known_limitation")
 
 FAILURE_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
@@ -44,18 +42,18 @@ RUN_SCHEMA = T.StructType([
 ])
 
 
-def failure_row(test_name, dataset_name, n_rows, attempts_used, max_attempts,
-                failure_category="unknown", final_error_type="Unknown", final_error_message="",
-                last_traceback=None, remediation_suggestions=(), human_notes=""):
-    """G1: one typed failure record (validated categories)."""
-    if failure_category not in FAILURE_CATEGORIES:
-        raise ValueError(f"unknown failure category {failure_category!r}")
-    bad = [r for r in remediation_suggestions if r not in REMEDIATIONS]
-    if bad:
-        raise ValueError(f"unknown remediation(s) {bad}")
-    return (datetime.now(timezone.utc).isoformat(), test_name, dataset_name, int(n_rows),
-            int(attempts_used), int(max_attempts), failure_category, final_error_type,
-            final_error_message, last_traceback, list(remediation_suggestions), human_notes)
+def failure(**fields) -> Row:
+    """G1: a record of the failures table from ``fields`` named as in its schema.
+    What is left out is null, the time now, the category ``unknown``."""
+    record = dict.fromkeys(FAILURE_SCHEMA.fieldNames())
+    if stray := fields.keys() - record.keys():
+        raise ValueError(f"no such field: {sorted(stray)}")
+    record.update({"timestamp": datetime.now(timezone.utc).isoformat(), "failure_category": "unknown", **fields})
+    for name, allowed in (("failure_category", FAILURE_CATEGORIES), ("remediation_suggestions", REMEDIATIONS)):
+        given = record[name] or ()
+        if stray := {given} - set(allowed) if isinstance(given, str) else set(given) - set(allowed):
+            raise ValueError(f"{name} takes {allowed}, not {sorted(stray)}")
+    return Row(**record)
 
 
 def record_failures(spark: SparkSession, path: str, rows) -> DataFrame:

@@ -6,7 +6,7 @@ input; only one-row results (metrics, records) cross to the driver.
 
 from __future__ import annotations
 
-import time
+import traceback
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from ..operators.model import baseline_metrics
 from ..sources import files as FL
 from .cleaning import clean
 from .strategies import STRATEGY_LIBRARY
-from .sweep import strategy_sweep
+from .sweep import category_of, strategy_sweep
 
 
 def run_comparison(df: DataFrame, target: str, out_dir: str, key: str | None = None,
@@ -41,59 +41,58 @@ def run_comparison(df: DataFrame, target: str, out_dir: str, key: str | None = N
     RL.append_history(results, f"{out_dir}/runs")
     failed = [r for r in results.collect() if not r["succeeded"]]   # one row per strategy
     if failed:
-        RL.record_failures(spark, f"{out_dir}/failures", [
-            RL.failure_row(f"strategy: {r['strategy_name']}", "comparison", df.count(),
-                           r["agent_attempts_used"] or 0, r["agent_attempts_used"] or 0,
-                           "unknown", "Unknown", r["failure_reason"] or "Unknown failure")
-            for r in failed])
+        RL.record_failures(spark, f"{out_dir}/failures", [RL.failure(
+            test_name=f"strategy: {r['strategy_name']}", dataset_name="comparison", attempts_used=r["agent_attempts_used"],
+            failure_category=category_of(r["failure_reason"]), final_error_type=r["failure_reason"].split(":")[0],
+            final_error_message=r["failure_reason"]) for r in failed])
     runs = results.select(F.col("strategy_name").alias("test_id"),
                           F.when(F.col("succeeded"), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status"))
     return {"metrics": metrics, "results": results, "comparison": comparison, "status": status,
             "report": RL.run_report(runs)}
 
 
-def run_stress_test(spark: SparkSession, path: str, target: str, schema: T.StructType | None = None,
-                    strategy: str = "conservative_median", header: bool = True,
-                    wide_limit: int = 15) -> dict:
-    """Read (quarantining bad records) -> profile and its size -> clean ->
-    sanity measures on the result.  Never raises: a failing stage is named in
-    ``stage_failed``."""
-    record: dict = {"path": path, "target_column": target}
-    if schema is None:
+PROBE_SCHEMA = "stage string, status string, measure string, value string"
+
+
+def probe(spark: SparkSession, path: str, target: str, schema: T.StructType | None = None,
+          strategy: str = "conservative_median", header: bool = True, wide_limit: int = 15,
+          warn_below: float = 90.0) -> DataFrame:
+    """How far a CSV file gets: (stage, status, measure, value) rows of the stages
+    read, profile and clean.
+
+    Measures of a finished stage have status ``ok`` (``bad`` when a check fails).
+    A stage that breaks gives one ``failed`` row, whose measure says why and whose
+    value is the whole traceback, and ends the probe.
+    """
+    rows: list[tuple] = []
+    tables: dict[str, DataFrame] = {}
+
+    def read():
+        fields = schema or FL.read_table(spark, path, header=header).schema
+        tables["good"], bad, record = FL.read_with_quarantine(spark, path, fields, target=target, header=header)
+        if "stage_failed" in record:
+            return [("failed", record["stage_failed"], record.get("error"))]
+        return [("ok", "rows", tables["good"].count()), ("ok", "quarantined", bad.count())]
+
+    def describe():
+        size = profile_size(profile_issues(tables["good"], target=target), len(tables["good"].columns), wide_limit)
+        return [("ok", measure, value) for measure, value in size.first().asDict().items()]
+
+    def tidy():
+        tables["clean"] = clean(tables["good"], strategy, target=target).df
+        checks = G.run_gate(tables["good"], tables["clean"], target).collect()
+        kept = next(int(c["observed"]) for c in checks if c["check"] == "not_empty")
+        raw = next(int(value) for stage, _, measure, value in rows if (stage, measure) == ("read", "rows"))
+        share = 100.0 * kept / raw if raw else 100.0
+        found = [("ok" if c["passed"] else "bad", ":".join(filter(None, (c["check"], c["column"]))), c["observed"]) for c in checks]
+        return [*found, ("ok" if share >= warn_below else "bad", "retention_pct", round(share, 1))]
+
+    for name, stage in (("read", read), ("profile", describe), ("clean", tidy)):
         try:
-            schema = FL.read_table(spark, path, header=header).schema
-        except Exception as exc:  # noqa: BLE001
-            record.update(stage_failed="csv_read_other", error=f"{type(exc).__name__}: {exc}")
-            return record
-    good, bad, rec = FL.read_with_quarantine(spark, path, schema, target=target, header=header)
-    if "stage_failed" in rec:
-        record.update(rec)
-        return record
-    counts = good.agg(F.count(F.lit(1)).alias("n")).first()
-    record.update(n_rows=counts["n"], n_columns=len(good.columns), columns=good.columns,
-                  n_quarantined=bad.count() if bad is not None else 0)
-    try:
-        issues = profile_issues(good, target=target)
-        size = profile_size(issues, len(good.columns), wide_limit).first()
-        record.update(profile_char_count=size["n_chars"], profile_rough_token_estimate=size["n_tokens_est"],
-                      wide_table=size["wide_table"])
-    except Exception as exc:  # noqa: BLE001
-        record.update(stage_failed="profiling", error=f"{type(exc).__name__}: {exc}")
-        return record
-    start = time.time()
-    try:
-        cleaned = clean(good, strategy, target=target).df
-        gate = G.run_gate(good, cleaned, target)
-        n_clean = cleaned.count()
-    except Exception as exc:  # noqa: BLE001
-        record.update(stage_failed="cleaning", error=f"{type(exc).__name__}: {exc}",
-                      elapsed_seconds=round(time.time() - start, 1))
-        return record
-    non_numeric = G.gate_numeric(cleaned, target)
-    nulls = G.gate_nulls(cleaned, target).agg(F.coalesce(F.sum("null_count"), F.lit(0))).first()[0]
-    record.update(elapsed_seconds=round(time.time() - start, 1), cleaned_shape=[n_clean, len(cleaned.columns)],
-                  non_numeric_columns_remaining=non_numeric, nans_remaining=int(nulls),
-                  row_retention_pct=round(100.0 * n_clean / counts["n"], 1) if counts["n"] else 0.0,
-                  gate_passed=G.gate_passed(gate))
-    record["retention_warning"] = record["row_retention_pct"] < 90.0
-    return record
+            got = stage()
+        except Exception as exc:  # noqa: BLE001 -- the probe reports what broke
+            got = [("failed", type(exc).__name__, traceback.format_exc())]
+        rows += [(name, status, measure, None if value is None else str(value)) for status, measure, value in got]
+        if any(status == "failed" for status, *_ in got):
+            break
+    return spark.createDataFrame(rows, PROBE_SCHEMA)

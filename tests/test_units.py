@@ -102,14 +102,17 @@ def test_run_report_and_failures(spark, tmp_path):
     empty = RL.run_report(runs.limit(0)).first()
     assert empty["pass_rate"] == 0.0
     path = str(tmp_path / "failures")
-    RL.record_failures(spark, path, [RL.failure_row("t2", "d", 10, 5, 5, "agent_exhaustion"),
-                                     RL.failure_row("t4", "d", 10, 5, 5, "ambiguous_data", remediation_suggestions=["inspect_data"]),
-                                     RL.failure_row("t5", "d", 10, 5, 5, "agent_exhaustion")])
+    RL.record_failures(spark, path, [
+        RL.failure(test_name="t2", failure_category="agent_exhaustion", n_rows=10),
+        RL.failure(test_name="t4", failure_category="ambiguous_data", remediation_suggestions=["inspect_data"]),
+        RL.failure(test_name="t5", failure_category="agent_exhaustion")])
     back = spark.read.schema(RL.FAILURE_SCHEMA).json(path)
     cats = [(r["failure_category"], r["n_failures"]) for r in RL.failures_by_category(back).collect()]
     assert cats == [("agent_exhaustion", 2), ("ambiguous_data", 1)]
     with pytest.raises(ValueError):
-        RL.failure_row("t", "d", 1, 1, 1, "nonsense")
+        RL.failure(failure_category="nonsense")
+    with pytest.raises(ValueError):
+        RL.failure(test="t")
 
 
 def test_flagship_plan_shape(spark):
