@@ -1,8 +1,7 @@
 """Date detection and conversion expressions.
 
-Text dates are parsed with an ordered list of formats (first that parses
-wins); ``try_to_timestamp`` never raises, and a bare cast is never used for
-detection because ``cast('2024' as timestamp)`` succeeds.
+Nothing here raises on bad text, and a bare cast is never used for detection
+because ``cast('2024' as timestamp)`` succeeds.
 """
 
 from __future__ import annotations
@@ -10,27 +9,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted text date formats, tried in this order.
-DEFAULT_DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "yyyy-MM-dd HH:mm:ss")
+# The ways to write a date that are read, outer blanks aside.
+#   2024-01-05  2024/1/5  5-1-2024  2024-01-05 10:00:00.5  2024-01-05T10:00:00Z
+#   01/05/2024 (month first, or day first)  Jan 5, 2024  January 5, 2024  5 Jan 2024
+MONTH_FIRST, DAY_FIRST = "month first", "day first"
+DEFAULT_DATE_FORMATS = MONTH_FIRST
+
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_NAME = f"(?:{'|'.join(m[:3] + (f'(?:{m[3:]})?' if m[3:] else '') for m in _MONTHS)})"
+_ISO = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[ T][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]{1,9})?(?:Z|[+-][0-9]{2}:[0-9]{2})?)?$"
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Every text the default formats accept matches this (two-digit month, day and
-# time fields, a 2..19-digit year or day-first field); text that does not match
-# is never handed to the parser, whose failures are exception-driven and slow.
-DEFAULT_FORMATS_SHAPE = r"^[+-]?[0-9]{2,19}[-/][0-9]{2}[-/][0-9]{2,19}( [0-9]{2}:[0-9]{2}:[0-9]{2})?$"
+def _first_match(text: Column, pattern: str) -> Column:
+    """The part of ``text`` that matches, else NULL, naming ``text`` once."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(1))
 
 
 def parse_timestamp(c, formats=DEFAULT_DATE_FORMATS) -> Column:
-    """First successful parse among ``formats``; NULL when none parses."""
-    col = _col(c)
-    parsed = F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats])
-    if tuple(formats) == DEFAULT_DATE_FORMATS:
-        return F.when(col.rlike(DEFAULT_FORMATS_SHAPE), parsed)
-    return parsed
+    """The time that a text tells, each value by its own format; NULL when it tells
+    none.  ``formats`` is MONTH_FIRST, DAY_FIRST or a list of datetime patterns, of
+    which the first that parses wins.
+
+    Texts are brought to ISO order by replacements that each name their input once, so
+    that a derived column is not computed over for every format, and only text of
+    the right shape is cast."""
+    text = F.trim(_col(c).cast("string"))
+    if formats not in (MONTH_FIRST, DAY_FIRST):
+        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    iso = F.regexp_replace(text, r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", "$3-$2-$1")
+    slashes = "$3-$1-$2" if formats == MONTH_FIRST else "$3-$2-$1"
+    iso = F.regexp_replace(iso, r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", slashes)
+    named = F.regexp_replace(text, rf"(?i)^(?={_NAME} )([a-z]{{3}})[a-z]* ([0-9]{{1,2}}), ([0-9]{{4}})$", "$2 $1 $3")
+    named = _first_match(named, rf"(?i)^[0-9]{{1,2}} (?={_NAME} )[a-z]{{3}} [0-9]{{4}}$")
+    return F.coalesce(_first_match(iso, _ISO).try_cast("timestamp"), F.try_to_timestamp(named, F.lit("d MMM yyyy")))
 
 
 def to_epoch_seconds(c, formats=DEFAULT_DATE_FORMATS, is_text: bool = True) -> Column:

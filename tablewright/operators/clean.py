@@ -14,13 +14,12 @@ from ..functions.dates import DEFAULT_DATE_FORMATS, parse_timestamp, to_epoch_se
 from ..functions.numeric import as_double, is_numeric, is_text
 from ..functions.text import (DEFAULT_MISSING_LITERALS, normalize_missing_expr,
                               normalize_text_expr, spelling_key_expr)
+from ..session import shared_path
 from .freq import mode_per_column, topk, value_freq
 from .profile import iqr_bounds, medians, quartiles
 
 # The label used for grouped rare categories.
 OTHER = "other"
-# A broadcast mapping table is never larger than this many rows.
-MAX_BROADCAST_ROWS = 1_000_000
 
 
 def _types(df):
@@ -91,18 +90,18 @@ def normalize_missing(df: DataFrame, cols=None, literals=DEFAULT_MISSING_LITERAL
     return df.withColumns(repl) if repl else df
 
 
-def date_violation_expr(before: str, after: str, formats=DEFAULT_DATE_FORMATS, text=True):
-    b = parse_timestamp(before, formats) if text else F.col(before)
-    a = parse_timestamp(after, formats) if text else F.col(after)
+def date_violation_expr(df: DataFrame, before: str, after: str, formats=DEFAULT_DATE_FORMATS):
+    """Text sides are parsed; the others are dates or timestamps already."""
+    dts = _types(df)
+    b, a = (parse_timestamp(c, formats) if is_text(dts[c]) else F.col(c).cast("timestamp") for c in (before, after))
     return F.coalesce(b > a, F.lit(False))
 
 
 def drop_date_violations(df: DataFrame, before: str, after: str, mode: str = "drop",
-                         formats=DEFAULT_DATE_FORMATS, flag_col: str = "date_order_violation",
-                         text: bool = True) -> DataFrame:
+                         formats=DEFAULT_DATE_FORMATS, flag_col: str = "date_order_violation") -> DataFrame:
     """Rows where ``before`` is after ``after`` are dropped (or flagged);
     rows with either side missing or unparseable are kept."""
-    bad = date_violation_expr(before, after, formats, text)
+    bad = date_violation_expr(df, before, after, formats)
     if mode == "drop":
         return df.filter(~bad)
     if mode == "flag":
@@ -154,35 +153,29 @@ def canonical_map(vf: DataFrame, mode: str = "exact") -> DataFrame:
             .select("column", "value", "canonical"))
 
 
-def apply_map(df: DataFrame, mapping: DataFrame, cols, bounded: bool = False) -> DataFrame:
-    """Replace values by their canonical form with a left join per
-    column against the mapping table, broadcast only when its size is known
-    to be bounded (built from a listed ``value_freq``) or checked here."""
+def stored_map(mapping: DataFrame) -> DataFrame:
+    """``mapping`` written to the shared folder by column, so that the planner knows
+    the size of each column's part and broadcasts it only below its threshold."""
+    spark = mapping.sparkSession
+    path = shared_path(spark, "spellings")
+    mapping.select("column", "value", "canonical").write.partitionBy("column").parquet(path)
+    return spark.read.schema("value string, canonical string, column string").parquet(path)
+
+
+def apply_map(df: DataFrame, mapping: DataFrame, cols) -> DataFrame:
+    """Replace values by their canonical form with a left join per column
+    against the mapping table, whose size the planner judges."""
     out = df
     for c in cols:
-        m = mapping.filter(F.col("column") == c).select(F.col("value").alias("__v"),
-                                                       F.col("canonical").alias("__canon"))
-        if not bounded:
-            n = m.limit(MAX_BROADCAST_ROWS + 1).count()
-            if n == 0:
-                continue
-            if n > MAX_BROADCAST_ROWS:   # too large to broadcast: shuffle join
-                out = (out.join(m, out[c] == m["__v"], "left")
-                       .withColumn(c, F.coalesce(F.col("__canon"), F.col(c))).drop("__v", "__canon"))
-                continue
-        out = (out.join(F.broadcast(m), out[c] == m["__v"], "left")
-               .withColumn(c, F.coalesce(F.col("__canon"), F.col(c)))
-               .drop("__v", "__canon"))
+        m = mapping.filter(F.col("column") == c).select(F.col("value").alias("__v"), F.col("canonical").alias("__canon"))
+        out = (out.join(m, out[c] == m["__v"], "left")
+               .withColumn(c, F.coalesce(F.col("__canon"), F.col(c))).drop("__v", "__canon"))
     return out
 
 
-def merge_spellings(df: DataFrame, cols, mode: str = "exact", bounded: bool = False) -> DataFrame:
-    """C4: map spelling variants to one canonical value.  ``bounded`` says the
-    columns' distinct counts are known to be small (profile-listed)."""
-    if not cols:
-        return df
-    mapping = canonical_map(value_freq(df, cols), mode)
-    return apply_map(df, mapping, cols, bounded=bounded)
+def merge_spellings(df: DataFrame, cols, mode: str = "exact") -> DataFrame:
+    """C4: map spelling variants to one canonical value."""
+    return apply_map(df, canonical_map(value_freq(df, cols), mode), cols) if cols else df
 
 
 # ------------------------------------------------------- numeric statistics

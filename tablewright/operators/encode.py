@@ -14,22 +14,20 @@ from pyspark.sql import functions as F
 
 from .freq import value_freq
 
-# Refuse to one-hot a column with more categories than this.
-MAX_CATEGORIES = 1000
-
 
 def feature_name(col: str, value: str) -> str:
     """``col_value`` with every character outside [0-9A-Za-z_] replaced by '_'."""
     return re.sub(r"[^0-9A-Za-z_]", "_", f"{col}_{value}")
 
 
-def fit_one_hot(df: DataFrame, cols, max_categories: int = MAX_CATEGORIES) -> dict:
-    """Sorted non-null vocabulary of every column."""
+def fit_one_hot(df: DataFrame, cols, max_categories: int | None = None) -> dict:
+    """Sorted non-null vocabulary of every column; with ``max_categories`` a wider
+    column is an error."""
     if not cols:
         return {}
     vf = value_freq(df, cols)
     counts = {r["column"]: r["d"] for r in vf.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
-    too_wide = {c: n for c, n in counts.items() if n > max_categories}
+    too_wide = {c: n for c, n in counts.items() if max_categories is not None and n > max_categories}
     if too_wide:
         raise ValueError(f"too many categories to one-hot (group rare values first): {too_wide}")
     vocab: dict = {c: [] for c in cols}

@@ -37,7 +37,7 @@ def profile_issues(df: DataFrame, target: str | None = None, threshold: float =
                 rows.append(("missing", c, s["null_count"]))
             if s.get("outliers"):
                 rows.append(("outliers", c, s["outliers"]))
-        fuzzy_cols = [c for c in prof.text_columns if c in prof.listed_text_columns and c != target]
+        fuzzy_cols = [c for c in prof.text_columns if c != target]
         if fuzzy_cols:
             vf = prof.value_freq.filter(F.col("column").isin(fuzzy_cols))
             counts = (greedy_clusters(similar_pairs(vf, threshold))

@@ -27,8 +27,6 @@ from .freq import first_values, value_freq
 IQR_MULTIPLIER = 1.5
 MAX_SAMPLE_VALUES = 8
 DATE_MIN_PARSE_RATE = 0.9
-# Text columns above this many distinct values are counted, not listed.
-MAX_DISTINCT = 10_000
 
 COLUMN_PROFILE_SCHEMA = T.StructType([
     T.StructField("column", T.StringType()),
@@ -48,6 +46,7 @@ COLUMN_PROFILE_SCHEMA = T.StructType([
     T.StructField("lower_bound", T.DoubleType()),
     T.StructField("upper_bound", T.DoubleType()),
     T.StructField("outlier_count", T.LongType()),
+    T.StructField("distinct_approx", T.BooleanType()),
 ])
 
 
@@ -66,7 +65,6 @@ class Profile:
     stats: dict                      # column -> dict of statistics
     date_columns: list
     text_columns: list               # non-date text columns
-    listed_text_columns: list        # text columns small enough for value_freq
     n_duplicate_rows: int | None
     date_conflicts: list = field(default_factory=list)
     value_freq: DataFrame | None = None
@@ -81,7 +79,8 @@ class Profile:
             rows.append((c, i, self.dtypes[c], s["kind"] == "text", c == self.target,
                          c in self.date_columns, s["null_count"], s["null_pct"], s["n_unique"],
                          s.get("min"), s.get("max"), s.get("mean"), s.get("q1"), s.get("q3"),
-                         s.get("lower"), s.get("upper"), s.get("outliers")))
+                         s.get("lower"), s.get("upper"), s.get("outliers"),
+                         s.get("distinct_approx", False)))
         return spark.createDataFrame(rows, COLUMN_PROFILE_SCHEMA)
 
     def unpersist(self):
@@ -138,7 +137,7 @@ def iqr_bounds(q1, q3, mult):
 
 def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULTIPLIER,
             quantile_mode: str = "exact", distinct_mode: str = "exact",
-            max_distinct: int = MAX_DISTINCT, date_formats=DEFAULT_DATE_FORMATS,
+            date_formats=DEFAULT_DATE_FORMATS,
             date_min_rate: float = DATE_MIN_PARSE_RATE, order_by: str | None = None,
             with_duplicates: bool = True, persist_freq: bool = True,
             with_quantiles: bool = True) -> Profile:
@@ -147,14 +146,14 @@ def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULT
     require_target(df, target)
     df, cached = persist_if_small(df)      # several passes follow; hold it only if small
     try:
-        return _profile(df, target, iqr_mult, quantile_mode, distinct_mode, max_distinct, date_formats,
+        return _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
                         date_min_rate, order_by, with_duplicates, persist_freq, with_quantiles)
     finally:
         if cached:
             df.unpersist()
 
 
-def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, max_distinct, date_formats,
+def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
              date_min_rate, order_by, with_duplicates, persist_freq, with_quantiles) -> Profile:
     cols = [c for c in df.columns if c != order_by]
     dts = {f.name: f.dataType for f in df.schema.fields}
@@ -172,9 +171,8 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, max_distinct, d
             exprs += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
                       F.avg(v).alias(f"avg{i}"), F.count(v).alias(f"cnt{i}")]
         if kinds[c] == "text":
-            exprs.append(F.approx_count_distinct(c).alias(f"acd{i}"))
             exprs.append(F.count(parse_timestamp(c, date_formats)).alias(f"dat{i}"))
-        if distinct_mode == "approx" and kinds[c] in ("numeric", "temporal"):
+        if distinct_mode == "approx" and kinds[c] != "other":
             exprs.append(F.approx_count_distinct(c).alias(f"acd{i}"))
     row = df.agg(*exprs).first()
     n = row["__n"]
@@ -200,24 +198,21 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, max_distinct, d
     # The remaining passes are independent Spark jobs: submit them together so
     # the scheduler overlaps them (each is a scan + partial aggregate).
     nt = numeric + temporal
-    listed = [c for i, c in enumerate(cols) if kinds[c] == "text" and row[f"acd{i}"] <= max_distinct]
-    for i, c in enumerate(cols):
-        if kinds[c] == "text" and c not in listed:
-            stats[c]["n_unique"] = int(row[f"acd{i}"])
-            stats[c]["distinct_approx"] = True
-        if distinct_mode == "approx" and c in nt:
-            stats[c]["n_unique"] = int(row[f"acd{i}"])
+    if distinct_mode == "approx":
+        for i, c in enumerate(cols):
+            if kinds[c] != "other":
+                stats[c].update(n_unique=int(row[f"acd{i}"]), distinct_approx=True)
 
     def distinct_job():
         if not nt or distinct_mode == "approx":
             return {}
-        # DOUBLE is exact below 2^53; wider integral values are counted as text
-        wide = [c for c in numeric if isinstance(dts[c], (T.LongType, T.DecimalType)) and
+        # DOUBLE is exact below 2^53; decimals and wider integral values are counted as text
+        wide = [c for c in numeric if isinstance(dts[c], T.DecimalType) or isinstance(dts[c], T.LongType) and
                 max(abs(stats[c]["min"] or 0), abs(stats[c]["max"] or 0)) >= 2.0 ** 53]
         narrow = [c for c in nt if c not in wide]
         parts = []
         if narrow:
-            parts.append(numeric_long(df, narrow).select("column", F.col("v").cast("string").alias("v")))
+            parts.append(numeric_long(df, narrow).select("column", (F.col("v") + F.lit(0.0)).cast("string").alias("v")))
         if wide:
             proj = df.select(*[F.col(c).cast("string").alias(c) for c in wide])
             parts.append(proj.unpivot([], wide, "column", "v"))
@@ -226,9 +221,11 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, max_distinct, d
                 .agg(F.countDistinct("v").alias("d")).collect()}
 
     def freq_job():
-        if not listed:
+        if not text:
             return None, {}
-        vf = value_freq(df, listed, order_by)
+        vf = value_freq(df, text, order_by)
+        if distinct_mode == "approx":
+            return vf, {}
         if persist_freq:
             vf = vf.persist()
         got = {r["column"]: r["d"] for r in vf.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
@@ -266,18 +263,18 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, max_distinct, d
     with ThreadPoolExecutor(max_workers=5) as pool:
         futs = [pool.submit(f) for f in (distinct_job, freq_job, quartile_job, duplicate_job, conflict_job)]
         distinct, (vf, text_counts), qstats, n_dup, conflicts = [f.result() for f in futs]
-    for c in nt:
-        if distinct_mode != "approx":
+    if distinct_mode != "approx":
+        for c in nt:
             stats[c]["n_unique"] = int(distinct.get(c, 0))
-    for c in listed:
-        stats[c]["n_unique"] = int(text_counts.get(c, 0))
+        for c in text:
+            stats[c]["n_unique"] = int(text_counts.get(c, 0))
     for c, d in qstats.items():
         stats[c].update(d)
 
     return Profile(n_rows=n, columns=cols, dtypes={c: dts[c].simpleString() for c in cols},
                    target=target, stats=stats, date_columns=date_cols,
                    text_columns=[c for c in text if c not in date_cols],
-                   listed_text_columns=listed, n_duplicate_rows=n_dup, value_freq=vf,
+                   n_duplicate_rows=n_dup, value_freq=vf,
                    date_conflicts=conflicts)
 
 
@@ -318,11 +315,11 @@ def column_profile(df: DataFrame, target: str | None = None, **kw) -> DataFrame:
         "n_unique",
         *[round_half_up(c, 2).alias(c) for c in ("min_value", "max_value", "mean_value")],
         *[round_half_up(c, 4).alias(c) for c in ("q1", "q3", "lower_bound", "upper_bound")],
-        "outlier_count")
+        "outlier_count", *(["distinct_approx"] if kw.get("distinct_mode") == "approx" else []))
 
 
 def sample_values(prof: Profile, k: int = MAX_SAMPLE_VALUES) -> DataFrame:
-    """First k distinct values of each listed text column."""
+    """First k distinct values of each text column."""
     return first_values(prof.value_freq, k)
 
 
@@ -351,11 +348,18 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def distinct_profile(df: DataFrame) -> DataFrame:
-    """Exact distinct non-null count per column: every column unpivoted to
-    text, then ONE distinct aggregate keyed by (column, value) -- instead of N
+    """Exact distinct count per column of the values that are neither null nor
+    NaN (0.0 and -0.0 are one value): every column unpivoted to text, then ONE distinct aggregate keyed by (column, value) -- instead of N
     count-distincts, which plan an Expand xN."""
     cols = list(df.columns)
-    proj = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    dts = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(c):
+        if isinstance(dts[c], (T.FloatType, T.DoubleType)):
+            return F.when(~F.isnan(c), (as_double(c, dts[c]) + F.lit(0.0)).cast("string"))
+        return F.col(c).cast("string")
+
+    proj = df.select(*[text(c).alias(c) for c in cols])
     long = proj.unpivot([], cols, "column", "value").filter(F.col("value").isNotNull())
     got = long.groupBy("column").agg(F.countDistinct("value").alias("n_unique"))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")

@@ -41,9 +41,10 @@ def test_quotas(class_counts: dict, test_size: float) -> dict:
 def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42,
                      key: str | None = None, split_col: str = "split") -> DataFrame:
     """Adds ``split`` ('train' | 'test').  ``key`` is a row key; without
-    one the row content is the key (valid after full-row dedup), so equal rows
-    always land on the same side.  Test rows of a class are its ``quota``
-    smallest (hash, key) pairs."""
+    one the row content is the key, and equal rows always land on the same side:
+    the group at a class's boundary goes whole to the side that brings the number
+    of test rows nearer to its quota (ties: test).  Otherwise test rows of a class
+    are exactly its ``quota`` smallest (hash, key) pairs."""
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found in columns: {df.columns}")
     key_expr = F.col(key) if key else row_content_key(df.columns)
@@ -66,6 +67,9 @@ def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: i
             continue
         value, n_less, n_equal = cut[(c, q - 1)]
         need = q - n_less                       # rows to take among those equal to the cut
+        if key is None:
+            rows.append((c, int(value) if n_equal - need <= need else int(value) - 1, need, False))
+            continue
         rank_ties = need < n_equal
         tied = tied or rank_ties
         rows.append((c, int(value), need, rank_ties))

@@ -449,3 +449,12 @@ SELECT position, strategy_name,
   CASE WHEN succeeded AND f1_score IS NOT NULL THEN f1_score >= b.base END AS beat_baseline,
   CASE WHEN NOT succeeded THEN coalesce(failure_reason, 'Unknown failure') END AS failure_reason
 FROM r, b"""
+
+# ------------------------------------------- wide text, content split, mixed dates
+ORACLE["merge_spellings_wide"] = f"SELECT o_orderkey, code FROM {canonical_sql(S.spelled_orders_sql(), 'code')}"
+ORACLE["column_profile_wide"] = S.column_profile_sql(S.spelled_orders_sql(), [
+    ("o_orderkey", "bigint", "numeric"), ("o_totalprice", "double", "numeric"), ("code", "string", "text")])
+ORACLE["split_by_content"] = f"SELECT * FROM {S.content_split_sql('events', ['event_type', 'user_id'], 'event_type')}"
+ORACLE["detect_mixed_dates"] = f"""SELECT 'written' AS "column", {S.rhu('count(told) / CAST(count(*) AS DOUBLE)', 4)} AS parse_rate,
+  count(told) / CAST(count(*) AS DOUBLE) >= 0.9 AS is_date FROM {S.mixed_dates_sql()}"""
+ORACLE["mixed_dates_to_epoch"] = f"SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', told) AS DOUBLE) * 86400 AS written FROM {S.mixed_dates_sql()}"

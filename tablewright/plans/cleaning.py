@@ -112,10 +112,8 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
 
     text_cols = [c for c in prof.text_columns if c not in skip and c not in dead + const]
     add("normalize_text", text_cols, lambda d: C.normalize_text(d, text_cols))
-    # spelling maps only for columns whose distinct values are bounded (listed)
-    mergeable = [c for c in text_cols if c in prof.listed_text_columns]
-    if mergeable:
-        vf = C.value_freq(out, mergeable)
+    if text_cols:
+        vf = C.value_freq(out, text_cols)
         if merge == "exact":
             mapping_df = C.canonical_map(vf)
         elif merge == "fuzzy":
@@ -123,19 +121,17 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
             mapping_df = cluster_map(greedy_clusters(similar_pairs(vf, fuzzy_threshold)), vf)
         else:
             raise ValueError(f"merge must be 'exact' or 'fuzzy', got {merge!r}")
-        rows = mapping_df.collect()   # bounded: listed columns only
-        mapping = df.sparkSession.createDataFrame(rows, "column string, value string, canonical string")
-        add("merge_spellings", len(rows), lambda d: C.apply_map(d, mapping, mergeable, bounded=True))
+        mapping = C.stored_map(mapping_df)
+        add("merge_spellings", mapping.count(), lambda d: C.apply_map(d, mapping, text_cols))
 
     date_cols = [c for c in prof.date_columns if c not in skip and c not in dead]
     for d in date_order_conflicts(out, date_cols, date_formats):
         # the majority direction is the logical order; the minority rows violate it
         before, after = ((d["col_a"], d["col_b"]) if d["b_after_a"] >= d["a_after_b"]
                          else (d["col_b"], d["col_a"]))
-        text = prof.stats[before]["kind"] == "text"
         add("date_violations", (before, after, violation_mode),
-            lambda x, b=before, a=after, t=text: C.drop_date_violations(
-                x, b, a, mode=violation_mode, formats=date_formats, text=t, flag_col=f"{b}_after_{a}"))
+            lambda x, b=before, a=after: C.drop_date_violations(
+                x, b, a, mode=violation_mode, formats=date_formats, flag_col=f"{b}_after_{a}"))
     if date_cols:
         epoch = C.dates_to_epoch(out, date_cols, date_formats, fill=None)
         meds = C.fit_numeric_stats(epoch, date_cols, "median", quantile_mode)

@@ -214,6 +214,29 @@ def q_apply_canonical_map(spark, sf_dir):
     return C.merge_spellings(_mo_norm(spark, sf_dir), ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
 
 
+@query("merge_spellings_wide")
+def q_merge_spellings_wide(spark, sf_dir):
+    """Spelling merge of a column with more distinct values than orders."""
+    return C.merge_spellings(M.spelled_orders(spark, sf_dir), ["code"]).select("o_orderkey", "code")
+
+
+@query("column_profile_wide")
+def q_column_profile_wide(spark, sf_dir):
+    """Profile of a table whose text column has more distinct values than orders."""
+    return P.column_profile(M.spelled_orders(spark, sf_dir))
+
+
+@query("detect_mixed_dates")
+def q_detect_mixed_dates(spark, sf_dir):
+    """Parse rate of a column that mixes six ways to write its dates."""
+    return P.detect_date_columns(M.mixed_dates(spark, sf_dir).select("written"))
+
+
+@query("mixed_dates_to_epoch")
+def q_mixed_dates_to_epoch(spark, sf_dir):
+    return C.dates_to_epoch(M.mixed_dates(spark, sf_dir), ["written"], fill=None)
+
+
 def _r4_cols(df, cols):
     from .functions.numeric import round_half_up
     return df.withColumns({c: round_half_up(F.col(c).cast("double"), 4) for c in cols})
@@ -319,6 +342,12 @@ def q_stratified_split(spark, sf_dir):
     return _labels_split(spark, sf_dir)
 
 
+@query("split_by_content")
+def q_split_by_content(spark, sf_dir):
+    """Split without a key: equal rows stay together."""
+    return SP.stratified_split(table(spark, sf_dir, "events").select("event_type", "user_id"), "event_type", 0.2, 42)
+
+
 @query("split_row_reconcile")
 def q_split_row_reconcile(spark, sf_dir):
     return SP.split_reconcile(table(spark, sf_dir, "labels"), _labels_split(spark, sf_dir))

@@ -70,3 +70,24 @@ def messy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = inject.inject_nulls(df, ["event_type", "value"], NULL_RATE, k)
     df = inject.inject_outliers(df, "value", OUTLIER_RATE, OUTLIER_FACTOR, k)
     return inject.inject_duplicates(df, DUPLICATE_RATE, k)
+
+
+def spelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rows an order, whose ``code`` is spelled in two ways (odd keys) or three:
+    a text column with more distinct values than there are orders."""
+    k = F.col("o_orderkey").cast("string")
+    odd = F.col("o_orderkey") % 2 == 1
+    spellings = F.array(F.concat(F.lit("Ref "), k), F.when(odd, F.concat(F.lit("Ref "), k)).otherwise(F.concat(F.lit("ref_"), k)),
+                        F.concat(F.lit("REF-"), k))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.explode(spellings).alias("code"))
+
+
+def mixed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` with o_orderdate written in six ways, by o_orderkey; every seventh
+    key has a text that is no date."""
+    d, way = F.to_date("o_orderdate"), F.col("o_orderkey") % 7
+    written = (F.when(way == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).when(way == 1, F.date_format(d, "MM/dd/yyyy"))
+               .when(way == 2, F.date_format(d, "MMM d, yyyy")).when(way == 3, F.date_format(d, "yyyy-M-d"))
+               .when(way == 4, F.concat(F.lit(" "), F.date_format(d, "yyyy-MM-dd"), F.lit(" "))).when(way == 5, F.date_format(d, "yyyy-MM-dd HH:mm:ss.SSS"))
+               .otherwise(F.lit("not known")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", written.alias("written"))

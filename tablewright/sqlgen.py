@@ -147,3 +147,31 @@ sp_q AS (SELECT cls, base + CASE WHEN rk <= extra THEN 1 ELSE 0 END AS quota FRO
 sp_rn AS (SELECT sp_h.*, row_number() OVER (PARTITION BY {target} ORDER BY __h, __k) AS __rn FROM sp_h)
 SELECT sp_rn.* EXCLUDE (__h, __k, __rn), CASE WHEN __rn <= quota THEN 'test' ELSE 'train' END AS split
 FROM sp_rn JOIN sp_q ON sp_rn.{target} IS NOT DISTINCT FROM sp_q.cls)"""
+
+
+def spelled_orders_sql() -> str:
+    """SQL twin of sources.messy.spelled_orders."""
+    return """(SELECT o_orderkey, o_totalprice, unnest(['Ref ' || o_orderkey,
+  CASE WHEN o_orderkey % 2 = 1 THEN 'Ref ' || o_orderkey ELSE 'ref_' || o_orderkey END, 'REF-' || o_orderkey]) AS code FROM orders)"""
+
+
+def content_split_sql(view: str, cols: list, target: str, seed: int = 42, test_size: float = 0.2) -> str:
+    """SQL twin of operators.split.stratified_split without a key, for columns that
+    are never null: groups of equal rows in hash order, the one at the quota going
+    to the nearer side."""
+    key = " || chr(1) || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"""(WITH g AS (SELECT {', '.join(cols)}, count(*) AS n, {h52('(' + key + ')', str(seed))} AS h FROM {view} GROUP BY {', '.join(cols)}),
+c AS (SELECT {target} AS cls, sum(n) AS n_c FROM g GROUP BY {target}),
+t AS (SELECT sum(n_c) AS n, CAST(ceil({test_size} * sum(n_c)) AS BIGINT) AS t FROM c),
+b AS (SELECT cls, (t * n_c) // n AS base, (t * n_c) % n AS rem, t FROM c, t),
+q AS (SELECT cls, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, cls) <= t - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM b),
+p AS (SELECT g.*, quota, sum(n) OVER (PARTITION BY {target} ORDER BY h) AS upto FROM g JOIN q ON g.{target} = q.cls),
+s AS (SELECT *, upto <= quota OR (upto - n < quota AND upto - quota <= quota - (upto - n)) AS is_test FROM p)
+SELECT {', '.join('v.' + c for c in cols)}, CASE WHEN is_test THEN 'test' ELSE 'train' END AS split
+FROM {view} v JOIN s ON {' AND '.join(f'v.{c} = s.{c}' for c in cols)})"""
+
+
+def mixed_dates_sql() -> str:
+    """SQL twin of sources.messy.mixed_dates, with the date the text tells."""
+    d = "CAST(o_orderdate AS DATE)"
+    return f"""(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE {d} END AS told FROM orders)"""

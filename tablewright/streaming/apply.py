@@ -15,21 +15,29 @@ def clean_stream(stream: DataFrame, plan: FittedPlan, event_time: str | None = N
     are dropped within the watermark (bounded state) instead of globally."""
     out = stream
     if event_time is not None:
+        for step in plan.steps:      # as in the plan, copies are told after missing literals are null
+            if step.name == "normalize_missing":
+                out = step.fn(out)
         out = out.withWatermark(event_time, delay).dropDuplicatesWithinWatermark()
     return plan.transform(out, streaming=True)
 
 
-def gated_writer(plan: FittedPlan, out_path: str, gate_path: str, fmt: str = "parquet"):
-    """A ``foreachBatch`` function: clean the micro-batch, run the gate on it,
-    append the gate rows (with the batch id) and append the batch only when
-    the gate passes.  Idempotent per batch id on replay (gate rows carry it)."""
+def gated_writer(plan: FittedPlan, out_path: str, gate_path: str, fmt: str = "parquet",
+                 rejected_path: str | None = None):
+    """A ``foreachBatch`` function: clean the micro-batch, run the gate on it and write
+    the gate rows, then the cleaned batch when it passes, else the batch as it came to
+    ``rejected_path`` (``<out_path>-rejected``).  Every batch id has a folder of its own
+    that a replay overwrites."""
+    rejected = rejected_path or out_path.rstrip("/") + "-rejected"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         cleaned = plan.transform(batch).persist()
         try:
-            report = run_gate(batch, cleaned, plan.target).withColumn("batch_id", F.lit(batch_id))
-            report.write.mode("append").parquet(gate_path)
-            if report.filter(~F.col("passed")).limit(1).count() == 0:
-                cleaned.write.mode("append").format(fmt).save(f"{out_path}/batch_id={batch_id}")
+            report = run_gate(batch, cleaned, plan.target)
+            report.write.mode("overwrite").parquet(f"{gate_path}/batch_id={batch_id}")
+            passed = report.filter(~F.col("passed")).limit(1).count() == 0
+            frame, folder = (cleaned, out_path) if passed else (batch, rejected)
+            frame.write.mode("overwrite").format(fmt).save(f"{folder}/batch_id={batch_id}")
         finally:
             cleaned.unpersist()
     return write

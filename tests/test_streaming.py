@@ -45,3 +45,20 @@ def test_clean_stream_dedups_within_watermark(spark, tmp_path):
     res = spark.read.parquet(str(tmp_path / "out"))
     assert res.count() == 40                      # copies dropped within the watermark
     assert res.filter(F.col("v").isNull()).count() == 0
+
+
+def test_replayed_and_rejected_batches(spark, tmp_path):
+    from tablewright.streaming.apply import gated_writer
+    schema = "age double, kind string, target int"
+    good = spark.createDataFrame([(20.0 + i % 7, "ab"[i % 2], i % 2) for i in range(40)], schema)
+    plan, cleaned = fit_clean(good, "conservative_median", target="target")
+    write = gated_writer(plan, str(tmp_path / "out"), str(tmp_path / "gate"))
+    plan.steps = [s for s in plan.steps if s.name != "drop_duplicates_final" and s.name != "drop_duplicates"]
+    single = good.dropDuplicates()
+    for _ in range(2):
+        write(single, 0)          # a replay writes the same folder again
+    write(good, 1)                # duplicates stay, so the gate rejects it
+    assert spark.read.parquet(str(tmp_path / "out")).count() == single.count()
+    assert spark.read.parquet(str(tmp_path / "out-rejected")).where("batch_id = 1").count() == 40
+    gate = spark.read.parquet(str(tmp_path / "gate"))
+    assert gate.where("NOT passed").select("batch_id", "check").collect() == [(1, "duplicates")]

@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions.quantiles import exact_quantiles
+from tablewright.operators import clean as C
 from tablewright.operators import compare as CP
 from tablewright.operators import fuzzy as FZ
 from tablewright.operators import gate as G
 from tablewright.operators import runlog as RL
+from tablewright.operators import split as SP
 from tablewright.operators.freq import value_freq
 from tablewright.plans.strategies import STRATEGY_LIBRARY, get_strategy
 
@@ -269,3 +271,55 @@ def test_injection_rates_and_label_balance(spark):
     lab = I.label_from_score(o, {"o_totalprice": 0.00003, "o_custkey": 0.001}, "o_orderkey")
     ones = lab.filter(F.col("label") == 1).count()
     assert abs(ones - n / 2) <= 1                          # strictly above the exact median
+
+
+def test_dates_are_read_each_by_its_own_format(spark):
+    from tablewright.functions.dates import DAY_FIRST, parse_timestamp
+    told = {"2024-01-05": "2024-01-05 00:00:00", "2024-1-5": "2024-01-05 00:00:00", " 2024/01/05 ": "2024-01-05 00:00:00",
+            "05-01-2024": "2024-01-05 00:00:00", "2024-01-05T10:00:00": "2024-01-05 10:00:00",
+            "2024-01-05T10:00:00+02:00": "2024-01-05 08:00:00", "2024-01-05 10:00:00.5": "2024-01-05 10:00:00.5",
+            "01/05/2024": "2024-01-05 00:00:00", "Jan 5, 2024": "2024-01-05 00:00:00", "january 5, 2024": "2024-01-05 00:00:00",
+            "5 JAN 2024": "2024-01-05 00:00:00", "13/05/2024": None, "2024": None, "2024-01": None, "2024-02-30": None,
+            "Janch 5, 2024": None, "12:30:00": None, "": None, "n/a": None}
+    df = spark.createDataFrame([(k,) for k in told] + [(None,)], "t string")
+    got = {r[0]: r[1] for r in df.select("t", parse_timestamp("t").cast("string")).collect()}
+    assert got == {**told, None: None}
+    day = df.where("t = '13/05/2024'").select(parse_timestamp("t", DAY_FIRST).cast("string"), parse_timestamp("t", ["dd/MM/yyyy"]).cast("string"))
+    assert tuple(day.first()) == ("2024-05-13 00:00:00",) * 2
+
+
+def test_date_violations_with_a_kind_per_side(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.date(2024, 1, 5), "2024-01-04"), (dt.date(2024, 1, 5), "unknown"), (dt.date(2024, 1, 5), "Jan 6, 2024")], "a date, b string")
+    assert C.drop_date_violations(df, "a", "b").count() == 2 and C.drop_date_violations(df, "b", "a").count() == 2
+
+
+def test_distinct_counts_of_zeros_nans_and_decimals(spark):
+    from decimal import Decimal
+    from tablewright.operators.profile import distinct_profile, profile
+    rows = [(0.0, Decimal("1234567890123456789.00000000001")), (-0.0, Decimal("1234567890123456789.00000000002")), (float("nan"), None), (None, None)]
+    df = spark.createDataFrame(rows, "x double, d decimal(30,11)")
+    assert {r["column"]: r["n_unique"] for r in distinct_profile(df).collect()} == {"x": 1, "d": 2}
+    assert {c: s["n_unique"] for c, s in profile(df).stats.items()} == {"x": 1, "d": 2}
+
+
+def test_keyless_split_keeps_equal_rows_together(spark):
+    df = spark.createDataFrame([(1, "a")] * 10 + [(i, "a") for i in range(2, 42)] + [(7, "b")] * 9, "v int, target string")
+    out = SP.stratified_split(df, "target", 0.2, 42)
+    assert out.count() == 59
+    assert out.groupBy("v", "target").agg(F.countDistinct("split").alias("s")).where("s > 1").count() == 0
+
+
+def test_gate_with_very_many_labels(spark):
+    df = spark.range(25000).select(F.col("id").alias("target"), F.col("id").cast("double").alias("x"))
+    rows = {r["check"]: r for r in G.run_gate(df, df.withColumn("target", F.col("target") + 100), "target").collect()}
+    assert rows["target_values"]["observed"] == "100" and not rows["target_values"]["passed"]
+    assert {r["check"]: r for r in G.run_gate(df, df, "target").collect()}["target_values"]["passed"]
+
+
+def test_profile_counts_distincts_exactly_unless_told_otherwise(spark):
+    from tablewright.operators.profile import column_profile
+    df = spark.range(30000).select(F.concat(F.lit("v"), F.col("id")).alias("t"))
+    exact = column_profile(df).first()
+    assert exact["n_unique"] == 30000 and "distinct_approx" not in exact
+    assert column_profile(df, distinct_mode="approx").first()["distinct_approx"]
