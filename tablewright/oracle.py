@@ -458,3 +458,21 @@ ORACLE["split_by_content"] = f"SELECT * FROM {S.content_split_sql('events', ['ev
 ORACLE["detect_mixed_dates"] = f"""SELECT 'written' AS "column", {S.rhu('count(told) / CAST(count(*) AS DOUBLE)', 4)} AS parse_rate,
   count(told) / CAST(count(*) AS DOUBLE) >= 0.9 AS is_date FROM {S.mixed_dates_sql()}"""
 ORACLE["mixed_dates_to_epoch"] = f"SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', told) AS DOUBLE) * 86400 AS written FROM {S.mixed_dates_sql()}"
+
+# ------------------------------------ deterministic columns of gate and model runs
+ORACLE["first_passing_attempts"] = f"""WITH m AS (SELECT * FROM {MO}),
+i AS (SELECT * REPLACE (coalesce(CAST(o_custkey AS DOUBLE), (SELECT quantile_cont(CAST(o_custkey AS DOUBLE), 0.5) FROM m)) AS o_custkey,
+  coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM m)) AS o_totalprice) FROM m),
+d AS (SELECT DISTINCT * FROM i),
+t AS (SELECT 1 AS attempt, 'impute_only' AS candidate, * FROM i UNION ALL SELECT 2, 'dedup_and_impute', * FROM d),
+n AS (SELECT attempt, candidate, count(*) - count(o_orderpriority) AS p, count(*) - count(order_date) AS o, count(*) - count(ship_date) AS s,
+  count(*) - (SELECT count(*) FROM d) AS dup FROM t GROUP BY 1, 2)
+SELECT attempt, candidate, false AS passed, concat_ws('; ', 'numeric:o_orderpriority=non-numeric', 'numeric:order_date=non-numeric',
+  'numeric:ship_date=non-numeric', CASE WHEN p > 0 THEN 'nulls:o_orderpriority=' || p END, CASE WHEN o > 0 THEN 'nulls:order_date=' || o END,
+  CASE WHEN s > 0 THEN 'nulls:ship_date=' || s END, CASE WHEN dup > 0 THEN 'duplicates:None=' || dup END) AS violations FROM n
+UNION ALL SELECT 3, 'clean_conservative_median', true, ''"""
+_LABELLED = "(SELECT doc_id, quality, lang, source FROM documents JOIN labels USING (doc_id))"
+ORACLE["train_gbt"] = f"""WITH s AS (SELECT * FROM {S.split_sql(_LABELLED, 'doc_id', 'quality')}),
+v AS (SELECT DISTINCT split, 'lang' AS c, lower(trim(lang)) AS v FROM s UNION SELECT DISTINCT split, 'source', lower(trim(source)) FROM s),
+f AS (SELECT DISTINCT c, v FROM (SELECT *, min(v) OVER (PARTITION BY split, c) AS first FROM v) WHERE v > first)
+SELECT 20 AS n_trees, CAST(3 + (SELECT count(*) FROM f) AS INTEGER) AS n_features, count(*) AS n_train_rows FROM s WHERE split = 'train'"""
