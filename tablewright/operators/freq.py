@@ -37,23 +37,12 @@ def value_freq(df: DataFrame, cols, order_by: str | None = None) -> DataFrame:
 
 
 def topk(vf: DataFrame, k: int, cols=None) -> DataFrame:
-    """Top-k values per column by frequency, ties broken by value.
-
-    Per column an ``orderBy().limit(k)`` (TakeOrderedAndProject: a partial
-    top-k in every task, then a k-row merge) -- never a window holding all
-    values of a high-cardinality column in one partition."""
-    if cols is None:
-        cols = [r["column"] for r in vf.select("column").distinct().collect()]
-    parts = [vf.filter(F.col("column") == c).orderBy(F.desc("freq"), F.asc("value")).limit(k)
-             for c in cols]
-    if not parts:
-        return vf.withColumn("rank", F.lit(0)).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # rank inside each column's k rows (a window partitioned by column)
+    """Top-k values per column by frequency, ties broken by value, in one scan: the
+    filter on the rank makes every task keep k values a column before the shuffle."""
+    if cols is not None:
+        vf = vf.filter(F.col("column").isin(list(cols)))
     w = Window.partitionBy("column").orderBy(F.desc("freq"), F.asc("value"))
-    return out.withColumn("rank", F.row_number().over(w))
+    return vf.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def first_values(vf: DataFrame, k: int = 8) -> DataFrame:

@@ -142,7 +142,10 @@ def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULT
             with_duplicates: bool = True, persist_freq: bool = True,
             with_quantiles: bool = True) -> Profile:
     """Profile every column of ``df``; ``order_by`` (optional) is an explicit
-    row-order key used for "first seen" samples."""
+    row-order key used for "first seen" samples.
+
+    ``distinct_mode``: "exact"; "approx" (marked ``distinct_approx``); or "few", which
+    shuffles no values and says 0, 1, 2 (two or more, for text) or 3 (three or more)."""
     require_target(df, target)
     df, cached = persist_if_small(df)      # several passes follow; hold it only if small
     try:
@@ -171,6 +174,8 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
             exprs += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"),
                       F.avg(v).alias(f"avg{i}"), F.count(v).alias(f"cnt{i}")]
         if kinds[c] == "text":
+            if distinct_mode == "few":
+                exprs += [F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}")]
             exprs.append(F.count(parse_timestamp(c, date_formats)).alias(f"dat{i}"))
         if distinct_mode == "approx" and kinds[c] != "other":
             exprs.append(F.approx_count_distinct(c).alias(f"acd{i}"))
@@ -206,6 +211,11 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
     def distinct_job():
         if not nt or distinct_mode == "approx":
             return {}
+        if distinct_mode == "few":
+            ends = {c: (stats[c]["min"], stats[c]["max"]) for c in numeric if stats[c]["count"]}
+            inner = [F.max((as_double(c, dts[c]) > lo) & (as_double(c, dts[c]) < hi)).alias(c) for c, (lo, hi) in ends.items()]
+            got = df.agg(*inner).first() if inner else {}
+            return {c: 1 + (lo != hi) + bool(got[c]) for c, (lo, hi) in ends.items()}
         # DOUBLE is exact below 2^53; decimals and wider integral values are counted as text
         wide = [c for c in numeric if isinstance(dts[c], T.DecimalType) or isinstance(dts[c], T.LongType) and
                 max(abs(stats[c]["min"] or 0), abs(stats[c]["max"] or 0)) >= 2.0 ** 53]
@@ -223,6 +233,9 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
     def freq_job():
         if not text:
             return None, {}
+        if distinct_mode == "few":
+            ends = [(row[f"min{i}"], row[f"max{i}"]) for i, c in enumerate(cols) if kinds[c] == "text"]
+            return None, {c: (lo is not None) + (lo != hi) for c, (lo, hi) in zip(text, ends, strict=True)}
         vf = value_freq(df, text, order_by)
         if distinct_mode == "approx":
             return vf, {}

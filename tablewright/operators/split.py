@@ -110,16 +110,16 @@ def cross_split_duplicates(split_df: DataFrame, cols=None, split_col: str = "spl
     reference's stricter count of every row with a duplicate anywhere."""
     cols = [c for c in (cols or split_df.columns) if c != split_col]
     g = split_df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"),
-                                   F.countDistinct(split_col).alias("__s"))
+                                   (F.min(split_col) != F.max(split_col)).alias("__s"))
     return g.agg(
-        F.coalesce(F.sum(F.when(F.col("__s") > 1, F.col("__c"))), F.lit(0)).cast("long").alias("n_rows_cross_split"),
-        F.coalesce(F.sum((F.col("__s") > 1).cast("long")), F.lit(0)).cast("long").alias("n_groups_cross_split"),
+        F.coalesce(F.sum(F.when(F.col("__s"), F.col("__c"))), F.lit(0)).cast("long").alias("n_rows_cross_split"),
+        F.coalesce(F.sum(F.col("__s").cast("long")), F.lit(0)).cast("long").alias("n_groups_cross_split"),
         F.coalesce(F.sum(F.when(F.col("__c") > 1, F.col("__c"))), F.lit(0)).cast("long").alias("n_rows_duplicated_any"))
 
 
 def split_key_overlap(split_df: DataFrame, key: str, split_col: str = "split") -> DataFrame:
     """Keys present on both sides (must be 0)."""
-    per_key = split_df.groupBy(key).agg(F.countDistinct(split_col).alias("__s"))
-    return per_key.agg(F.coalesce(F.sum((F.col("__s") > 1).cast("long")), F.lit(0)).cast("long")
+    per_key = split_df.groupBy(key).agg((F.min(split_col) != F.max(split_col)).alias("__s"))
+    return per_key.agg(F.coalesce(F.sum(F.col("__s").cast("long")), F.lit(0)).cast("long")
                        .alias("n_keys_both_sides"),
                        F.count(F.lit(1)).cast("long").alias("n_keys"))

@@ -101,7 +101,7 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
 
     # light profile of the deduplicated table (no quartiles, no duplicate count)
     prof = profile(out.drop(*[k for k in keep if k in out.columns]), target=target,
-                   with_duplicates=False, with_quantiles=False, date_formats=date_formats,
+                   with_duplicates=False, with_quantiles=False, distinct_mode="few", date_formats=date_formats,
                    date_min_rate=date_min_rate, persist_freq=False)
     dead = [c for c in prof.columns if c not in skip and prof.n_rows > 0
             and prof.stats[c]["null_count"] == prof.n_rows]

@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
+# The stages at which a read can fail.
+READ_FAILED, NO_TARGET = "csv_read_other", "target_column_missing"
+
 #: Text as other programs write it: doubled quotes and line breaks inside quotes.
 QUOTING = {"quote": '"', "escape": '"', "multiLine": "true"}
 
@@ -63,7 +66,7 @@ def read_with_quarantine(spark: SparkSession, path: str, schema: T.StructType,
     from ..session import shared_path
     record = {"path": path}
     if target is not None and target not in schema.fieldNames():
-        record["stage_failed"] = "target_column_missing"
+        record["stage_failed"] = NO_TARGET
         return None, None, record
     stage = stage_path or shared_path(spark, "quarantine-stage")
     try:
@@ -74,7 +77,7 @@ def read_with_quarantine(spark: SparkSession, path: str, schema: T.StructType,
                   .schema(full).csv(path))
         parsed.select(*schema.fieldNames(), CORRUPT).write.mode("overwrite").parquet(stage)
     except Exception as exc:  # noqa: BLE001 -- recorded as a stage failure
-        record["stage_failed"] = "csv_read_other"
+        record["stage_failed"] = READ_FAILED
         record["error"] = f"{type(exc).__name__}: {exc}"
         return None, None, record
     df = spark.read.parquet(stage)

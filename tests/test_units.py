@@ -323,3 +323,11 @@ def test_profile_counts_distincts_exactly_unless_told_otherwise(spark):
     exact = column_profile(df).first()
     assert exact["n_unique"] == 30000 and "distinct_approx" not in exact
     assert column_profile(df, distinct_mode="approx").first()["distinct_approx"]
+
+
+def test_few_distinct_values_are_told_apart(spark):
+    from tablewright.operators.profile import profile
+    rows = [(float(i % 2), float(i % 3), 5, "x", "xy"[i % 2], None) for i in range(9)] + [(None, float("nan"), None, None, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c int, d string, e string, f string")
+    got = {c: s["n_unique"] for c, s in profile(df, distinct_mode="few").stats.items()}
+    assert got == {"a": 2, "b": 3, "c": 1, "d": 1, "e": 2, "f": 0}
