@@ -1,5 +1,6 @@
 """The training-data operators against brute force, SQL twins, round trips and odd input."""
 
+import bisect
 import collections
 import gzip
 import hashlib
@@ -112,6 +113,36 @@ def test_sharding_is_minimax_and_keeps_groups(spark):
     assert zlib.crc32(text.text.encode()) == got[got.doc_id == text.doc_id].text_crc32.iloc[0]
 
 
+@pytest.mark.parametrize("hot", [(3,), (9, 10, 11), (1.02,), (8, 8.01)])
+def test_sharding_with_large_groups_refines_few_ranges(spark, monkeypatch, hot):
+    n, mean = 150_000, 100
+    sizes = F.when(F.col("id") < 0, 0)
+    for i, part in enumerate(hot):  # group i holds a share of 1 / part of all bytes
+        sizes = sizes.when(F.col("id") == i * 40_000 + 7, F.lit(int(n * mean / part)))
+    groups = spark.range(n).select(F.xxhash64("id").alias("h"), sizes.otherwise(50 + F.col("id") % 101).cast("long").alias("bytes")).cache()
+    found, plain = [], sharding._cells
+    monkeypatch.setattr(sharding, "_cells", lambda *a: found.append(plain(*a)) or found[-1])
+    bounds = sharding.minimax_cuts(groups, 8)
+    assert sum(map(len, found)) < 40_000
+    pairs = sorted(map(tuple, groups.collect()))
+    capacity, high = max(b for _, b in pairs), sum(b for _, b in pairs)
+
+    def cuts(capacity):
+        out, at = [], 0
+        for i, (_, b) in enumerate(pairs):
+            if at + b > capacity:
+                out.append(pairs[i - 1][0])
+                at = 0
+            at += b
+        return out
+
+    while capacity < high:
+        mid = (capacity + high) // 2
+        capacity, high = (capacity, mid) if len(cuts(mid)) < 8 else (mid + 1, high)
+    keys, want = [h for h, _ in pairs], cuts(capacity)
+    assert [bisect.bisect(keys, b) for b in bounds[:len(want)]] == [bisect.bisect(keys, w) for w in want]
+
+
 def test_license_families_and_unknown(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = licenses.train(docs, max_negatives=300, features=1 << 12)
