@@ -104,6 +104,15 @@ def _norm(word: str) -> str:
     return _DIGIT.sub("0", word.lower())[-32:]
 
 
+#: Characters in a word after which an identifier glued to them may start.
+_GLUE = re.compile("[" + re.escape("".join(sorted((_OPENS | set(_EDGES)) - set(" \t\n\x0b\x0c\r")))) + "](?![\x20\x09-\x0D]|\\Z)")
+
+
+def _glued(text: str, start: int, at: int) -> str:
+    """What stands before ``at`` in the word from ``start``."""
+    return _norm(text[max(start, at - 32):at])
+
+
 def _patterns(before: list[str]) -> list[str]:
     """The last word and the last two words before an instance."""
     if not before:
@@ -123,7 +132,7 @@ def instances(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, i
         i = bisect_left(starts, start)
         left = [_norm(text[a:b]) for a, b in tokens[max(0, i - 2):i]]
         if left and tokens[i - 1][1] > start:  # glued to what stands before it
-            left[-1] = _norm(text[tokens[i - 1][0]:start])
+            left[-1] = _glued(text, tokens[i - 1][0], start)
         return _patterns(left)
 
     found = []
@@ -197,7 +206,8 @@ def _filter(patterns: DataFrame) -> bytes:
 
 
 def followers(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, n_all): in how many places of the corpus a word follows each of ``patterns``."""
+    """(pattern, n_all): in how many places of the corpus a word, or the rest of the word
+    behind a place where an instance may start, follows each of ``patterns``."""
     bits = _filter(patterns)
 
     def run(batches):
@@ -212,9 +222,19 @@ def followers(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
         for b in batches:
             for t in b.column("text"):
-                w = [_norm(x) for x in _WORD.findall(t.as_py())]
+                text = t.as_py()
+                starts, w = [], []
+                for m in _WORD.finditer(text):
+                    starts.append(m.start())
+                    w.append(_norm(m[0]))
+                inner = []
+                for m in _GLUE.finditer(text):
+                    i = bisect_left(starts, m.end()) - 1
+                    inner.append(_glued(text, starts[i], m.end()))
+                    if i:
+                        inner.append(f"{w[i - 1]} {inner[-1]}")
                 w.pop() if w else None  # nothing follows the last word
-                for p in (*w, *map(" ".join, zip(w, w[1:]))):
+                for p in (*w, *map(" ".join, zip(w, w[1:])), *inner):
                     x = crc(p.encode("utf-8", "surrogatepass")) & _FILTER_BITS - 1
                     if bits[x >> 3] >> (x & 7) & 1:
                         counts[p] = get(p, 0) + 1

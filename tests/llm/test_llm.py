@@ -255,6 +255,23 @@ def test_personal_data_is_discovered_by_context_and_masked(spark):
     assert all(("<PHONE>" in masked[i]) == (i % 4 != 3) and (i % 4 == 3 or "555" not in masked[i]) for i in masked)
 
 
+def test_glued_contexts_are_counted_where_instances_have_them(spark):
+    rng, words = random.Random(6), "alpha beta gamma delta eps zeta eta theta".split()
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    lead = ["tel:+1 (555) 555-{}", "tel:+1 (555) 555-{}", "tel:555-{},", "/q?x=1&email=joe{}@x.org", "/q?x=1&email=joe{}@x.org",
+            "/q?x=1&email=ann{}[at]x.org", "ref:+1 (555) 555-{}", "ref:word{} ref:more", "ref: word{}", "ref:555-{}"]
+    docs = spark.createDataFrame([(i, f"{some(5)} {lead[i % 10].format(1000 + i)} {some(3)}") for i in range(600)], "doc_id long, text string")
+    scanned = pii.scan(docs).cache()
+    learned = {(r.pattern, r.kind): r.confidence for r in pii.learn(docs, scanned).collect()}
+    assert {("tel:", "phone"), ("/q?x=0&email=", "email")} <= set(learned) and all("ref:" not in p for p, _ in learned)
+    assert all(0 <= c < 1 for c in learned.values())
+    added = {r.doc_id: r.n_added for r in pii.pii_query(docs).collect()}
+    assert added == {i: int(i % 10 in (2, 5)) for i in range(600)}
+    places = scanned.select(F.explode("found").alias("x")).select("x.kind", F.explode("x.patterns").alias("pattern")).groupBy("pattern", "kind").count()
+    counted = places.join(pii.followers(docs, places.select("pattern").distinct()), "pattern", "left")
+    assert counted.where("n_all IS NULL OR n_all < count").count() == 0
+
+
 def test_top_k_with_odd_vectors(spark):
     data = [(0, [1e38, 2.0]), (100, [3e38]), (200, None), (None, [1.0]), (300, []), (7, [float("nan")]), (9, [1.0, 1.0]), (9, [1.0, 1.0]), (400, [None])]
     got = mtree.top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
