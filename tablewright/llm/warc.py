@@ -9,7 +9,8 @@ smallest page_id.
 The reader takes members and uncompressed records.  Every record's length, end and
 block digest are checked; after a failed check it searches for the next member or
 version line at which a whole valid record stands, goes on there, and logs the bytes
-between as a quarantined gap.  No damage stops it.
+between as a quarantined gap.  A member of several records is searched in the same
+way, as far as it can be inflated.  No damage stops it.
 
 Defined results: a null html is an empty payload; a null page_id makes a response
 that no revisit names; a null url is left out, and control characters of a url
@@ -19,6 +20,7 @@ empty table makes an archive without records; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 
@@ -58,100 +60,145 @@ def build_record(page_id, url, payload: bytes, digest: str, refers_to=None) -> b
     return VERSION + b"\r\n" + lines + b"\r\n" + block + b"\r\n\r\n"
 
 
+def _digest_holds(block: bytes, digest: str) -> bool | None:
+    """Whether ``digest`` (algorithm:value, in hexadecimal digits or base 32) is that of
+    ``block``; None if there is none or its algorithm is not known."""
+    name, _, want = digest.partition(":")
+    name, want = name.strip().lower().replace("-", ""), want.strip()
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    have = hashlib.new(name, block, usedforsecurity=False)
+    if len(want) == 2 * have.digest_size:
+        return have.hexdigest() == want.lower()
+    return base64.b32encode(have.digest()).decode().rstrip("=") == want.upper().rstrip("=")
+
+
 def _parse(data: bytes, at: int):
-    """The record whose version line is at ``at``: (headers, block, end), or the
-    reason why there is no valid one."""
+    """The record whose version line is at ``at``: (headers, block, end, whether a block
+    digest was checked), or the reason why there is no valid one."""
     if data[at:at + 7] != b"WARC/1.":
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 20))
-    if stop < 0:
-        return "headers do not end"
-    head = {}
-    for line in bytes(data[at:stop]).split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    head, p = {}, data.find(b"\r\n", at) + 2
+    while p > 1:
+        stop = data.find(b"\r\n", p)
+        if stop <= p:
+            break
+        name, colon, value = bytes(data[p:stop]).partition(b":")
         if not colon:
             return "bad header line"
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        p = stop + 2
+    if p < 2 or stop < 0:
+        return "headers do not end"
     length = head.get("content-length", "")
     if not (length.isascii() and length.isdigit() and len(length) < 16):
         return "bad content length"
-    begin, end = stop + 4, stop + 4 + int(length)
+    begin, end = stop + 2, stop + 2 + int(length)
     if data[end:end + 4] != b"\r\n\r\n":
         return "record is cut or its length is wrong"
     block = bytes(data[begin:end])
-    name, _, want = head.get("warc-block-digest", "").partition(":")
-    if name == "sha256" and hashlib.sha256(block).hexdigest() != want:
-        return "block digest differs"
-    return head, block, end + 4
+    holds = _digest_holds(block, head.get("warc-block-digest", ""))
+    return "block digest differs" if holds is False else (head, block, end + 4, bool(holds))
 
 
 def _inflate(data: bytes, at: int):
-    """The gzip member at ``at``: (content, end), or the reason why there is none."""
+    """The gzip member at ``at``: (content, end, None), or (what can be inflated, where
+    that stops, the reason why it is not whole)."""
     z, out, p = zlib.decompressobj(31), [], at
     view = memoryview(data)
-    try:
-        while not z.eof and p < len(data):
+    while not z.eof and p < len(data):
+        before = z.copy()
+        try:
             out.append(z.decompress(view[p:p + _CHUNK]))
-            p += _CHUNK
-    except zlib.error as e:
-        return f"bad member: {e}"
-    if not z.eof:
-        return "member is cut"
-    return b"".join(out), min(p, len(data)) - len(z.unused_data)
-
-
-def _at(data: bytes, at: int):
-    """Records that start at ``at``: ([(headers, block)], end), or a reason."""
-    if data[at:at + 3] == MAGIC:
-        got = _inflate(data, at)
-        if isinstance(got, str):
-            return got
-        content, end = got
-        found, p = [], 0
-        while p < len(content):
-            record = _parse(content, p)
-            if isinstance(record, str):
-                return record
-            found.append(record[:2])
-            p = record[2]
-        return found, end
-    record = _parse(data, at)
-    return record if isinstance(record, str) else ([record[:2]], record[2])
+        except zlib.error as e:
+            try:  # what stands before the error, byte by byte
+                while True:
+                    out.append(before.decompress(view[p:p + 1]))
+                    p += 1
+            except zlib.error:
+                return b"".join(out), p, f"bad member: {e}"
+        p += _CHUNK
+    p = min(p, len(data))
+    return b"".join(out), p - len(z.unused_data), None if z.eof else "member is cut"
+
+
+def _next_line(data: bytes, at: int) -> int:
+    """The first place from ``at`` on with a version line, or -1."""
+    line = data.find(b"WARC/1.", at)
+    while line > 0 and data[line - 1] != 10:
+        line = data.find(b"WARC/1.", line + 1)
+    return line
 
 
 def _next_start(data: bytes, at: int) -> int:
     """The first place from ``at`` on with a member's magic or a version line."""
-    member = data.find(MAGIC, at)
-    line = data.find(b"WARC/1.", at)
-    while line > 0 and data[line - 1] != 10 and line >= 0:
-        line = data.find(b"WARC/1.", line + 1)
-    return min((x for x in (member, line) if x >= 0), default=len(data))
+    return min((x for x in (data.find(MAGIC, at), _next_line(data, at)) if x >= 0), default=len(data))
+
+
+def _within(content: bytes, sure: bool):
+    """Records and gaps of the content of a member, as ``salvage`` gives them.  Unless
+    ``sure`` of the content, only records with a checked digest are valid."""
+    at = 0
+    while at < len(content):
+        if content[at] in b"\r\n":
+            at += 1
+            continue
+        start, reason = at, None
+        while True:
+            got = _parse(content, at)
+            if not isinstance(got, str) and not (sure or got[3]):
+                got = "no digest to check in a bad member"
+            if not isinstance(got, str):
+                break
+            reason = reason or got
+            at = _next_line(content, at + 1)
+            if at < 0:
+                yield "gap", start, len(content) - start, reason, None
+                return
+        if reason:
+            yield "gap", start, at - start, reason, None
+        yield "record", at, got[2] - at, got[0], got[1]
+        at = got[2]
+
+
+def _at(data: bytes, at: int):
+    """What starts at ``at``: (records and gaps, end, reason why it is not whole)."""
+    if data[at:at + 3] == MAGIC:
+        content, end, reason = _inflate(data, at)
+        return list(_within(content, reason is None or reason == "member is cut")), end, reason
+    got = _parse(data, at)
+    return ([], at, got) if isinstance(got, str) else ([("record", at, got[2] - at, *got[:2])], got[2], None)
 
 
 def salvage(data: bytes):
     """Everything in one archive file, in order: ("record", start, length, headers,
     block) for whole valid records, ("gap", start, length, reason, None) for the
-    bytes between."""
-    at = 0
+    bytes between.  For records and gaps in a member these are its own start and length;
+    a bad member's records come before the gap that begins with it."""
+    at, gap = 0, None
     while at < len(data):
-        if data[at] in b"\r\n":
+        if gap is None and data[at] in b"\r\n":
             at += 1
             continue
-        got = _at(data, at)
-        if not isinstance(got, str):
-            for head, block in got[0]:
-                yield "record", at, got[1] - at, head, block
-            at = got[1]
+        found, end, reason = _at(data, at)
+        if any(x[0] == "record" for x in found):
+            if gap:
+                yield "gap", gap[0], at - gap[0], gap[1], None
+                gap = None
+            for kind, start, length, what, block in found:
+                if kind == "gap" and reason is None:
+                    yield "gap", at, end - at, f"{length} bytes from {start} of the member's content: {what}", None
+                elif kind == "record":
+                    yield "record", at, end - at, what, block
+        elif gap is None and found and reason is None:
+            gap = (at, found[0][3])
+        if reason is None:
+            at = end if gap is None else _next_start(data, end)  # an empty member ends no gap
             continue
-        reason, start = got, at
-        while isinstance(got, str):
-            at = _next_start(data, at + 1)
-            if at >= len(data):
-                break
-            got = _at(data, at)
-            if not isinstance(got, str) and not got[0]:
-                got = "an empty member"  # no record to go on from
-        yield "gap", start, at - start, reason, None
+        gap = gap or (at, reason)
+        at = _next_start(data, at + 1)
+    if gap:
+        yield "gap", gap[0], len(data) - gap[0], gap[1], None
 
 
 def write_archive(pages: DataFrame, path: str, least: int = 100, records_per_file: int = 4000) -> None:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, SQL twins, round trips and odd input."""
 
+import base64
 import bisect
 import collections
 import gzip
@@ -409,6 +410,31 @@ def test_salvage_recovers_everything_around_damage(packed):
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"junk" * 99)] == ["gap"]
 
 
+def test_salvage_inside_members_long_headers_and_other_digests():
+    rng = random.Random(8)
+    pages = [rng.randbytes(3000).hex().encode() for _ in range(40)]
+    records = [warc.build_record(i, "u", p, hashlib.sha256(p).hexdigest()) for i, p in enumerate(pages)]
+    number = lambda x: int(x[3]["warc-record-id"][10:-1])
+    bad = [bytes(r[:-9] + b"?" + r[-8:]) if i in (0, 7, 8, 39) else r for i, r in enumerate(records)]
+    tail = warc.gzip_member(records[5])
+    found = list(warc.salvage(warc.gzip_member(b"".join(bad)) + tail))
+    assert [number(x) for x in found if x[0] == "record"] == [*(i for i in range(40) if i not in (0, 7, 8, 39)), 5]
+    assert len([x for x in found if x[0] == "gap"]) == 3
+    whole = warc.gzip_member(b"".join(records))
+    for cut in (whole[:len(whole) // 2], whole[:len(whole) // 2] + b"\xff" * 50 + whole[len(whole) // 2 + 50:]):
+        found = list(warc.salvage(cut + tail))
+        got = [number(x) for x in found if x[0] == "record"]
+        assert got[-1] == 5 and got[:-1] == list(range(len(got) - 1)) and len(got) > 15
+        assert len([x for x in found if x[0] == "gap"]) == 1
+    long = warc.build_record(1, "u" * (2 << 20), b"page", hashlib.sha256(b"page").hexdigest())
+    assert [len(x[3]["warc-target-uri"]) for d in (long, warc.gzip_member(long)) for x in warc.salvage(d)] == [2 << 20] * 2
+    for name, text in (("sha1", lambda d: base64.b32encode(d).decode()), ("sha1", bytes.hex), ("md5", bytes.hex)):
+        value = f"{name}:{text(hashlib.new(name, b'page').digest())}"
+        record = re.sub(rb"(WARC-Block-Digest: )[^\r]*", rb"\1" + value.encode(), warc.build_record(1, "u", b"page", "0"))
+        assert [x[0] for x in warc.salvage(record)] == ["record"]
+        assert [x[0] for x in warc.salvage(record.replace(b"page\r", b"pbge\r"))] == ["gap"]
+
+
 def test_pipeline_against_brute_force(spark):
     """Every stage on what the one before kept, checked by its own plain rule."""
     from tokenizers import Tokenizer
