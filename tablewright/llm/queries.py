@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, mtree, packing, pii, quality, sharding, simhash, token_counts, warc
+from . import decontam, interaction, licenses, mixing, mtree, packing, pii, quality, sharding, simhash, token_counts, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +59,29 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_query(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interaction(spark, sf_dir):
+    return interaction.interaction_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_trie(spark, sf_dir):
+    return trie.trie_query(_table(spark, sf_dir, "conversations"))
+
+
+def op13_decontamination(spark, sf_dir):
+    return decontam.contamination_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_shard_documents, op3_license_scan, op4_simhash_near_dedup, op5_personal_data, op6_exact_top_k,
     op7_best_fit_packing, op8_token_counts, op9_warc_archive, op10_quality_rules,
+    op11_filter_interaction, op12_conversation_trie, op13_decontamination,
 )}
 
 ORACLE = {
     "op6_exact_top_k": mtree.SQL,
     "op9_warc_archive": warc.SQL,
     "op10_quality_rules": quality.sql(),
+    "op11_filter_interaction": interaction.SQL,
+    "op12_conversation_trie": trie.SQL,
+    "op13_decontamination": decontam.SQL,
 }
