@@ -66,6 +66,19 @@ def hash_buckets(n: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(29), *[F.col(c) for c in columns]), F.lit(math.isqrt(n) + 1)).cast("long")
 
 
+#: Copies of a row that one list holds.
+_COPIES = 4096
+
+
+def spread_copies(df: DataFrame, n: str, out: str) -> DataFrame:
+    """Every row ``n`` times (a column, never null), numbered from 0 in ``out``; no list
+    is longer than a fixed number of copies."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / _COPIES)))
+    df = df.where(F.col(n) > 0).withColumn("_part", part)
+    last = F.least((F.col("_part") + 1) * _COPIES, F.col(n)) - 1
+    return df.withColumn(out, F.explode(F.sequence(F.col("_part") * _COPIES, last))).drop("_part")
+
+
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], out: str,
             value: Column | None = None, extra: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` (1: a 0-based rank, gapless) over the rows
@@ -74,8 +87,9 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     columns are added too.
 
     A key may hold any share of the rows, as only a bucket's rows meet in a task;
-    with sqrt(n) buckets neither these nor a key's list of buckets grow beyond
-    sqrt(n).  The result is the same on every run if ``order`` tells rows apart,
+    with sqrt(n) buckets of distinct rows neither these nor a key's list of buckets grow
+    beyond sqrt(n).  Equal rows meet in one bucket, so callers whose rows may repeat
+    count them first (``value`` times the count) and place the copies after.  The result is the same on every run if ``order`` tells rows apart,
     or leaves ties only between rows of equal value.
     """
     value = F.lit(1) if value is None else value

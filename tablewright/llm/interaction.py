@@ -113,8 +113,10 @@ def audit(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
     ends = _fixed(spark, [(m, s, r, sign) for m, s, a, z in intervals(k) for r, sign in ((a, 1), (z, -1))], "mask int, step int, rank int, sign int")
     steps = counts.join(ends, "mask").groupBy("part", "step", "rank").agg(*[F.sum(F.col(v) * F.col("sign")).alias(v) for v in values])
     orders = [("".join(p), r, s + 1, p[s]) for r, p in enumerate(permutations(filters)) for s in range(k)]
-    grid = counts.groupBy("part").agg(F.sum("n").alias("total")).join(
-        _fixed(spark, [(*x, filters.index(x[3])) for x in orders], "filter_order string, rank int, step int, filter string, bit int"))
+    cells = _fixed(spark, [(i, *x, filters.index(x[3])) for i, x in enumerate(orders)],
+                   "cell int, filter_order string, rank int, step int, filter string, bit int")
+    grid = counts.groupBy("part").agg(F.sum("n").alias("total")).withColumn(
+        "cell", F.explode(F.sequence(F.lit(0), F.lit(len(orders) - 1)))).join(cells, "cell")
     along = W.partitionBy("part", "step").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     filled = grid.join(steps, ["part", "step", "rank"], "left")
     removed = filled.select("part", "total", "filter_order", "rank", "step", "filter", "bit",

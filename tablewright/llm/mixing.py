@@ -15,7 +15,7 @@ sums in hash or slot buckets, and points meet sources over grid cells.
 
 Defined results: a null text has size 0; a document without words takes part in no
 block and is taken 0 times; null is a source of its own, last in order; repeated
-rows are documents of their own; an empty table gives an empty result; other
+rows are counted once with their number and then stand one after the other; an empty table gives an empty result; other
 columns are ignored by ``taken`` and passed through by ``mixed_documents``.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash_buckets, n_words, only, running, staged, text_or_empty
+from .common import hash_buckets, n_words, only, running, spread_copies, staged, text_or_empty
 
 #: 1 / golden ratio to 20 places.
 GOLDEN = "0.61803398874989484820"
@@ -39,14 +39,18 @@ def _key(source: Column) -> Column:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return only(docs, doc_id="long", source="string", text="string").select(
-        "doc_id", _key(F.col("source")).alias("skey"), n_words(text_or_empty()).alias("size"))
+    """(skey, doc_id, size, h, n): rows that agree in source, doc_id, size and the hash of
+    their text, as one row with their number."""
+    rows = only(docs, doc_id="long", source="string", text="string").select(
+        _key(F.col("source")).alias("skey"), "doc_id", n_words(text_or_empty()).alias("size"), F.xxhash64(text_or_empty()).alias("h"))
+    return rows.groupBy("skey", "doc_id", "size", "h").agg(F.count("*").alias("n"))
 
 
 def targets(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_repeat: int = 2) -> DataFrame:
     """One row a source: skey, idx (order), weight, source_size, target, quota (the
-    target in whole words).  Windows here hold one row for each source."""
-    per = rows.groupBy("skey").agg(F.sum("size").alias("source_size"))
+    target in whole words), from rows of ``size`` words that stand ``n`` times.  Windows
+    here hold one row for each source."""
+    per = rows.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     everything = W.partitionBy(F.lit(0))
     per = per.withColumn("idx", F.row_number().over(everything.orderBy("skey")) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("idx") % len(weights) + 1).cast("int"))
@@ -67,9 +71,12 @@ def targets(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_repeat:
 
 
 def _placed(rows: DataFrame, per: DataFrame, n: int, seed: int) -> DataFrame:
-    """``rows`` with the columns of ``per`` and pos: words before it in the stream."""
-    order = [F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.col("doc_id"), F.col("size")]
-    return running(rows, ["skey"], hash_buckets(n, "doc_id", "size"), order, "pos", F.col("size"), per)
+    """Each of the ``n`` copies of ``rows`` with the columns of ``per`` and pos: words
+    before it in the stream, in which copies follow each other."""
+    named = ["doc_id", "size", "h"]
+    order = [F.xxhash64(F.lit(seed), *[F.col(c) for c in named]), *[F.col(c) for c in named]]
+    placed = running(rows, ["skey"], hash_buckets(n, *named), order, "pos", F.col("size") * F.col("n"), per)
+    return spread_copies(placed, "n", "copy").withColumn("pos", F.col("pos") + F.col("copy") * F.col("size"))
 
 
 def schedule(spark, per: DataFrame, block: int) -> DataFrame:
@@ -124,22 +131,39 @@ def taken(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_repeat: in
     per = staged(targets(rows, weights, share, max_repeat), "targets")
     n = rows.count()
     mine = _taken(rows, per, n, block, max_repeat, seed).withColumn("some", F.lit(True))
-    placed = _placed(rows, per, n, seed).withColumn("some", F.col("size") > 0)
+    placed = _placed(rows, per, n, seed).withColumn("some", F.col("size") > 0)  # a row without words takes nothing
     return placed.join(mine, ["skey", "pos", "some"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
 
 
 def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_repeat: int = 2, block: int = 1024, seed: int = 11) -> DataFrame:
     """``docs`` in the mix as whole documents: each row as many times as the mix takes
-    it, a part of a document counting from one half on; rows without words stay once."""
+    it, a part of a document counting from one half on; rows without words stay once.
+    Rows that agree in source, doc_id and text share their copies, as evenly as whole
+    rows allow; which of them get one more follows a hash of their other columns."""
     rows = staged(_rows(docs), "sized")
     per = staged(targets(rows, weights, share, max_repeat), "targets")
     n = rows.count()
-    mine = staged(_taken(rows, per, n, block, max_repeat, seed), "taken").withColumn("_some", F.lit(True))
+    mine = _taken(rows, per, n, block, max_repeat, seed).withColumn("some", F.lit(True))
+    placed = _placed(rows, per, n, seed).withColumn("some", F.col("size") > 0).join(mine, ["skey", "pos", "some"], "left")
+    copies = F.when(F.col("some"), F.floor(F.try_divide(2 * F.coalesce("taken", F.lit(0)) + F.col("size"), 2 * F.col("size")))).otherwise(1)
+    # from here on narrow rows: how often each distinct row stands in the mix
+    times = staged(placed.groupBy("skey", "doc_id", "h").agg(F.sum(copies).alias("times"), F.count("*").alias("rows")).where("times > 0"), "times")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select(
-        "_row", F.col("_row.doc_id").cast("long").alias("doc_id"), _key(F.col("_row.source").cast("string")).alias("skey"),
-        n_words(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))).alias("size"))
-    placed = _placed(whole, per, n, seed).withColumn("_some", F.col("size") > 0)
-    joined = placed.join(mine, ["skey", "pos", "_some"], "left")
-    copies = F.when(F.col("_some"), F.floor(F.try_divide(2 * F.coalesce("taken", F.lit(0)) + F.col("size"), 2 * F.col("size")))).otherwise(1)
-    return joined.withColumn("_copy", F.explode(F.slice(F.array(*[F.lit(i) for i in range(max_repeat)]), F.lit(1), copies.cast("int")))).select("_row.*")
+        "_row", F.col("_row.doc_id").cast("long").alias("_doc"), _key(F.col("_row.source").cast("string")).alias("_source"),
+        F.xxhash64(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))).alias("_hash"))
+    same = (F.col("_source") == F.col("skey")) & F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("h"))
+    each = whole.join(times.where("rows = 1"), same).withColumn("_n", F.col("times")).select("_row", "_n")
+    if times.where("rows > 1").limit(1).count():
+        again = whole.join(times.where("rows > 1"), same).withColumn("_other", F.xxhash64(F.to_json(F.col("_row").dropFields("text"))))
+        kinds = again.groupBy("_source", "_doc", "_hash", "_other").agg(F.first("_row").alias("_row"), F.count("*").alias("_same"), F.first("times").alias("times"), F.first("rows").alias("rows"))
+        kinds = staged(kinds, "repeated")
+        before = running(kinds.select("_source", F.coalesce("_doc", F.lit(0)).alias("_doc0"), F.col("_doc").isNull().alias("_none"), "_hash", "_other", "_same", "times", "rows"),
+                         ["_source", "_doc0", "_none", "_hash"], F.floor(F.col("_other") / (1 << 48)).cast("long"), [F.col("_other")], "_at", F.col("_same"))
+        # rows are numbered through; those before (times mod rows) get one more
+        extra = F.greatest(F.lit(0), F.least(F.col("times") % F.col("rows") - F.col("_at"), F.col("_same")))
+        before = before.select("_source", F.when(~F.col("_none"), F.col("_doc0")).alias("_doc"), "_hash", "_other", (F.floor(F.col("times") / F.col("rows")) * F.col("_same") + extra).alias("_n"))
+        both = kinds.alias("a").join(before.alias("b"), (F.col("a._source") == F.col("b._source")) & F.col("a._doc").eqNullSafe(F.col("b._doc")) &
+                                     (F.col("a._hash") == F.col("b._hash")) & (F.col("a._other") == F.col("b._other")))
+        each = each.unionByName(both.select("a._row", "b._n"))
+    return spread_copies(each.withColumn("_n", F.col("_n").cast("long")), "_n", "_copy").select("_row.*")

@@ -1,8 +1,9 @@
 """Personal data: fixed base patterns, and bootstrapped contextual extraction.
 
-Base matches (e-mail, IP, card, phone) are the seeds.  Every token shaped like an
-identifier is an instance, and the one or two words before it are lexical patterns.
-Spark builds the graph of patterns and instances and scores it iteratively:
+Base matches (e-mail, IP, card, phone) are the seeds.  Whatever else is shaped like an
+identifier, over blanks and inside long tokens too, is an instance.  The one or two words
+before it are lexical patterns; inside a token these are what stands before it there, and
+the last word and marks of that.  Spark builds the graph of patterns and instances and scores it iteratively:
 
 * a pattern's confidence for a kind is the share of its occurrences in the whole corpus,
   whatever word follows, that introduce an instance of this kind, each weighing its
@@ -10,7 +11,7 @@ Spark builds the graph of patterns and instances and scores it iteratively:
   miss; it counts only with ``min_support`` distinct scored instances;
 * an instance's score is 1 for a seed, else the noisy-or of its patterns' confidences.
 
-Instances after a pattern of at least ``min_confidence`` in the last round are added
+Scores only rise, so patterns only join; learning ends when a round adds none.  Instances after a pattern of at least ``min_confidence`` in the last round are added
 as spans of the pattern's kind.  Base spans always stay.
 
 Defined results: a null text is empty; an empty one has no spans; long texts and long
@@ -24,7 +25,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from bisect import bisect_left
+from array import array
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 import pyarrow as pa
@@ -89,79 +91,108 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: What else may be an identifier; a match always starts where a run of digits does.
 _SHAPES = {
-    "email": re.compile(r"[^@]+(?:@|[\[(]at[\])])[^@]+", re.IGNORECASE),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+){3,}|[0-9A-Fa-f]*(?::[0-9A-Fa-f]*){2,7}"),
-    "card": re.compile(r"[0-9](?:[-.]?[0-9]){12,18}"),
-    "phone": re.compile(r"[(]?[0-9](?:[-./()]*[0-9]){6,14}"),
+    "ip": re.compile(r"(?<![0-9A-Za-z.:])(?:[0-9]++(?:\.[0-9]++){3,}+|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![0-9A-Za-z:]|\.[0-9])"),
+    "card": re.compile(r"(?<![0-9A-Za-z])(?<![0-9][-. ])[0-9](?:[-. ]?[0-9]){12,18}(?![0-9A-Za-z]|[-. ][0-9])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z])(?<![0-9][-./() ])[(]?[0-9](?:[-./() ]{0,2}[0-9]){6,14}(?![0-9A-Za-z]|[-./() ][0-9])"),
 }
+_AT = re.compile(r"@|[ ]?[\[(][ ]?at[ ]?[\])][ ]?", re.IGNORECASE)
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+")
 _EDGES = ".,;!?'\"<>{}"
 _OPENS = frozenset(" \t\n\x0b\x0c\r\"'([{<:=,;")
 _SHUTS = frozenset(" \t\n\x0b\x0c\r\"')]}>.,;:!?")
+#: Longer context words are known by a digest, longer glued contexts by their end alone.
+_LONG = 48
+#: Characters in a word after which an identifier glued to them may start.
+_GLUES = (_OPENS | set(_EDGES)) - set(" \t\n\x0b\x0c\r")
+_GLUE = re.compile("[" + re.escape("".join(sorted(_GLUES))) + "](?![\x20\x09-\x0D]|\\Z)")
 
 
-def _norm(word: str) -> str:
-    return _DIGIT.sub("0", word.lower())[-32:]
-
-
-#: Characters in a word after which an identifier glued to them may start.
-_GLUE = re.compile("[" + re.escape("".join(sorted((_OPENS | set(_EDGES)) - set(" \t\n\x0b\x0c\r")))) + "](?![\x20\x09-\x0D]|\\Z)")
+def _short(word: str) -> str:
+    return word if len(word) <= _LONG else "#" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def _glued(text: str, start: int, at: int) -> str:
-    """What stands before ``at`` in the word from ``start``."""
-    return _norm(text[max(start, at - 32):at])
+def _fold(word: str) -> str:
+    return _DIGIT.sub("0", word.lower())
 
 
-def _patterns(before: list[str]) -> list[str]:
-    """The last word and the last two words before an instance."""
-    if not before:
-        return []
-    return [before[-1]] + ([f"{before[-2]} {before[-1]}"] if len(before) > 1 else [])
+def _norm(word: str) -> str:
+    return _short(_fold(word))
+
+
+def _glued(text: str, start: int, at: int, before: str | None) -> list[str]:
+    """Patterns of the place ``at`` inside the word from ``start`` that follows the word ``before``."""
+    out = []
+    if at - start <= _LONG:
+        out.append(_fold(text[start:at]))
+        if before is not None:
+            out.append(f"{before} {out[0]}")
+    marks = at
+    while marks > start and at - marks < 8 and not text[marks - 1].isalnum():
+        marks -= 1
+    word = marks
+    while word > start and text[word - 1].isalnum():
+        word -= 1
+    if word < marks:
+        out.append(_norm(text[word:marks]) + text[marks:at])
+    return list(dict.fromkeys(out))
+
+
+def _shaped(text: str):
+    """(kind, start, end) of whatever has the shape of an identifier."""
+    floor = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > floor and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, m.end()) if start < m.start() else None
+        floor = host.end() if host else m.end()
+        if host:
+            yield "email", start, host.end()
+    for kind, shape in _SHAPES.items():
+        for m in shape.finditer(text):
+            yield kind, m.start(), m.end()
 
 
 def instances(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, bool, list[str]]]:
     """(kind, start, end, value, seed, patterns): the base spans that stand alone, and
-    the other tokens that have the shape of a kind."""
+    whatever else has the shape of a kind."""
     if not _HINT.search(text):
         return []
-    tokens = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    starts = [s for s, _ in tokens]
+    starts = array("q", (m.start() for m in _WORD.finditer(text)))
+
+    def word(i):
+        return _WORD.match(text, starts[i])
 
     def before(start):
         i = bisect_left(starts, start)
-        left = [_norm(text[a:b]) for a, b in tokens[max(0, i - 2):i]]
-        if left and tokens[i - 1][1] > start:  # glued to what stands before it
-            left[-1] = _glued(text, tokens[i - 1][0], start)
-        return _patterns(left)
+        if not i:
+            return []
+        last = word(i - 1)
+        if last.end() > start:
+            return _glued(text, last.start(), start, _norm(word(i - 2)[0]) if i > 1 else None)
+        name = _norm(last[0])
+        return [name] + ([f"{_norm(word(i - 2)[0])} {name}"] if i > 1 else [])
+
+    def alone(a, b):
+        return (a == 0 or text[a - 1] in _OPENS or text[a - 1] in _GLUES) and (b == len(text) or text[b] in _SHUTS)
 
     found = []
     for kind, a, b in spans:
         if (a == 0 or text[a - 1] in _OPENS) and (b == len(text) or text[b] in _SHUTS):
-            found.append((kind, a, b, text[a:b].lower(), True, before(a)))
-    taken = sorted((a, b) for _, a, b in spans)
-    covered = []
-    for a, b in taken:
+            found.append((kind, a, b, _short(text[a:b].lower()), True, before(a)))
+    covered: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
         if covered and a <= covered[-1][1]:
             covered[-1][1] = max(b, covered[-1][1])
         else:
             covered.append([a, b])
-    k = 0
-    for s, e in tokens:
-        while k < len(covered) and covered[k][1] <= s:
-            k += 1
-        if k < len(covered) and covered[k][0] < e:
-            continue
-        token = text[s:e]
-        if e - s > 512 or not _HINT.search(token):
-            continue
-        cut = token.rfind("=") + 1 or (token.find(":") + 1 if token.count(":") == 1 else 0)
-        value = token[cut:]
-        a = s + cut + len(value) - len(value.lstrip(_EDGES))
-        value = value.strip(_EDGES + ":")
-        if not 5 <= len(value) <= 64:
-            continue
-        found += [(kind, a, a + len(value), value.lower(), False, before(a)) for kind, shape in _SHAPES.items() if shape.fullmatch(value)]
+    ends = [b for _, b in covered]
+    for kind, a, b in _shaped(text):
+        k = bisect_right(ends, a)
+        if b - a >= 5 and alone(a, b) and not (k < len(covered) and covered[k][0] < b):
+            found.append((kind, a, b, _short(text[a:b].lower()), False, before(a)))
     return found
 
 
@@ -230,9 +261,7 @@ def followers(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                 inner = []
                 for m in _GLUE.finditer(text):
                     i = bisect_left(starts, m.end()) - 1
-                    inner.append(_glued(text, starts[i], m.end()))
-                    if i:
-                        inner.append(f"{w[i - 1]} {inner[-1]}")
+                    inner += _glued(text, starts[i], m.end(), w[i - 1] if i else None)
                 w.pop() if w else None  # nothing follows the last word
                 for p in (*w, *map(" ".join, zip(w, w[1:])), *inner):
                     x = crc(p.encode("utf-8", "surrogatepass")) & _FILTER_BITS - 1
@@ -246,16 +275,18 @@ def followers(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return found.groupBy("pattern").agg(F.sum("n").alias("n_all")).join(patterns, "pattern", "left_semi")
 
 
-def learn(docs: DataFrame, scanned: DataFrame, rounds: int = 3, min_confidence: float = 0.8, min_support: int = 3,
+def learn(docs: DataFrame, scanned: DataFrame, rounds: int | None = None, min_confidence: float = 0.8, min_support: int = 3,
           unknown: float = 0.25) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns that may discover identifiers."""
+    """(pattern, kind, confidence) of the patterns that may discover identifiers, after the
+    first round that adds no pattern, or after ``rounds``."""
     each = scanned.select(F.explode("found").alias("x")).select("x.kind", "x.value", "x.seed", F.explode("x.patterns").alias("pattern"))
     edges = staged(each.groupBy("pattern", "kind", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
     eligible = edges.groupBy("pattern", "kind").agg(F.count("*").alias("v")).where(F.col("v") >= min_support).select("pattern").distinct()
     eligible = staged(eligible, "eligible")
     graph = staged(edges.join(followers(docs, eligible), "pattern"), "graph")
     scores = graph.where("seed").select("value", "kind", F.lit(1.0).alias("score")).distinct()
-    for _ in range(rounds):
+    known, done = 0, 0
+    while True:
         weighed = graph.join(scores, ["value", "kind"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         patterns = weighed.groupBy("pattern", "kind").agg(
             F.sum(F.col("n") * F.col("score")).alias("hits"), F.sum("n").alias("shaped"), F.max("n_all").alias("n_all"),
@@ -264,14 +295,15 @@ def learn(docs: DataFrame, scanned: DataFrame, rounds: int = 3, min_confidence:
         patterns = staged(patterns.withColumn("confidence", F.col("hits") / (F.col("hits") + misses + 1))
                           .where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
                           .select("pattern", "kind", "confidence"), "patterns")
-        if not patterns.limit(1).count():
-            break
+        found, done = patterns.count(), done + 1
+        if found == known or done == rounds:
+            return patterns
+        known = found
         miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
         heard = graph.join(patterns, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - miss).alias("score"), F.max("seed").alias("seed"))
         learned = heard.where("NOT seed").select("value", "kind", "score")
         scores = graph.where("seed").select("value", "kind", F.lit(1.0).alias("score")).distinct().unionByName(learned)
         scores = staged(scores, "scores")
-    return patterns
 
 
 def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:

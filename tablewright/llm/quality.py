@@ -110,6 +110,8 @@ def _holds(rule: Rule, value) -> Column:
 def apply_rules(docs: DataFrame, rules=RULES, base_rules=BASE_RULES, stop_words=STOP_WORDS) -> DataFrame:
     """``docs`` with every measure, ``base_failed`` and ``kept``, in one projection."""
     m = "_quality"
+    while m in (c.lower() for c in docs.columns):
+        m += "_"
     names = ["n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"]
 
     def verdict(v):

@@ -127,7 +127,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, small: i
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2, small: int = 16) -> DataFrame:
-    """One row of ``docs`` for each component: that of the smallest doc_id (null last)."""
+    """One row of ``docs`` for each component: that of the smallest doc_id (null last);
+    of rows with one doc_id and text any columns may differ, and one of them stays."""
     rows = _grouped(staged(fingerprints(docs, shingle), "fingerprints"), radius, small)
     kept = staged(rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("k"))
                   .select(F.col("k.doc_id").alias("_d"), F.col("k.rid").alias("_r")), "kept")
@@ -136,6 +137,7 @@ def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2, small: int
         "_rid", F.xxhash64(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))))
     left = mine.join(kept, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_rid") == F.col("_r")), "left_semi")
     twice = rows.groupBy("doc_id", "rid").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if twice:  # rows of one doc_id and text: the least by their other columns
-        left = left.groupBy("_id", "_rid").agg(F.min("_row").alias("_row"))
+    if twice:  # rows of one doc_id and text: one of them by a hash of all its columns, whatever their types
+        order = F.struct(F.xxhash64(F.to_json("_row")), F.to_json(F.col("_row").dropFields("text")))
+        left = left.groupBy("_id", "_rid").agg(F.min_by("_row", order).alias("_row"))
     return left.select("_row.*")

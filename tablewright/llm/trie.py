@@ -31,12 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import only, running, staged
+from .common import only, running, spread_copies, staged
 
 _TOKEN = 16
 #: Turns that a conversation can take from another.
 _HEADS = 9
-_COPIES = 4096
 
 
 def _turns(convs: DataFrame) -> DataFrame:
@@ -62,10 +61,7 @@ def rebuilt_turns(convs: DataFrame) -> DataFrame:
         "conv_id", "h", "n_base", (F.col("n_base") + F.greatest(F.lit(0), F.col("own") - F.col("h"))).alias("total"))
     info = staged(info, "rebuilding")
     at = running(turns, ["conv_id"], F.col("pid"), [F.col("turn").asc_nulls_first(), F.col("token")], "start", F.col("n"), info)
-    # equal rows at their places, a bounded number at a time
-    at = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _COPIES))))
-    last = F.least((F.col("part") + 1) * _COPIES, F.col("n")) - 1
-    own = at.withColumn("pos", F.explode(F.sequence(F.col("start") + F.col("part") * _COPIES, F.col("start") + last)))
+    own = spread_copies(at, "n", "copy").withColumn("pos", F.col("start") + F.col("copy"))
     own = staged(own.select("conv_id", "pos", "token", "bytes", "h", "n_base", "total"), "places")
     near = F.transform(F.array(*[F.lit(i).cast("long") for i in range(-4, 5)]), lambda i: F.try_add(F.col("conv_id"), i))
     lent = own.where(f"pos < {_HEADS - 1} AND conv_id % 5 = 0").select(F.col("conv_id").alias("base"), "pos", "token", "bytes", F.explode(near).alias("conv_id"))
