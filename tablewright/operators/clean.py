@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import DEFAULT_DATE_FORMATS, parse_timestamp, to_epoch_seconds
+from ..functions.dates import DEFAULT_DATE_FORMATS, date_orders, parse_timestamp, to_epoch_seconds
 from ..functions.numeric import as_double, is_numeric, is_text
 from ..functions.text import (DEFAULT_MISSING_LITERALS, normalize_missing_expr,
                               normalize_text_expr, spelling_key_expr)
@@ -93,7 +93,8 @@ def normalize_missing(df: DataFrame, cols=None, literals=DEFAULT_MISSING_LITERAL
 def date_violation_expr(df: DataFrame, before: str, after: str, formats=DEFAULT_DATE_FORMATS):
     """Text sides are parsed; the others are dates or timestamps already."""
     dts = _types(df)
-    b, a = (parse_timestamp(c, formats) if is_text(dts[c]) else F.col(c).cast("timestamp") for c in (before, after))
+    by = date_orders(df, (before, after), formats)
+    b, a = (parse_timestamp(c, by[c]) if is_text(dts[c]) else F.col(c).cast("timestamp") for c in (before, after))
     return F.coalesce(b > a, F.lit(False))
 
 
@@ -242,7 +243,8 @@ def dates_to_epoch(df: DataFrame, cols, formats=DEFAULT_DATE_FORMATS, fill: str
     if not cols:
         return df
     dts = _types(df)
-    out = df.withColumns({c: to_epoch_seconds(c, formats, is_text=is_text(dts[c])) for c in cols})
+    by = date_orders(df, cols, formats)
+    out = df.withColumns({c: to_epoch_seconds(c, by[c], is_text=is_text(dts[c])) for c in cols})
     if fill == "median":
         out = impute_numeric(out, cols, "median", quantile_mode=quantile_mode)
     return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import is_null_or_nan, is_numeric
-from ..session import persist_if_small
+from ..session import drop_staged, staged_if_derived
 
 GATE_SCHEMA = T.StructType([
     T.StructField("check", T.StringType()),
@@ -81,12 +81,12 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None) -> Data
     grouped aggregate over the result -- grouping by every column gives duplicate
     rows, and summing group sizes gives the row count and per-column nulls.
     """
-    result, cached = persist_if_small(result)   # three jobs read it
+    stored = staged_if_derived(result, "gated")   # two jobs read it, its plan runs once
     try:
-        return _run_gate(original, result, target)
+        return _run_gate(original, stored, target)
     finally:
-        if cached:
-            result.unpersist()
+        if stored is not result:
+            drop_staged(stored)
 
 
 def _run_gate(original, result, target):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fuzzy import FUZZY_THRESHOLD, greedy_clusters, similar_pairs
+from .fuzzy import FUZZY_THRESHOLD, clusters
 from .profile import profile
 
 ISSUE_SCHEMA = T.StructType([
@@ -40,7 +40,7 @@ def profile_issues(df: DataFrame, target: str | None = None, threshold: float =
         fuzzy_cols = [c for c in prof.text_columns if c != target]
         if fuzzy_cols:
             vf = prof.value_freq.filter(F.col("column").isin(fuzzy_cols))
-            counts = (greedy_clusters(similar_pairs(vf, threshold))
+            counts = (clusters(vf, threshold)
                       .groupBy("column").agg(F.countDistinct("seed").alias("k")).collect())
             rows += [("fuzzy_groups", r["column"], r["k"]) for r in counts if r["k"] > 0]
     finally:

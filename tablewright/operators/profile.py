@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import DEFAULT_DATE_FORMATS, parse_timestamp
+from ..functions.dates import BY_COLUMN, DEFAULT_DATE_FORMATS, date_orders, decided, order_evidence, parse_timestamp
 from ..functions.numeric import (as_double, is_null_or_nan, is_numeric, is_temporal,
                                  is_text, round_half_up)
 from ..functions.quantiles import approx_quantiles, exact_quantiles
-from ..session import persist_if_small
+from ..session import drop_staged, staged_if_derived
 from .freq import first_values, value_freq
 
 # Reference defaults.
@@ -68,6 +68,8 @@ class Profile:
     n_duplicate_rows: int | None
     date_conflicts: list = field(default_factory=list)
     value_freq: DataFrame | None = None
+    date_formats: dict = field(default_factory=dict)   # date column -> formats to read it by
+    source: DataFrame | None = None                    # what was profiled, if staged for it
 
     def numeric_columns(self):
         return [c for c in self.columns if self.stats[c]["kind"] == "numeric"]
@@ -86,6 +88,8 @@ class Profile:
     def unpersist(self):
         if self.value_freq is not None:
             self.value_freq.unpersist()
+        if self.source is not None:
+            drop_staged(self.source)
 
 
 def _kind(dt) -> str:
@@ -147,13 +151,11 @@ def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULT
     ``distinct_mode``: "exact"; "approx" (marked ``distinct_approx``); or "few", which
     shuffles no values and says 0, 1, 2 (two or more, for text) or 3 (three or more)."""
     require_target(df, target)
-    df, cached = persist_if_small(df)      # several passes follow; hold it only if small
-    try:
-        return _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
-                        date_min_rate, order_by, with_duplicates, persist_freq, with_quantiles)
-    finally:
-        if cached:
-            df.unpersist()
+    source = staged_if_derived(df, "profiled")      # several passes follow
+    prof = _profile(source, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
+                    date_min_rate, order_by, with_duplicates, persist_freq, with_quantiles)
+    prof.source = source if source is not df else None
+    return prof
 
 
 def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
@@ -177,6 +179,8 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
             if distinct_mode == "few":
                 exprs += [F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}")]
             exprs.append(F.count(parse_timestamp(c, date_formats)).alias(f"dat{i}"))
+            if date_formats == BY_COLUMN:
+                exprs += [F.count_if(e).alias(f"{k}{i}") for k, e in zip(("dayf", "monf"), order_evidence(c), strict=True)]
         if distinct_mode == "approx" and kinds[c] != "other":
             exprs.append(F.approx_count_distinct(c).alias(f"acd{i}"))
     row = df.agg(*exprs).first()
@@ -200,6 +204,10 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
         elif kinds[c] == "text" and n and row[f"dat{i}"] / n >= date_min_rate:
             date_cols.append(c)
 
+    read_by = dict.fromkeys(date_cols, date_formats)
+    if date_formats == BY_COLUMN:
+        read_by |= {c: decided(row[f"dayf{i}"], row[f"monf{i}"]) for i, c in enumerate(cols) if c in date_cols and kinds[c] == "text"}
+
     # The remaining passes are independent Spark jobs: submit them together so
     # the scheduler overlaps them (each is a scan + partial aggregate).
     nt = numeric + temporal
@@ -270,7 +278,7 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
         return n - df.select(*cols).dropDuplicates().count() if n else 0
 
     def conflict_job():
-        return date_order_conflicts(df, date_cols, date_formats, dts)
+        return date_order_conflicts(df, date_cols, read_by, dts)
 
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=5) as pool:
@@ -288,7 +296,7 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
                    target=target, stats=stats, date_columns=date_cols,
                    text_columns=[c for c in text if c not in date_cols],
                    n_duplicate_rows=n_dup, value_freq=vf,
-                   date_conflicts=conflicts)
+                   date_conflicts=conflicts, date_formats=read_by)
 
 
 def date_order_conflicts(df: DataFrame, date_cols, date_formats=DEFAULT_DATE_FORMATS,
@@ -299,7 +307,8 @@ def date_order_conflicts(df: DataFrame, date_cols, date_formats=DEFAULT_DATE_FOR
     if len(date_cols) < 2:
         return []
     dts = dts or {f.name: f.dataType for f in df.schema.fields}
-    parsed = df.select(*[(parse_timestamp(c, date_formats) if is_text(dts[c])
+    by = date_orders(df, date_cols, date_formats)
+    parsed = df.select(*[(parse_timestamp(c, by[c]) if is_text(dts[c])
                           else F.col(c).cast("timestamp")).alias(c) for c in date_cols])
     exprs, pairs = [], list(combinations(date_cols, 2))
     for j, (a, b) in enumerate(pairs):
@@ -436,7 +445,8 @@ def detect_date_columns(df: DataFrame, formats=DEFAULT_DATE_FORMATS,
 def date_order_conflicts_df(df: DataFrame, date_cols, formats=DEFAULT_DATE_FORMATS) -> DataFrame:
     """B10 as one lazy aggregate: pairs where both directions occur."""
     dts = {f.name: f.dataType for f in df.schema.fields}
-    parsed = df.select(*[(parse_timestamp(c, formats) if is_text(dts[c])
+    by = date_orders(df, date_cols, formats)
+    parsed = df.select(*[(parse_timestamp(c, by[c]) if is_text(dts[c])
                           else F.col(c).cast("timestamp")).alias(c) for c in date_cols])
     pairs = list(combinations(date_cols, 2))
     exprs = []

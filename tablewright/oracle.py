@@ -318,6 +318,7 @@ UNION SELECT '{col}', seed, seed FROM fc_m)"""
 ORACLE["fuzzy_pairs"] = f"""SELECT 'p_name' AS "column", a AS value_a, b AS value_b, {S.rhu('ratio', 4)} AS ratio
 FROM {pairs_sql('part', 'p_name')}"""
 ORACLE["fuzzy_clusters"] = f"SELECT * FROM {clusters_sql('part', 'p_name')}"
+ORACLE["fuzzy_clusters_wide"] = f"SELECT * FROM {clusters_sql('supplier', 's_name')}"
 
 
 def _issues_sql() -> str:
@@ -459,6 +460,31 @@ ORACLE["detect_mixed_dates"] = f"""SELECT 'written' AS "column", {S.rhu('count(t
   count(told) / CAST(count(*) AS DOUBLE) >= 0.9 AS is_date FROM {S.mixed_dates_sql()}"""
 ORACLE["mixed_dates_to_epoch"] = f"SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', told) AS DOUBLE) * 86400 AS written FROM {S.mixed_dates_sql()}"
 
+# ------------------------------------------------------- dates by column grammar
+_WD = "(SELECT *, CAST(o_orderdate AS DATE) AS d, day(o_orderdate) AS dd, month(o_orderdate) AS mm, o_orderkey % 11 = 0 AS junk FROM orders)"
+ORACLE["date_grammar"] = f"""WITH w AS {_WD}, g AS (
+  SELECT 'european' AS "column", count(d) AS n_dates, count(*) FILTER (dd > 12) AS n_day_first, 0 AS n_month_first FROM w
+  UNION ALL SELECT 'american', count(d), 0, count(*) FILTER (dd > 12) FROM w
+  UNION ALL SELECT 'iso', count(*) FILTER (NOT junk), 0, 0 FROM w
+  UNION ALL SELECT 'any', count(d), 0, 0 FROM w)
+SELECT "column", n_dates, CAST(n_day_first AS BIGINT) AS n_day_first, CAST(n_month_first AS BIGINT) AS n_month_first,
+  CASE WHEN n_day_first > n_month_first THEN 'day first' ELSE 'month first' END AS date_order FROM g"""
+ORACLE["date_signatures"] = f"""WITH w AS {_WD}
+SELECT 'european' AS "column", '99/99/9999' AS signature, count(*) AS n, count(*) AS n_dates FROM w
+UNION ALL SELECT 'american', CASE WHEN mm > 9 THEN '99' ELSE '9' END || '-' || CASE WHEN dd > 9 THEN '99' ELSE '9' END || '-9999', count(*), count(*) FROM w GROUP BY 2
+UNION ALL SELECT 'iso', CASE WHEN junk THEN '' ELSE '9999-99-99 99:99' END, count(*), count(*) FILTER (NOT junk) FROM w GROUP BY junk"""
+ORACLE["written_dates_to_epoch"] = f"""WITH w AS (SELECT *, CAST(date_diff('day', DATE '1970-01-01', d) AS DOUBLE) * 86400 AS t FROM {_WD})
+SELECT o_orderkey, t AS european, t AS american, CASE WHEN NOT junk THEN t END AS iso, t AS "any" FROM w"""
+
+# ------------------------------------------------------- CSV in splits, encodings
+ORACLE["scan_csv_multiline"] = "SELECT doc_id, text, lang FROM documents"
+_LINES = r"(SELECT doc_id, regexp_matches(text, '[^\x00-\x7F]') AS wide FROM documents WHERE NOT regexp_matches(text, '[^\x{00}-\x{FF}]'))"
+ORACLE["csv_encodings"] = f"""WITH d AS {_LINES}, n AS (
+  SELECT 'utf8' AS written, count(*) AS n_lines, count(*) FILTER (wide) AS n_wide, 0 AS n_bad FROM d
+  UNION ALL SELECT 'latin1', count(*), 0, count(*) FILTER (wide) FROM d
+  UNION ALL SELECT 'mixed', count(*), count(*) FILTER (wide AND doc_id % 2 = 0), count(*) FILTER (wide AND doc_id % 2 <> 0) FROM d)
+SELECT written, n_lines, n_wide, CAST(n_bad AS BIGINT) AS n_bad, n_bad > 0 AND n_bad >= 0.9 * (n_bad + n_wide) AS wrong_encoding FROM n"""
+
 # ------------------------------------ deterministic columns of gate and model runs
 ORACLE["first_passing_attempts"] = f"""WITH m AS (SELECT * FROM {MO}),
 i AS (SELECT * REPLACE (coalesce(CAST(o_custkey AS DOUBLE), (SELECT quantile_cont(CAST(o_custkey AS DOUBLE), 0.5) FROM m)) AS o_custkey,

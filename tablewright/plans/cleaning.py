@@ -117,14 +117,15 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
         if merge == "exact":
             mapping_df = C.canonical_map(vf)
         elif merge == "fuzzy":
-            from ..operators.fuzzy import cluster_map, greedy_clusters, similar_pairs
-            mapping_df = cluster_map(greedy_clusters(similar_pairs(vf, fuzzy_threshold)), vf)
+            from ..operators.fuzzy import cluster_map, clusters
+            mapping_df = cluster_map(clusters(vf, fuzzy_threshold), vf)
         else:
             raise ValueError(f"merge must be 'exact' or 'fuzzy', got {merge!r}")
         mapping = C.stored_map(mapping_df)
         add("merge_spellings", mapping.count(), lambda d: C.apply_map(d, mapping, text_cols))
 
     date_cols = [c for c in prof.date_columns if c not in skip and c not in dead]
+    date_formats = prof.date_formats   # fitted here, so that the plan reads other tables alike
     for d in date_order_conflicts(out, date_cols, date_formats):
         # the majority direction is the logical order; the minority rows violate it
         before, after = ((d["col_a"], d["col_b"]) if d["b_after_a"] >= d["a_after_b"]

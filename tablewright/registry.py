@@ -18,6 +18,7 @@ from .functions.numeric import round_half_up
 from .operators import clean as C
 from .operators import compare as CP
 from .operators import encode as E
+from .functions import dates as DT
 from .operators import fuzzy as FZ
 from .operators import gate as G
 from .operators import inject as I
@@ -232,6 +233,23 @@ def q_detect_mixed_dates(spark, sf_dir):
     return P.detect_date_columns(M.mixed_dates(spark, sf_dir).select("written"))
 
 
+@query("date_grammar")
+def q_date_grammar(spark, sf_dir):
+    """How the columns of a table order day and month."""
+    return DT.date_grammar(M.written_dates(spark, sf_dir).drop("o_orderkey"))
+
+
+@query("date_signatures")
+def q_date_signatures(spark, sf_dir):
+    return DT.date_signatures(M.written_dates(spark, sf_dir).select("european", "american", "iso"))
+
+
+@query("written_dates_to_epoch")
+def q_written_dates_to_epoch(spark, sf_dir):
+    """Columns of one order each and one of fourteen forms, read by their own grammar."""
+    return C.dates_to_epoch(M.written_dates(spark, sf_dir), ["european", "american", "iso", "any"], fill=None)
+
+
 @query("mixed_dates_to_epoch")
 def q_mixed_dates_to_epoch(spark, sf_dir):
     return C.dates_to_epoch(M.mixed_dates(spark, sf_dir), ["written"], fill=None)
@@ -430,6 +448,33 @@ def q_scan_csv_roundtrip(spark, sf_dir):
     return FL.read_table(spark, path, schema=mo.schema)
 
 
+@query("scan_csv_multiline")
+def q_scan_csv_multiline(spark, sf_dir):
+    """Whole texts with line breaks, quotes and commas through CSV, read in splits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path = shared_path(spark, "csv-multiline")
+    docs.write.option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false") \
+        .option("ignoreTrailingWhiteSpace", "false").csv(path)
+    return FL.read_table(spark, path, schema=docs.schema)
+
+
+@query("csv_encodings")
+def q_csv_encodings(spark, sf_dir):
+    """The texts as lines of three folders: UTF-8, ISO-8859-1, and a mixture."""
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.regexp_replace("text", "[\\n\\r]", " "))
+    latin = F.encode(line, "ISO-8859-1").cast("string")
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[^\\x00-\\xFF]"))
+    ways = {"utf8": line, "latin1": latin, "mixed": F.when(F.col("doc_id") % 2 == 0, line).otherwise(latin)}
+    out = None
+    for name, value in ways.items():
+        path = shared_path(spark, f"encoding-{name}")
+        docs.select(value.alias("value")).write.text(path)
+        part = FL.encoding_report(spark, path).groupBy(F.lit(name).alias("written")).agg(
+            F.sum("n_lines").alias("n_lines"), F.sum("n_wide").alias("n_wide"), F.sum("n_bad").alias("n_bad"), F.max("wrong_encoding").alias("wrong_encoding"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUARANTINE_RATE = 0.05
 
 
@@ -515,7 +560,13 @@ def q_fuzzy_pairs(spark, sf_dir):
 
 @query("fuzzy_clusters")
 def q_fuzzy_clusters(spark, sf_dir):
-    return FZ.greedy_clusters(FZ.similar_pairs(_vf(table(spark, sf_dir, "part"), ["p_name"]), 80))
+    return FZ.clusters(_vf(table(spark, sf_dir, "part"), ["p_name"]), 80)
+
+
+@query("fuzzy_clusters_wide")
+def q_fuzzy_clusters_wide(spark, sf_dir):
+    """Clusters of a column with a value for each supplier, by peeling."""
+    return FZ.clusters(_vf(table(spark, sf_dir, "supplier"), ["s_name"]), 80, fold_values=4)
 
 
 @query("profile_issues")

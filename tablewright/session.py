@@ -8,6 +8,7 @@ one of our own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -83,21 +84,35 @@ def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 <
     }
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (no job); None if unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 -- e.g. no JVM plan access
-        return None
-
-
-def persist_if_small(df: DataFrame, max_bytes: int = 256 << 20):
-    """Persist a DataFrame that several passes will read, but only when the
-    optimizer estimates it at most ``max_bytes``; large inputs are re-read
-    (columnar, pruned) instead of being held.  Returns (df, persisted?)."""
-    size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
-        df = df.persist()
-        df.count()          # fill it once, before concurrent readers start
-        return df, True
-    return df, False
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, so that several passes read
+    columns and a lost executor costs no recomputation."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the folder of a frame made by ``staged`` that nothing reads any more."""
+    path = getattr(df, "_staged_path", None)
+    if path:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Plan nodes that a pass over stored columns may have.
+_SCAN_NODES = re.compile(r"Relation|LogicalRDD|LocalRelation|Range|Project|Filter|SubqueryAlias")
+
+
+def staged_if_derived(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if it scans stored columns, so that each pass reads only those it
+    needs; anything that joins, shuffles, unites or samples is staged once, whatever its
+    size.  Rows with columns that Parquet cannot hold stay as they are."""
+    nodes = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    if all(_SCAN_NODES.search(re.sub(r"^[\s:+!'-]*", "", n).split(" ")[0]) for n in nodes if n.strip()):
+        return df
+    if re.search(r"\b(void|interval|variant)\b", df.schema.simpleString()):
+        return df
+    return staged(df, name)

@@ -91,3 +91,22 @@ def mixed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(way == 4, F.concat(F.lit(" "), F.date_format(d, "yyyy-MM-dd"), F.lit(" "))).when(way == 5, F.date_format(d, "yyyy-MM-dd HH:mm:ss.SSS"))
                .otherwise(F.lit("not known")))
     return table(spark, sf_dir, "orders").select("o_orderkey", written.alias("written"))
+
+
+#: How ``written_dates`` writes the column ``any``, by o_orderkey.
+ANY_FORMS = ("yyyy-MM-dd HH:mm", "yyyyMMdd", "d MMMM yyyy", "dd-MMM-yyyy", "MMM d yyyy", "yyyy-MM-dd'T'HH:mm'Z'", "MMMM d, yyyy", "yyyy/M/d",
+             "yyyy.MM.dd", "EEE, d MMM yyyy HH:mm:ss 'GMT'", "yyyy-MM-dd'T'HH:mm:ss.SSS", "d MMM yyyy", "yyyy-MMM-dd", "yyyy-MM-dd HH:mm:ss'+00:00'")
+
+
+def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` with o_orderdate as text with the day first, the month first, in ISO order,
+    and in any of many forms that name the month or start with the year; every
+    eleventh key has ``iso`` text that is no date."""
+    d = F.to_date("o_orderdate").cast("timestamp")
+    way = F.col("o_orderkey") % len(ANY_FORMS)
+    any_form = F.lit(None).cast("string")
+    for i, form in enumerate(ANY_FORMS):
+        any_form = F.when(way == i, F.date_format(d, form)).otherwise(any_form)
+    return spread(table(spark, sf_dir, "orders")).select(
+        "o_orderkey", F.date_format(d, "dd/MM/yyyy").alias("european"), F.date_format(d, "M-d-yyyy").alias("american"),
+        F.when(F.col("o_orderkey") % 11 == 0, "13/13/2024").otherwise(F.date_format(d, "yyyy-MM-dd HH:mm")).alias("iso"), any_form.alias("any"))

@@ -279,7 +279,7 @@ def test_dates_are_read_each_by_its_own_format(spark):
             "05-01-2024": "2024-01-05 00:00:00", "2024-01-05T10:00:00": "2024-01-05 10:00:00",
             "2024-01-05T10:00:00+02:00": "2024-01-05 08:00:00", "2024-01-05 10:00:00.5": "2024-01-05 10:00:00.5",
             "01/05/2024": "2024-01-05 00:00:00", "Jan 5, 2024": "2024-01-05 00:00:00", "january 5, 2024": "2024-01-05 00:00:00",
-            "5 JAN 2024": "2024-01-05 00:00:00", "13/05/2024": None, "2024": None, "2024-01": None, "2024-02-30": None,
+            "5 JAN 2024": "2024-01-05 00:00:00", "13/05/2024": "2024-05-13 00:00:00", "2024": None, "2024-01": None, "2024-02-30": None,
             "Janch 5, 2024": None, "12:30:00": None, "": None, "n/a": None}
     df = spark.createDataFrame([(k,) for k in told] + [(None,)], "t string")
     got = {r[0]: r[1] for r in df.select("t", parse_timestamp("t").cast("string")).collect()}
