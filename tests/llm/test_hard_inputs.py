@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablewright.llm import graph, licenses, mixing, pii, quality, simhash
+from tablewright.operators import components
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,8 +24,8 @@ def rows(df):
     [(i, 100 + i) for i in range(50)] + [(100 + i, i + 1) for i in range(50)]])
 def test_components_take_few_rounds(spark, monkeypatch, links):
     steps = collections.Counter()
-    plain = graph.staged
-    monkeypatch.setattr(graph, "staged", lambda df, name: steps.update([name]) or plain(df, name))
+    plain = components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: steps.update([name]) or plain(df, name))
     got = {r.vertex: r.label for r in graph.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     vertices = {v for link in links for v in link}
     assert got == dict.fromkeys(vertices, min(vertices))
