@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .clean import drop_string_columns
 from .split import stratified_split
+from .trees import boosted_trees, prediction_column
 
 MISSING_SENTINEL = -1.0e12
 
@@ -47,10 +48,9 @@ def train_classifier(train: DataFrame, target: str, features=None, seed: int = 4
 
 
 def predict(model, df: DataFrame) -> DataFrame:
-    """adds ``prediction`` (0/1 integer)."""
-    out = model.transform(df.withColumn("__label", F.lit(0.0)))
-    keep = [c for c in df.columns] + ["prediction"]
-    return out.withColumn("prediction", F.col("prediction").cast("int")).select(*keep)
+    """adds ``prediction`` (0/1 integer; null where a feature the trees use is missing),
+    by the model's trees as expressions."""
+    return df.withColumn("prediction", prediction_column(boosted_trees(model)))
 
 
 def f1_accuracy(pred: DataFrame, label: str, prediction: str = "prediction", digits: int = 4) -> DataFrame:

@@ -5,6 +5,8 @@ All are append-only tables in the shared folder; reports are aggregates.
 
 from __future__ import annotations
 
+import re
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -56,16 +58,48 @@ def failure(**fields) -> Row:
     return Row(**record)
 
 
-def record_failures(spark: SparkSession, path: str, rows) -> DataFrame:
-    """G1: append failure rows to the JSON failures table at ``path``."""
+def record_failures(spark: SparkSession, path: str, rows, run_id: str | None = None) -> DataFrame:
+    """G1: append failure rows to the JSON failures table at ``path``; with a ``run_id`` a
+    repeated append counts once, as in ``append_history``."""
     df = spark.createDataFrame(list(rows), FAILURE_SCHEMA)
-    df.write.mode("append").json(path)
+    append_history(df, path, run_id)
     return df
 
 
-def append_history(df: DataFrame, path: str) -> None:
-    """Append run rows (JSON lines) -- never rewrites earlier runs."""
-    df.write.mode("append").json(path)
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def append_history(df: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Append run rows (JSON lines) -- never rewrites earlier runs.
+
+    With a ``run_id`` the append can be repeated: each try writes a folder of its own, and
+    what counts is the one that the run's marker names.  The marker is written last and
+    replaces an earlier one, so a try that dies leaves nothing, and a second try of the
+    same run changes nothing but which copy is read (``read_history``)."""
+    if run_id is None:
+        df.write.mode("append").json(path)
+        return
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"run_id {run_id!r} must be letters, digits, '_', '.' and '-'")
+    folder = f"{run_id}-{uuid.uuid4().hex[:12]}"
+    df.write.json(f"{path.rstrip('/')}/runs/{folder}")
+    marker, files = _hadoop(df.sparkSession, f"{path.rstrip('/')}/commits/{run_id}")
+    out = files.create(marker, True)
+    out.writeBytes(folder)
+    out.close()
+
+
+def read_history(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of committed runs, with ``run_id``; a marker is one small file a run."""
+    base, files = _hadoop(spark, f"{path.rstrip('/')}/commits")
+    if not files.exists(base):
+        return spark.createDataFrame([], schema).withColumn("run_id", F.lit(None).cast("string"))
+    marks = spark.read.text(f"{path.rstrip('/')}/commits").select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("run_id")).collect()
+    rows = spark.read.schema(schema).json([f"{path.rstrip('/')}/runs/{m.value}" for m in marks])
+    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    return rows.withColumn("run_id", F.regexp_replace(folder, "-[0-9a-f]{12}$", ""))
 
 
 def run_report(runs: DataFrame, status_col: str = "status") -> DataFrame:
