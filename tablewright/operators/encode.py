@@ -20,12 +20,16 @@ def feature_name(col: str, value: str) -> str:
     return re.sub(r"[^0-9A-Za-z_]", "_", f"{col}_{value}")
 
 
-def fit_one_hot(df: DataFrame, cols, max_categories: int | None = None) -> dict:
-    """Sorted non-null vocabulary of every column; with ``max_categories`` a wider
-    column is an error."""
+#: One column a category: more than this is no table to train on, and no list for the driver.
+MAX_CATEGORIES = 10_000
+
+
+def fit_one_hot(df: DataFrame, cols, max_categories: int | None = MAX_CATEGORIES, vf: DataFrame | None = None) -> dict:
+    """Sorted non-null vocabulary of every column, from ``vf`` if the values are counted
+    already; a column with more than ``max_categories`` is an error."""
     if not cols:
         return {}
-    vf = value_freq(df, cols)
+    vf = value_freq(df, cols) if vf is None else vf.where("value IS NOT NULL")
     counts = {r["column"]: r["d"] for r in vf.groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
     too_wide = {c: n for c, n in counts.items() if max_categories is not None and n > max_categories}
     if too_wide:

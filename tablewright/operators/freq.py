@@ -36,6 +36,36 @@ def value_freq(df: DataFrame, cols, order_by: str | None = None) -> DataFrame:
                                                 first.alias("first_seen"))
 
 
+def value_freq_with_nulls(df: DataFrame, cols) -> DataFrame:
+    """(column, value, freq) with one more row, of a null value, for a column that has nulls.
+
+    Filling nulls, mapping and grouping values are functions of this table, so what a
+    cleaned column will hold follows from it without another pass over the rows
+    (``filled``, ``kept_or_other``)."""
+    proj = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    return proj.unpivot([], list(cols), "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def _by_column(values: dict):
+    """The value a column maps to, from a small dictionary; null for other columns."""
+    return F.lit(None).cast("string") if not values else F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("column")]
+
+
+def filled(vf: DataFrame, fill: dict) -> DataFrame:
+    """``vf`` after nulls became ``fill[column]``; columns without one keep their nulls."""
+    given = {c: v for c, v in fill.items() if v is not None}
+    value = F.coalesce("value", _by_column(given))
+    return vf.select("column", value.alias("value"), "freq").groupBy("column", "value").agg(F.sum("freq").alias("freq"))
+
+
+def kept_or_other(vf: DataFrame, keep: dict, other: str) -> DataFrame:
+    """``vf`` after the values of the columns of ``keep`` that it does not list became ``other``."""
+    value = F.col("value")
+    for c, values in keep.items():
+        value = F.when((F.col("column") == c) & F.col("value").isNotNull() & ~F.col("value").isin(list(values)), other).otherwise(value)
+    return vf.select("column", value.alias("value"), "freq").groupBy("column", "value").agg(F.sum("freq").alias("freq"))
+
+
 def topk(vf: DataFrame, k: int, cols=None) -> DataFrame:
     """Top-k values per column by frequency, ties broken by value, in one scan: the
     filter on the rank makes every task keep k values a column before the shuffle."""

@@ -109,6 +109,15 @@ def numeric_long(df: DataFrame, cols) -> DataFrame:
     return proj.unpivot([], list(cols), "column", "v")
 
 
+def ranks(df: DataFrame, cols, probs, mode: str = "exact") -> dict:
+    """{column: values at ``probs``} of numeric columns, in one rank search."""
+    if not cols:
+        return {}
+    find = approx_quantiles if mode == "approx" else exact_quantiles
+    qs = find(numeric_long(df, cols), "column", "v", list(probs))
+    return {c: tuple(qs.get(c, [None] * len(probs))) for c in cols}
+
+
 def quartiles(df: DataFrame, cols, mode: str = "exact", bounds: dict | None = None) -> dict:
     """{column: (q1, q3)} for numeric columns."""
     if not cols:

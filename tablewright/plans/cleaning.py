@@ -15,6 +15,7 @@ streaming DataFrame.  ``clean`` is fit + transform of the same table.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -24,8 +25,9 @@ from ..functions.dates import DEFAULT_DATE_FORMATS
 from ..functions.text import DEFAULT_MISSING_LITERALS
 from ..operators import clean as C
 from ..operators import encode as E
-from ..operators.profile import date_order_conflicts, profile, require_target
-from ..session import cut_lineage
+from ..operators.freq import filled, kept_or_other, mode_per_column, value_freq_with_nulls
+from ..operators.profile import date_order_conflicts, iqr_bounds, profile, ranks, require_target
+from ..session import cut_lineage, drop_staged, staged
 from .strategies import CleaningStrategy, get_strategy
 
 
@@ -133,31 +135,39 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
         add("date_violations", (before, after, violation_mode),
             lambda x, b=before, a=after: C.drop_date_violations(
                 x, b, a, mode=violation_mode, formats=date_formats, flag_col=f"{b}_after_{a}"))
+    num_cols = [c for c in prof.numeric_columns() if c not in skip and c not in dead
+                and prof.stats[c].get("n_unique", 0) > 2]
+    impute_num = [c for c in prof.numeric_columns() if c not in skip and c not in dead]
+    clip = num_cols if strategy.iqr_multiplier is not None else []
+    by_median = impute_num if strategy.numeric_impute_policy == "median" else []
+    # What is left to fit depends on these rows alone.  One rank search has all quartiles and
+    # medians (clipping outside the quartiles moves no median), one count of the values the
+    # modes, the rare values and the vocabulary.
+    told = C.dates_to_epoch(out, date_cols, date_formats, fill=None)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f_ranks = pool.submit(ranks, told, [*date_cols, *dict.fromkeys([*clip, *by_median])], (0.25, 0.5, 0.75), quantile_mode)
+        f_freq = pool.submit(staged, value_freq_with_nulls(out, text_cols), "values") if text_cols else None
+        found, vf = f_ranks.result(), f_freq.result() if f_freq else None
     if date_cols:
-        epoch = C.dates_to_epoch(out, date_cols, date_formats, fill=None)
-        meds = C.fit_numeric_stats(epoch, date_cols, "median", quantile_mode)
+        meds = {c: found[c][1] for c in date_cols}
         add("dates_to_epoch", meds, lambda d: C.impute_numeric(
             C.dates_to_epoch(d, date_cols, date_formats, fill=None), date_cols, stats=meds))
-
-    num_cols = [c for c in prof.numeric_columns() if c not in skip and c not in dead
-                and prof.stats[c].get("n_unique", 0) > 2]
-    if strategy.iqr_multiplier is not None and num_cols:
-        bounds = C.fit_clip_bounds(out, num_cols, strategy.iqr_multiplier, quantile_mode)
+    if clip:
+        bounds = {c: iqr_bounds(found[c][0], found[c][2], strategy.iqr_multiplier) for c in clip}
         add("clip_outliers", bounds, lambda d: C.clip_outliers(d, num_cols, strategy.iqr_multiplier, bounds=bounds))
 
-    impute_num = [c for c in prof.numeric_columns() if c not in skip and c not in dead]
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=2) as pool:   # independent fits on the same input
-        f_stats = pool.submit(C.fit_numeric_stats, out, impute_num, strategy.numeric_impute_policy, quantile_mode)
-        f_modes = pool.submit(C.fit_modes, out, text_cols)
-        stats, modes = f_stats.result(), f_modes.result()
+    stats = {c: found[c][1] for c in by_median} or C.fit_numeric_stats(out, impute_num, strategy.numeric_impute_policy, quantile_mode)
+    modes, keep_top, vocab = {}, {}, {}
+    if text_cols:
+        modes = {r["column"]: r["mode"] for r in mode_per_column(vf.where("value IS NOT NULL")).collect()}
     add("impute", (stats, modes), lambda d: C.impute_categorical(
         C.impute_numeric(d, impute_num, stats=stats), text_cols, modes=modes))
-
-    keep_top = C.fit_group_rare(out, text_cols, strategy.high_cardinality_threshold,
-                                strategy.high_cardinality_top_k)
+    if text_cols:
+        full = filled(vf, modes)
+        keep_top = C.fit_group_rare(None, text_cols, strategy.high_cardinality_threshold, strategy.high_cardinality_top_k, vf=full.where("value IS NOT NULL"))
+        vocab = E.fit_one_hot(None, text_cols, vf=kept_or_other(full, keep_top, C.OTHER))
+        drop_staged(vf)
     add("group_rare", keep_top, lambda d: C.apply_group_rare(d, keep_top))
-    vocab = E.fit_one_hot(out, text_cols)
     add("one_hot", vocab, lambda d: E.one_hot(d, vocab, drop_first=True))
     add("drop_duplicates_final", None, C.drop_duplicates, stateful=True)
     plan.date_columns, plan.vocabulary = date_cols, vocab
