@@ -6,7 +6,8 @@ because ``cast('2024' as timestamp)`` succeeds.
 A text is read by its form.  Month names become numbers, one pattern of all forms brings
 the parts to ISO order in a single replacement, and only what it matched is cast.  The
 only open question, whether ``03/04/2024`` names the day or the month first, is one of
-the column: dates with a part above 12 tell, and ``date_orders`` counts them.
+the column: dates with a part above 12 tell, and ``date_orders`` counts them.  Where
+none tells, the separator does.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from pyspark.sql import types as T
 
 # The ways to write a date that are read, outer blanks and case aside.
 #   2024-01-05  2024/1/5  2024.01.05  20240105
-#   01/05/2024  1-5-2024  01.05.2024  01/05/24   month or day first; a part above 12 is the day
+#   01/05/2024  01/05/24     month first, unless the column or a part above 12 says otherwise
+#   05-01-2024  05.01.2024   day first, unless the column or a part above 12 says otherwise
 #   Jan 5, 2024  January 5 2024  5 January 2024  05-Jan-2024  2024-Jan-05
 #   a weekday before it: Fri, 5 Jan 2024
 #   a clock behind it: 2024-01-05 10:00  2024-01-05T10:00:00.5  1/5/2024 9:30 PM
 #   a zone behind that: 2024-01-05T10:00Z  10:00+05:30  10:00 +0530  10:00 UTC
-MONTH_FIRST, DAY_FIRST, BY_COLUMN = "month first", "day first", "by column"
+MONTH_FIRST, DAY_FIRST, BY_SEPARATOR, BY_COLUMN = "month first", "day first", "by separator", "by column"
 DEFAULT_DATE_FORMATS = BY_COLUMN
 
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -52,15 +54,19 @@ def _form(order: str) -> tuple[str, str]:
             groups[role].append(count)
         return f"({pattern})"
 
-    def numeric(first: str, second: str) -> str:
-        ranges = {"m": "0?[1-9]|1[0-2]", "d": "0?[1-9]|[12][0-9]|3[01]"}
-        out = part(first, ranges[first]) + part(None, "[-/.]")
-        return out + f"(?:{part(second, ranges[second])}\\{count - 1}{part('y', '[0-9]{4}|[0-9]{2}')})"
+    def numeric(first: str, separators: str) -> str:
+        """Day and month, ``first`` first, or the other way where its number is too large."""
+        ranges, out = {"m": "0?[1-9]|1[0-2]", "d": "0?[1-9]|[12][0-9]|3[01]"}, []
+        for a, b in (("m", "d"), ("d", "m")) if first == "m" else (("d", "m"), ("m", "d")):
+            start = part(a, ranges[a]) + part(None, f"[{separators}]")
+            out.append(start + f"(?:{part(b, ranges[b])}\\{count - 1}{part('y', '[0-9]{4}|[0-9]{2}')})")
+        return "|".join(out)
 
     forms = [
         part("y", "[0-9]{4}") + part(None, "[-/.]") + part("m", "[0-9]{1,2}") + f"\\{count - 1}" + part("d", "[0-9]{1,2}"),
         part("y", "[0-9]{4}") + part("m", "[0-9]{2}") + part("d", "[0-9]{2}"),
-        *([numeric("d", "m"), numeric("m", "d")] if order == DAY_FIRST else [numeric("m", "d"), numeric("d", "m")]),
+        numeric("d" if order == DAY_FIRST else "m", "/"),
+        numeric("m" if order == MONTH_FIRST else "d", "-."),
         part("d", "[0-9]{1,2}") + "[- /.]?m" + part("m", "[0-9]{1,2}") + "m[-, /.]{0,2}" + part("y", "[0-9]{4}"),
         "m" + part("m", "[0-9]{1,2}") + "m[- .]{0,2}" + part("d", "[0-9]{1,2}") + "(?:, ?| |-)" + part("y", "[0-9]{4}"),
         part("y", "[0-9]{4}") + "[-/ .]m" + part("m", "[0-9]{1,2}") + "m[-/ .]" + part("d", "[0-9]{1,2}"),
@@ -77,7 +83,7 @@ def _form(order: str) -> tuple[str, str]:
     return pattern, f"#${at + 1},${at + 2},{each('y')}-{each('m')}-{each('d')} ${at}"
 
 
-_FORMS = {order: _form(order) for order in (MONTH_FIRST, DAY_FIRST)}
+_FORMS = {order: _form(order) for order in (MONTH_FIRST, DAY_FIRST, BY_SEPARATOR)}
 
 
 def _col(c) -> Column:
@@ -103,24 +109,30 @@ def _numbered(text: Column) -> Column:
 
 def _told(parts: Column) -> Column:
     """The time of ``#ap``, zone and ``y-m-d clock``."""
-    half, zone, body = F.substring(parts[0], 2, 1), F.upper(parts[1]), F.trim(parts[2])
-    century = F.when(F.substring(body, 1, 2) < "69", "20").otherwise("19")
-    body = F.when(F.substring(body, 3, 1) == "-", F.concat(century, body)).otherwise(body)
-    seconds = F.when(F.length(F.regexp_replace(body, "[^:]", "")) == 1, ":00").otherwise("")
-    ts = F.when(zone == "", body).otherwise(F.concat(body, seconds, F.when(zone.isin("UTC", "GMT"), "Z").otherwise(zone))).try_cast("timestamp")
-    hour = F.hour(ts)
-    shift = F.when((half == "p") & (hour < 12), 12).when((half == "a") & (hour == 12), -12).otherwise(0)
-    return F.when(half == "", ts).when(hour.between(1, 12), F.timestamp_micros(F.unix_micros(ts) + shift * 3_600_000_000))
+    half, zone = F.substring(parts[0], 2, 1), F.upper(parts[1])
+
+    def stamped(body):
+        century = F.when(F.substring(body, 3, 1) != "-", "").when(F.substring(body, 1, 2) < "69", "20").otherwise("19")
+        seconds = F.when(F.length(F.translate(body, ":", "")) == F.length(body) - 1, ":00").otherwise("")
+        told = F.when(zone == "", "").otherwise(F.concat(seconds, F.when(zone.isin("UTC", "GMT"), "Z").otherwise(zone)))
+        return F.concat(century, body, told).try_cast("timestamp")
+
+    def shifted(ts):
+        hour = F.hour(ts)
+        shift = F.when((half == "p") & (hour < 12), 12).when((half == "a") & (hour == 12), -12).otherwise(0)
+        return F.when(half == "", ts).when(hour.between(1, 12), F.timestamp_micros(F.unix_micros(ts) + shift * 3_600_000_000))
+
+    return _once(_once(F.trim(parts[2]), stamped), shifted)
 
 
 def parse_timestamp(c, formats=DEFAULT_DATE_FORMATS) -> Column:
     """The time that a text tells, by the form it has; NULL when it tells none.  ``formats``
-    is DAY_FIRST, MONTH_FIRST (also what BY_COLUMN means where no column is seen), or a
-    list of datetime patterns, of which the first that parses wins."""
-    if formats not in (MONTH_FIRST, DAY_FIRST, BY_COLUMN):
+    is DAY_FIRST, MONTH_FIRST, BY_SEPARATOR (also what BY_COLUMN means where no column is
+    seen), or a list of datetime patterns, of which the first that parses wins."""
+    if formats not in (MONTH_FIRST, DAY_FIRST, BY_SEPARATOR, BY_COLUMN):
         text = F.trim(_col(c).cast("string"))
         return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
-    pattern, iso = _FORMS[DAY_FIRST if formats == DAY_FIRST else MONTH_FIRST]
+    pattern, iso = _FORMS[BY_SEPARATOR if formats == BY_COLUMN else formats]
 
     def read(text):
         told = F.regexp_replace(_numbered(text), pattern, iso)
@@ -149,7 +161,8 @@ def order_evidence(c) -> tuple[Column, Column]:
 
 
 def decided(n_day_first: int | None, n_month_first: int | None) -> str:
-    return DAY_FIRST if (n_day_first or 0) > (n_month_first or 0) else MONTH_FIRST
+    day, month = n_day_first or 0, n_month_first or 0
+    return DAY_FIRST if day > month else MONTH_FIRST if month > day else BY_SEPARATOR
 
 
 def date_grammar(df: DataFrame, cols=None) -> DataFrame:
@@ -163,20 +176,21 @@ def date_grammar(df: DataFrame, cols=None) -> DataFrame:
     row = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(n) for k, n in (("n", "n_dates"), ("d", "n_day_first"), ("m", "n_month_first"))])
                     for i, c in enumerate(cols)])
     out = df.agg(*aggs).select(F.inline(row))
-    return out.withColumn("date_order", F.when(F.col("n_day_first") > F.col("n_month_first"), DAY_FIRST).otherwise(MONTH_FIRST))
+    return out.withColumn("date_order", F.when(F.col("n_day_first") > F.col("n_month_first"), DAY_FIRST).when(
+        F.col("n_month_first") > F.col("n_day_first"), MONTH_FIRST).otherwise(BY_SEPARATOR))
 
 
 def date_orders(df: DataFrame, cols, formats=DEFAULT_DATE_FORMATS) -> dict:
     """{column: formats to read it by}; BY_COLUMN is decided for the text columns by one
     aggregate, anything else holds for all."""
     if isinstance(formats, dict):
-        return {c: formats.get(c, MONTH_FIRST) for c in cols}
+        return {c: formats.get(c, BY_SEPARATOR) for c in cols}
     texts = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
     if formats != BY_COLUMN or not texts or df.isStreaming:
         return dict.fromkeys(cols, formats)
     aggs = [F.count_if(e).alias(f"{k}{i}") for i, c in enumerate(texts) for k, e in zip("dm", order_evidence(c), strict=True)]
     row = df.agg(*aggs).first()
-    return dict.fromkeys(cols, MONTH_FIRST) | {c: decided(row[f"d{i}"], row[f"m{i}"]) for i, c in enumerate(texts)}
+    return dict.fromkeys(cols, BY_SEPARATOR) | {c: decided(row[f"d{i}"], row[f"m{i}"]) for i, c in enumerate(texts)}
 
 
 def date_signatures(df: DataFrame, cols=None) -> DataFrame:

@@ -468,7 +468,7 @@ ORACLE["date_grammar"] = f"""WITH w AS {_WD}, g AS (
   UNION ALL SELECT 'iso', count(*) FILTER (NOT junk), 0, 0 FROM w
   UNION ALL SELECT 'any', count(d), 0, 0 FROM w)
 SELECT "column", n_dates, CAST(n_day_first AS BIGINT) AS n_day_first, CAST(n_month_first AS BIGINT) AS n_month_first,
-  CASE WHEN n_day_first > n_month_first THEN 'day first' ELSE 'month first' END AS date_order FROM g"""
+  CASE WHEN n_day_first > n_month_first THEN 'day first' WHEN n_month_first > n_day_first THEN 'month first' ELSE 'by separator' END AS date_order FROM g"""
 ORACLE["date_signatures"] = f"""WITH w AS {_WD}
 SELECT 'european' AS "column", '99/99/9999' AS signature, count(*) AS n, count(*) AS n_dates FROM w
 UNION ALL SELECT 'american', CASE WHEN mm > 9 THEN '99' ELSE '9' END || '-' || CASE WHEN dd > 9 THEN '99' ELSE '9' END || '-9999', count(*), count(*) FROM w GROUP BY 2

@@ -121,6 +121,9 @@ def test_dates_of_every_form(spark):
     df = spark.createDataFrame([(k,) for k in TOLD] + [(None,)], "t string")
     got = {r[0]: r[1] for r in df.select("t", D.parse_timestamp("t").cast("string")).collect()}
     assert got == {**TOLD, None: None}
+    dashes = spark.createDataFrame([("05-01-2024",), ("05.01.2024",), ("05/01/2024",), ("01-13-2024",)], "t string")
+    told = [[str(r[0])[5:10] for r in dashes.select(D.parse_timestamp("t", how)).collect()] for how in (D.BY_COLUMN, D.MONTH_FIRST, D.DAY_FIRST)]
+    assert told == [["01-05", "01-05", "05-01", "01-13"], ["05-01", "05-01", "05-01", "01-13"], ["01-05", "01-05", "01-05", "01-13"]]
     day = df.select("t", D.parse_timestamp("t", D.DAY_FIRST).cast("string").alias("d"))
     assert {r.t: r.d for r in day.collect() if r.t in ("1/5/24", "13/02/2024", "01/05/2024 10:00:00")} == {
         "1/5/24": "2024-05-01 00:00:00", "13/02/2024": "2024-02-13 00:00:00", "01/05/2024 10:00:00": "2024-05-01 10:00:00"}
@@ -129,7 +132,7 @@ def test_dates_of_every_form(spark):
 def test_a_column_decides_which_part_is_the_day(spark):
     data = [(i, f"{d:02d}/02/2024", f"02/{d:02d}/2024", "03/04/2024") for i, d in enumerate(range(1, 29))]
     df = spark.createDataFrame(data, "id int, eu string, us string, open string")
-    assert D.date_orders(df, ["eu", "us", "open"]) == {"eu": D.DAY_FIRST, "us": D.MONTH_FIRST, "open": D.MONTH_FIRST}
+    assert D.date_orders(df, ["eu", "us", "open"]) == {"eu": D.DAY_FIRST, "us": D.MONTH_FIRST, "open": D.BY_SEPARATOR}
     out = C.dates_to_epoch(df, ["eu", "us"], fill=None)
     assert out.where("eu <> us").count() == 0
     assert C.drop_date_violations(df, "eu", "us").count() == 28 and C.drop_date_violations(df, "us", "eu").count() == 28
