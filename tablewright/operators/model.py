@@ -1,8 +1,8 @@
-"""Modelling (F1-F5): boosted trees on Spark ML and exact scores.
+"""Modelling (F1-F5): boosted trees and exact scores.
 
-Spark's GBT rejects NaN features, so the naive baseline path (fail-safe
-string drop, no cleaning) encodes a missing value as a sentinel plus an
-is-missing indicator -- the closest Spark-side analogue of a NaN-aware tree.
+The baseline and the sweep train the library's histogram boosting, which learns for every cut
+the side of missing values, so the naive baseline (fail-safe string drop, no cleaning) takes
+its table as it is.  Spark ML's boosted trees are there for complete tables.
 """
 
 from __future__ import annotations
@@ -13,32 +13,19 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import BoostedModel, BoostParams, fit_boosted
 from .clean import drop_string_columns
 from .split import stratified_split
 from .trees import boosted_trees, prediction_column
 
-MISSING_SENTINEL = -1.0e12
-
-
 def feature_columns(df: DataFrame, target: str, exclude=()) -> list:
     return [c for c in df.columns if c != target and c not in exclude]
 
 
-def with_missing_indicators(df: DataFrame, cols) -> DataFrame:
-    """NULL/NaN -> sentinel plus ``<col>__missing`` 0/1 columns (only for
-    columns that can be null)."""
-    repl = {}
-    for c in cols:
-        v = F.col(c).cast("double")
-        miss = v.isNull() | F.isnan(v)
-        repl[c] = F.when(miss, F.lit(MISSING_SENTINEL)).otherwise(v)
-        repl[f"{c}__missing"] = miss.cast("int")
-    return df.withColumns(repl) if repl else df
-
-
 def train_classifier(train: DataFrame, target: str, features=None, seed: int = 42,
                      max_iter: int = 20, max_depth: int = 5):
-    """VectorAssembler + GBTClassifier (log-loss), fixed seed."""
+    """F1 on Spark ML: VectorAssembler + GBTClassifier (log-loss), fixed seed; a missing value in a
+    feature is an error (``fit_boosted`` takes them)."""
     features = features or feature_columns(train, target)
     data = train.withColumn("__label", F.col(target).cast("double"))
     asm = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="error")
@@ -48,9 +35,10 @@ def train_classifier(train: DataFrame, target: str, features=None, seed: int = 4
 
 
 def predict(model, df: DataFrame) -> DataFrame:
-    """adds ``prediction`` (0/1 integer; null where a feature the trees use is missing),
-    by the model's trees as expressions."""
-    return df.withColumn("prediction", prediction_column(boosted_trees(model)))
+    """adds ``prediction`` (0/1 integer), by the model's trees as expressions.  Trees of Spark
+    ML give null where a feature they use is missing."""
+    trees = model.trees if isinstance(model, BoostedModel) else boosted_trees(model)
+    return df.withColumn("prediction", prediction_column(trees))
 
 
 def f1_accuracy(pred: DataFrame, label: str, prediction: str = "prediction", digits: int = 4) -> DataFrame:
@@ -73,25 +61,22 @@ def f1_accuracy(pred: DataFrame, label: str, prediction: str = "prediction", dig
 
 
 def baseline_metrics(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42,
-                     key: str | None = None, exclude=()):
-    """fail-safe string drop -> exact split -> GBT -> scores.
+                     key: str | None = None, exclude=(), params: BoostParams = BoostParams()):
+    """fail-safe string drop -> exact split -> boosting with missing values -> scores.
     Returns (metrics DataFrame, split DataFrame)."""
     work, dropped = drop_string_columns(df.drop(*exclude), target)
     if key and key not in work.columns:
         work = work.withColumn(key, df[key]) if key in df.columns else work
     split = stratified_split(work, target, test_size, seed, key=key)
     feats = feature_columns(work, target, exclude=[key] if key else [])
-    split = with_missing_indicators(split, feats)
-    feats = feats + [f"{c}__missing" for c in feats]
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
-    model = train_classifier(train, target, feats, seed=seed)
+    model = fit_boosted(train, target, feats, params)
     s = f1_accuracy(predict(model, test), target).first()
     c = split.agg(F.sum((F.col("split") == "train").cast("long")).alias("tr"),
                   F.sum((F.col("split") == "test").cast("long")).alias("te")).first()
-    n_used = len(feature_columns(work, target, exclude=[key] if key else []))
     metrics = df.sparkSession.createDataFrame(
-        [(s["f1_score"], s["accuracy"], c["tr"], c["te"], n_used, ",".join(dropped))],
+        [(s["f1_score"], s["accuracy"], c["tr"], c["te"], len(feats), ",".join(dropped))],
         "baseline_f1_score double, baseline_accuracy double, n_train_rows long, n_test_rows long, "
         "n_features_used int, columns_dropped_by_failsafe string")
     return metrics, split

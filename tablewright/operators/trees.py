@@ -20,11 +20,13 @@ class Leaf:
 
 @dataclass(frozen=True)
 class Choice:
-    """``low`` where the feature is at most ``threshold``, else ``high``."""
+    """``low`` where the feature is at most ``threshold``, else ``high``; ``missing_low`` tells the
+    side of null and NaN, None that the tree knows no missing values."""
     feature: str
     threshold: float
     low: Choice | Leaf
     high: Choice | Leaf
+    missing_low: bool | None = None
 
 
 def _node(node, features: list[str]) -> Choice | Leaf:
@@ -45,25 +47,41 @@ def features_of(tree: Choice | Leaf) -> set[str]:
     return set() if isinstance(tree, Leaf) else {tree.feature} | features_of(tree.low) | features_of(tree.high)
 
 
+def needed_by(tree: Choice | Leaf) -> set[str]:
+    """The features without which the tree has no answer."""
+    if isinstance(tree, Leaf):
+        return set()
+    return ({tree.feature} if tree.missing_low is None else set()) | needed_by(tree.low) | needed_by(tree.high)
+
+
 def tree_column(tree: Choice | Leaf) -> Column:
     if isinstance(tree, Leaf):
         return F.lit(tree.value)
-    return F.when(F.col(f"`{tree.feature}`").cast("double") <= F.lit(tree.threshold), tree_column(tree.low)).otherwise(tree_column(tree.high))
+    v = F.col(f"`{tree.feature}`").cast("double")
+    low = v <= F.lit(tree.threshold)            # null and NaN: not low
+    if tree.missing_low:
+        low = v.isNull() | F.isnan(v) | low
+    return F.when(low, tree_column(tree.low)).otherwise(tree_column(tree.high))
 
 
 def tree_sql(tree: Choice | Leaf) -> str:
     if isinstance(tree, Leaf):
         return f"CAST('{tree.value!r}' AS DOUBLE)"
     name = tree.feature.replace('"', '""')
-    return f"CASE WHEN CAST(\"{name}\" AS DOUBLE) <= CAST('{tree.threshold!r}' AS DOUBLE) THEN {tree_sql(tree.low)} ELSE {tree_sql(tree.high)} END"
+    value = f"CAST(\"{name}\" AS DOUBLE)"
+    low = f"{value} <= CAST('{tree.threshold!r}' AS DOUBLE)"
+    if tree.missing_low:
+        low = f"({value} IS NULL OR isnan({value}) OR {low})"
+    return f"CASE WHEN {low} THEN {tree_sql(tree.low)} ELSE {tree_sql(tree.high)} END"
 
 
 def margin_column(trees) -> Column:
-    """The weighted sum of the trees; null where a feature that they use is null or NaN."""
+    """The weighted sum of the trees; null where a feature is null or NaN that a tree without a
+    side for missing values uses."""
     total = F.lit(0.0)
     for weight, tree in trees:
         total = total + F.lit(weight) * tree_column(tree)
-    used = [F.col(f"`{f}`").cast("double") for f in sorted(set().union(*[features_of(t) for _, t in trees]))]
+    used = [F.col(f"`{f}`").cast("double") for f in sorted(set().union(*[needed_by(t) for _, t in trees]))]
     missing = F.lit(False)
     for v in used:
         missing = missing | v.isNull() | F.isnan(v)

@@ -502,3 +502,36 @@ ORACLE["train_gbt"] = f"""WITH s AS (SELECT * FROM {S.split_sql(_LABELLED, 'doc_
 v AS (SELECT DISTINCT split, 'lang' AS c, lower(trim(lang)) AS v FROM s UNION SELECT DISTINCT split, 'source', lower(trim(source)) FROM s),
 f AS (SELECT DISTINCT c, v FROM (SELECT *, min(v) OVER (PARTITION BY split, c) AS first FROM v) WHERE v > first)
 SELECT 20 AS n_trees, CAST(3 + (SELECT count(*) FROM f) AS INTEGER) AS n_features, count(*) AS n_train_rows FROM s WHERE split = 'train'"""
+
+# ---------------------------------------- one round of boosting, two levels of sixteen bins
+def _boosting_level(level: int) -> str:
+    """The best cut of every node of ``n{level}``, and the rows one level down."""
+    return f"""
+s{level} AS (SELECT node, f, thr, ml, count(*) FILTER (low) AS nl, sum(g) FILTER (low) AS gl, sum(h) FILTER (low) AS hl,
+    count(*) AS na, sum(g) AS ga, sum(h) AS ha, count(*) FILTER (v <= thr AND (prev IS NULL OR v > prev)) AS here
+  FROM (SELECT n.*, e.f, e.x AS thr, e.prev, m.ml, CASE e.f WHEN 0 THEN x0 ELSE x1 END AS v, coalesce(v <= thr, ml) AS low
+    FROM n{level} n CROSS JOIN e CROSS JOIN (SELECT unnest([true, false]) AS ml) m)
+  GROUP BY node, f, thr, ml),
+k{level} AS (SELECT *, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) AS gain
+  FROM s{level} WHERE here > 0 AND hl >= 1 AND ha - hl >= 1),
+c{level} AS (SELECT * FROM k{level} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, thr, ml DESC) = 1),
+n{level + 1} AS (SELECT n.* REPLACE (CASE WHEN coalesce(CASE c.f WHEN 0 THEN x0 ELSE x1 END <= c.thr, c.ml) THEN 2 * node ELSE 2 * node + 1 END AS node)
+  FROM n{level} n JOIN c{level} c USING (node))"""
+
+
+_FIRST_TREE = f"""WITH n0 AS (SELECT 1 AS node, CAST(o_custkey AS DOUBLE) AS x0, o_totalprice AS x1, target,
+    CAST(0.5 AS DOUBLE) - target AS g, CAST(0.25 AS DOUBLE) AS h FROM {MO} WHERE target IS NOT NULL),
+r AS (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY f) AS n
+  FROM (SELECT 0 AS f, x0 AS x FROM n0 UNION ALL SELECT 1, x1 FROM n0) WHERE x IS NOT NULL),
+e AS (SELECT *, lag(x) OVER (PARTITION BY f ORDER BY x) AS prev FROM (
+  SELECT f, x FROM r WHERE i = n - 1 UNION SELECT f, x FROM r JOIN (SELECT unnest(range(1, 16)) AS k) ON i = k * n // 16)),
+{_boosting_level(0)}, {_boosting_level(1)},
+l AS (SELECT * FROM n0 WHERE node NOT IN (SELECT node FROM c0) UNION ALL SELECT * FROM n1 WHERE node NOT IN (SELECT node FROM c1) UNION ALL SELECT * FROM n2),
+w AS (SELECT node, count(*) AS n_rows, -sum(g) / (sum(h) + 1) * CAST(0.3 AS DOUBLE) AS value FROM l GROUP BY node)"""
+ORACLE["boosting_first_tree"] = f"""{_FIRST_TREE}
+SELECT node, CASE f WHEN 0 THEN 'o_custkey' ELSE 'o_totalprice' END AS feature, thr AS threshold, ml AS missing_low, na AS n_rows, CAST(NULL AS DOUBLE) AS value
+FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1)
+UNION ALL SELECT node, NULL, NULL, NULL, n_rows, value FROM w"""
+ORACLE["boosting_margins"] = f"""{_FIRST_TREE}
+SELECT value AS margin, count(*) AS n_rows, CAST(sum(target) AS BIGINT) AS n_positive, count(*) - count(x1) AS n_price_missing
+FROM l JOIN w USING (node) GROUP BY value"""

@@ -1,5 +1,5 @@
 """Strategy sweep (F8): dedup -> exact split -> clean train and test
-independently under every strategy -> align -> GBT -> scores.
+independently under every strategy -> align -> boosting -> scores.
 
 Every strategy runs even after a win; a failed gate, or a failure in cleaning,
 alignment or training, becomes a result row instead of an exception.  A split that
@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..operators import encode as E
+from ..operators.boosting import fit_boosted
 from ..operators.clean import drop_duplicates
 from ..operators.compare import RESULT_SCHEMA
 from ..operators.gate import run_gate
-from ..operators.model import f1_accuracy, predict, train_classifier
+from ..operators.model import f1_accuracy, predict
 from ..operators.split import cross_split_duplicates, split_key_overlap, split_reconcile, stratified_split
 from ..session import cut_lineage
 from .cleaning import fit_clean
@@ -96,7 +97,7 @@ def run_strategy(position: int, strategy, train: DataFrame, test: DataFrame, tar
         tr, te = (df.sparkSession.read.parquet(path) for df, path in zip((tr, te), paths, strict=True))
     feats = [c for c in tr.columns if c != target and c not in keep]
     try:
-        model = train_classifier(tr, target, feats, seed=seed)
+        model = fit_boosted(tr, target, feats)
         s = f1_accuracy(predict(model, te), target).first()
     except Exception:  # noqa: BLE001
         return _row(position, strategy, attempts, n_features=len(feats), failure_reason=f"Training failed: {traceback.format_exc()}")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .operators import profile as P
 from .sources import messy as M
 from .functions.numeric import round_half_up
+from .operators import boosting as BO
 from .operators import clean as C
 from .operators import compare as CP
 from .operators import encode as E
@@ -26,6 +27,7 @@ from .operators import issues as IS
 from .operators import model as MD
 from .operators import runlog as RL
 from .operators import split as SP
+from .operators import trees as TR
 from .operators.freq import value_freq as _vf
 from .plans.cleaning import clean as _clean
 from .plans.strategies import STRATEGY_LIBRARY
@@ -650,6 +652,31 @@ def q_predict_gbt(spark, sf_dir):
     return MD.predict(model, te).select("doc_id", "quality", "prediction")
 
 
+#: Two levels of sixteen bins: small enough to be written out in SQL.
+FIRST_TREE = BO.BoostParams(rounds=1, max_depth=2, max_bins=16)
+
+
+def _first_tree(spark, sf_dir):
+    df = _mo(spark, sf_dir)
+    return df, BO.fit_boosted(df, "target", MO_FEATURES_NUM, FIRST_TREE)
+
+
+@query("boosting_first_tree")
+def q_boosting_first_tree(spark, sf_dir):
+    """Every node of one round of boosting over a table with missing values."""
+    _, model = _first_tree(spark, sf_dir)
+    return spark.createDataFrame(model.nodes, BO.NODES_SCHEMA).drop("round")
+
+
+@query("boosting_margins")
+def q_boosting_margins(spark, sf_dir):
+    """The margins of that tree, rows with missing values included."""
+    df, model = _first_tree(spark, sf_dir)
+    return df.groupBy(TR.margin_column(model.trees).alias("margin")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("target").cast("long").alias("n_positive"),
+        F.count_if(F.col("o_totalprice").isNull()).alias("n_price_missing"))
+
+
 @query("baseline_metrics")
 def q_baseline_metrics(spark, sf_dir):
     metrics, _ = MD.baseline_metrics(doc_features(spark, sf_dir), "quality", key="doc_id")

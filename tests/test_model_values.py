@@ -44,9 +44,11 @@ def test_baseline_metrics_are_the_scores_of_its_model(spark):
     metrics, split = MD.baseline_metrics(df, "quality", key="doc_id")
     m = metrics.first()
     features = [c for c in split.columns if c not in ("quality", "doc_id", "split")]
-    model = MD.train_classifier(split.where("split = 'train'"), "quality", features)
-    ml = model.transform(split.where("split = 'test'")).select("quality", F.col("prediction").cast("int")).collect()
-    f1, accuracy = f1_and_accuracy([tuple(r) for r in ml])
+    model = MD.fit_boosted(split.where("split = 'train'"), "quality", features)
+    c = duckdb.connect()
+    c.register("t", split.where("split = 'test'").toPandas())
+    ml = c.execute(f"SELECT quality, CAST({TR.margin_sql(model.trees)} > 0 AS INTEGER) FROM t").fetchall()
+    f1, accuracy = f1_and_accuracy(ml)
     assert m.baseline_f1_score == pytest.approx(f1, abs=6e-5) and m.baseline_accuracy == pytest.approx(accuracy, abs=6e-5)
     n = df.count()
     assert (m.n_train_rows, m.n_test_rows) == (n - -(-n // 5), -(-n // 5)) and m.n_test_rows == len(ml)
