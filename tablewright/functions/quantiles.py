@@ -136,7 +136,7 @@ def select_ranks(long_df: DataFrame, group_col: str, value_col: str, targets: di
         if rounds > max_rounds:   # cannot happen: binade + linear binning needs ~8 rounds
             raise RuntimeError("rank selection did not converge; refusing to sort an unbounded group")
         rdf = F.broadcast(_ranges_df(spark, open_ranges, group_type))
-        joined = base.join(rdf, (base.g == rdf.g) & (base.v >= rdf.lo) & (base.v <= rdf.hi))
+        joined = base.join(rdf, base.g.eqNullSafe(rdf.g) & (base.v >= rdf.lo) & (base.v <= rdf.hi))
         hist = (joined.select("rid", _bin_expr(bins).alias("bin"), "v")
                 .groupBy("rid", "bin")
                 .agg(F.count("v").alias("cnt"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
@@ -181,7 +181,7 @@ def select_ranks(long_df: DataFrame, group_col: str, value_col: str, targets: di
         for i, rng in enumerate(final):
             rng.rid = i
         rdf = F.broadcast(_ranges_df(spark, final, group_type))
-        joined = base.join(rdf, (base.g == rdf.g) & (base.v >= rdf.lo) & (base.v <= rdf.hi)) \
+        joined = base.join(rdf, base.g.eqNullSafe(rdf.g) & (base.v >= rdf.lo) & (base.v <= rdf.hi)) \
             .select("rid", "v")
         w = Window.partitionBy("rid").orderBy("v")
         ranked = (joined.withColumn("pos", F.row_number().over(w))

@@ -5,6 +5,10 @@ Instead each row gets a 52-bit hash of (key, seed); per class the test rows
 are the ``quota`` smallest hashes.  The quota-th hash is found with the
 histogram-refinement selector, so no task ever holds a whole class; only
 rows tied on the boundary hash (normally none) are ranked by key.
+
+Beyond ``MAX_CLASSES`` classes quotas and boundaries stay tables: the remainders are ranked
+by a range partition, and the boundary hash of every class is found digit by digit with
+joins, so nothing per class reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,10 +21,14 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash52, row_content_key
 from ..functions.quantiles import select_ranks
+from ..session import drop_staged, staged
 
-# Quotas and boundary hashes are per class and live on the driver.
+# Up to this many classes, quotas and boundary hashes live on the driver.
 MAX_CLASSES = 10_000
 
+#: Bits below each digit of a 52-bit hash, high digit first: a class has at most 2^18 cells a round.
+DIGIT_SHIFTS = (34, 17, 0)
+
 
 def test_quotas(class_counts: dict, test_size: float) -> dict:
     """ceil(test_size * n) test rows in total, allotted proportionally with
@@ -38,22 +46,62 @@ def test_quotas(class_counts: dict, test_size: float) -> dict:
     return base
 
 
-def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42,
-                     key: str | None = None, split_col: str = "split") -> DataFrame:
-    """Adds ``split`` ('train' | 'test').  ``key`` is a row key; without
-    one the row content is the key, and equal rows always land on the same side:
-    the group at a class's boundary goes whole to the side that brings the number
-    of test rows nearer to its quota (ties: test).  Otherwise test rows of a class
-    are exactly its ``quota`` smallest (hash, key) pairs."""
-    if target not in df.columns:
-        raise ValueError(f"target column {target!r} not found in columns: {df.columns}")
-    key_expr = F.col(key) if key else row_content_key(df.columns)
-    hashed = df.withColumn("__h", hash52(key_expr, str(seed)))
-    stats = (hashed.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.min("__h").alias("lo"),
-                                        F.max("__h").alias("hi"))
-             .limit(MAX_CLASSES + 1).collect())
-    if len(stats) > MAX_CLASSES:
-        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes; stratify on a label")
+def quota_table(classes: DataFrame, test_size: float) -> DataFrame:
+    """``test_quotas`` for any number of classes: (``__cls``, ``__n``) -> (``__cls``, ``__quota``), as a
+    stored table.  The remainders are ranked within the parts of a range partition; only one
+    count a part comes to the driver."""
+    n = classes.agg(F.sum("__n")).first()[0] or 0
+    total = math.ceil(Fraction(str(test_size)) * n)
+    share, whole = f"(CAST({total} AS DECIMAL(19,0)) * CAST(__n AS DECIMAL(18,0)))", f"CAST({max(n, 1)} AS DECIMAL(19,0))"
+    order = [F.desc("__rem"), F.asc_nulls_last("__cls")]
+    shares = classes.selectExpr("__cls", f"CAST({share} div {whole} AS BIGINT) AS __base", f"CAST({share} % {whole} AS BIGINT) AS __rem")
+    parts = staged(shares.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "split-shares")
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.sum("__base").alias("base")).orderBy("__part").collect()
+    extra, before, offsets = total - sum(r["base"] for r in sizes), 0, []
+    for r in sizes:
+        offsets.append((r["__part"], before))
+        before += r["n"]
+    starts = classes.sparkSession.createDataFrame(offsets, "__part int, __start long")      # one row a part
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__start")
+    quotas = staged(parts.join(F.broadcast(starts), "__part").select(
+        "__cls", (F.col("__base") + (rank <= extra).cast("long")).alias("__quota")), "split-quotas")
+    drop_staged(parts)
+    return quotas
+
+
+def boundary_table(counts: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Per class with a quota the hash of its quota-th row: (``__cls``, ``__h``, ``__quota``, ``__less``,
+    ``__equal``), as a stored table.  ``counts``: (``__cls``, ``__h``, ``__c``).  One round a digit: cells of
+    the rows that share the digits found so far are counted, the cell that holds the quota is kept."""
+    state = quotas.where("__quota > 0").selectExpr("__cls AS __k", "__quota", "0L AS __prefix", "0L AS __less")
+    held, above = None, 52
+    for shift in DIGIT_SHIFTS:
+        near = counts.join(state, F.col("__cls").eqNullSafe(F.col("__k"))).where(F.shiftright("__h", above) == F.col("__prefix"))
+        cells = near.groupBy("__cls", "__quota", "__less", F.shiftright("__h", shift).alias("__p")).agg(F.sum("__c").alias("__equal"))
+        upto = F.col("__less") + F.sum("__equal").over(Window.partitionBy("__cls").orderBy("__p"))
+        found = cells.withColumn("__upto", upto).where("__upto >= __quota AND __upto - __equal < __quota")
+        fresh = staged(found.selectExpr("__cls AS __k", "__quota", "__p AS __prefix", "__upto - __equal AS __less", "__equal"), "split-digits")
+        if held is not None:
+            drop_staged(held)
+        held, above = fresh, shift
+        state = fresh.drop("__equal")
+    return held.withColumnsRenamed({"__k": "__cls", "__prefix": "__h"})
+
+
+def _cut_table(hashed: DataFrame, target: str, test_size: float, keyed: bool) -> DataFrame:
+    """The cut of every class with test rows, for any number of classes."""
+    counts = staged(hashed.groupBy(F.col(target).alias("__cls"), "__h").agg(F.count(F.lit(1)).alias("__c")), "split-hashes")
+    quotas = quota_table(counts.groupBy("__cls").agg(F.sum("__c").alias("__n")), test_size)
+    found = boundary_table(counts, quotas).withColumn("__need", F.expr("__quota - __less"))
+    drop_staged(counts)
+    drop_staged(quotas)
+    if keyed:
+        return found.selectExpr("__cls", "__h AS __cut", "__need", "__need < __equal AS __rank_ties")
+    return found.selectExpr("__cls", "IF(__equal - __need <= __need, __h, __h - 1) AS __cut", "__need", "false AS __rank_ties")
+
+
+def _driver_cuts(hashed: DataFrame, target: str, test_size: float, stats: list, keyed: bool) -> tuple[list, bool]:
+    """The cuts of at most ``MAX_CLASSES`` classes as rows, and whether any of them splits a tie."""
     counts = {r[0]: r["n"] for r in stats}
     bounds = {r[0]: (r["n"], float(r["lo"]), float(r["hi"])) for r in stats}
     quotas = test_quotas(counts, test_size)
@@ -67,16 +115,36 @@ def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: i
             continue
         value, n_less, n_equal = cut[(c, q - 1)]
         need = q - n_less                       # rows to take among those equal to the cut
-        if key is None:
+        if not keyed:
             rows.append((c, int(value) if n_equal - need <= need else int(value) - 1, need, False))
             continue
         rank_ties = need < n_equal
         tied = tied or rank_ties
         rows.append((c, int(value), need, rank_ties))
-    spark = df.sparkSession
-    cuts = spark.createDataFrame(
-        rows, f"__cls {df.schema[target].dataType.simpleString()}, __cut long, __need long, __rank_ties boolean")
-    j = hashed.join(F.broadcast(cuts), hashed[target].eqNullSafe(cuts["__cls"]), "left")
+    return rows, tied
+
+
+def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42,
+                     key: str | None = None, split_col: str = "split") -> DataFrame:
+    """Adds ``split`` ('train' | 'test').  ``key`` is a row key; without
+    one the row content is the key, and equal rows always land on the same side:
+    the group at a class's boundary goes whole to the side that brings the number
+    of test rows nearer to its quota (ties: test).  Otherwise test rows of a class
+    are exactly its ``quota`` smallest (hash, key) pairs."""
+    if target not in df.columns:
+        raise ValueError(f"target column {target!r} not found in columns: {df.columns}")
+    key_expr = F.col(key) if key else row_content_key(df.columns)
+    hashed = df.withColumn("__h", hash52(key_expr, str(seed)))
+    stats = (hashed.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.min("__h").alias("lo"),
+                                        F.max("__h").alias("hi"))
+             .limit(MAX_CLASSES + 1).collect())
+    if len(stats) > MAX_CLASSES:
+        cuts, tied = _cut_table(hashed, target, test_size, key is not None), key is not None
+    else:
+        rows, tied = _driver_cuts(hashed, target, test_size, stats, key is not None)
+        cuts = F.broadcast(df.sparkSession.createDataFrame(
+            rows, f"__cls {df.schema[target].dataType.simpleString()}, __cut long, __need long, __rank_ties boolean"))
+    j = hashed.join(cuts, hashed[target].eqNullSafe(cuts["__cls"]), "left")
     simple = (F.col("__h") < F.col("__cut")) | ((F.col("__h") == F.col("__cut")) & ~F.col("__rank_ties"))
     if not tied:
         out = j.withColumn("__t", F.coalesce(simple, F.lit(False)))

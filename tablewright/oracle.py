@@ -535,3 +535,6 @@ UNION ALL SELECT node, NULL, NULL, NULL, n_rows, value FROM w"""
 ORACLE["boosting_margins"] = f"""{_FIRST_TREE}
 SELECT value AS margin, count(*) AS n_rows, CAST(sum(target) AS BIGINT) AS n_positive, count(*) - count(x1) AS n_price_missing
 FROM l JOIN w USING (node) GROUP BY value"""
+
+ORACLE["split_many_classes"] = "SELECT * FROM " + S.split_sql(
+    "(SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS lkey, l_orderkey FROM lineitem)", "lkey", "l_orderkey")

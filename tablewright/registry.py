@@ -368,6 +368,14 @@ def q_split_by_content(spark, sf_dir):
     return SP.stratified_split(table(spark, sf_dir, "events").select("event_type", "user_id"), "event_type", 0.2, 42)
 
 
+@query("split_many_classes")
+def q_split_many_classes(spark, sf_dir):
+    """A class for every order: beyond 10,000 of them quotas and cuts are tables."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("lkey"), "l_orderkey")
+    return SP.stratified_split(li, "l_orderkey", 0.2, 42, key="lkey")
+
+
 @query("split_row_reconcile")
 def q_split_row_reconcile(spark, sf_dir):
     return SP.split_reconcile(table(spark, sf_dir, "labels"), _labels_split(spark, sf_dir))
