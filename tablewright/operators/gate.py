@@ -2,7 +2,7 @@
 
 Checks never trust a transform's own claim of success and never throw
 mid-job: each returns rows ``(check, column, observed, passed)``.  The whole
-gate is two aggregates over the result (nulls + count; duplicate groups),
+gate is two passes over the result (nulls and count; fingerprints of repeated rows),
 one count of the original and one anti-join of distinct labels.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import is_null_or_nan, is_numeric
 from ..session import drop_staged, staged_if_derived
+from . import duplicates as D
 
 GATE_SCHEMA = T.StructType([
     T.StructField("check", T.StringType()),
@@ -44,11 +45,9 @@ def gate_nulls(df: DataFrame, target: str | None = None) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of fully equal rows (NULLs
-    equal), with row and distinct-row counts: one partial+final aggregate."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__c"))
-    return groups.agg(F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("n_rows"),
-                      F.count(F.lit(1)).cast("long").alias("n_distinct_rows"),
-                      F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("long").alias("n_duplicate_rows"))
+    equal), with row and distinct-row counts.  A derived input is staged, as both
+    passes over the fingerprints read it."""
+    return D.duplicate_rows(staged_if_derived(df, "duplicates"))
 
 
 def gate_target_values(original: DataFrame, result: DataFrame, target: str) -> DataFrame:
@@ -77,11 +76,11 @@ def run_gate(original: DataFrame, result: DataFrame, target: str | None) -> Data
     """V8: every check as rows; ``passed`` false on any violation.
 
     Independent jobs, submitted together: the original's row count; how many
-    labels only the result has (an anti-join, for any number of labels); and ONE
-    grouped aggregate over the result -- grouping by every column gives duplicate
-    rows, and summing group sizes gives the row count and per-column nulls.
+    labels only the result has (an anti-join, for any number of labels); the result's
+    row count and nulls per column; and its rows that repeat, told by fingerprints, so
+    that no whole row is shuffled but those that may be copies.
     """
-    stored = staged_if_derived(result, "gated")   # two jobs read it, its plan runs once
+    stored = staged_if_derived(result, "gated")   # several jobs read it, its plan runs once
     try:
         return _run_gate(original, stored, target)
     finally:
@@ -103,13 +102,12 @@ def _run_gate(original, result, target):
         return original.agg(F.count(F.lit(1)).alias("n")).first()["n"]
 
     def result_job():
-        groups = result.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
-        null_flag = {c: (F.isnan(F.col(c)) | F.col(c).isNull())
-                     if isinstance(dts[c], (T.FloatType, T.DoubleType)) else F.col(c).isNull() for c in cols}
-        exprs = [F.coalesce(F.sum("__c"), F.lit(0)).alias("__n"), F.count(F.lit(1)).alias("__d")]
-        exprs += [F.coalesce(F.sum(F.when(null_flag[c], F.col("__c"))), F.lit(0)).alias(f"n{i}")
-                  for i, c in enumerate(cols) if c != target]
-        return groups.agg(*exprs).first()
+        return result.agg(F.count(F.lit(1)).alias("__n"), *[
+            F.count_if(is_null_or_nan(c, dts[c])).alias(f"n{i}") for i, c in enumerate(cols) if c != target]).first()
+
+    def copies_job():
+        extra = D.repeated_groups(result, cols).agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).alias("__d"))
+        return extra.first()["__d"] if cols else 0
 
     def labels_job():
         if not check_labels:
@@ -120,14 +118,13 @@ def _run_gate(original, result, target):
         return result.select(target).filter(F.col(target).isNotNull()).distinct().count()   # no label keeps its kind
 
     from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=3) as pool:
-        futs = [pool.submit(f) for f in (original_job, result_job, labels_job)]
-        n_orig, g, new_labels = [f.result() for f in futs]
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        futs = [pool.submit(f) for f in (original_job, result_job, copies_job, labels_job)]
+        n_orig, g, dup, new_labels = [f.result() for f in futs]
     n_result = g["__n"]
     for i, c in enumerate(cols):
         if c != target and g[f"n{i}"] > 0:
             rows.append(("nulls", c, str(g[f"n{i}"]), False))
-    dup = n_result - g["__d"]
     rows.append(("duplicates", None, str(dup), dup == 0))
     rows.append(("not_empty", None, str(n_result), not (n_orig > 0 and n_result == 0)))
     rows.append(("target_present", target, str(present), present))

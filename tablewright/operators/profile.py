@@ -21,6 +21,7 @@ from ..functions.numeric import (as_double, is_null_or_nan, is_numeric, is_tempo
                                  is_text, round_half_up)
 from ..functions.quantiles import approx_quantiles, exact_quantiles
 from ..session import drop_staged, staged_if_derived
+from .duplicates import duplicate_rows
 from .freq import first_values, value_freq
 
 # Reference defaults.
@@ -284,7 +285,7 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
     def duplicate_job():
         if not with_duplicates:
             return None
-        return n - df.select(*cols).dropDuplicates().count() if n else 0
+        return duplicate_rows(df, cols).first()["n_duplicate_rows"] if n and cols else 0
 
     def conflict_job():
         return date_order_conflicts(df, date_cols, read_by, dts)

@@ -3,8 +3,8 @@
 ``row_number() over (partition by class)`` puts a whole class in one task.
 Instead each row gets a 52-bit hash of (key, seed); per class the test rows
 are the ``quota`` smallest hashes.  The quota-th hash is found with the
-histogram-refinement selector, so no task ever holds a whole class; only
-rows tied on the boundary hash (normally none) are ranked by key.
+histogram-refinement selector, so no task ever holds a whole class; rows tied
+on the boundary hash (copies of one key) are split by a hash of the whole row.
 
 Beyond ``MAX_CLASSES`` classes quotas and boundaries stay tables: the remainders are ranked
 by a range partition, and the boundary hash of every class is found digit by digit with
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash52, row_content_key
 from ..functions.quantiles import select_ranks
-from ..session import drop_staged, staged
+from ..session import drop_staged, staged, staged_if_derived
+from .duplicates import repeated_groups
 
 # Up to this many classes, quotas and boundary hashes live on the driver.
 MAX_CLASSES = 10_000
@@ -124,13 +125,37 @@ def _driver_cuts(hashed: DataFrame, target: str, test_size: float, stats: list,
     return rows, tied
 
 
+def _split_ties(ties: DataFrame, cols: list) -> DataFrame:
+    """Rows of the classes ``__cls`` that tie on the boundary hash, of which ``__need`` a class
+    go to the test side (``__t``): those with the least hash of the whole row, found like the
+    boundary itself.  What ties again, equal rows, is numbered within the parts of the stored
+    ties, each part taking what the parts before it left.  No window holds more than a part or
+    2^18 cells, however many rows share one key."""
+    ties = ties.withColumn("__x", hash52(row_content_key(cols), "tie")).withColumn("__part", F.spark_partition_id())
+    ties = staged(ties.select(*cols, "__cls", "__need", "__x", "__part"), "split-ties")
+    counts = staged(ties.groupBy("__cls", F.col("__x").alias("__h")).agg(F.count(F.lit(1)).alias("__c")), "split-tie-hashes")
+    found = boundary_table(counts, ties.groupBy("__cls").agg(F.max("__need").alias("__quota")))
+    drop_staged(counts)
+    cut = found.selectExpr("__cls AS __k", "__h AS __x_cut", "__quota - __less AS __take")
+    j = ties.join(cut, F.col("__cls").eqNullSafe(F.col("__k")))
+    equal = j.where("__x = __x_cut")
+    sizes = equal.groupBy(F.col("__cls").alias("__c"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__size"))
+    upto = F.sum("__size").over(Window.partitionBy("__c").orderBy("__p"))
+    starts = sizes.select("__c", "__p", (upto - F.col("__size")).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__cls", "__part").orderBy(F.lit(1))) + F.col("__start")
+    shared = equal.join(starts, F.col("__cls").eqNullSafe(F.col("__c")) & (F.col("__part") == F.col("__p"))) \
+        .withColumn("__t", place <= F.col("__take"))
+    return j.where("__x <> __x_cut").withColumn("__t", F.col("__x") < F.col("__x_cut")).select(*cols, "__t") \
+        .unionByName(shared.select(*cols, "__t"))
+
+
 def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42,
                      key: str | None = None, split_col: str = "split") -> DataFrame:
     """Adds ``split`` ('train' | 'test').  ``key`` is a row key; without
     one the row content is the key, and equal rows always land on the same side:
     the group at a class's boundary goes whole to the side that brings the number
     of test rows nearer to its quota (ties: test).  Otherwise test rows of a class
-    are exactly its ``quota`` smallest (hash, key) pairs."""
+    are exactly its ``quota`` smallest (hash of the key, hash of the row) pairs."""
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found in columns: {df.columns}")
     key_expr = F.col(key) if key else row_content_key(df.columns)
@@ -139,7 +164,8 @@ def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: i
                                         F.max("__h").alias("hi"))
              .limit(MAX_CLASSES + 1).collect())
     if len(stats) > MAX_CLASSES:
-        cuts, tied = _cut_table(hashed, target, test_size, key is not None), key is not None
+        cuts = _cut_table(hashed, target, test_size, key is not None)
+        tied = not cuts.where("__rank_ties").isEmpty()
     else:
         rows, tied = _driver_cuts(hashed, target, test_size, stats, key is not None)
         cuts = F.broadcast(df.sparkSession.createDataFrame(
@@ -149,14 +175,10 @@ def stratified_split(df: DataFrame, target: str, test_size: float = 0.2, seed: i
     if not tied:
         out = j.withColumn("__t", F.coalesce(simple, F.lit(False)))
     else:
-        # only rows whose hash equals a boundary that splits a tie are ranked by key
         boundary = (F.col("__h") == F.col("__cut")) & F.col("__rank_ties")
-        ties = j.filter(boundary).withColumn("__k", key_expr.cast("string"))
-        ties = ties.withColumn("__t", F.row_number().over(
-            Window.partitionBy("__cls", "__h").orderBy("__k")) <= F.col("__need")).drop("__k")
         rest = j.filter(~F.coalesce(boundary, F.lit(False))) \
-            .withColumn("__t", F.coalesce(simple, F.lit(False)))
-        out = ties.unionByName(rest)
+            .withColumn("__t", F.coalesce(simple, F.lit(False))).select(*df.columns, "__t")
+        out = _split_ties(j.filter(boundary), df.columns).unionByName(rest)
     return out.withColumn(split_col, F.when(F.col("__t"), F.lit("test")).otherwise(F.lit("train"))) \
         .select(*df.columns, split_col)
 
@@ -175,14 +197,15 @@ def split_reconcile(original: DataFrame, split_df: DataFrame, split_col: str = "
 
 def cross_split_duplicates(split_df: DataFrame, cols=None, split_col: str = "split") -> DataFrame:
     """Content groups (NULL-safe) seen on both sides (true leak) and the
-    reference's stricter count of every row with a duplicate anywhere."""
+    reference's stricter count of every row with a duplicate anywhere.  Only rows whose
+    fingerprint repeats are grouped by content."""
     cols = [c for c in (cols or split_df.columns) if c != split_col]
-    g = split_df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"),
-                                   (F.min(split_col) != F.max(split_col)).alias("__s"))
+    rows = staged_if_derived(split_df.select(*cols, split_col), "leak-check")
+    g = repeated_groups(rows, cols, (F.min(split_col) != F.max(split_col)).alias("__s"))
     return g.agg(
         F.coalesce(F.sum(F.when(F.col("__s"), F.col("__c"))), F.lit(0)).cast("long").alias("n_rows_cross_split"),
         F.coalesce(F.sum(F.col("__s").cast("long")), F.lit(0)).cast("long").alias("n_groups_cross_split"),
-        F.coalesce(F.sum(F.when(F.col("__c") > 1, F.col("__c"))), F.lit(0)).cast("long").alias("n_rows_duplicated_any"))
+        F.coalesce(F.sum("__c"), F.lit(0)).cast("long").alias("n_rows_duplicated_any"))
 
 
 def split_key_overlap(split_df: DataFrame, key: str, split_col: str = "split") -> DataFrame:
