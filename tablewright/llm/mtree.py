@@ -4,8 +4,11 @@ Inner product is not a metric; every vector x of a block gets one more component
 sqrt(M - |x|^2), M the largest squared norm of the block, and a query q gets 0.
 Then |q' - x'|^2 = |q|^2 + M - 2 q.x, so the highest scores are the nearest points.
 
-Rows are dealt to blocks by their nearest of a few sampled pivots, large groups of
-one pivot to several blocks; each block meets the queries chunk by chunk in a
+Equal rows are counted first and searched once.  Rows are dealt to blocks by their
+nearest of a few sampled pivots, large groups of one pivot to several blocks.  With r
+the largest distance of a pivot's rows from it, no row x of pivot p scores above
+q.p + |q| r, so a query goes only to the blocks of pivots where that reaches its k-th
+best score among the sampled rows.  A block meets its queries chunk by chunk in a
 task, which builds an M-tree and searches it.  Pages hold routing objects with
 covering radius and distance to the parent; the search opens pages by their best
 possible score and skips whatever the triangle inequality, from the stored
@@ -65,10 +68,11 @@ def _scores(a: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
 class MTree:
     """An M-tree over integer vectors.  A page is a dict: ``x`` the routing objects or
     points, ``up`` their distances to the page's own routing object, and either
-    ``radius`` and ``pages`` (inner) or ``rows`` (leaf)."""
+    ``radius`` and ``pages`` (inner) or ``rows`` (leaf).  A row stands for its ``copies``."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray | None = None):
         self.ids, self.vectors = ids, vectors
+        self.copies = np.ones(len(ids), dtype=np.int64) if copies is None else copies
         self.floats = f = vectors.astype(np.float64)
         self.largest = _largest(vectors)
         norms = np.einsum("ij,ij->i", f, f)
@@ -126,13 +130,15 @@ class MTree:
                 rows = page["rows"][bound(np.abs(d - page["up"])) >= floor]
                 if not len(rows):
                     continue
-                for s, i in zip(_scores(data[rows], asked, exact).tolist(), self.ids[rows].tolist(), strict=True):
+                scores = _scores(data[rows], asked, exact)
+                for s, i, n in zip(scores.tolist(), self.ids[rows].tolist(), self.copies[rows].tolist(), strict=True):
                     if i == own or s < floor:
                         continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
+                    for _ in range(min(n, k)):
+                        if len(best) < k:
+                            heapq.heappush(best, (s, -i))
+                        elif (s, -i) > best[0]:
+                            heapq.heapreplace(best, (s, -i))
                     if len(best) == k:
                         floor = max(floor, best[0][0])
                 continue
@@ -150,15 +156,16 @@ class MTree:
 
 def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, pivots: int = 64,
           cells: int = 1 << 21, chunk: int = 1 << 14) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's ``k`` best of all other rows.
+    """(query_id, rank, vec_id, score): each query's ``k`` best of all other rows; of rows
+    that repeat as many copies as fit among the ``k``.
 
     Queries are the rows whose vec_id ``every`` divides.  ``pivots`` rows are sampled to
     shape the blocks; a block holds about ``cells`` components and meets at most about
     ``chunk`` queries at a time, which bounds a task's memory."""
-    vectors = staged(quantized(embeddings, scale), "vectors")
+    vectors = staged(quantized(embeddings, scale).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies")), "vectors")
     about = vectors.agg(F.max(F.size("v")).alias("dims"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("queries")).first()
     dims, n_queries = max(1, about.dims or 1), about.queries or 0
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()
     p_ids, p = [r.vec_id for r in sample], _matrix([r.v for r in sample], dims)
 
     def assign(batches):
@@ -167,31 +174,50 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
         for b in batches:
             x = _matrix(b.column("v").to_pylist(), dims).astype(np.float64)
             near = np.argmax(x @ pf.T - half, axis=1) if len(pf) else np.zeros(len(x), dtype=np.int64)
-            yield pa.record_batch([*b.columns, pa.array(near.astype(np.int32))], names=["vec_id", "v", "pivot"])
+            far = np.linalg.norm(x - pf[near], axis=1) if len(pf) else np.zeros(len(x))
+            yield pa.record_batch([*b.columns, pa.array(near.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "copies", "pivot", "far"])
 
-    dealt = staged(vectors.mapInArrow(assign, "vec_id long, v array<bigint>, pivot int"), "dealt")
+    dealt = staged(vectors.mapInArrow(assign, "vec_id long, v array<bigint>, copies long, pivot int, far double"), "dealt")
     rows_per_block = max(256, cells // dims)
-    sizes = {r.pivot: r.n for r in dealt.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # a row a pivot
-    parts = [-(-sizes.get(i, 0) // rows_per_block) for i in range(max(1, len(p_ids)))]
+    sizes = {r.pivot: (r.n, r.radius) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()}  # a row a pivot
+    parts = [-(-sizes.get(i, (0, 0.0))[0] // rows_per_block) for i in range(max(1, len(p_ids)))]
+    radius = np.array([sizes.get(i, (0, 0.0))[1] for i in range(len(p_ids))])
     starts = [sum(parts[:i]) for i in range(len(parts))]
-    blocks, chunks = sum(parts), max(1, -(-n_queries // chunk))
+    chunks = max(1, -(-n_queries // chunk))
     at = F.col("pivot") + 1
     block = F.element_at(F.array(*[F.lit(s) for s in starts]), at) + F.pmod(
-        F.xxhash64(F.lit(5), "vec_id"), F.greatest(F.lit(1), F.element_at(F.array(*[F.lit(n) for n in parts]), at))).cast("int")
-    rows = dealt.select("vec_id", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+        F.xxhash64(F.lit(5), "vec_id", "v"), F.greatest(F.lit(1), F.element_at(F.array(*[F.lit(n) for n in parts]), at))).cast("int")
+    rows = dealt.select("vec_id", "v", "copies", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     queries = dealt.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(chunks)).cast("int"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
+
+    def route(batches):
+        """Each query with the blocks that may hold one of its best, and the score these must reach."""
+        pf = p.astype(np.float64)
+        reach = np.sqrt((pf * pf).sum(axis=1)) + radius
+        for b in batches:
+            asked = _matrix(b.column("q").to_pylist(), dims)
+            exact = _largest(p) * _largest(asked) * dims < 2 ** 53
+            least, chosen = [], []
+            for query_id, q in zip(b.column("query_id").to_pylist(), asked, strict=True):
+                seen = _scores(pf if exact else p, q.astype(np.float64) if exact else q, exact)
+                known = sorted((s for s, i in zip(seen.tolist(), p_ids, strict=True) if i != query_id), reverse=True)
+                least.append(known[k - 1] if len(known) >= k else -(1 << 63))
+                qf = q.astype(np.float64)
+                size = float(np.sqrt(qf @ qf))
+                top = np.minimum(pf @ qf + size * radius, size * reach) + 1e-6 * size * reach + 1
+                chosen.append([starts[i] + j for i in range(len(parts)) if not top[i] < least[-1] for j in range(parts[i])])
+            yield pa.record_batch([*b.columns, pa.array(least, pa.int64()), pa.array(chosen, pa.list_(pa.int32()))],
+                                  names=["query_id", "q", "chunk", "least", "blocks"])
+
+    queries = queries.mapInArrow(route, "query_id long, q array<bigint>, chunk int, least long, blocks array<int>")
+    queries = queries.withColumn("block", F.explode("blocks")).drop("blocks")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            tree = MTree(left["vec_id"].to_numpy(), _matrix(left["v"], dims))
-            exact = _largest(p) * _largest(_matrix(right["q"], dims)) * dims < 2 ** 53
-            for query_id, q in zip(right["query_id"], _matrix(right["q"], dims), strict=True):
-                seen = _scores(p.astype(np.float64 if exact else np.int64), q, exact).tolist()
-                known = sorted((s for s, i in zip(seen, p_ids, strict=True) if i != query_id), reverse=True)
-                least = known[k - 1] if len(known) >= k else -(1 << 63)
+            tree = MTree(left["vec_id"].to_numpy(), _matrix(left["v"], dims), left["copies"].to_numpy())
+            for query_id, least, q in zip(right["query_id"], right["least"], _matrix(right["q"], dims), strict=True):
                 out += [(query_id, i, s) for s, i in tree.search(q, query_id, k, least)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
