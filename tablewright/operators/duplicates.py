@@ -35,22 +35,29 @@ def _bit(h1="__h1", h2="__h2"):
     return F.pmod(F.xxhash64(h1, h2), F.lit(BITS))
 
 
+def flagged(df: DataFrame, cols, prints: DataFrame, name: str, hashes=fingerprint) -> DataFrame:
+    """``df`` with a boolean ``name``: true for every row whose fingerprint of ``cols`` is among
+    ``prints`` (``__h1``, ``__h2``), and for the few others that fall on a set bit.  Rows travel
+    nowhere: the bitmap is broadcast."""
+    bit, place = F.col("__bit"), (F.col("__bit") % 64).cast("int")
+    word = F.shiftright(bit, 6)
+    words = (prints.select(_bit().alias("__bit")).groupBy(word.alias("__word"))
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("__set")))
+    marked = df.select("*", *hashes(cols)).withColumn("__bit", _bit()).drop("__h1", "__h2")
+    is_set = F.call_function("shiftrightunsigned", "__set", place).bitwiseAND(F.lit(1).cast("long")) == 1
+    return marked.join(F.broadcast(words), word == F.col("__word"), "left") \
+        .select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(is_set, F.lit(False)).alias(name))
+
+
 def suspects(df: DataFrame, cols=None, hashes=fingerprint) -> DataFrame:
     """The rows of ``df`` that may have a copy in ``cols``: every row that has one, and the
-    few others whose fingerprint falls on a set bit.  Rows travel nowhere: the bitmap is
-    broadcast.  Tables with columns that cannot be hashed come back whole."""
+    few others that ``flagged`` lets through.  Tables with columns that cannot be hashed come
+    back whole."""
     cols = list(cols or df.columns)
     if not cols or _UNHASHED.search(df.select(*[F.col(f"`{c}`") for c in cols]).schema.simpleString().lower()):
         return df
     counted = df.select(*hashes(cols)).groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__c"))
-    bit, place = F.col("__bit"), (F.col("__bit") % 64).cast("int")
-    word = F.shiftright(bit, 6)
-    words = (counted.where("__c > 1").select(_bit().alias("__bit"))
-             .groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("__set")))
-    marked = df.select("*", *hashes(cols)).withColumn("__bit", _bit()).drop("__h1", "__h2")
-    j = marked.join(F.broadcast(words), word == F.col("__word"))
-    return j.where(F.call_function("shiftrightunsigned", "__set", place).bitwiseAND(F.lit(1).cast("long")) == 1) \
-        .select(*[F.col(f"`{c}`") for c in df.columns])
+    return flagged(df, cols, counted.where("__c > 1"), "__maybe", hashes).where("__maybe").drop("__maybe")
 
 
 def repeated_groups(df: DataFrame, cols=None, *aggs, hashes=fingerprint) -> DataFrame:
