@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.duplicates import fingerprint, flagged
 from ..session import shared_path
-from .common import only
+from .common import only, staged
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
@@ -206,9 +207,14 @@ def write_archive(pages: DataFrame, path: str, least: int = 100, records_per_fil
     rows = only(pages, page_id="long", url="string", html="string")
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = rows.select("page_id", "url", payload.alias("html"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    first = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, "digest", "left").select(
-        "page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    repeated = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = staged(repeated.where("n > 1").drop("n"), "warc-repeated")
+    # the html of a page travels only if its digest may be a repeated one
+    pages = flagged(rows, ["digest"], first.select(*fingerprint(["digest"])), "repeats")
+    columns = ["page_id", "url", "html", "digest"]
+    many = pages.where("repeats").join(first, "digest", "left").select(
+        *columns, F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+    joined = pages.where("NOT repeats").select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(many)
 
     def run(batches):
         for b in batches:
