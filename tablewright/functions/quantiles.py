@@ -4,7 +4,8 @@
 buffer and merges them in one task; at 100 TB that is a single-task OOM.
 ``select_ranks`` instead narrows each requested rank by equal-width histogram
 rounds: every round is one scan + a partial aggregate whose output is at most
-``bins`` rows per open range, and the driver only walks those bin counts.  When
+``bins`` rows per open range, of which Spark picks the bins that hold a rank, so
+the driver gets one row a rank.  When
 the bin that holds a rank has at most ``final_limit`` values, those values are
 sorted inside one (bounded) group and the exact element is picked there.
 
@@ -137,37 +138,32 @@ def select_ranks(long_df: DataFrame, group_col: str, value_col: str, targets: di
             raise RuntimeError("rank selection did not converge; refusing to sort an unbounded group")
         rdf = F.broadcast(_ranges_df(spark, open_ranges, group_type))
         joined = base.join(rdf, base.g.eqNullSafe(rdf.g) & (base.v >= rdf.lo) & (base.v <= rdf.hi))
-        hist = (joined.select("rid", _bin_expr(bins).alias("bin"), "v")
-                .groupBy("rid", "bin")
-                .agg(F.count("v").alias("cnt"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
-                .collect())
-        per_range: dict[int, list] = {}
-        for row in hist:
-            per_range.setdefault(row["rid"], []).append((row["bin"], row["cnt"], row["bmin"], row["bmax"]))
+        cells = (joined.select("rid", _bin_expr(bins).alias("bin"), "v")
+                 .groupBy("rid", "bin")
+                 .agg(F.count("v").alias("cnt"), F.min("v").alias("bmin"), F.max("v").alias("bmax")))
+        # the bin of each rank is picked in Spark: one row a (range, rank) comes back, not every bin
+        upto = F.sum("cnt").over(Window.partitionBy("rid").orderBy("bin"))
+        cells = cells.select("rid", "cnt", "bmin", "bmax", (upto - F.col("cnt")).alias("before"))
+        local = spark.createDataFrame([(r.rid, rank, rank - r.below) for r in open_ranges for rank in r.ranks],
+                                      "of int, rank long, local long")
+        picked = cells.join(F.broadcast(local), (F.col("rid") == F.col("of")) & (F.col("local") >= F.col("before")) &
+                            (F.col("local") < F.col("before") + F.col("cnt"))).collect()
         nxt: dict[tuple, _Range] = {}
         sizes: dict[tuple, int] = {}
-        for rng in open_ranges:
-            cells = sorted(per_range.get(rng.rid, []))
-            for r in rng.ranks:
-                local = r - rng.below
-                before = 0
-                for _, cnt, bmin, bmax in cells:
-                    if local < before + cnt:
-                        if bmin == bmax:
-                            result[(rng.group, r)] = (bmin, rng.below + before, cnt)
-                        else:
-                            key = (rng.group, bmin, bmax, rng.below + before)
-                            if key not in nxt:
-                                # a linear round that did not shrink the range 4x
-                                # switches it to binade bins (bounded rounds)
-                                stalled = rng.linear and cnt * 4 > rng.size
-                                linear = _same_binade(bmin, bmax) or not stalled
-                                nxt[key] = _Range(0, rng.group, bmin, bmax, rng.below + before, [],
-                                                  cnt, linear)
-                                sizes[key] = cnt
-                            nxt[key].ranks.append(r)
-                        break
-                    before += cnt
+        for row in picked:
+            rng, r, bmin, bmax = open_ranges[row["rid"]], row["rank"], row["bmin"], row["bmax"]
+            if bmin == bmax:
+                result[(rng.group, r)] = (bmin, rng.below + row["before"], row["cnt"])
+                continue
+            key = (rng.group, bmin, bmax, rng.below + row["before"])
+            if key not in nxt:
+                # a linear round that did not shrink the range 4x
+                # switches it to binade bins (bounded rounds)
+                stalled = rng.linear and row["cnt"] * 4 > rng.size
+                linear = _same_binade(bmin, bmax) or not stalled
+                nxt[key] = _Range(0, rng.group, bmin, bmax, rng.below + row["before"], [], row["cnt"], linear)
+                sizes[key] = row["cnt"]
+            nxt[key].ranks.append(r)
         open_ranges = []
         for key, rng in nxt.items():
             if sizes[key] <= final_limit:

@@ -331,3 +331,13 @@ def test_few_distinct_values_are_told_apart(spark):
     df = spark.createDataFrame(rows, "a double, b double, c int, d string, e string, f string")
     got = {c: s["n_unique"] for c, s in profile(df, distinct_mode="few").stats.items()}
     assert got == {"a": 2, "b": 3, "c": 1, "d": 1, "e": 2, "f": 0}
+
+
+def test_ranks_of_many_groups_over_rounds(spark):
+    from tablewright.functions.quantiles import select_ranks
+    rows = [(g, float((i * 37 + g * 11) % (5 + 13 * g)) ** (1 + g % 3)) for g in range(60) for i in range(120)]
+    by = {g: sorted(v for h, v in rows if h == g) for g in range(60)}
+    df = spark.createDataFrame([*rows, *[(3, None)] * 9, *[(4, float("nan"))] * 9], "g int, v double")
+    targets = {g: [0, 17, 59, 60, 119] for g in range(60)}
+    got = select_ranks(df, "g", "v", targets, bins=4, final_limit=10, detail=True)
+    assert got == {(g, r): (by[g][r], sum(x < by[g][r] for x in by[g]), by[g].count(by[g][r])) for g in targets for r in targets[g]}
