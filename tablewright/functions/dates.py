@@ -40,6 +40,8 @@ def _names(names, more=()) -> str:
 _MONTH = rf"(?<![a-z])({_names(_MONTHS, ('sept',))})(?![a-z])\.?"
 #: No date is longer.
 _LONGEST = 64
+#: No date has fewer digits.
+_DIGITS = "(?:[0-9][^0-9]*+){4}"
 
 
 def _form(order: str) -> tuple[str, str]:
@@ -135,8 +137,13 @@ def parse_timestamp(c, formats=DEFAULT_DATE_FORMATS) -> Column:
     pattern, iso = _FORMS[BY_SEPARATOR if formats == BY_COLUMN else formats]
 
     def read(text):
+        # the plain ISO date is its own replacement in every order, so it needs no patterns
+        plain = (F.length(text) == 10) & text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+        return F.when(plain, text.try_cast("timestamp")).otherwise(by_form(text))
+
+    def by_form(text):
         told = F.regexp_replace(_numbered(text), pattern, iso)
-        return F.when(~text.startswith("#") & text.rlike("[0-9]") & (F.length(text) <= _LONGEST),
+        return F.when(~text.startswith("#") & text.rlike(_DIGITS) & (F.length(text) <= _LONGEST),
                       _once(told, lambda t: F.when(t.startswith("#"), _once(F.split(t, ","), _told))))
 
     return _once(_plain(c), read)

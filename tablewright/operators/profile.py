@@ -154,7 +154,7 @@ def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULT
             date_formats=DEFAULT_DATE_FORMATS,
             date_min_rate: float = DATE_MIN_PARSE_RATE, order_by: str | None = None,
             with_duplicates: bool = True, persist_freq: bool = True,
-            with_quantiles: bool = True) -> Profile:
+            with_quantiles: bool = True, with_conflicts: bool = True) -> Profile:
     """Profile every column of ``df``; ``order_by`` (optional) is an explicit
     row-order key used for "first seen" samples.
 
@@ -163,13 +163,13 @@ def profile(df: DataFrame, target: str | None = None, iqr_mult: float = IQR_MULT
     require_target(df, target)
     source = staged_if_derived(df, "profiled")      # several passes follow
     prof = _profile(source, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
-                    date_min_rate, order_by, with_duplicates, persist_freq, with_quantiles)
+                    date_min_rate, order_by, with_duplicates, persist_freq, with_quantiles, with_conflicts)
     prof.source = source if source is not df else None
     return prof
 
 
 def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
-             date_min_rate, order_by, with_duplicates, persist_freq, with_quantiles) -> Profile:
+             date_min_rate, order_by, with_duplicates, persist_freq, with_quantiles, with_conflicts) -> Profile:
     cols = [c for c in df.columns if c != order_by]
     dts = {f.name: f.dataType for f in df.schema.fields}
     kinds = {c: _kind(dts[c]) for c in cols}
@@ -288,7 +288,7 @@ def _profile(df, target, iqr_mult, quantile_mode, distinct_mode, date_formats,
         return duplicate_rows(df, cols).first()["n_duplicate_rows"] if n and cols else 0
 
     def conflict_job():
-        return date_order_conflicts(df, date_cols, read_by, dts)
+        return date_order_conflicts(df, date_cols, read_by, dts) if with_conflicts else []
 
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=5) as pool:

@@ -20,14 +20,16 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.dates import DEFAULT_DATE_FORMATS
+from ..functions.dates import DEFAULT_DATE_FORMATS, parse_timestamp
+from ..functions.numeric import is_text
 from ..functions.text import DEFAULT_MISSING_LITERALS
 from ..operators import clean as C
 from ..operators import encode as E
 from ..operators.freq import filled, kept_or_other, mode_per_column, value_freq_with_nulls
 from ..operators.profile import date_order_conflicts, iqr_bounds, profile, ranks, require_target
-from ..session import cut_lineage, drop_staged, staged
+from ..session import compiled_methods, cut_lineage, drop_staged, staged, storable
 from .strategies import CleaningStrategy, get_strategy
 
 
@@ -72,6 +74,15 @@ class CleanResult:
     vocabulary: dict = field(default_factory=dict)
 
 
+def _dates_read(df: DataFrame, cols, formats) -> DataFrame:
+    """``df`` written once with its date texts parsed, in microseconds, which hold every time exactly."""
+    texts = [c for c in cols if is_text(df.schema[c].dataType)]
+    if not texts or not storable(df):
+        return df
+    parsed = staged(df.withColumns({c: F.unix_micros(parse_timestamp(c, formats[c])) for c in texts}), "dates")
+    return parsed.withColumns({c: F.timestamp_micros(c) for c in texts})
+
+
 def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_median",
               target: str | None = "target", keep=(), date_formats=DEFAULT_DATE_FORMATS,
               missing_literals=DEFAULT_MISSING_LITERALS, violation_mode: str = "drop",
@@ -85,6 +96,13 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
     (ratio >= ``fuzzy_threshold``) to the cluster's most frequent value."""
     strategy = get_strategy(strategy) if isinstance(strategy, str) else strategy
     require_target(df, target)
+    with compiled_methods(df.sparkSession):
+        return _fit_clean(df, strategy, target, keep, date_formats, missing_literals, violation_mode,
+                          quantile_mode, date_min_rate, checkpoint, merge, fuzzy_threshold)
+
+
+def _fit_clean(df, strategy, target, keep, date_formats, missing_literals, violation_mode,
+               quantile_mode, date_min_rate, checkpoint, merge, fuzzy_threshold):
     skip = set(keep) | ({target} if target else set())
     plan = FittedPlan(target=target)
 
@@ -99,11 +117,11 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
     add("drop_duplicates", None, C.drop_duplicates, stateful=True)
     if checkpoint:
         # every later fit reads this instead of re-running scan + dedup shuffle
-        out = cut_lineage(out)
+        out = staged(out, "deduplicated") if storable(out) else cut_lineage(out)
 
     # light profile of the deduplicated table (no quartiles, no duplicate count)
     prof = profile(out.drop(*[k for k in keep if k in out.columns]), target=target,
-                   with_duplicates=False, with_quantiles=False, distinct_mode="few", date_formats=date_formats,
+                   with_duplicates=False, with_quantiles=False, with_conflicts=False, distinct_mode="few", date_formats=date_formats,
                    date_min_rate=date_min_rate, persist_freq=False)
     dead = [c for c in prof.columns if c not in skip and prof.n_rows > 0
             and prof.stats[c]["null_count"] == prof.n_rows]
@@ -128,6 +146,9 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
 
     date_cols = [c for c in prof.date_columns if c not in skip and c not in dead]
     date_formats = prof.date_formats   # fitted here, so that the plan reads other tables alike
+    if checkpoint:
+        # every later fit, and the transform of ``df``, read the times that the texts tell
+        out = _dates_read(out, date_cols, date_formats)
     for d in date_order_conflicts(out, date_cols, date_formats):
         # the majority direction is the logical order; the minority rows violate it
         before, after = ((d["col_a"], d["col_b"]) if d["b_after_a"] >= d["a_after_b"]
@@ -144,14 +165,18 @@ def fit_clean(df: DataFrame, strategy: CleaningStrategy | str = "conservative_me
     # medians (clipping outside the quartiles moves no median), one count of the values the
     # modes, the rare values and the vocabulary.
     told = C.dates_to_epoch(out, date_cols, date_formats, fill=None)
+    if checkpoint and date_cols and storable(told):
+        told = staged(told, "epochs")
+        out = told
     with ThreadPoolExecutor(max_workers=2) as pool:
         f_ranks = pool.submit(ranks, told, [*date_cols, *dict.fromkeys([*clip, *by_median])], (0.25, 0.5, 0.75), quantile_mode)
         f_freq = pool.submit(staged, value_freq_with_nulls(out, text_cols), "values") if text_cols else None
         found, vf = f_ranks.result(), f_freq.result() if f_freq else None
     if date_cols:
         meds = {c: found[c][1] for c in date_cols}
-        add("dates_to_epoch", meds, lambda d: C.impute_numeric(
-            C.dates_to_epoch(d, date_cols, date_formats, fill=None), date_cols, stats=meds))
+        plan.steps.append(FittedStep("dates_to_epoch", meds, lambda d: C.impute_numeric(
+            C.dates_to_epoch(d, date_cols, date_formats, fill=None), date_cols, stats=meds)))
+        out = C.impute_numeric(told, date_cols, stats=meds)
     if clip:
         bounds = {c: iqr_bounds(found[c][0], found[c][2], strategy.iqr_multiplier) for c in clip}
         add("clip_outliers", bounds, lambda d: C.clip_outliers(d, num_cols, strategy.iqr_multiplier, bounds=bounds))

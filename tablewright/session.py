@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,6 +95,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession):
+    """Queries planned inside generate no method beyond the 8,000 bytes up to which the JVM
+    compiles; a stage of many expressions otherwise becomes one that is only interpreted."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the folder of a frame made by ``staged`` that nothing reads any more."""
     path = getattr(df, "_staged_path", None)
@@ -102,6 +116,14 @@ def drop_staged(df: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_NOT_IN_PARQUET = re.compile(r"\b(void|interval|variant)\b")
+
+
+def storable(df: DataFrame) -> bool:
+    """Whether Parquet holds all columns of ``df``."""
+    return not _NOT_IN_PARQUET.search(df.schema.simpleString())
+
+
 #: Plan nodes that a pass over stored columns may have.
 _SCAN_NODES = re.compile(r"Relation|LogicalRDD|LocalRelation|Range|Project|Filter|SubqueryAlias")
 
@@ -113,6 +135,4 @@ def staged_if_derived(df: DataFrame, name: str) -> DataFrame:
     nodes = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     if all(_SCAN_NODES.search(re.sub(r"^[\s:+!'-]*", "", n).split(" ")[0]) for n in nodes if n.strip()):
         return df
-    if re.search(r"\b(void|interval|variant)\b", df.schema.simpleString()):
-        return df
-    return staged(df, name)
+    return staged(df, name) if storable(df) else df
