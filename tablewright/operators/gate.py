@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import is_null_or_nan, is_numeric
-from ..session import drop_staged, staged_if_derived
+from ..session import compiled_methods, drop_staged, staged_if_derived
 from . import duplicates as D
 
 GATE_SCHEMA = T.StructType([
@@ -163,6 +163,11 @@ def first_passing(df: DataFrame, candidates, target: str | None, max_attempts: i
     attempt is logged; never raises.  Returns (result or None, attempts df)."""
     spark = df.sparkSession
     log = []
+    try:
+        with compiled_methods(spark):
+            df = staged_if_derived(df, "attempted")   # every candidate and gate reads it
+    except Exception:  # noqa: BLE001 -- each attempt will record what breaks
+        pass
     for i, (name, fn) in enumerate(candidates[:max_attempts], start=1):
         out, report, err = apply_step(df, fn, target)
         if err is not None:
